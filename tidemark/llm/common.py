@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), dtype=np.int64)
         part = np.cumsum(sizes) // CHUNK_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -69,7 +70,7 @@ def per_chunk(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets, from 0; a null is empty."""
-    column = pa.compute.fill_null(column, "")
+    column = pc.fill_null(column, "")
     if pa.types.is_large_string(column.type):
         kind = np.int64
     else:
