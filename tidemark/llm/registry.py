@@ -1,8 +1,9 @@
 """The queries of this package and their SQL, by name."""
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, gif, html
 
 QUERIES = {
+    "op4_gif_frames": gif.op4,
     "op8_bpe_roundtrip": bpe.op8,
 }
 
