@@ -5,6 +5,7 @@ from tidemark.llm import bpe, gif, html
 QUERIES = {
     "op4_gif_frames": gif.op4,
     "op8_bpe_roundtrip": bpe.op8,
+    "op10_html_extraction": html.op10,
 }
 
 ORACLES: dict[str, str] = {}
