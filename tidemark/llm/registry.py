@@ -1,11 +1,14 @@
 """The queries of this package and their SQL, by name."""
 
-from tidemark.llm import bpe, gif, html
+from tidemark.llm import bpe, gif, html, mixing
 
 QUERIES = {
     "op4_gif_frames": gif.op4,
+    "op6_source_mixing": mixing.op6,
     "op8_bpe_roundtrip": bpe.op8,
     "op10_html_extraction": html.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_source_mixing": mixing.ORACLE,
+}
