@@ -1,8 +1,9 @@
 """The queries of this package and their SQL, by name."""
 
-from tidemark.llm import bpe, gif, html, mixing
+from tidemark.llm import bpe, gif, html, language, mixing
 
 QUERIES = {
+    "op2_language_id": language.op2,
     "op4_gif_frames": gif.op4,
     "op6_source_mixing": mixing.op6,
     "op8_bpe_roundtrip": bpe.op8,
