@@ -1,15 +1,17 @@
 """The queries of this package and their SQL, by name."""
 
-from tidemark.llm import bpe, gif, html, language, mixing
+from tidemark.llm import bpe, gif, html, language, mixing, quality
 
 QUERIES = {
     "op2_language_id": language.op2,
     "op4_gif_frames": gif.op4,
+    "op5_quality_classifier": quality.op5,
     "op6_source_mixing": mixing.op6,
     "op8_bpe_roundtrip": bpe.op8,
     "op10_html_extraction": html.op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_quality_classifier": quality.op5,
     "op6_source_mixing": mixing.ORACLE,
 }
