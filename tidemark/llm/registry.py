@@ -1,8 +1,9 @@
 """The queries of this package and their SQL, by name."""
 
-from tidemark.llm import bpe, gif, html, language, mixing, quality
+from tidemark.llm import bpe, gif, html, language, mixing, quality, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1,
     "op2_language_id": language.op2,
     "op4_gif_frames": gif.op4,
     "op5_quality_classifier": quality.op5,
@@ -12,6 +13,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op5_quality_classifier": quality.op5,
+    "op1_secret_scan": secrets.oracle(),
     "op6_source_mixing": mixing.ORACLE,
 }
