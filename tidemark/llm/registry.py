@@ -1,6 +1,6 @@
 """The queries of this package and their SQL, by name."""
 
-from tidemark.llm import bpe, gif, html, language, mixing, quality, secrets
+from tidemark.llm import bpe, gif, html, language, mixing, neardup, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_gif_frames": gif.op4,
     "op5_quality_classifier": quality.op5,
     "op6_source_mixing": mixing.op6,
+    "op7_jaccard_components": neardup.op7,
     "op8_bpe_roundtrip": bpe.op8,
     "op10_html_extraction": html.op10,
 }
