@@ -291,7 +291,7 @@ def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if more.limit(1).count():
         labels = components(links.union(more))
     named = members.select("id", "n", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-    return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "rep", "id").alias("component_id"))
+    return named.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "rep", "id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,11 @@
 """The queries of this package and their SQL, by name."""
 
-from tidemark.llm import bpe, gif, html, language, mixing, neardup, quality, secrets
+from tidemark.llm import bpe, gif, html, language, mixing, neardup, pii, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op2_language_id": language.op2,
+    "op3_pii_contextual": pii.op3,
     "op4_gif_frames": gif.op4,
     "op5_quality_classifier": quality.op5,
     "op6_source_mixing": mixing.op6,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.oracle(),
+    "op3_pii_contextual": pii.oracle(),
     "op6_source_mixing": mixing.ORACLE,
 }

@@ -22,6 +22,32 @@ class Rule:
     guard: str | None = None
 
 
+#: Elements that running() folds at a time, so that its arrays are not copied once per element.
+STRETCH = 256
+
+
+def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """The outputs (type ``out``) of ``step(state, item) -> (state, output)`` over an array, in order."""
+    none = F.array().cast(f"array<{out}>")
+    last = F.floor((F.size(items) - 1) / STRETCH).cast("int")
+    stretches = F.when(F.size(items) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+    def one(acc: Column, item: Column) -> Column:
+        state, put = step(acc["state"], item)
+        return F.struct(state.alias("state"), acc["done"].alias("done"), F.concat(acc["out"], F.array(put.cast(out))).alias("out"))
+
+    def stretch(acc: Column, i: Column) -> Column:
+        return F.aggregate(
+            F.slice(items, i * STRETCH + 1, STRETCH),
+            F.struct(acc["state"].alias("state"), acc["done"].alias("done"), none.alias("out")),
+            one,
+            lambda a: F.struct(a["state"].alias("state"), F.concat(a["done"], F.array(a["out"])).alias("done")),
+        )
+
+    zero = F.struct(start.alias("state"), F.array().cast(f"array<array<{out}>>").alias("done"))
+    return F.aggregate(stretches, zero, stretch, lambda a: F.flatten(a["done"]))
+
+
 def found(text: Column, rule: Rule, rank: int) -> Column:
     """The kept matches of ``rule`` in ``text``, leftmost and non-overlapping; matches that are not kept still use their text up.
 
@@ -30,13 +56,11 @@ def found(text: Column, rule: Rule, rank: int) -> Column:
     """
     none = F.array().cast(f"array<{SPAN}>")
 
-    def one(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        value = pair["match"]
-        end = start + F.length(value)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), value.alias("value"), F.substring(pair["gap"], -64, 64).alias("before")).cast(SPAN)
-        keep = rule.keep(value) if rule.keep else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def one(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + F.length(pair["gap"])
+        end = start + F.length(pair["match"])
+        before = F.substring(pair["gap"], -64, 64)
+        return end, F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), pair["match"].alias("value"), before.alias("before"))
 
     pairs = F.zip_with(
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
@@ -44,7 +68,9 @@ def found(text: Column, rule: Rule, rank: int) -> Column:
         lambda match, gap: F.struct(match.alias("match"), gap.alias("gap")),
     )
     pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
-    everything = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), one, lambda acc: acc["out"])
+    everything = running(pairs, F.lit(0), one, SPAN)
+    if rule.keep:
+        everything = F.filter(everything, lambda s: rule.keep(s["value"]))
     return F.when(F.rlike(text, F.lit(rule.guard or rule.pattern)), everything).otherwise(none)
 
 
@@ -66,10 +92,9 @@ def count(spans: Column, kind: str) -> Column:
 def masked(text: Column, spans: Column, name: Callable[[Column], Column]) -> Column:
     """``text`` with each span (sorted by start; of overlapping ones the first and what it covers) replaced by its name."""
 
-    def one(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, name(s))).otherwise(acc["out"]).alias("out"))
+    def one(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.substring(text, at + 1, F.greatest(s["start"] - at, F.lit(0)))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.concat(gap, name(s))).otherwise(F.lit(""))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, one, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    tail = F.substring(text, F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0)) + 1, F.length(text))
+    return F.concat(F.array_join(running(spans, F.lit(0), one, "string"), ""), tail)
