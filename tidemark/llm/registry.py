@@ -1,6 +1,6 @@
 """The queries of this package and their SQL, by name."""
 
-from tidemark.llm import bpe, gif, html, language, mixing, neardup, pii, quality, secrets
+from tidemark.llm import bpe, gif, html, language, mixing, neardup, pii, quality, rules, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_source_mixing": mixing.op6,
     "op7_jaccard_components": neardup.op7,
     "op8_bpe_roundtrip": bpe.op8,
+    "op9_quality_rules": rules.op9,
     "op10_html_extraction": html.op10,
 }
 
@@ -18,4 +19,5 @@ ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.oracle(),
     "op3_pii_contextual": pii.oracle(),
     "op6_source_mixing": mixing.ORACLE,
+    "op9_quality_rules": rules.oracle(),
 }
