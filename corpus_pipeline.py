@@ -1,10 +1,40 @@
-"""A training-data pipeline: the stages in order, each over all rows that the stage before it kept."""
+"""A training-data pipeline: the stages in order, each over all rows that the stage before it kept.
+
+1. ``quality``: documents that the quality classifier rejects go. It is fitted on all labels.
+2. ``near_duplicates``: of each group of near duplicates, the document with the least id stays.
+3. ``secrets``: secrets in the texts give way to their kinds in angle brackets; ``n_chars`` follows.
+4. ``mixing``: documents are repeated or left out so that sources meet their target weights.
+5. ``bpe``: token ids of each row, and the text that they decode to.
+
+All but the last return the columns of ``documents``. An empty table passes through as an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, mixing, neardup, quality, secrets
+from tidemark.llm.common import documents, persisted
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.one_of_each(docs)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their secrets."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: each document as often as it is taken."""
+    return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +44,10 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good),
+    ("near_duplicates", unlike),
+    ("secrets", redacted),
+    ("mixing", mixed),
     ("bpe", encoded),
 ]
 
@@ -22,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs, last = documents(spark, sf_dir), len(STAGES) - 1
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < last:
+            docs = persisted(docs, f"pipeline-{name}")
     return docs
