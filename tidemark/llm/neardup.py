@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, flat_bytes, persisted, text_chunks
@@ -194,14 +194,17 @@ def semi(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
+def near(na: Column, sa: Column, nb: Column, sb: Column) -> Column:
+    """The size filter and the Hamming filter on two sets' sizes and sketches."""
+    apart = sum((F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(1, SKETCH)), F.bit_count(sa[0].bitwiseXOR(sb[0])))
+    return (100 * F.least(na, nb) >= SIMILAR * F.greatest(na, nb)) & ((100 + SIMILAR) * apart <= (100 - SIMILAR) * (na + nb))
+
+
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) pairs that pass the size filter and the Hamming filter."""
     a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    both = F.col("na") + F.col("nb")
-    near = (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & ((100 + SIMILAR) * apart <= (100 - SIMILAR) * both)
-    return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(near(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -283,11 +286,15 @@ def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     labelled = buckets.select("key", "node", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     several = persisted(labelled.join(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.pmod("node", F.lit(2))).alias("role")).filter("lo < hi and role = 0"), "key", "left_semi").select("key", "id", "c"), "several")
     main = several.groupBy("key", "c").agg(F.count("*").alias("many")).groupBy("key").agg(F.max_by("c", F.struct("many", "c")).alias("main"))
-    placed = several.join(main, "key")
-    outside = placed.filter("c <> main").selectExpr("key", "id as x", "c as cx")
-    across = outside.join(several.selectExpr("key", "id as y", "c as cy"), "key").filter("cx <> cy")
-    across = across.selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = persisted(verified(likely(across, sets), rows), "links")
+    placed = several.join(main, "key").withColumn("outside", F.col("c") != F.col("main")).select("key", "id", "c", "outside")
+    placed = persisted(placed.join(sets.select("id", "n", "sketch"), "id"), "placed")
+    # both filters stand in the join's condition: what doesn't pass is never a row, and a hot bucket can be split
+    one = placed.filter("outside").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "c", "n", "sketch")])
+    two = placed.select(F.col("key").alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in ("id", "c", "n", "sketch", "outside")])
+    apart = (F.col("x_c") != F.col("y_c")) & (~F.col("y_outside") | (F.col("x_id") < F.col("y_id")))
+    across = one.join(two, (F.col("key") == F.col("y_key")) & apart & near(F.col("x_n"), F.col("x_sketch"), F.col("y_n"), F.col("y_sketch")))
+    across = across.selectExpr("least(x_id, y_id) as a", "greatest(x_id, y_id) as b").distinct().join(stars, ["a", "b"], "left_anti")
+    more = persisted(verified(across, rows), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
     named = members.select("id", "n", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
