@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ASCII = r"^[\x00-\x7F]*$"
 ZERO_WIDTH = {ord(c): None for c in "\u200b\u200c\u200d\u2060\ufeff"}
@@ -22,7 +23,7 @@ def fold(s: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.category(c).startswith("M")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(fold, na_action="ignore")
 

@@ -51,17 +51,17 @@ AUTHOR = {
 
 @dataclass(frozen=True)
 class Table:
-    """What a table is grouped by besides tenant, topic, platform and bucket, and what it measures."""
+    """What a table is grouped by besides tenant, topic, platform and bucket (SQL by name), and what it measures."""
 
     bucket: str
-    keys: dict[str, Column | str] = field(default_factory=dict)
+    keys: dict[str, str] = field(default_factory=dict)
     measures: dict = field(default_factory=lambda: ENGAGEMENT)
     explode: str | None = None
     where: str | None = None
 
 
-GEO = F.coalesce("geo_region_code", F.lit(""))
-YEAR = F.coalesce("author_created_year", F.lit(0))
+GEO = "coalesce(geo_region_code, '')"
+YEAR = "coalesce(author_created_year, 0)"
 SKETCH = {"authors": lambda: F.hll_sketch_agg("author_id")}
 
 TABLES = {
@@ -73,7 +73,7 @@ TABLES = {
     "agg_geo_1d": Table("1d", {"region": GEO}),
     "agg_author_age_1d": Table("1d", {"year": YEAR}, SKETCH, where="sign = 1"),
     **{f"agg_emotion_{b}": Table(b, {"emotion": "emotion"}) for b in ("1h", "1d")},
-    **{f"agg_hashtag_{b}": Table(b, {"hashtag": F.lower("item"), "sentiment": "sentiment"}, explode="hashtags") for b in ("1h", "1d")},
+    **{f"agg_hashtag_{b}": Table(b, {"hashtag": "lower(item)", "sentiment": "sentiment"}, explode="hashtags") for b in ("1h", "1d")},
     "agg_psycho_gender_1d": Table("1d", {"author_gender": "author_gender", "sentiment": "sentiment"}, POSTS),
     "agg_psycho_age_1d": Table("1d", {"author_age_range": "author_age_range", "sentiment": "sentiment"}, POSTS),
 }
@@ -88,7 +88,7 @@ def build(events: DataFrame, name: str) -> DataFrame:
         events = events.filter(t.where)
     if t.explode:
         events = events.withColumn("item", F.explode(t.explode))
-    keys = [(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in t.keys.items()]
+    keys = [F.expr(v).alias(k) for k, v in t.keys.items()]
     bucket = BUCKETS[t.bucket]("published_at").alias("bucket")
     return events.groupBy(*COMMON, *keys, bucket).agg(*[m().alias(n) for n, m in t.measures.items()])
 

@@ -1,6 +1,4 @@
-"""Schemas and fixed value sets of the domain: posts, signed match events, snapshots and canonical items."""
-
-from pyspark.sql.types import StructType
+"""Schemas (as DDL) and fixed value sets of the domain: posts, signed match events, snapshots and canonical items."""
 
 # The label sets, in the order in which results list them.
 SENTIMENTS = ["negative", "neutral", "positive"]
@@ -14,7 +12,7 @@ REPLIES, REPOSTS = ["reply", "comment"], ["repost", "quote"]
 MEDIA = "struct<type:string,url:string,thumb:string>"
 
 #: One row of the append-only stream: a post matched by a topic (+1), or its withdrawal (-1).
-EVENT = StructType.fromDDL(
+EVENT = (
     f"""tenant_id string, topic_id string, topic_query_id string, platform string, post_id string, content_type string,
     published_at timestamp, event_at timestamp, author_id string, author_handle string, author_created_year int,
     author_followers bigint, sentiment string, emotion string, author_gender string, author_age_range string,
@@ -23,14 +21,14 @@ EVENT = StructType.fromDDL(
     engagement_known int, sign int, seq int"""
 )
 
-POST = StructType.fromDDL(
+POST = (
     "platform string, post_id string, version int, text string, lang string, author_id string, published_at timestamp, media string, is_ad boolean, source_connector string"
 )
 
-SNAPSHOT = StructType.fromDDL("platform string, post_id string, captured_at timestamp, likes bigint, comments bigint, shares bigint, quotes bigint, saves bigint, views bigint")
+SNAPSHOT = ("platform string, post_id string, captured_at timestamp, likes bigint, comments bigint, shares bigint, quotes bigint, saves bigint, views bigint")
 
 #: What a source delivers, before any column is trusted.
-CANONICAL = StructType.fromDDL(
+CANONICAL = (
     """platform string, id string, content_type string, text string, lang string, created_at string,
     author struct<id:string,handle:string,name:string,followers:string>, metrics struct<likes:string,comments:string,shares:string,views:string>,
     hashtags array<string>, is_repost boolean, is_quote boolean, reply_to string, _bad string"""

@@ -36,8 +36,8 @@ def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(user_id * 10 + case when seq = 2 then 50 else 0 end as bigint) as author_followers",
         f"element_at(array({SENT}), (k + case when seq = 2 then 1 else 0 end) % 3 + 1) as sentiment",
         f"element_at(array({EMO}), k % 9 + 1) as emotion",
-        f"element_at(array({GEN}), (k div 3) % 3 + 1) as author_gender",
-        f"element_at(array({AGE}), (k div 2) % 5 + 1) as author_age_range",
+        f"element_at(array({GEN}), cast((k div 3) % 3 + 1 as int)) as author_gender",
+        f"element_at(array({AGE}), cast((k div 2) % 5 + 1 as int)) as author_age_range",
         "case when seq = 2 then 'human' when k % 2 = 0 then 'sent-v1' else 'llm:v1' end as model_version",
         "array(concat('iss', k % 11), concat('iss', (k + 5) % 13)) as issues",
         "case when k % 4 = 0 then cast(array() as array<string>) else array(concat('Tag', k % 7)) end as hashtags",
