@@ -22,7 +22,7 @@ from tidemark.llm.common import documents, sha256_of
 VOCABULARY = "byte_bpe_50k.json"
 
 #: How many distinct words a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 100_000
 
 # The public pre-tokenisation pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
