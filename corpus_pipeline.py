@@ -39,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row and the text that they decode to."""
-    out = bpe.decode(bpe.encode(docs))
+    out = bpe.round_trip(docs)
     return out.selectExpr("id AS doc_id", "cast(size(ids) AS bigint) AS n_tokens", "ids", "decoded AS text")
 
 

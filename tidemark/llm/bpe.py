@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, sha256_of
+from tidemark.llm.common import documents, sha256_of, text_chunks
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -149,6 +149,11 @@ class Bpe:
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.piece_start[ids] - ends + sizes, sizes)
         return self.piece_bytes[place].tobytes()
 
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """The text of each list of ids; bytes that are not UTF-8 become U+FFFD."""
+        offsets, ids = np.asarray(lists.offsets), np.asarray(lists.values)
+        return pa.array([self.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:], strict=False)], pa.string())
+
 
 def vocabulary(path: str | None = None) -> str:
     """The vocabulary file's text. ``path`` is a parameter; the default is the public 50k byte-level file."""
@@ -167,8 +172,6 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        from tidemark.llm.common import text_chunks
-
         bpe, pattern = Bpe(source.value), regex.compile(SPLIT)
         for chunk in text_chunks(batches):
             ids, offsets = bpe.encode(chunk.column("text").to_pylist(), pattern)
@@ -178,6 +181,23 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``ids``, ``decoded``: as ``decode(encode(docs))``, with one Python worker per task instead of two."""
+    source = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        bpe, pattern = Bpe(source.value), regex.compile(SPLIT)
+        for chunk in text_chunks(batches):
+            ids, offsets = bpe.encode(chunk.column("text").to_pylist(), pattern)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([chunk.column("id"), lists, bpe.texts(lists)], names=["id", "ids", "decoded"])
+
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``id``, ``ids``, ``decoded``: the text of the ids; bytes that are not UTF-8 become U+FFFD."""
     source = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
@@ -188,9 +208,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 lists = part.column("ids")
-                offsets, ids = np.asarray(lists.offsets), np.asarray(lists.values)
-                texts = [bpe.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, bpe.texts(lists)], names=["id", "ids", "decoded"])
 
     rows = encoded.select("id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
@@ -198,7 +216,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded text."""
-    both = decode(encode(documents(spark, sf_dir)))
+    both = round_trip(documents(spark, sf_dir))
     return both.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
