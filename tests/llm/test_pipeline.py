@@ -1,0 +1,58 @@
+"""The pipeline against its stages in plain Python, and the registered SQL."""
+
+import hashlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemark.llm import mixing, quality, registry
+from tidemark.llm.common import documents
+from tests.llm.test_neardup import brute
+from tests.llm.test_spans import SECRETS, keep_secret
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "near_duplicates", "secrets", "mixing", "bpe"]
+    docs = documents(spark, DIR)
+    model = quality.train(docs, documents(spark, DIR, "labels"))
+    good = {r.id for r in quality.predict(docs, model).filter("predicted = 1").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
+    kept = {d for d, _, c in brute(rows) if d == c}
+    out = corpus_pipeline.run(spark, DIR).collect()
+    ids = {r.doc_id for r in out}
+    assert ids <= kept
+    # the mix: as many copies of each document as the coin says
+    left = docs.filter(F.col("doc_id").isin(*kept))
+    copies = {r.doc_id: r.mix_copies for r in mixing.with_copies(corpus_pipeline.redacted(spark, left, DIR)).collect()}
+    assert {d: sum(r.doc_id == d for r in out) for d in kept} == copies
+    texts = dict(rows)
+    for r in out:
+        assert not any(keep_secret(k, m) for k, p in SECRETS.items() for m in __import__("regex").finditer(p, r.text))
+        if "<" not in r.text:
+            assert r.text == texts[r.doc_id]
+
+
+def test_empty_documents(spark):
+    docs = documents(spark, DIR).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR)
+        assert docs.collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    want = con.sql(registry.ORACLES[name])
+    cols = sorted(want.columns)
+    rows = sorted(map(repr, want.select(*cols).fetchall()))
+    got = registry.QUERIES[name](spark, DIR)
+    assert sorted(got.columns) == cols
+    assert sorted(repr(tuple(r)) for r in got.select(*cols).collect()) == rows
+    assert hashlib.sha256
