@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.book import Book
 from tidemark.catalog.state import AGG_SQL
 from tidemark.functions import values
-from tidemark.operators import aggregates, evalkit, ops
+from tidemark.operators import aggregates, evalkit, ops, routing
 from tidemark.operators.state import topic_matches
 from tidemark.sources.crosswalk import EVENTS_SQL, STATE_SQL, match_events
 from tidemark.sources.store import table
@@ -274,3 +274,62 @@ BOOK.add(
 BOOK.add("frozen_split", lambda s, d: pairs(s, d).select("id", evalkit.frozen_split(F.col("id")).alias("split")), f"WITH {PAIRS} SELECT id, CASE WHEN ('0x' || substr(sha1(id::VARCHAR), 1, 8))::BIGINT % 100 < 50 THEN 'dev' ELSE 'test' END AS split FROM pairs")
 BOOK.add("merge_annotators", lambda s, d: evalkit.merge_annotators(pairs(s, d).selectExpr("id", "gold as label"), pairs(s, d).selectExpr("id", "pred as label")), f"WITH {PAIRS} SELECT id, CASE WHEN gold = pred THEN gold END AS label, CASE WHEN gold = pred THEN 'agreed' ELSE 'adjudicate' END AS status FROM pairs")
 BOOK.add("evaluate", lambda s, d: r9(evalkit.evaluate(pairs(s, d))))
+
+# routes of requests: customers ask, suppliers of their nation serve
+ROUTE = {
+    "request": "c_custkey",
+    "connector": "s_name",
+    "enabled": "s_suppkey % 7 <> 0",
+    "excluded": "(c_custkey + s_suppkey) % 5 = 0",
+    "interval_s": "c_custkey % 4 * 300",
+    "least_interval_s": "s_suppkey % 3 * 300",
+    "accounts": "s_suppkey % 6",
+    "priority": "s_suppkey % 2",
+    "weight": "s_suppkey % 3",
+    "results": "c_custkey % 100 * 10",
+    "per_thousand": "case when s_suppkey % 4 = 0 then null else s_suppkey % 9 end",
+}
+FEATURES = {"want": "case when c_custkey % 3 = 0 then array('phrase') else array('or', 'and') end", "have": "case when s_suppkey % 2 = 0 then array('or', 'and', 'not') else array('phrase', 'or', 'and') end"}
+
+
+def routed(s, d):
+    rows = table(s, d, "customer").join(table(s, d, "supplier"), F.expr("c_nationkey = s_nationkey")).selectExpr(*[f"{v} as {k}" for k, v in (ROUTE | FEATURES).items()])
+    rows = rows.withColumn("eliminated_by", routing.eliminated_by(features=F.col("want"), offered=F.col("have")))
+    return rows.withColumn("cost", routing.run_cost(F.lit(1.0), F.col("per_thousand"), F.col("results"))).drop("want", "have")
+
+
+ROUTE_SQL = f"""x AS (SELECT {', '.join(f'{v} AS {k}' for k, v in ROUTE.items())}, CASE WHEN c_custkey % 3 = 0 THEN s_suppkey % 2 = 1 ELSE true END AS fits FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+routes AS (SELECT * EXCLUDE (fits), CASE WHEN NOT enabled THEN 'disabled' WHEN excluded THEN 'excluded' WHEN NOT fits THEN 'features' WHEN interval_s < least_interval_s THEN 'interval' WHEN accounts = 0 THEN 'account' END AS eliminated_by, 1.0::DOUBLE + per_thousand * results / 1000 AS cost FROM x)"""
+BOOK.add("route_evaluate", lambda s, d: routed(s, d).select("request", "connector", "eliminated_by", "cost"), f"WITH {ROUTE_SQL} SELECT request, connector, eliminated_by, cost FROM routes")
+for _strategy, _order in (("priority", "priority, cost NULLS LAST"), ("cost", "cost NULLS LAST, priority")):
+    BOOK.add(
+        f"route_select_{_strategy}",
+        lambda s, d, x=_strategy: routing.select_route(routed(s, d), ["request"], x).select("request", "connector"),
+        f"WITH {ROUTE_SQL} SELECT request, connector FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {_order}, connector) AS rn FROM routes WHERE eliminated_by IS NULL) WHERE rn = 1",
+    )
+BOOK.add("weighted_pick", lambda s, d: routing.select_route(routed(s, d), ["request"], "weighted").select("request", "connector"))
+ERROR = "element_at(array('rate_limited', 'timeout', 'unavailable', 'auth_failed', 'odd'), cast(event_id % 5 + 1 as int))"
+
+
+def failed(s, d):
+    rows = table(s, d, "events").filter("event_type = 'error'").selectExpr("event_id", "user_id % 20 as account", "cast(ts as timestamp) as at", f"{ERROR} as error")
+    return routing.decide_failures(rows)
+
+
+FAILED_SQL = "f AS (SELECT event_id, user_id % 20 AS account, ts AS fired, CASE event_id % 5 WHEN 0 THEN 'retry_later' WHEN 2 THEN 'next_connector' WHEN 3 THEN 'disable_account' ELSE 'retry' END AS action, CASE WHEN event_id % 5 IN (2, 3) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS health_weight FROM events WHERE event_type = 'error')"
+BOOK.add("failover_decide", lambda s, d: failed(s, d).select("event_id", "action", "health_weight"), f"WITH {FAILED_SQL} SELECT event_id, action, health_weight FROM f")
+BOOK.add(
+    "circuit_breaker",
+    lambda s, d: routing.circuit(failed(s, d), ["account"], "at", window_s=36_000, most=2.0).select("event_id", "recent", "circuit"),
+    f"WITH {FAILED_SQL}, z AS (SELECT event_id, sum(health_weight) OVER (PARTITION BY account ORDER BY CAST(epoch(date_trunc('second', fired)) AS BIGINT) RANGE BETWEEN 36000 PRECEDING AND CURRENT ROW) AS recent FROM f) SELECT event_id, recent, CASE WHEN recent >= 2 THEN 'open' ELSE 'closed' END AS circuit FROM z",
+)
+BOOK.add(
+    "health_factor",
+    lambda s, d: table(s, d, "supplier").select("s_suppkey", routing.health_factor(F.element_at(F.array(*map(F.lit, ["closed", "open", "half_open"])), (F.col("s_suppkey") % 3 + 1).cast("int")), F.col("s_suppkey") % 100).alias("factor")),
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 0.1::DOUBLE WHEN s_suppkey % 3 = 2 OR s_suppkey % 100 < 50 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM supplier",
+)
+BOOK.add(
+    "run_state",
+    lambda s, d: routing.run_states(attempts(s, d).selectExpr("run_id", "requests as attempt", "results as part", "status as state")),
+    f"WITH {A} SELECT run_id, requests AS attempt, results AS part, status AS state FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY requests DESC, results DESC, (status IN ('success', 'failed'))::INT DESC, status) AS rn FROM a) WHERE rn = 1",
+)

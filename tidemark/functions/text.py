@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -17,10 +19,16 @@ LANG_ALIASES = {"in": "id", "ind": "id", "msa": "ms", "zsm": "ms", "zlm": "ms",
 NO_LANG = ["und", "zxx", "qme", "qht"]
 
 
+@lru_cache(maxsize=1)
+def marks() -> dict[int, None]:
+    """Every combining mark, as a table that deletes it."""
+    return dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)).startswith("M"))
+
+
 def fold(s: str) -> str:
     """NFKC, without zero-width characters, lower case, without marks."""
     s = unicodedata.normalize("NFKC", s).translate(ZERO_WIDTH).lower()
-    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.category(c).startswith("M")))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(marks()))
 
 
 @F.pandas_udf(StringType())

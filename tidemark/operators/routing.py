@@ -1,0 +1,77 @@
+"""Which connector a request goes to, and what a failure means: small tables joined with a log of requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# What follows an error, and how much it weighs on health.
+FAILURES = [
+    ("rate_limited", "retry_later", 0.5),
+    ("timeout", "retry", 0.5),
+    ("unavailable", "next_connector", 1.0),
+    ("auth_failed", "disable_account", 1.0),
+    ("quota_exhausted", "next_account", 0.0),
+    ("bad_request", "give_up", 0.0),
+    ("parse_error", "next_connector", 1.0),
+]
+
+
+def eliminated_by(*, features: Column, offered: Column) -> Column:
+    """The first rule that a connector breaks for a request; null if it may serve."""
+    return (
+        F.when(~F.col("enabled"), "disabled")
+        .when(F.col("excluded"), "excluded")
+        .when(F.size(F.array_except(features, offered)) > 0, "features")
+        .when(F.col("interval_s") < F.col("least_interval_s"), "interval")
+        .when(F.col("accounts") == 0, "account")
+    )
+
+
+def health_factor(circuit: Column, score: Column) -> Column:
+    return F.when(circuit == "open", 0.1).when((circuit == "half_open") | (score < 50), 0.5).otherwise(1.0)
+
+
+def run_cost(fixed: Column, per_thousand: Column, results: Column) -> Column:
+    """Null where a part of the price is unknown."""
+    return fixed + per_thousand * results / 1000
+
+
+def select_route(candidates: DataFrame, request: list[str], strategy: str = "priority") -> DataFrame:
+    """The connector of each request: by priority then cost, by cost alone, or drawn by weight within the first priority.
+
+    A draw is a hash of the request, so that it can be repeated. Weight 0 is a standby: drawn only where all are.
+    """
+    rows = candidates.filter(F.col("eliminated_by").isNull())
+    if strategy != "weighted":
+        order = [F.asc("priority"), F.asc_nulls_last("cost")] if strategy == "priority" else [F.asc_nulls_last("cost"), F.asc("priority")]
+        rank = F.row_number().over(Window.partitionBy(*request).orderBy(*order, F.asc("connector")))
+        return rows.withColumn("_rn", rank).filter("_rn = 1").drop("_rn")
+    w = Window.partitionBy(*request)  # the connectors of one request
+    first = rows.withColumn("_p", F.min("priority").over(w)).filter("priority = _p")
+    weight = F.when(F.max("weight").over(w) > 0, F.col("weight")).otherwise(F.lit(1))
+    first = first.withColumn("_w", weight)
+    upto = F.sum("_w").over(w.orderBy("connector").rowsBetween(Window.unboundedPreceding, 0))
+    spot = F.pmod(F.xxhash64(*request), F.lit(1_000_000)) / 1_000_000 * F.sum("_w").over(w)
+    drawn = first.withColumn("_upto", upto).withColumn("_spot", spot).filter((F.col("_spot") >= F.col("_upto") - F.col("_w")) & (F.col("_spot") < F.col("_upto")))
+    return drawn.drop("_p", "_w", "_upto", "_spot")
+
+
+def decide_failures(attempts: DataFrame) -> DataFrame:
+    """Attempts with the action and health weight of their error; an unknown error is retried."""
+    table = attempts.sparkSession.createDataFrame(FAILURES, "error string, action string, health_weight double")
+    out = attempts.join(F.broadcast(table), "error", "left")
+    return out.withColumns({"action": F.coalesce("action", F.lit("retry")), "health_weight": F.coalesce("health_weight", F.lit(0.5))})
+
+
+def circuit(log: DataFrame, key: list[str], at: str, *, window_s: int = 300, most: float = 5.0) -> DataFrame:
+    """The log with the weighted failures of the last ``window_s`` seconds, and whether they open the circuit."""
+    w = Window.partitionBy(*key).orderBy(F.unix_seconds(at)).rangeBetween(-window_s, 0)
+    return log.withColumn("recent", F.sum("health_weight").over(w)).withColumn("circuit", F.when(F.col("recent") >= most, "open").otherwise("closed"))
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """The state of each run: the event of its last attempt and part; final states win ties."""
+    final = F.col("state").isin("success", "failed").cast("int")
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("attempt"), F.desc("part"), F.desc(final), F.asc("state")))
+    return events.withColumn("_rn", rank).filter("_rn = 1").select("run_id", "attempt", "part", "state")

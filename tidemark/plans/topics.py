@@ -21,6 +21,9 @@ from tidemark.functions.text import fold, hashtags_in, normalize_lang, normalize
 # Limits of a query.
 MOST_CHARACTERS, MOST_DEPTH, MOST_NODES = 2000, 10, 200
 
+#: Index keys that are written into the plan itself.
+MOST_LITERAL_KEYS = 2000
+
 TOKEN = re.compile(r"""\s*(?:(?P<open>\()|(?P<close>\))|["“”](?P<phrase>[^"“”]*)["“”]|(?P<minus>-(?=\S))|(?P<word>[^\s()"“”]+))""")
 AUTHOR = re.compile(r"@([A-Za-z0-9._]{1,64})")
 
@@ -255,23 +258,33 @@ def index_keys(q: Query) -> list[str]:
     return sorted(set(keys))
 
 
-def matches(items: DataFrame, queries: list[Query], keys: list[str]) -> DataFrame:
-    """(item key columns, query, topic) of every match; ``items`` are prepared.
+def candidates(items: DataFrame, table: dict[str, list[int]], keys: list[str]) -> DataFrame:
+    """``items`` once for each query (``q_no``) that may match, by the index keys that an item has.
 
-    Items meet queries on the index keys: a token of an item is looked up in the table of keys, which a user's queries
-    bound, so that it is broadcast. Each candidate is then put to its query.
+    Up to MOST_LITERAL_KEYS the keys are part of the plan: each item is looked at on its own, without a join or a
+    shuffle. Beyond that its keys are joined with the table of keys, whose rows the users' queries bound.
     """
-    spark = items.sparkSession
-    table = spark.createDataFrame([(k, i) for i, q in enumerate(queries) for k in index_keys(q)], "q_key string, q_no int")
     own = F.concat(F.split(F.trim("q_joined"), " "), F.transform("q_hashtags", lambda t: F.concat(F.lit("#"), t)), F.array(F.concat(F.lit("@"), F.coalesce("q_author", F.lit(""))), F.lit("")))
-    each = items.withColumn("q_key", F.explode(F.array_distinct(own)))
-    # only items with a candidate go on; a row for each candidate query
-    found = each.join(F.broadcast(table), "q_key").drop("q_key").dropDuplicates([*keys, "q_no"])
+    if len(table) <= MOST_LITERAL_KEYS:
+        numbers = F.create_map(*[x for k, ns in table.items() for x in (F.lit(k), F.array(*map(F.lit, ns)))])
+        found = F.array_intersect(own, F.array(*map(F.lit, table)))
+        return items.withColumn("q_no", F.explode(F.array_distinct(F.flatten(F.transform(found, lambda k: F.element_at(numbers, k))))))
+    rows = items.sparkSession.createDataFrame([(k, n) for k, ns in table.items() for n in ns], "q_key string, q_no int")
+    found = items.select(*keys, F.explode(F.array_distinct(own)).alias("q_key")).join(F.broadcast(rows), "q_key")
+    return items.join(found.select(*keys, "q_no").distinct(), keys)
+
+
+def matches(items: DataFrame, queries: list[Query], keys: list[str]) -> DataFrame:
+    """(item key columns, query, topic) of every match; ``items`` are prepared. Each candidate is put to its query."""
+    table: dict[str, list[int]] = {}
+    for i, q in enumerate(queries):
+        for k in index_keys(q):
+            table.setdefault(k, []).append(i)
     verdict = F.lit("none")
     for i, q in enumerate(queries):
         verdict = F.when(F.col("q_no") == i, reason(q)).otherwise(verdict)
     names = F.array(*[F.struct(F.lit(q.name).alias("query"), F.lit(q.topic).alias("topic")) for q in queries])
-    hit = found.filter(verdict == "match").withColumn("q", names[F.col("q_no")])
+    hit = candidates(items, table, keys).filter(verdict == "match").withColumn("q", names[F.col("q_no")])
     return hit.select(*keys, "q.query", "q.topic")
 
 
