@@ -14,9 +14,9 @@ F1 = analytics.Filter("A", "T", datetime(2026, 9, 27, 0, 0), datetime(2026, 9, 2
 
 def stream(spark):
     """Three posts, one delivered again, one corrected from negative to positive with more followers."""
-    p1 = {"post_id": "p1", "issues": ["gedung dpr"], "hashtags": ["DemoDPR"], "media": [("image", "https://i", "t")]}
+    p1 = {"post_id": "p1", "issues": ["town hall"], "hashtags": ["CityDemo"], "media": [("image", "https://i", "t")]}
     p2 = {"post_id": "p2", "content_type": "reply", "sentiment": "neutral", "engagement": 0, "engagement_known": 0, "author_gender": "unknown", "author_age_range": "unknown"}
-    p3 = {"post_id": "p3", "content_type": "repost", "sentiment": "positive", "author_id": "a2", "author_handle": "ani", "geo_region_code": "31", "parent_author_id": "orig", "parent_author_handle": "BBCIndonesia", "hashtags": ["demodpr"]}
+    p3 = {"post_id": "p3", "content_type": "repost", "sentiment": "positive", "author_id": "a2", "author_handle": "ani", "geo_region_code": "31", "parent_author_id": "orig", "parent_author_handle": "Origin", "hashtags": ["citydemo"]}
     base = events(spark, p1, p2, p3)
     at = datetime(2026, 9, 27, 11, 0)
     change = spark.createDataFrame([("A", "T", "x", "p1", at, "positive", 150, "human")], "tenant_id string, topic_id string, platform string, post_id string, at timestamp, sentiment string, author_followers long, model_version string")
@@ -32,9 +32,9 @@ def test_aggregates_after_a_correction(spark):
     assert posts == {"negative": 0, "neutral": 1, "positive": 2}
     day = aggregates.build(stream(spark), "agg_topic_1d").agg(F.sum("engagement_known_posts"), F.sum("engagement")).first()
     assert tuple(day) == (2, 20)
-    assert table(spark, "agg_hashtag_1d", "hashtag", "sentiment", "posts") == {("demodpr", "negative", 0), ("demodpr", "positive", 2)}
+    assert table(spark, "agg_hashtag_1d", "hashtag", "sentiment", "posts") == {("citydemo", "negative", 0), ("citydemo", "positive", 2)}
     assert table(spark, "agg_author_1d", "author_id", "posts", "replies", "reposts", "followers") == {("a1", 1, 1, 0, 150), ("a2", 0, 0, 1, 100)}
-    assert table(spark, "agg_reposted_author_1d", "parent_author_id", "reposts", "handle") == {("orig", 1, "BBCIndonesia")}
+    assert table(spark, "agg_reposted_author_1d", "parent_author_id", "reposts", "handle") == {("orig", 1, "Origin")}
     assert table(spark, "agg_geo_1d", "region", "posts") == {("", 2), ("31", 1)}
     assert ("male", "positive", 2) in table(spark, "agg_psycho_gender_1d", "author_gender", "sentiment", "posts")
     net = aggregates.media_items(stream(spark)).groupBy("post_id").agg(F.sum("sign").alias("n")).collect()
@@ -77,7 +77,7 @@ def test_series_are_filled(spark):
 def test_feed_takes_the_newest_row_before_it_filters(spark):
     e = stream(spark)
     assert analytics.feed_count(e, F1, analytics.Feed(sentiment="negative")).first().n == 0
-    assert analytics.feed_count(e, F1, analytics.Feed(hashtag="#DEMODPR")).first().n == 2
+    assert analytics.feed_count(e, F1, analytics.Feed(hashtag="#CITYDEMO")).first().n == 2
     assert analytics.feed_count(e, F1, analytics.Feed(content="reposts", region="31")).first().n == 1
     assert analytics.feed_count(e, analytics.Filter("B", "T", F1.start, F1.end)).first().n == 0
 
@@ -125,7 +125,7 @@ def test_evaluation(spark):
 
 def test_gazetteer(spark):
     regions = spark.createDataFrame([("31", "DKI Jakarta", ["Jakarta"]), ("32", "Jawa Barat", ["Jabar", "Bandung"]), ("91", "Papua", ["kota x"]), ("92", "Papua Barat", ["kota x"])], "code string, name string, aliases array<string>")
-    rows = [(1, "Jakarta", None), (2, None, "JABAR"), (3, None, "Tinggal di Bandung sejak 2010"), (4, None, "Kab. Papua Barat"), (5, None, "bandungan"), (6, None, "kota x"), (7, None, None)]
+    rows = [(1, "Jakarta", None), (2, None, "JABAR"), (3, None, "I moved to Bandung in 2011"), (4, None, "Kab. Papua Barat"), (5, None, "bandungan"), (6, None, "kota x"), (7, None, None)]
     got = {r.id: (r.region, r.confidence) for r in enrich.infer_region(spark.createDataFrame(rows, "id long, place string, profile string"), regions, key=["id"], place="place", profile="profile").collect()}
     assert got == {1: ("31", 0.8), 2: ("32", 0.5), 3: ("32", 0.3), 4: ("92", 0.3)}
 

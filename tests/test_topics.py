@@ -22,16 +22,16 @@ def test_same_meaning(a, b):
     assert T.compiled("q", a).digest() == T.compiled("q", b).digest()
 
 
-@pytest.mark.parametrize("text, want", [('kades AND ("kdmp" OR "koperasi merah putih")', {"kades"}), ("a or b", {"a", "b"}), ("a or not b", None), ("aa not b", {"aa"})])
+@pytest.mark.parametrize("text, want", [('mayor AND ("tram" OR "new city hall")', {"mayor"}), ("a or b", {"a", "b"}), ("a or not b", None), ("aa not b", {"aa"})])
 def test_cover(text, want):
     found = T.cover(T.parse(text))
     assert (None if found is None else {x.value for x in found}) == want
 
 
 def test_keywords_stay_under_the_nots():
-    q = T.compiled("q", '("demo" OR "unras") AND NOT "2025"', keywords=["unjuk rasa"])
+    q = T.compiled("q", '("tram" OR "bus") AND NOT "2019"', keywords=["night train"])
     assert q.tree.kind == "and" and q.tree.kids[1].kind == "not"
-    assert {x.value for x in T.cover(q.tree)} == {"demo", "unras", "unjuk rasa"}
+    assert {x.value for x in T.cover(q.tree)} == {"tram", "bus", "night train"}
 
 
 def holds(node, words, tags):
