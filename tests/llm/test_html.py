@@ -10,6 +10,8 @@ PAGES = [
     (None, ""),
     ("", ""),
     ("<article>", ""),
+    ("<article><p title=it's>one</p><p data-x='a>b' class=\"c>d\">two</p><p title=\"open>three</p></article>", "one\ntwo\nthree"),
+    ("<article>" + "<div>" * 3000 + "deep" + "</b>" * 3000 + "</div>" * 2999 + "<p>last", "deep\nlast"),
     ("plain text without any tag", "plain text without any tag"),
     ("<article><form><p>name</p></form><p>kept &lt;b&gt; &#233;</p></article>", "kept <b> é"),
 ]

@@ -12,6 +12,7 @@ Pages are independent: no shuffle, repeated rows repeat their result, a page of
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,7 +53,7 @@ BAD_NAMES = frozenset(
 GOOD_NAMES = frozenset("article articlebody content entry main post story".split())
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""",
     re.DOTALL,
 )
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -81,6 +82,7 @@ def blocks_of(page: str) -> list[tuple[int, str, int]]:
     """(part of the page, text, characters in links) of each block that has text."""
     out: list[tuple[int, str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements that can change the part
+    depth: Counter[str] = Counter()  # how often each is open, so that a stray end tag costs nothing
     place, link, at, end = BODY, 0, 0, len(page)
     parts: list[str] = []
     linked = 0
@@ -94,6 +96,19 @@ def blocks_of(page: str) -> list[tuple[int, str, int]]:
             parts.clear()
             linked = 0
 
+    def push(tag: str) -> None:
+        stack.append((tag, place))
+        depth[tag] += 1
+
+    def pop(tag: str) -> None:
+        """Close the innermost ``tag`` and what is open within it."""
+        nonlocal place
+        while True:
+            name, place = stack.pop()
+            depth[name] -= 1
+            if name == tag:
+                return
+
     while at < end:
         m = TOKEN.search(page, at)
         upto = m.start() if m else end
@@ -117,36 +132,26 @@ def blocks_of(page: str) -> list[tuple[int, str, int]]:
             if tag in BLOCKS:
                 link = 0
             if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        place = stack[i][1]
-                        del stack[i:]
-                        break
+                if depth[tag]:
+                    pop(tag)
             elif tag not in VOID:
                 if tag in RAW:
                     shut = re.compile(rf"</{tag}(?![\w-])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
                     at = shut.end() if shut else end
                     continue
                 if tag == "p" or tag == "li":  # one such element ends the one before it
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == tag:
-                            place = stack[i][1]
-                            del stack[i:]
-                            break
-                        if stack[i][0] not in ("p", "li"):
-                            break
-                stack.append((tag, place))
+                    inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or stack[i][0] not in ("p", "li")), -1)
+                    if inner >= 0 and stack[inner][0] == tag:
+                        pop(tag)
+                push(tag)
                 place = place_of(tag, m[3], place)
         elif not m[1] and m[3] and tag not in VOID and not m[3].endswith("/") and place_of(tag, m[3], place) == OUT != place:
             close()
-            stack.append((tag, place))
+            push(tag)
             place = OUT
-        elif m[1] and stack and any(t == tag for t, _ in stack):
+        elif m[1] and depth[tag]:
             close()
-            while stack:
-                t, place = stack.pop()
-                if t == tag:
-                    break
+            pop(tag)
     close()
     return out
 
