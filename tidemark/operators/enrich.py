@@ -39,16 +39,21 @@ def infer_region(items: DataFrame, regions: DataFrame, *, key: list[str], place:
     n = F.size(words)
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most_words))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))))
     hits = one.withColumn("alias", F.explode(F.array_distinct(F.concat(runs, F.array("text"))))).join(F.broadcast(names), "alias")
-    # the exact alias beats any other, then the longest one counts
-    level = hits.withColumn("exact", F.col("alias") == F.col("text")).groupBy(*key, "rank", "exact", F.length("alias").alias("long")).agg(F.count_distinct("code").alias("codes"), F.min("code").alias("code"))
-    exact = level.filter("exact and codes = 1").groupBy(*key, "rank").agg(F.min("code").alias("exact_code"))
-    part = level.groupBy(*key, "rank").agg(F.max(F.struct("long", "codes", "code")).alias("best"))
-    both = part.join(exact, [*key, "rank"], "left")
-    code = F.coalesce("exact_code", F.when(F.col("best.codes") == 1, F.col("best.code")))
-    sure = F.when(F.col("rank") == 1, PLACE).when(F.col("exact_code").isNotNull(), PROFILE).otherwise(FUZZY)
-    found = both.select(*key, "rank", code.alias("region"), sure.alias("confidence")).filter("region is not null")
-    best = found.groupBy(*key).agg(F.min(F.struct("rank", "region", "confidence")).alias("b"))
-    return best.select(*key, "b.region", "b.confidence")
+    # a place has few runs of words, so that what it hits fits in a row; one shuffle, by item
+    hit = F.struct("rank", (F.col("alias") == F.col("text")).alias("exact"), F.length("alias").alias("long"), "code")
+    found = hits.groupBy(*key).agg(F.collect_set(hit).alias("hits"))
+
+    def choice(rank: int, exact: float, part: float) -> Column:
+        """The one code of the exact alias, else of the longest."""
+        mine = F.filter("hits", lambda h: h["rank"] == rank)
+        whole = F.array_distinct(F.transform(F.filter(mine, lambda h: h["exact"]), lambda h: h["code"]))
+        most = F.array_max(F.transform(mine, lambda h: h["long"]))
+        longest = F.array_distinct(F.transform(F.filter(mine, lambda h: h["long"] == most), lambda h: h["code"]))
+        named = lambda codes, sure: F.when(F.size(codes) == 1, F.struct(codes[0].alias("region"), F.lit(sure).alias("confidence")))
+        return F.coalesce(named(whole, exact), named(longest, part))
+
+    best = found.select(*key, F.coalesce(choice(1, PLACE, PLACE), choice(2, PROFILE, FUZZY)).alias("b"))
+    return best.filter("b is not null").select(*key, "b.region", "b.confidence")
 
 
 def demographics(gender: Column, gender_conf: Column, age: Column, age_conf: Column) -> dict[str, Column]:
