@@ -59,7 +59,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # the worker stays for later tasks
+        del batch  # or it would stay while the next one is read
+        pa.default_memory_pool().release_unused()
 
 
 def per_chunk(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
