@@ -26,10 +26,16 @@ BASE = [
     Rule("access", r"AKIA[A-Z0-9]+", lambda m: F.length(m) >= 18, "AKIA"),
     Rule("hex", r"[0-9a-f]{16,}"),
 ]
+# A whole private key: its headers, then all up to the END line; where that is missing, the body if it begins like one.
+# Neither part can hold a hyphen, so that it ends before the next marker and a long text takes linear time.
+PEM = (
+    r"-----BEGIN(?: [A-Z]+)* PRIVATE KEY-----(?:[\x20\x09-\x0D\\rn]*(?:Proc-Type|DEK-Info):\x20*[A-Za-z0-9,-]*){0,4}"
+    r"(?:[^-]*-----END(?: [A-Z]+)* PRIVATE KEY-----|[\x20\x09-\x0D\\rn]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\x20\x09-\x0D\\]*)?"
+)
 EXTRA = [
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", guard="gh[pousr]_"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", guard="eyJ"),
-    Rule("pem", r"-----BEGIN(?: [A-Z]+)* PRIVATE KEY-----", guard="-----BEGIN"),
+    Rule("pem", PEM, guard="-----BEGIN"),
 ]
 RULES = BASE + EXTRA
 
