@@ -22,6 +22,23 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+COMMON = [
+    ('<div style="overflow:hidden"><article><p>kept</p></article></div>', "kept"),
+    ('<html class="fixed-header"><body class="has-sidebar menu"><article class="post category-social"><p>kept</p></article></body></html>', "kept"),
+    ('<body style="visibility: hidden"><main id="main" class="widget"><p>kept</p></main></body>', "kept"),
+    ('<div class="layout with-sidebar overflow-hidden" data-state="hidden" title="display:none"><p>kept</p></div>', "kept"),
+    ('<article><p>kept</p><p hidden>no</p><p hidden="">no</p><p style="color:red; visibility:hidden">no</p><p style=display:none>no</p><p aria-hidden=true>no</p></article>', "kept"),
+    ('<article><p>kept</p><div class="Site-Footer">no</div><div id="comments">no</div><div class="x ad-slot-3">no</div><ul class="post__sharing">no</ul></article>', "kept"),
+    ('<div class="site-header">no</div><div role="navigation">no</div><div class="cookie-banner">no</div><article>kept</article>', "kept"),
+    ('<article><p a="' + "x=" * 50_000 + ">kept</p>", "kept"),
+]
+
+
+@pytest.mark.parametrize("page, want", COMMON)
+def test_common_markup(page, want):
+    assert html.main_text(page) == want
+
+
 def test_short_blocks_follow_their_neighbours():
     long = "It was the best of the times and it was the worst of the times, as it is said by the one who was there in the end. " * 3
     page = f"<body><p>Menu one</p><ul>{'<li><a href=/>a link of some length here</a></li>' * 4}</ul><h2>Heading</h2><p>{long}</p><p>Short.</p><p>{long}</p></body>"

@@ -56,24 +56,48 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""",
     re.DOTALL,
 )
-NAMES = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NAMING = frozenset("class id role itemprop".split())
+UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.IGNORECASE)
 PART = re.compile(r"[a-z0-9]+")
 
+# Words that say where or how an element stands, not what it is. A name like site-footer or ad-slot is bad
+# as a whole; has-sidebar, category-social or overflow-hidden says something else.
+STANDING = frozenset(
+    """
+    site page global top bottom left right primary secondary inner outer wrap wrapper container box bar list section area
+    block link links item items form slot unit banner post entry article blog main header
+    """.split()
+)
+#: Elements that hold the text whatever their names are.
+HOLDERS = frozenset("html body main article".split())
+
 OUT, BODY, ARTICLE = 0, 1, 2
 
 
+def is_bad(token: str, now: int) -> bool:
+    """Whether a whole class token, id or role names boilerplate: by a bad name and else only words of standing or numbers."""
+    parts = set(PART.findall(token))
+    if not (parts & BAD_NAMES or ("header" in parts and now != ARTICLE)):
+        return False
+    return all(p in BAD_NAMES or p in STANDING or any(c.isdigit() for c in p) for p in parts)
+
+
 def place_of(tag: str, attributes: str, now: int) -> int:
     """The part of the page that an element is in, given the part around it."""
     if now == OUT or tag in BAD_TAGS or tag in GONE or (tag == "header" and now != ARTICLE):
         return OUT
     if attributes and not attributes.isspace():
-        if HIDDEN.search(attributes):
-            return OUT
-        names = {p for m in NAMES.finditer(attributes) for p in PART.findall((m[1] or m[2] or m[3] or "").lower())}
-        if names & BAD_NAMES or (tag != "body" and "header" in names and now != ARTICLE):
+        tokens: list[str] = []
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in NAMING:
+                tokens += value.lower().split()
+            elif tag not in ("html", "body") and (name == "hidden" or (name == "style" and UNSEEN.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true")):
+                return OUT  # scripts show what hides a whole page
+        if tag not in HOLDERS and any(is_bad(t, now) for t in tokens):
             return OUT
-        if names & GOOD_NAMES and tag in BLOCKS and tag not in ("html", "body"):
+        if tag in BLOCKS and tag not in ("html", "body") and any(p in GOOD_NAMES for t in tokens for p in PART.findall(t)):
             return ARTICLE
     return ARTICLE if tag in GOOD_TAGS else now
 
