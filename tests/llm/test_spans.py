@@ -119,6 +119,26 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert got == brute_patterns([tuple(r) for r in edges.collect()], 5, pii.ROUNDS)
 
 
+def test_candidates_of_any_length_and_contexts_of_the_whole_text(spark):
+    long = "w" * 90
+    texts = [f"please mail to u{i}@host{i}.org today" for i in range(20)] + [f"tel 030 +49 30 555{i:04} or {long} dial +49 30 666{i:04}" for i in range(20)]
+    more = {
+        "please mail to jane.doe@localhost today": {("like_email", "jane.doe@localhost")},
+        "please mail to jane_at_home today": {("like_email", "jane_at_home")},
+        "please mail to j_d today": {("like_email", "j_d")},
+        "please mail to nobody. At all": set(),
+        "Tel 030 1234567": {("like_phone", "1234567")},
+        f"{long} dial ab-cd": {("like_phone", "ab-cd")},
+        f"x{long} dial ab-ce": {("like_phone", "ab-ce")},
+    }
+    docs = rows_of(spark, texts + list(more))
+    got = {r.id: {(s.kind, s.value) for s in r.spans} for r in pii.extract(docs, support=5).collect()}
+    assert [got[len(texts) + i] for i in range(len(more))] == list(more.values())
+    walked = spark.createDataFrame([("a b-c,d-e  f g1",), ("é a@b.co,c@d.ef x1",)], "text string").select("text", pii.found(pii.F.col("text"), pii.CANDIDATE, 4).alias("s"))
+    befores = [[s.before for s in r.s] for r in walked.select(pii.placed(pii.F.col("text"), pii.F.col("s")).alias("s")).collect()]
+    assert befores == [["a", "a b-c,", "b-c,d-e f"], ["é", "é a@b.co,", "é a@b.co,c@d.ef"]]
+
+
 def test_ledger_scans_only_what_it_lacks(spark):
     docs = spark.createDataFrame([(1, "token: abcdefghijkl"), (2, "token: abcdefghijkl"), (3, "plain")], "doc_id long, text string")
     history = secrets.versions(docs)

@@ -1,7 +1,9 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
-1. The base patterns' matches are seeds. Other tokens with a digit that overlap no seed are candidates.
-2. Every seed and candidate induces lexical patterns: the word before it, and the two words before it.
+1. The base patterns' matches are seeds. Other tokens that overlap no seed are candidates if they hold a digit or, between
+   letters, one of ``@._%+-``, however short they are. A word of letters only is none: nothing tells it from prose.
+2. Every seed and candidate induces lexical patterns: the word before it, and the two words before it, within NEAR
+   characters, whatever was matched there.
 3. Patterns and distinct values form a graph. A pattern with SUPPORT distinct seeds of one kind or more is scored by
    the mean trust of its values for its kind (seeds of the kind 1, of other kinds 0, candidates as learnt); a
    candidate's trust is the mean score of its patterns. ROUNDS times each.
@@ -35,9 +37,12 @@ CONFIDENCE = 750_000
 
 ROUNDS = 3
 
-#: Candidates are at least so long.
+#: Candidates of the SQL are at least so long and hold a digit.
 LEAST = 5
 
+#: Characters before a span in which its last two words are looked up.
+NEAR = 256
+
 
 def digits_of(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
@@ -79,9 +84,20 @@ PLAIN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: Whole tokens of identifier characters that hold a digit.
-TOKEN = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@._%+-]++"
-CANDIDATE = Rule("candidate", TOKEN, lambda m: F.length(m) >= LEAST, "[0-9]")
+#: Whole tokens of identifier characters that hold a digit, or a mark between letters.
+TOKEN = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9]|[@._%+-]*+[A-Za-z]++[@._%+-]++[A-Za-z])[A-Za-z0-9@._%+-]++"
+CANDIDATE = Rule("candidate", TOKEN, None, "[0-9]|[A-Za-z][@._%+-]++[A-Za-z]")
+
+
+def placed(text: Column, spans: Column) -> Column:
+    """``spans``, each with the last two words of the text before it as ``before``, whatever was matched there."""
+
+    def one(s: Column) -> Column:
+        from_ = F.greatest(s["start"] - NEAR, F.lit(0))
+        words = F.regexp_extract_all(F.substring(text, from_ + 1, s["start"] - from_), F.lit(WORD), F.lit(0))
+        return s.withField("before", F.array_join(F.reverse(F.slice(F.reverse(words), 1, 2)), " "))
+
+    return F.transform(spans, one)
 
 
 def contexts(before: Column) -> Column:
@@ -108,12 +124,15 @@ def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """(row, id, base, candidates) of every row: sorted spans; ``row`` numbers the rows of this table."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"))
-    # with a digit or an at sign nowhere in the text there is nothing to look for
+    # with a digit or an at sign nowhere in the text there is no seed
     none = F.array().cast(f"array<{SPAN}>")
     some = F.rlike("text", F.lit("[0-9@]"))
-    rows = rows.select("id", "text", F.when(some, all_found(F.col("text"), BASE)).otherwise(none).alias("base"))
-    new = F.when(some, found(F.col("text"), CANDIDATE, len(BASE))).otherwise(none)
-    table = persisted(rows.select(F.monotonically_increasing_id().alias("row"), "id", "base", new.alias("new")), "pii-scan")
+    base = F.when(some, all_found(F.col("text"), BASE)).otherwise(none)
+    rows = rows.select("id", "text", F.concat(base, found(F.col("text"), CANDIDATE, len(BASE))).alias("spans"))
+    rows = rows.select("id", F.when(F.size("spans") > 0, placed(F.col("text"), F.col("spans"))).otherwise(none).alias("spans"))
+    table = persisted(rows.select(F.monotonically_increasing_id().alias("row"), "id", "spans"), "pii-scan")
+    base, new = (F.filter("spans", f) for f in (lambda s: s["rank"] < len(BASE), lambda s: s["rank"] >= len(BASE)))
+    table = table.select("row", "id", base.alias("base"), new.alias("new"))
     return table.select("row", "id", "base", F.when(F.size("new") > 0, apart(F.col("new"), F.col("base"))).otherwise(none).alias("candidates"))
 
 
