@@ -2,23 +2,29 @@
 
 Pass one measures every text (words, characters, symbols, repeated lines and 8-word windows). A sketch of each
 measure per (language, source) is a table of counts of log-linear buckets (BITS significant bits, so a relative error
-below 1 / 2^(BITS - 1)): counts add up, so sketches merge exactly in any order. Groups below LEAST texts take the
-merged sketch of their language, and languages below it that of all texts. A text is dropped if a measure lies beyond
-the fences ``upper quartile + REACH * spread`` (or below the like at the lower quartile), where the spread is the
-distance of the quartiles, at least the rule's own floor; or if it fails the base rule.
+below 1 / 2^(BITS - 1)): counts add up, so sketches merge exactly in any order.
+
+The limits of a group are quantiles of its sketch (the tails in LIMITS, in thousandths of its texts), each rounded
+outwards by its bucket. So that few texts don't make a limit by themselves, a group's quantile is averaged with that of
+its language, and a language's with that of all texts, as if PRIOR texts of the wider set were added: no group size
+switches anything, and a large group keeps to its own sketch. A text is dropped if it fails the base rule or a measure
+lies beyond a limit.
 
 DataFrame functions only. Sketch rows are pre-aggregated before their shuffle, so a hot source costs no more than
 another. The limits (a row per group) are broadcast while there are at most BROADCAST_GROUPS; beyond that they are
 joined by a shuffle that AQE splits on hot groups.
 
 A null text has no words and fails the base rule. Null languages and sources are groups of their own. Repeated rows
-count as often as they are. An empty table gives an empty result. Columns of the input are kept; the operator's own
-carry names with the prefix ``rule_``.
+count as often as they are; texts with equal measures (ties) share their verdict, and a group of equal texts drops none
+of them. Long texts are measured whole, in time that is linear in their words but for sorting them. An empty table
+gives an empty result. Columns of the input are kept whatever their names, apart from the text; where one is named as
+an output (``rule_n_words`` ...), the output takes its place.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,11 +40,8 @@ WINDOW = 8
 #: Significant bits of a bucket's edge.
 BITS = 7
 
-#: Texts that a group needs for a sketch of its own.
-LEAST = 100
-
-#: Spreads beyond a quartile that are still in order.
-REACH = 4
+#: Texts of the wider set that a group's quantiles are averaged with.
+PRIOR = 100
 
 #: A group's limits take some 300 bytes, so that a broadcast stays below 10 MB.
 BROADCAST_GROUPS = 10_000
@@ -46,22 +49,26 @@ BROADCAST_GROUPS = 10_000
 
 @dataclass(frozen=True)
 class Limit:
-    """A measure in whole units (``value`` is SQL over the counts), its least spread, and which sides count."""
+    """A measure in whole units (``value`` is SQL over the counts), and the quantiles, in thousandths, that limit it."""
 
     name: str
     value: str
-    floor: int
-    low: bool = False
-    high: bool = True
+    low: int | None = None
+    high: int | None = None
+
+    def sides(self) -> list[tuple[str, int]]:
+        return [(side, part) for side, part in (("low", self.low), ("high", self.high)) if part is not None]
 
 
 LIMITS = [
-    Limit("word_length", "rule_word_chars * 100 div rule_n_words", 100, low=True),
-    Limit("symbols", "rule_n_symbols * 1000 div rule_n_words", 60),
-    Limit("dup_lines", "rule_n_dup_lines * 1000 div rule_n_lines", 150),
-    Limit("repeats", "rule_n_repeat_words * 1000 div rule_n_words", 75),
+    Limit("word_length", "rule_word_chars * 100 div rule_n_words", low=10, high=970),
+    Limit("symbols", "rule_n_symbols * 1000 div rule_n_words", high=950),
+    Limit("dup_lines", "rule_n_dup_lines * 1000 div rule_n_lines", high=970),
+    Limit("repeats", "rule_n_repeat_words * 1000 div rule_n_words", high=930),
 ]
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+
 
 def windows(words: Column, n: int = WINDOW) -> Column:
     """A hash of every n words in a row, in order."""
@@ -86,21 +93,24 @@ def covered(places: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(places) > 0, F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)).otherwise(F.lit(0).cast("long"))
 
 
-def measured(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts of each whole text, and without it."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    other = [f"`{c}`" for c in docs.columns if c != text_col]
-    words = F.filter(F.split(text, BLANKS, -1), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
-    counted = docs.select(
-        *other,
+def measured(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(rule_row, rule_lang, rule_source, rule_* counts) of each whole text; ``rule_row`` holds the other columns of ``docs``."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    other = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
+    keys = ["rule_row", "rule_lang", "rule_source"]
+    row = F.struct(*other) if other else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(row.alias("rule_row"), docs[lang_col].alias("rule_lang"), docs[source_col].alias("rule_source"), text.alias("rule_text"))
+    words = F.filter(F.split("rule_text", BLANKS, -1), lambda w: w != "")
+    lines = F.filter(F.split("rule_text", "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
+    counted = rows.select(
+        *keys,
         words.alias("rule_words"),
         lines.alias("rule_lines"),
-        (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("rule_word_chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("rule_n_symbols"),
+        (F.length("rule_text") - F.regexp_count("rule_text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("rule_word_chars"),
+        F.regexp_count("rule_text", F.lit(SYMBOLS)).cast("long").alias("rule_n_symbols"),
     )
     counted = counted.select(
-        *other,
+        *keys,
         "rule_word_chars",
         "rule_n_symbols",
         F.size("rule_words").cast("long").alias("rule_n_words"),
@@ -111,13 +121,22 @@ def measured(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     some = F.size(F.array_distinct("rule_windows")) < F.size("rule_windows")
     twice = F.when(some, places(F.col("rule_windows"))).otherwise(F.array().cast("array<int>"))
     counted = counted.withColumn("rule_places", twice).drop("rule_windows")
-    return counted.withColumn("rule_n_repeat_words", covered(F.col("rule_places"))).drop("rule_places")
+    counted = counted.withColumn("rule_n_repeat_words", covered(F.col("rule_places")))
+    return counted.select(*keys, *[f"rule_{c}" for c in COUNTS])
+
+
+def shift(value: Column) -> Column:
+    return F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
 
 
 def bucket(value: Column) -> Column:
     """The lower edge of the value's bucket: its first BITS binary digits."""
-    shift = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, shift(value)), shift(value))
+
+
+def top_of(edge: Column) -> Column:
+    """The largest value of the bucket with this lower edge."""
+    return edge + F.call_function("shiftleft", F.lit(1).cast("long"), shift(edge)) - 1
 
 
 def sketches(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -132,44 +151,39 @@ def merged(sketch: DataFrame, group: list[str]) -> DataFrame:
     return sketch.groupBy(*group, "measure", "bucket").agg(F.sum("many").alias("many"))
 
 
-def quartiles(sketch: DataFrame, group: list[str], least: int) -> DataFrame:
-    """(group columns, measure, q1, q3) of groups with ``least`` texts or more: the buckets where a quarter and three quarters are reached."""
+def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
+    """(group columns, measure, many, low, high): texts of each group, and the edges of the buckets where its tails begin."""
     # a sketch has some hundred buckets, so that a window holds no more rows than that
     key = Window.partitionBy(*group, "measure")
     run = key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketch.withColumn("upto", F.sum("many").over(run)).withColumn("all", F.sum("many").over(key))
-    first = lambda part: F.min(F.when(F.col("upto") * 4 >= F.col("all") * part, F.col("bucket")))
-    return ranked.filter(F.col("all") >= least).groupBy(*group, "measure").agg(first(1).alias("q1"), first(3).alias("q3"))
+    part = lambda side: F.element_at(F.create_map(*[F.lit(v) for x in LIMITS for s, p in x.sides() if s == side for v in (x.name, p)]), F.col("measure"))
+    first = lambda side: F.min(F.when(F.col("upto") * 1000 >= F.col("all") * part(side), F.col("bucket")))
+    ends = ranked.groupBy(*group, "measure").agg(F.first("all").alias("many"), first("low").alias("low"), first("high").alias("high"))
+    return ends.withColumn("high", top_of(F.col("high")))
+
 
+def shrunk(own: DataFrame, wide: DataFrame, on: Column) -> DataFrame:
+    """``own`` quantiles averaged with the ``wide`` ones, which count as PRIOR texts."""
+    both = own.alias("o").join(wide.alias("w"), on)
+    mean = lambda side: F.expr(f"(o.{side} * o.many + w.{side} * {PRIOR}) div (o.many + {PRIOR})").alias(side)
+    return both.select("o.*", mean("low").alias("new_low"), mean("high").alias("new_high")).drop("low", "high").withColumnsRenamed({"new_low": "low", "new_high": "high"})
 
-def limits(rows: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """(rule_lang, rule_source, bounds): per group the lower and upper limit of each measure, from the group's own sketch or a merged one."""
+
+def limits(rows: DataFrame) -> DataFrame:
+    """(rule_lang, rule_source, low and high limit of each measure) of every group with words."""
     own = persisted(sketches(rows, ["rule_lang", "rule_source"]), "rule-sketches")
-    langs = merged(own, ["rule_lang"])
-    total = merged(own, [])
-    one = quartiles(own, ["rule_lang", "rule_source"], least).select("rule_lang", "rule_source", "measure", F.struct("q1", "q3").alias("own"))
-    two = quartiles(langs, ["rule_lang"], least).select(F.col("rule_lang").alias("l2"), F.col("measure").alias("m2"), F.struct("q1", "q3").alias("lang"))
-    three = quartiles(total, [], 1).select(F.col("measure").alias("m3"), F.struct("q1", "q3").alias("total"))
-    groups = own.select("rule_lang", "rule_source", "measure").distinct()
-    both = groups.alias("g").join(one.alias("o"), F.expr("g.rule_lang <=> o.rule_lang and g.rule_source <=> o.rule_source and g.measure = o.measure"), "left")
-    both = both.select("g.rule_lang", "g.rule_source", "g.measure", "own")
-    both = both.join(two, F.expr("rule_lang <=> l2 and measure = m2"), "left").join(F.broadcast(three), F.col("measure") == F.col("m3"))
-    q = both.select("rule_lang", "rule_source", "measure", F.coalesce("own", "lang", "total").alias("q"))
-    sides = []
-    for x in LIMITS:
-        spread = F.greatest(F.col("q.q3") - F.col("q.q1"), F.lit(x.floor)) * REACH
-        low = F.col("q.q1") - spread if x.low else F.lit(None).cast("long")
-        high = F.col("q.q3") + spread if x.high else F.lit(None).cast("long")
-        mine = F.col("measure") == x.name
-        sides += [F.max(F.when(mine, low)).alias(f"rule_low_{x.name}"), F.max(F.when(mine, high)).alias(f"rule_high_{x.name}")]
-    return q.groupBy("rule_lang", "rule_source").agg(*sides)
+    total = quantiles(merged(own, []), [])
+    langs = shrunk(quantiles(merged(own, ["rule_lang"]), ["rule_lang"]), F.broadcast(total), F.expr("o.measure = w.measure"))  # a row per measure
+    ends = shrunk(quantiles(own, ["rule_lang", "rule_source"]), langs, F.expr("o.measure = w.measure and o.rule_lang <=> w.rule_lang"))
+    cells = [F.max(F.when(F.col("measure") == x.name, F.col(side))).alias(f"rule_{side}_{x.name}") for x in LIMITS for side, _ in x.sides()]
+    return ends.groupBy("rule_lang", "rule_source").agg(*cells)
 
 
-def judged(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def judged(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with ``rule_*`` counts, ``rule_base_failed``, ``rule_broken`` (names of broken limits) and ``rule_kept``."""
-    rows = measured(docs.withColumns({"rule_lang": docs[lang_col], "rule_source": docs[source_col]}), text_col=text_col)
-    rows = persisted(rows, "rule-measures")
-    bounds = persisted(limits(rows, least=least).withColumnsRenamed({"rule_lang": "rule_l", "rule_source": "rule_s"}), "rule-limits")
+    rows = persisted(measured(docs, lang_col=lang_col, source_col=source_col, text_col=text_col), "rule-measures")
+    bounds = persisted(limits(rows).withColumnsRenamed({"rule_lang": "rule_l", "rule_source": "rule_s"}), "rule-limits")
     if bounds.count() <= BROADCAST_GROUPS:
         bounds = F.broadcast(bounds)
     joined = rows.join(bounds, F.expr("rule_lang <=> rule_l and rule_source <=> rule_s"), "left")
@@ -177,12 +191,14 @@ def judged(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source
     broken = []
     for x in LIMITS:
         value = F.expr(x.value)
-        out = F.coalesce(value < F.col(f"rule_low_{x.name}"), F.lit(False)) | F.coalesce(value > F.col(f"rule_high_{x.name}"), F.lit(False))
-        broken.append(F.when((F.col("rule_n_words") > 0) & out, F.lit(x.name)))
+        beyond = {"low": lambda c, v=value: v < c, "high": lambda c, v=value: v > c}
+        out = [F.coalesce(beyond[side](F.col(f"rule_{side}_{x.name}")), F.lit(False)) for side, _ in x.sides()]
+        broken.append(F.when((F.col("rule_n_words") > 0) & reduce(lambda a, b: a | b, out), F.lit(x.name)))
     joined = joined.withColumns({"rule_base_failed": base, "rule_broken": F.array_join(F.array_compact(F.array(*broken)), ",")})
     joined = joined.withColumn("rule_kept", ~F.col("rule_base_failed") & (F.col("rule_broken") == ""))
-    bounds_cols = {"rule_l", "rule_s", "rule_lang", "rule_source"} | {f"rule_{s}_{x.name}" for x in LIMITS for s in ("low", "high")}
-    return joined.select(*[f"`{c}`" for c in joined.columns if c not in bounds_cols])
+    names = [f"rule_{c}" for c in (*COUNTS, "base_failed", "broken", "kept")]
+    kept = [F.col(f"rule_row.`{c}`") for c in docs.columns if c != text_col and c.lower() not in names]
+    return joined.select(*kept, *names)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,21 +211,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for op9's rows."""
     value = {x.name: x.value.replace("rule_", "").replace(" div ", " // ") for x in LIMITS}
-    shift = f"greatest(length(bin(v)) - {BITS}, 0)"
+    shift = lambda v: f"greatest(length(bin({v})) - {BITS}, 0)"
     each = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS measure, ({v})::BIGINT AS v FROM m WHERE n_words > 0" for n, v in value.items())
-    first = lambda part: f"min(CASE WHEN upto * 4 >= total * {part} THEN bucket END)"
 
-    def quart(name: str, group: str, least: int) -> str:
+    def first(side: str) -> str:
+        part = " ".join(f"WHEN '{x.name}' THEN {p}" for x in LIMITS for s, p in x.sides() if s == side)
+        return f"min(CASE WHEN upto * 1000 >= total * (CASE measure {part} END) THEN bucket END)"
+
+    def ends(name: str, group: str) -> str:
         keys = f"{group}, measure" if group else "measure"
-        return f"""{name} AS (SELECT {keys}, {first(1)} AS q1, {first(3)} AS q3 FROM (
+        return f"""{name} AS (SELECT *, edge + (1::BIGINT << {shift("edge")}) - 1 AS high FROM (SELECT {keys}, max(total)::BIGINT AS many, {first("low")} AS low, {first("high")} AS edge FROM (
           SELECT *, sum(many) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(many) OVER (PARTITION BY {keys}) AS total
-          FROM (SELECT {keys}, bucket, sum(many) AS many FROM sketch GROUP BY ALL)) WHERE total >= {least} GROUP BY {keys})"""
+          FROM (SELECT {keys}, bucket, sum(many) AS many FROM sketch GROUP BY ALL)) GROUP BY {keys}))"""
 
+    mean = lambda o, w: ", ".join(f"((o.{c} * o.many + {w}.{c} * {PRIOR}) // (o.many + {PRIOR}))::BIGINT AS {c}" for c in ("low", "high"))
     sides, breaks = [], []
     for x in LIMITS:
-        spread = f"greatest(q3 - q1, {x.floor}) * {REACH}"
-        sides.append(f"max(CASE WHEN measure = '{x.name}' THEN {f'q1 - {spread}' if x.low else 'NULL'} END) AS low_{x.name}, max(CASE WHEN measure = '{x.name}' THEN {f'q3 + {spread}' if x.high else 'NULL'} END) AS high_{x.name}")
-        breaks.append(f"CASE WHEN n_words > 0 AND (coalesce({value[x.name]} < low_{x.name}, false) OR coalesce({value[x.name]} > high_{x.name}, false)) THEN '{x.name}' END")
+        sides += [f"max(CASE WHEN measure = '{x.name}' THEN {s} END) AS {s}_{x.name}" for s, _ in x.sides()]
+        beyond = " OR ".join(f"coalesce({value[x.name]} {'<' if s == 'low' else '>'} {s}_{x.name}, false)" for s, _ in x.sides())
+        breaks.append(f"CASE WHEN n_words > 0 AND ({beyond}) THEN '{x.name}' END")
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS MATERIALIZED (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -220,12 +240,10 @@ m AS MATERIALIZED (SELECT doc_id, lang, source, rid, len(ws)::BIGINT AS n_words,
   (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
 v AS ({each}),
-sketch AS MATERIALIZED (SELECT lang, source, measure, ((v >> {shift}) << {shift})::BIGINT AS bucket, count(*)::BIGINT AS many FROM v GROUP BY ALL),
-{quart("own", "lang, source", LEAST)}, {quart("langs", "lang", LEAST)}, {quart("total", "", 1)},
-q AS (SELECT g.lang, g.source, g.measure, CASE WHEN own.q1 IS NOT NULL THEN own.q1 WHEN langs.q1 IS NOT NULL THEN langs.q1 ELSE total.q1 END AS q1,
-  CASE WHEN own.q1 IS NOT NULL THEN own.q3 WHEN langs.q1 IS NOT NULL THEN langs.q3 ELSE total.q3 END AS q3
-  FROM (SELECT DISTINCT lang, source, measure FROM sketch) g LEFT JOIN own ON g.lang IS NOT DISTINCT FROM own.lang AND g.source IS NOT DISTINCT FROM own.source AND g.measure = own.measure
-  LEFT JOIN langs ON g.lang IS NOT DISTINCT FROM langs.lang AND g.measure = langs.measure JOIN total ON g.measure = total.measure),
+sketch AS MATERIALIZED (SELECT lang, source, measure, ((v >> {shift("v")}) << {shift("v")})::BIGINT AS bucket, count(*)::BIGINT AS many FROM v GROUP BY ALL),
+{ends("total", "")}, {ends("own_lang", "lang")}, {ends("own", "lang, source")},
+langs AS (SELECT o.lang, o.measure, {mean("o", "w")} FROM own_lang o JOIN total w ON o.measure = w.measure),
+q AS (SELECT o.lang, o.source, o.measure, {mean("o", "w")} FROM own o JOIN langs w ON o.measure = w.measure AND o.lang IS NOT DISTINCT FROM w.lang),
 bounds AS (SELECT lang, source, {", ".join(sides)} FROM q GROUP BY lang, source),
 out AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',', {", ".join(breaks)}) AS broken
   FROM m LEFT JOIN bounds b ON m.lang IS NOT DISTINCT FROM b.lang AND m.source IS NOT DISTINCT FROM b.source)
