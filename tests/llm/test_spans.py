@@ -7,6 +7,7 @@ import pytest
 import regex
 
 from tidemark.llm import pii, secrets
+from tidemark.llm.common import documents
 from tidemark.llm.spans import digest
 
 SCHEMA = "doc_id long, text string, kind string, spans string"
@@ -81,29 +82,28 @@ def test_secret_base_spans(spark):
         assert got[i] == spans_of(t, SECRETS, keep_secret), repr(t)[:200]
 
 
-def brute_patterns(occurrences, support, rounds):
-    """Scores of patterns from (pattern, value, kind) triples, by loops."""
-    edges = set(occurrences)
-    seeds = {}
-    for p, v, k in edges:
-        if k:
-            seeds.setdefault(p, {}).setdefault(k, set()).add(v)
-    aim = {p: min(((-len(vs), k) for k, vs in ks.items() if len(vs) >= support), default=None) for p, ks in seeds.items()}
-    aim = {p: a[1] for p, a in aim.items() if a}
-    score = None
+def brute_patterns(occurrences, support, confidence, rounds):
+    """The good patterns of (pattern, value, kind) triples, by loops."""
+    edges, many, values = set(occurrences), {}, {}
+    for p, _, _ in edges:
+        many[p] = many.get(p, 0) + 1
     for _ in range(rounds):
-        learnt = {}
-        if score is not None:
-            for p, v, k in edges:
-                if p in aim and not k:
-                    learnt.setdefault((v, aim[p]), []).append(score[p])
-        fresh = {}
-        for p in aim:
-            mine = [(v, k) for q, v, k in edges if q == p]
-            trust = [sum(x) // len(x) if not k and (x := learnt.get((v, aim[p]))) else pii.UNIT * (k == aim[p]) for v, k in mine]
-            fresh[p] = sum(trust) // (len(mine) + 1)
-        score = fresh
-    return {(p, aim[p], s) for p, s in score.items()}
+        votes, good, said = {}, {}, {}
+        for p, v, k in edges:
+            if k or v in values:
+                kind, trust = (k, pii.UNIT) if k else values[v]
+                votes.setdefault(p, {}).setdefault(kind, []).append(trust)
+        for p, kinds in votes.items():
+            n, kind = min((-len(ts), k) for k, ts in kinds.items())
+            score = sum(kinds[kind]) // (many[p] + 1)
+            if -n >= support and score >= confidence:
+                good[p] = (kind, score)
+        for p, v, k in edges:
+            if not k and p in good:
+                said.setdefault(v, {}).setdefault(good[p][0], []).append(good[p][1])
+        values = {v: min((-(sum(x) // len(x)), k) for k, x in kinds.items())[::-1] for v, kinds in said.items()}
+        values = {v: (k, -t) for v, (k, t) in values.items()}
+    return {(p, k, s) for p, (k, s) in good.items()}
 
 
 def test_bootstrapping_finds_unseen_identifiers(spark):
@@ -116,7 +116,46 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert rows[3] == {("email", "u3@host3.org")}
     edges = pii.graph(pii.scanned(docs))
     got = {tuple(r) for r in pii.patterns(edges, support=5).collect()}
-    assert got == brute_patterns([tuple(r) for r in edges.collect()], 5, pii.ROUNDS)
+    assert got == brute_patterns([tuple(r) for r in edges.collect()], 5, pii.CONFIDENCE, pii.ROUNDS) and got
+
+
+WORDS = [a + b for a in "abcde" for b in "fghi"]
+
+
+def hops():
+    """Seeds after 'mail to'; the values found there also stand after 'reach', and those found there before 'anytime'."""
+    texts = [f"please mail to u{i}@host{i}.org today" for i in range(200)]
+    texts += [f"do mail to first{i}_at_home {w}" for i, w in enumerate(WORDS)]
+    texts += [f"or reach first{i}_at_home {w}" for i, w in enumerate(WORDS)] + ["or reach second_at_work m"]
+    texts += [f"some {w} first{i}_at_home anytime" for i, w in enumerate(WORDS)] + ["a call third_at_sea anytime", "a number x1 never"]
+    return texts
+
+
+def test_found_values_support_further_patterns(spark):
+    texts = hops()
+    docs = rows_of(spark, texts)
+    found = lambda rounds: {s.value for r in pii.extract(docs, support=5, rounds=rounds).collect() for s in r.spans if s.kind == "like_email"}
+    first = {f"first{i}_at_home" for i in range(20)}
+    assert found(1) == first
+    assert found(pii.ROUNDS) == first | {"second_at_work", "third_at_sea"}
+    edges = pii.graph(pii.scanned(docs))
+    assert {tuple(r) for r in pii.patterns(edges, support=5).collect()} == brute_patterns([tuple(r) for r in edges.collect()], 5, pii.CONFIDENCE, pii.ROUNDS)
+
+
+def test_planted_identifiers_in_documents(spark):
+    """Precision and recall in texts of the driver's kind: 60 planted after the phrases of base identifiers, 60 tokens elsewhere."""
+    docs = documents(spark, "/root/testdata/sf0.001").select("doc_id", "text").limit(200)
+    words = ["Contact us at", "write a mail to", "my number is"]
+    base = [f"user{i}@mail{i}.org" for i in range(40)]
+    mine = [(10_000 + i, f"the and of {words[i % 2]} {x} for more of the") for i, x in enumerate(base)]
+    mine += [(20_000 + i, f"and so {words[i % 2]} user{i}_at_mail{i} or {'abcdefgh'[i % 8]} the") for i in range(60)]
+    mine += [(30_000 + i, f"it was in room{i} and chapter {i}.{i} of the") for i in range(60)]
+    # fewer unknown values than known ones: CONFIDENCE asks for three quarters
+    mine += [(40_000 + i, f"again {words[i % 2]} other{i}@mail{i}.org for more of the") for i in range(400)]
+    got = pii.extract(docs.union(spark.createDataFrame(mine, docs.schema))).collect()
+    hits = {(r.id, s.value) for r in got for s in r.spans if s.kind.startswith("like_")}
+    planted = {(20_000 + i, f"user{i}_at_mail{i}") for i in range(60)}
+    assert len(hits & planted) / len(planted) >= 0.95 and len(hits & planted) / len(hits) >= 0.95
 
 
 def test_candidates_of_any_length_and_contexts_of_the_whole_text(spark):
@@ -134,9 +173,11 @@ def test_candidates_of_any_length_and_contexts_of_the_whole_text(spark):
     docs = rows_of(spark, texts + list(more))
     got = {r.id: {(s.kind, s.value) for s in r.spans} for r in pii.extract(docs, support=5).collect()}
     assert [got[len(texts) + i] for i in range(len(more))] == list(more.values())
-    walked = spark.createDataFrame([("a b-c,d-e  f g1",), ("é a@b.co,c@d.ef x1",)], "text string").select("text", pii.found(pii.F.col("text"), pii.CANDIDATE, 4).alias("s"))
-    befores = [[s.before for s in r.s] for r in walked.select(pii.placed(pii.F.col("text"), pii.F.col("s")).alias("s")).collect()]
-    assert befores == [["a", "a b-c,", "b-c,d-e f"], ["é", "é a@b.co,", "é a@b.co,c@d.ef"]]
+    walked = spark.createDataFrame([("a b-c,d-e  f g1",), ("é a@b.co,c@d.ef x1",), (f"a1 {'w' * 300} b2 {'x' * 300}",)], "text string").select(pii.found(pii.F.col("text"), pii.CANDIDATE, 4, placed=True).alias("s"))
+    around = [[(s.before, s.after[:9]) for s in r.s] for r in walked.collect()]
+    assert around == [[("a ", ",d-e  f g"), ("a b-c,", "  f g1"), ("a b-c,d-e  f ", "")], [("é ", ",c@d.ef x"), ("é a@b.co,", " x1"), ("é a@b.co,c@d.ef ", "")], [("", " wwwwwwww"), (("w" * 300 + " ")[-256:], " xxxxxxxx")]]
+    marks = walked.select(pii.F.transform("s", lambda s: pii.contexts(s["before"], s["after"])).alias("p")).collect()
+    assert [r.p for r in marks][1:] == [[["< é", "> ,c@d.ef", "<> é ,c@d.ef"], ["< a@b.co,", "<< é a@b.co,", "> x1", "<> a@b.co, x1"], ["< a@b.co,c@d.ef", "<< é a@b.co,c@d.ef"]], [[], []]]
 
 
 def test_ledger_scans_only_what_it_lacks(spark):

@@ -2,20 +2,24 @@
 
 1. The base patterns' matches are seeds. Other tokens that overlap no seed are candidates if they hold a digit or, between
    letters, one of ``@._%+-``, however short they are. A word of letters only is none: nothing tells it from prose.
-2. Every seed and candidate induces lexical patterns: the word before it, and the two words before it, within NEAR
-   characters, whatever was matched there.
-3. Patterns and distinct values form a graph. A pattern with SUPPORT distinct seeds of one kind or more is scored by
-   the mean trust of its values for its kind (seeds of the kind 1, of other kinds 0, candidates as learnt); a
-   candidate's trust is the mean score of its patterns. ROUNDS times each.
-4. Candidates after a pattern of CONFIDENCE or more become spans ``like_<kind>``.
+2. Every seed and candidate induces lexical patterns: the word before it, the two words before it, the word after it,
+   and the words on both sides, as far as they are whole within NEAR characters, whatever was matched there.
+3. Patterns and distinct values form a graph, scored in rounds. A value is trusted as one kind: a seed wholly, a
+   candidate as the good patterns around it say. A pattern is for the kind of which it has most trusted values. It is
+   good with SUPPORT of them or more and a score of CONFIDENCE or more, the mean trust of all its values; the values of
+   good patterns are trusted with their mean score. So found values support further patterns, which find further
+   values, until nothing changes, or for ROUNDS rounds.
+4. Candidates beside a good pattern become spans ``like_<kind>``.
 
 DataFrame functions only. Scores are whole millionths, so that results don't depend on the order of sums. The graph
 is grouped by (pattern, value), pre-aggregated before the shuffle; joins are equi-joins that AQE splits on hot
-patterns, and what is left of patterns with support is grouped again, never collected. Texts are read once: spans are
-kept in a table with a row number, not the texts.
+patterns, and the patterns of a round are grouped, never collected. Texts are read once: spans are kept in a table with
+a row number, not the texts.
 
 A null text is empty; a text without a match has no spans; an empty table gives an empty result. Repeated rows count
-once as values and each get their spans. The operator reads the id and text columns only.
+once as values and each get their spans. Ties between kinds and patterns go to the name that sorts first. Long texts
+are read whole, in time that grows with their length. The operator reads the id and text columns only, so other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -24,24 +28,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, documents, persisted
-from tidemark.llm.spans import SPAN, Rule, all_found, count, digest, found, masked, running
+from tidemark.llm.spans import NEAR, PLACED, SPAN, Rule, all_found, count, digest, found, masked, once, running
 
-#: Distinct seeds of one kind that make a pattern worth scoring.
+#: Distinct trusted values of one kind that make a pattern worth scoring.
 SUPPORT = 10
 
 #: Scores are in millionths.
 UNIT = 1_000_000
 
-#: The least score of a pattern that finds new identifiers.
+#: The least score of a good pattern.
 CONFIDENCE = 750_000
 
-ROUNDS = 3
-
-#: Candidates of the SQL are at least so long and hold a digit.
-LEAST = 5
-
-#: Characters before a span in which its last two words are looked up.
-NEAR = 256
+#: Rounds at most; they end as soon as one changes nothing.
+ROUNDS = 4
 
 
 def digits_of(match: Column) -> Column:
@@ -89,86 +88,93 @@ TOKEN = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9]|[@._%+-]*+[A-Za-z]++[@.
 CANDIDATE = Rule("candidate", TOKEN, None, "[0-9]|[A-Za-z][@._%+-]++[A-Za-z]")
 
 
-def placed(text: Column, spans: Column) -> Column:
-    """``spans``, each with the last two words of the text before it as ``before``, whatever was matched there."""
-
-    def one(s: Column) -> Column:
-        from_ = F.greatest(s["start"] - NEAR, F.lit(0))
-        words = F.regexp_extract_all(F.substring(text, from_ + 1, s["start"] - from_), F.lit(WORD), F.lit(0))
-        return s.withField("before", F.array_join(F.reverse(F.slice(F.reverse(words), 1, 2)), " "))
-
-    return F.transform(spans, one)
-
-
-def contexts(before: Column) -> Column:
-    """The lexical patterns of what stands before a value: its last word, and its last two words."""
-    words = F.regexp_extract_all(F.lower(before), F.lit(WORD), F.lit(0))
-    n = F.size(words)
-    one = F.when(n >= 1, F.concat(F.lit("1 "), F.element_at(words, -1)))
-    two = F.when(n >= 2, F.concat(F.lit("2 "), F.element_at(words, -2), F.lit(" "), F.element_at(words, -1)))
-    return F.array_compact(F.array(one, two))
+def contexts(before: Column, after: Column) -> Column:
+    """The lexical patterns of a place: its last word before, last two before, first after, and one on both sides."""
+    blank, whole = r"[^\x20\x09-\x0D]+", lambda c: F.length(c) < NEAR
+    left = F.when(whole(before), before).otherwise(F.regexp_replace(before, "^" + blank, ""))
+    right = F.when(whole(after), after).otherwise(F.regexp_replace(after, blank + "$", ""))
+    b, a = (F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0)) for c in (left, right))
+    last, next_ = F.try_element_at(b, F.lit(-1)), F.try_element_at(a, F.lit(1))
+    marks = [F.concat(F.lit("< "), last), F.concat(F.lit("<< "), F.try_element_at(b, F.lit(-2)), F.lit(" "), last), F.concat(F.lit("> "), next_), F.concat(F.lit("<> "), last, F.lit(" "), next_)]
+    return F.array_compact(F.array(*marks))
 
 
 def apart(candidates: Column, base: Column) -> Column:
     """The candidates (sorted) that overlap no base span (sorted), in linear time."""
-    both = F.sort_array(F.concat(candidates, base))  # a base span sorts before a candidate with the same start
     is_new = lambda s: s["rank"] >= len(BASE)
-    ends = running(both, F.lit(0), lambda at, s: (F.when(is_new(s), at).otherwise(F.greatest(at, s["end"])), at), "int")
     far = F.lit(2**31 - 1)
-    begins = F.reverse(running(F.reverse(both), far, lambda at, s: (F.when(is_new(s), at).otherwise(s["start"]), at), "int"))
-    told = F.zip_with(F.zip_with(both, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), begins, lambda p, b: F.struct(p["s"].alias("s"), ((p["s"]["start"] >= p["e"]) & (p["s"]["end"] <= b)).alias("free")))
-    return F.transform(F.filter(told, lambda p: is_new(p["s"]) & p["free"]), lambda p: p["s"])
+
+    def free(both: Column) -> Column:
+        ends = running(both, F.lit(0), lambda at, s: (F.when(is_new(s), at).otherwise(F.greatest(at, s["end"])), at), "int")
+        begins = F.reverse(running(F.reverse(both), far, lambda at, s: (F.when(is_new(s), at).otherwise(s["start"]), at), "int"))
+        told = F.zip_with(F.zip_with(both, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), begins, lambda p, b: F.struct(p["s"].alias("s"), ((p["s"]["start"] >= p["e"]) & (p["s"]["end"] <= b)).alias("free")))
+        return F.transform(F.filter(told, lambda p: is_new(p["s"]) & p["free"]), lambda p: p["s"])
+
+    return once(F.sort_array(F.concat(candidates, base)), free)  # a base span sorts before a candidate with the same start
+
+
+#: A span with its patterns.
+MARKED = f"struct<span:{SPAN},patterns:array<string>>"
 
 
 def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, base, candidates) of every row: sorted spans; ``row`` numbers the rows of this table."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].alias("id"), text.alias("text"))
+    """(row, id, base, candidates) of every row: sorted spans with their patterns; ``row`` numbers the rows of this table."""
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     # with a digit or an at sign nowhere in the text there is no seed
-    none = F.array().cast(f"array<{SPAN}>")
-    some = F.rlike("text", F.lit("[0-9@]"))
-    base = F.when(some, all_found(F.col("text"), BASE)).otherwise(none)
-    rows = rows.select("id", "text", F.concat(base, found(F.col("text"), CANDIDATE, len(BASE))).alias("spans"))
-    rows = rows.select("id", F.when(F.size("spans") > 0, placed(F.col("text"), F.col("spans"))).otherwise(none).alias("spans"))
-    table = persisted(rows.select(F.monotonically_increasing_id().alias("row"), "id", "spans"), "pii-scan")
-    base, new = (F.filter("spans", f) for f in (lambda s: s["rank"] < len(BASE), lambda s: s["rank"] >= len(BASE)))
-    table = table.select("row", "id", base.alias("base"), new.alias("new"))
-    return table.select("row", "id", "base", F.when(F.size("new") > 0, apart(F.col("new"), F.col("base"))).otherwise(none).alias("candidates"))
+    none = F.array().cast(f"array<{PLACED}>")
+    base = F.when(F.rlike("text", F.lit("[0-9@]")), all_found(F.col("text"), BASE, placed=True)).otherwise(none)
+    rows = rows.select("id", base.alias("base"), found(F.col("text"), CANDIDATE, len(BASE), placed=True).alias("new"))
+    rows = rows.select("id", "base", F.when(F.size("new") > 0, apart(F.col("new"), F.col("base"))).otherwise(none).alias("new"))
+    mark = lambda s: F.struct(F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "value")]).alias("span"), contexts(s["before"], s["after"]).alias("patterns"))
+    marked = [F.when(F.size(c) > 0, F.transform(c, mark)).otherwise(F.array().cast(f"array<{MARKED}>")).alias(n) for c, n in (("base", "base"), ("new", "candidates"))]
+    return persisted(rows.select(F.monotonically_increasing_id().alias("row"), "id", *marked), "pii-scan")
 
 
 def graph(table: DataFrame) -> DataFrame:
     """The distinct (pattern, value, kind) edges; the kind of a candidate is empty."""
-    spans = F.concat(F.col("base"), F.col("candidates"))
-    each = table.filter(F.size("base") + F.size("candidates") > 0).select(F.explode(spans).alias("s"))
-    kind = F.when(F.col("s.rank") < len(BASE), F.col("s.kind")).otherwise(F.lit(""))
-    return each.select(F.explode(contexts(F.col("s.before"))).alias("pattern"), F.lower("s.value").alias("value"), kind.alias("kind")).distinct()
-
-
-def patterns(edges: DataFrame, *, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, score) of every pattern with support."""
-    seeds = edges.filter("kind <> ''").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    best = seeds.groupBy("pattern").agg(F.min(F.struct((-F.col("seeds")).alias("least"), F.col("kind").alias("kind"))).alias("b")).select("pattern", F.col("b.kind").alias("aim"))
-    live = persisted(edges.join(best, "pattern"), "pii-graph")
-    score = None
-    for _ in range(rounds):
-        known = live.withColumn("trust", F.when(F.col("kind") == F.col("aim"), UNIT).otherwise(0).cast("long"))
-        if score is not None:
-            # what the patterns of a candidate say about it, per kind
-            said = live.filter("kind = ''").join(score.withColumnRenamed("kind", "aim"), ["pattern", "aim"])
-            learnt = said.groupBy("value", "aim").agg(F.expr("sum(score) div count(*)").alias("learnt"))
-            known = known.join(learnt, ["value", "aim"], "left").withColumn("trust", F.when(F.col("kind") == "", F.coalesce("learnt", F.lit(0))).otherwise(F.col("trust")))
-        score = known.groupBy("pattern", F.col("aim").alias("kind")).agg(F.expr("sum(trust) div (count(*) + 1)").alias("score"))
-        score = persisted(score, "pii-patterns")
-    return score
-
-
-def discovered(table: DataFrame, scores: DataFrame, confidence: int = CONFIDENCE) -> DataFrame:
+    each = table.filter(F.size("base") + F.size("candidates") > 0).select(F.explode(F.concat("base", "candidates")).alias("m"))
+    kind = F.when(F.col("m.span.rank") < len(BASE), F.col("m.span.kind")).otherwise(F.lit(""))
+    return each.select(F.explode("m.patterns").alias("pattern"), F.lower("m.span.value").alias("value"), kind.alias("kind")).distinct()
+
+
+def good_of(votes: DataFrame, totals: DataFrame, support: int, confidence: int) -> DataFrame:
+    """(pattern, aim, score) of the good patterns, from (pattern, aim, trust) votes."""
+    per = votes.groupBy("pattern", "aim").agg(F.count("*").alias("n"), F.sum("trust").alias("trust")).filter(F.col("n") >= support)
+    best = per.groupBy("pattern").agg(F.min(F.struct((-F.col("n")).alias("least"), "aim", "trust")).alias("b"))
+    scored = best.join(totals, "pattern").select("pattern", "b.aim", F.expr("b.trust div (many + 1)").alias("score"))
+    return scored.filter(F.col("score") >= confidence)
+
+
+def trusted(fresh: DataFrame, good: DataFrame) -> DataFrame:
+    """(value, aim, trust) of the candidates beside good patterns, one kind each."""
+    per = fresh.join(good, "pattern").groupBy("value", "aim").agg(F.expr("sum(score) div count(*)").alias("trust"))
+    return per.groupBy("value").agg(F.min(F.struct((-F.col("trust")).alias("least"), "aim", "trust")).alias("b")).select("value", "b.aim", "b.trust")
+
+
+def patterns(edges: DataFrame, *, support: int = SUPPORT, confidence: int = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, aim, score) of the good patterns once the rounds have ended."""
+    totals = persisted(edges.groupBy("pattern").agg(F.count("*").alias("many")), "pii-totals")
+    seeds = edges.filter("kind <> ''").select("pattern", F.col("kind").alias("aim"), F.lit(UNIT).cast("long").alias("trust"))
+    fresh = edges.filter("kind = ''").select("pattern", "value")
+    votes, state = seeds, (0, None)
+    for i in range(rounds):
+        good = persisted(good_of(votes, totals, support, confidence), "pii-patterns")
+        if i == rounds - 1:
+            break
+        now = persisted(trusted(fresh, good), "pii-values")
+        told = now.agg(F.count("*"), F.sum(F.xxhash64("value", "aim", "trust").cast("decimal(38,0)"))).first()
+        if tuple(told) == state:
+            break
+        state, votes = tuple(told), seeds.unionByName(fresh.join(now, "value").select("pattern", "aim", "trust"))
+    return good
+
+
+def discovered(table: DataFrame, good: DataFrame) -> DataFrame:
     """(row, more): the new spans of each row that has any; of several patterns the best counts."""
-    good = scores.filter(F.col("score") >= confidence)
-    each = table.filter(F.size("candidates") > 0).select("row", F.explode("candidates").alias("s"))
-    each = each.select("row", "s", F.explode(contexts(F.col("s.before"))).alias("pattern"))
-    best = each.join(good, "pattern").groupBy("row", "s").agg(F.min(F.struct((-F.col("score")).alias("least"), F.col("pattern"), F.col("kind").alias("aim"))).alias("b"))
-    span = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), F.concat(F.lit("like_"), F.col("b.aim")).alias("kind"), F.col("s.value").alias("value"), F.col("s.before").alias("before"))
+    each = table.filter(F.size("candidates") > 0).select("row", F.explode("candidates").alias("m"))
+    each = each.select("row", "m.span", F.explode("m.patterns").alias("pattern"))
+    best = each.join(good, "pattern").groupBy("row", "span").agg(F.min(F.struct((-F.col("score")).alias("least"), F.col("pattern"), F.col("aim"))).alias("b"))
+    span = F.col("span").withField("kind", F.concat(F.lit("like_"), F.col("b.aim")))
     return best.groupBy("row").agg(F.collect_list(span.cast(SPAN)).alias("more"))
 
 
@@ -176,8 +182,8 @@ def extract(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """``id`` and ``spans`` (base and discovered, sorted) of every row."""
     table = scanned(docs, id_col=id_col, text_col=text_col)
     edges = persisted(graph(table), "pii-edges")
-    more = discovered(table, patterns(edges, support=support, rounds=rounds), confidence)
-    joined = table.select("row", "id", "base").join(more, "row", "left")
+    more = discovered(table, patterns(edges, support=support, confidence=confidence, rounds=rounds))
+    joined = table.select("row", "id", F.transform("base", lambda m: m["span"]).alias("base")).join(more, "row", "left")
     none = F.array().cast(f"array<{SPAN}>")
     return joined.select("id", F.sort_array(F.concat("base", F.coalesce("more", none))).alias("spans"))
 
@@ -199,14 +205,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans_sql(rank: int, kind: str, pattern: str, keep: str) -> str:
-    return f"""SELECT doc_id, rid, {rank} AS rank, '{kind}' AS kind, m, s::BIGINT AS s, (s + length(m))::BIGINT AS e, right(g, 64) AS before FROM (
-      SELECT doc_id, rid, ms[i] AS m, gs[i] AS g, list_sum([length(x) FOR x IN gs[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS s
+    return f"""SELECT doc_id, rid, {rank} AS rank, '{kind}' AS kind, m, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM (
+      SELECT doc_id, rid, ms[i] AS m, list_sum([length(x) FOR x IN gs[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS s
       FROM (SELECT doc_id, rid, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
         SELECT doc_id, rid, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d))) WHERE {keep}"""
 
 
 def oracle() -> str:
-    """DuckDB SQL for op3's rows."""
+    """DuckDB SQL for op3's rows, with every round written out."""
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     double = "list_sum([CASE WHEN i % 2 = 1 THEN x::INT ELSE (x::INT * 2) % 10 + (x::INT >= 5)::INT END FOR x, i IN string_split(reverse({d}), '')])".format(d=digits)
     keep = {
@@ -216,29 +222,35 @@ def oracle() -> str:
         "phone": f"length({digits}) BETWEEN 10 AND 15",
     }
     base = " UNION ALL ".join(_spans_sql(i, r.kind, PLAIN[r.kind], keep[r.kind]) for i, r in enumerate(BASE))
-    tokens = _spans_sql(len(BASE), "candidate", "[A-Za-z0-9@._%+-]*[0-9][A-Za-z0-9@._%+-]*", f"length(m) >= {LEAST}")
-    words = r"regexp_extract_all(lower(before), '[^\x20\x09-\x0D]+')"
+    tokens = _spans_sql(len(BASE), "candidate", "[A-Za-z@._%+-]*[0-9][A-Za-z0-9@._%+-]*|[@._%+-]*[A-Za-z]+[@._%+-]+[A-Za-z][A-Za-z@._%+-]*", "true")
+    run = r"[^\x20\x09-\x0D]+"
+    before = f"CASE WHEN s < {NEAR} THEN substr(t, 1, s) ELSE regexp_replace(substr(t, s - {NEAR} + 1, {NEAR}), '^{run}', '') END"
+    after = f"CASE WHEN length(t) - e < {NEAR} THEN substr(t, e + 1) ELSE regexp_replace(substr(t, e + 1, {NEAR}), '{run}$', '') END"
+    marks = "list_filter(['< ' || b[-1], '<< ' || b[-2] || ' ' || b[-1], '> ' || a[1], '<> ' || b[-1] || ' ' || a[1]], lambda x: x IS NOT NULL)"
     line = "kind || ':' || s || ':' || e, ',' ORDER BY s, rank"
+    seeds = f"SELECT pattern, kind AS aim, {UNIT} AS trust FROM edges WHERE kind <> ''"
     rounds = []
     for n in range(ROUNDS):
-        if n:
-            rounds.append(f"learnt{n} AS (SELECT value, aim, sum(score)::BIGINT // count(*) AS learnt FROM live JOIN score{n - 1} USING (pattern, aim) WHERE kind = '' GROUP BY value, aim)")
-        trust = f"CASE WHEN kind = '' THEN coalesce(learnt, 0) WHEN kind = aim THEN {UNIT} ELSE 0 END" if n else f"CASE WHEN kind = aim THEN {UNIT} ELSE 0 END"
-        join = f"LEFT JOIN learnt{n} USING (value, aim)" if n else ""
-        rounds.append(f"score{n} AS (SELECT pattern, aim, sum({trust})::BIGINT // (count(*) + 1) AS score FROM live {join} GROUP BY pattern, aim)")
+        votes = f"{seeds} UNION ALL SELECT pattern, aim, trust FROM edges JOIN value{n - 1} USING (value) WHERE kind = ''" if n else seeds
+        rounds.append(
+            f"""good{n} AS MATERIALIZED (SELECT pattern, aim, trust // (many + 1) AS score FROM (SELECT pattern, aim, count(*) AS n, sum(trust)::BIGINT AS trust FROM ({votes}) GROUP BY ALL HAVING count(*) >= {SUPPORT}
+              QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY count(*) DESC, aim) = 1) JOIN totals USING (pattern) WHERE trust // (many + 1) >= {CONFIDENCE})"""
+        )
+        rounds.append(
+            f"""value{n} AS MATERIALIZED (SELECT value, aim, sum(score)::BIGINT // count(*) AS trust FROM edges JOIN good{n} USING (pattern) WHERE kind = '' GROUP BY value, aim
+              QUALIFY row_number() OVER (PARTITION BY value ORDER BY sum(score)::BIGINT // count(*) DESC, aim) = 1)"""
+        )
     chosen = "'" + "', '".join(r.kind for r in BASE) + "'"
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
 base AS MATERIALIZED ({base}), tokens AS MATERIALIZED ({tokens}),
 fresh AS MATERIALIZED (SELECT * FROM tokens WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = tokens.rid AND base.s < tokens.e AND tokens.s < base.e)),
 spans AS (SELECT *, kind AS seed FROM base UNION ALL SELECT *, '' AS seed FROM fresh),
-ctx AS MATERIALIZED (SELECT *, CASE WHEN len(w) >= 2 THEN ['1 ' || w[-1], '2 ' || w[-2] || ' ' || w[-1]] WHEN len(w) = 1 THEN ['1 ' || w[-1]] ELSE [] END AS pats FROM (SELECT *, {words} AS w FROM spans)),
+ctx AS MATERIALIZED (SELECT *, {marks} AS pats FROM (SELECT spans.*, regexp_extract_all(lower({before}), '{run}') AS b, regexp_extract_all(lower({after}), '{run}') AS a FROM spans JOIN (SELECT rid, t FROM d) USING (rid))),
 edges AS MATERIALIZED (SELECT DISTINCT unnest(pats) AS pattern, lower(m) AS value, seed AS kind FROM ctx),
-best AS (SELECT pattern, kind AS aim FROM (SELECT pattern, kind, count(*) AS n FROM edges WHERE kind <> '' GROUP BY ALL HAVING n >= {SUPPORT}) QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY n DESC, kind) = 1),
-live AS (SELECT * FROM edges JOIN best USING (pattern)),
+totals AS MATERIALIZED (SELECT pattern, count(*) AS many FROM edges GROUP BY pattern),
 {", ".join(rounds)},
-good AS (SELECT pattern, aim, score FROM score{ROUNDS - 1} WHERE score >= {CONFIDENCE}),
-more AS (SELECT doc_id, rid, rank, 'like_' || aim AS kind, s, e FROM (SELECT doc_id, rid, rank, s, e, unnest(pats) AS pattern FROM ctx WHERE seed = '') JOIN good USING (pattern)
+more AS (SELECT doc_id, rid, rank, 'like_' || aim AS kind, s, e FROM (SELECT doc_id, rid, rank, s, e, unnest(pats) AS pattern FROM ctx WHERE seed = '') JOIN good{ROUNDS - 1} USING (pattern)
   QUALIFY row_number() OVER (PARTITION BY rid, s ORDER BY score DESC, pattern) = 1),
 every AS (SELECT rid, rank, kind, s, e FROM base UNION ALL SELECT rid, rank, kind, s, e FROM more),
 g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)},
