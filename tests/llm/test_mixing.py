@@ -44,3 +44,13 @@ def test_mix(spark):
     assert taken["big"] == pytest.approx(want["big"], rel=0.1)
     assert out.exceptAll(mixing.mix(docs)).count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_and_long_texts(spark):
+    names = ["MIX_SOURCE", "mix_target", "mix_size", "mix_row", "mix_own", "mix_id", "mix_copies", "mix_copy", "mix.rate"]
+    docs = spark.createDataFrame([(1, "w " * 300_000, None, *["own"] * len(names)), (2, "a b", "s", *[None] * len(names))], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r.doc_id: r for r in mixing.with_copies(docs).collect()}
+    assert got[1].mix_source_size == 300_000 and got[1]["mix_row"] == "own" and isinstance(got[1].mix_copies, int)
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and {r["mix_copies"] for r in out.collect()} <= {"own", None}
+    assert out.filter("doc_id = 1").count() == got[1].mix_copies

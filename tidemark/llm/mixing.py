@@ -7,7 +7,8 @@ and once more if a hash of its id falls below the rate's fraction. Everything is
 Only the table of sources (one row each) is ordered as a whole. It is joined by broadcast while it has at most
 BROADCAST_SOURCES rows and by a shuffle that AQE splits on hot sources beyond that. A null text has no words; a null
 source is a source of its own, ordered last; an empty table gives an empty mix. Documents with the same id draw the
-same coin. Columns of the input are kept; the operator's own carry names with the prefix ``mix_``.
+same coin. Long texts are counted whole; sources whose limits tie are taken by name. Columns of the input are kept
+whatever their names; where one is named as an output of ``with_copies`` (OUT), the output takes its place there.
 """
 
 from __future__ import annotations
@@ -64,23 +65,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return leveled.select("mix_source", F.col("own").alias("mix_source_size"), target.alias("mix_target"), rate.alias("mix_rate"))
 
 
-def with_copies(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, seed: int = SEED) -> DataFrame:
-    """``docs`` with its source's words, target and rate, and ``mix_copies``, how often the mix takes the row."""
+#: What ``with_copies`` adds.
+OUT = ["mix_source_size", "mix_target", "mix_rate", "mix_copies"]
+
+
+def copied(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, seed: int = SEED) -> DataFrame:
+    """(mix_row, OUT columns): every row of ``docs`` as a struct, and what the mix takes of it."""
     size = docs[size_col] if size_col else words(docs[text_col])
     sources = persisted(targets(docs.select(docs[source_col].alias("mix_source"), size.alias("mix_size"))), "mix-sources")
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    joined = docs.join(sources, docs[source_col].eqNullSafe(sources["mix_source"])).drop("mix_source")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("mix_row"), docs[source_col].alias("mix_own"), docs[id_col].alias("mix_id"))
+    joined = rows.join(sources, F.expr("mix_own <=> mix_source"))
     fraction = F.col("mix_rate") - F.floor("mix_rate")
-    more = F.coalesce(coin(docs[id_col], seed), F.lit(0.0)) < fraction
-    return joined.withColumn("mix_copies", F.floor("mix_rate").cast("long") + more.cast("long"))
+    more = F.coalesce(coin(F.col("mix_id"), seed), F.lit(0.0)) < fraction
+    return joined.withColumn("mix_copies", F.floor("mix_rate").cast("long") + more.cast("long")).select("mix_row", *OUT)
+
+
+def with_copies(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with its source's words, target and rate, and ``mix_copies``, how often the mix takes the row."""
+    return copied(docs, **options).select(*[F.col(f"mix_row.`{c}`") for c in docs.columns if c.lower() not in OUT], *OUT)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    counted = with_copies(docs, **options)
     copies = F.explode(F.expr("case when mix_copies > 0 then sequence(1, mix_copies) else array() end"))
-    return counted.withColumn("mix_copy", copies).select(*[f"`{c}`" for c in docs.columns])
+    return copied(docs, **options).withColumn("mix_copy", copies).select(*[F.col(f"mix_row.`{c}`") for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

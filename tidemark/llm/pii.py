@@ -233,7 +233,7 @@ def oracle() -> str:
     for n in range(ROUNDS):
         votes = f"{seeds} UNION ALL SELECT pattern, aim, trust FROM edges JOIN value{n - 1} USING (value) WHERE kind = ''" if n else seeds
         rounds.append(
-            f"""good{n} AS MATERIALIZED (SELECT pattern, aim, trust // (many + 1) AS score FROM (SELECT pattern, aim, count(*) AS n, sum(trust)::BIGINT AS trust FROM ({votes}) GROUP BY ALL HAVING count(*) >= {SUPPORT}
+            f"""good{n} AS MATERIALIZED (SELECT pattern, aim, trust // (many + 1) AS score FROM (SELECT pattern, aim, count(*) AS n, sum(trust)::BIGINT AS trust FROM ({votes}) GROUP BY pattern, aim HAVING count(*) >= {SUPPORT}
               QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY count(*) DESC, aim) = 1) JOIN totals USING (pattern) WHERE trust // (many + 1) >= {CONFIDENCE})"""
         )
         rounds.append(

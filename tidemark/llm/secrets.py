@@ -1,22 +1,24 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of every path is content-addressed by SHA-256. The ledger has one row per blob and batch of rules that
-the blob was scanned with; a scan reads only the pairs of blob and rule version that it lacks, and the findings are
-joined back to all paths with that blob. DataFrame functions only.
+Every version of every path is content-addressed by SHA-256. The ledger, a table that is only appended to, has one row
+per blob and batch of rules that the blob was scanned with; a scan reads only the pairs of blob and rule version that it
+lacks (``updated``), and the findings are joined back to all paths with that blob. DataFrame functions only.
 
 A null text is the empty blob. Copies are scanned once, however many there are: they meet in a grouping that is
-pre-aggregated before the shuffle. Findings return by an equi-join on the blob in which AQE splits a hot blob. Paths may
-repeat. An empty table gives an empty result. The operator reads the id and text columns only.
+pre-aggregated before the shuffle. Texts are shuffled once for that; a blob's least row alone could be shuffled instead,
+but its text would then have to come by a join of the same size. Findings return by an equi-join on the blob and a salt
+from the path, so that a hot blob is spread over SALTS tasks. Paths may repeat; a path's several texts are versions of it, and
+spans that start together (ties) are in the order of the rules. A row that was appended twice counts once. Long texts are
+scanned whole. An empty table gives an empty result. The operator reads the id and text columns only, so other columns
+may have any name, also in ``redact``, which keeps them all.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, persisted
+from tidemark.llm.common import documents, shared_path
 from tidemark.llm.spans import SPAN, Rule, count, digest, found, masked
 
 # The base patterns.
@@ -39,13 +41,15 @@ EXTRA = [
 ]
 RULES = BASE + EXTRA
 
+#: Parts of a blob's paths.
+SALTS = 16
+
 LEDGER = f"blob binary, rules array<string>, findings array<{SPAN}>"
 
 
-def version(rule: Rule, rank: int) -> str:
-    """A rule's version follows from its definition: a changed rule is another one."""
-    made = rule.keep.__code__.co_code + repr(rule.keep.__code__.co_consts).encode() if rule.keep else b""
-    return f"{rule.kind}-{hashlib.sha256(f'{rank}:{rule.pattern}:'.encode() + made).hexdigest()[:16]}"
+def version(rule: Rule) -> str:
+    """A rule's name in the ledger. Whoever changes what a rule finds gives it another version."""
+    return f"{rule.kind}-{rule.version}"
 
 
 def versions(docs: DataFrame, *, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,7 +60,7 @@ def versions(docs: DataFrame, *, path_col: str = "doc_id", text_col: str = "text
 
 def scan(history: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> DataFrame:
     """New ledger rows: the unseen blobs of ``history``, each with the rules it lacked and their findings."""
-    names = [version(r, i) for i, r in enumerate(rules)]
+    names = [version(r) for r in rules]
     blobs = history.groupBy("blob").agg(F.first("content").alias("content"))
     todo = F.array(*map(F.lit, names))
     if ledger is not None:
@@ -74,37 +78,59 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rules: list[Rule]
 
 def findings(ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(blob, spans) of the blobs that have any, under the present rules' versions."""
-    names = [version(r, i) for i, r in enumerate(rules)]
-    kinds = F.transform(F.array_intersect("rules", F.array(*map(F.lit, names))), lambda n: F.regexp_replace(n, "-[0-9a-f]{16}$", ""))
+    names = [version(r) for r in rules]
+    kinds = F.transform(F.array_intersect("rules", F.array(*map(F.lit, names))), lambda n: F.regexp_replace(n, "-[^-]*$", ""))
     present = ledger.withColumn("findings", F.filter("findings", lambda s: F.array_contains(kinds, s["kind"]))).filter(F.size("findings") > 0)
-    return present.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("findings"))).alias("spans"))
+    return present.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("spans"))
+
+
+def updated(history: DataFrame, path: str, rules: list[Rule] = RULES) -> DataFrame:
+    """The ledger at ``path`` (begun where there is none) with all of ``history`` scanned under ``rules``; only what it lacked is read and appended."""
+    spark = history.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
+    scan(history, spark.read.schema(LEDGER).parquet(path), rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def joined(many: DataFrame, hits: DataFrame, path: str, blob: str) -> DataFrame:
+    """``many`` with ``spans`` of its blob, or null: the few blobs with findings are repeated per salt, each row has one."""
+    salted = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = many.withColumn("salt", F.pmod(F.xxhash64(path), F.lit(SALTS)).cast("int"))
+    return rows.join(salted.withColumnRenamed("blob", "hit"), (F.col(blob) == F.col("hit")) & (rows["salt"] == salted["salt"]), "left").drop("salt", "hit")
 
 
 def attach(history: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """``history`` with ``spans``, those of its blob; paths without a finding have none."""
-    joined = history.join(findings(ledger, rules), "blob", "left")
-    return joined.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
+    """(path, blob, spans) of ``history``: the spans of each row's blob; paths without a finding have none."""
+    rows = joined(history.select("path", "blob"), findings(ledger, rules), "path", "blob")
+    return rows.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
+
 
+def redact(docs: DataFrame, *, path_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", rules: list[Rule] = RULES, ledger_path: str | None = None) -> DataFrame:
+    """``docs`` with each secret replaced by its kind in angle brackets; rows and columns stay.
 
-def redact(docs: DataFrame, *, path_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", rules: list[Rule] = RULES) -> DataFrame:
-    """``docs`` with each secret replaced by its kind in angle brackets; rows and columns stay."""
-    ledger = persisted(scan(versions(docs, path_col=path_col, text_col=text_col), rules=rules), "secret-ledger")
+    The ledger at ``ledger_path`` is used and updated; without one it is a new one in the shared folder.
+    """
+    spark = docs.sparkSession
+    ledger = updated(versions(docs, path_col=path_col, text_col=text_col), ledger_path or shared_path(spark, "secret-ledger"), rules)
     blob = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
-    hits = findings(ledger, rules).select(F.col("blob").alias("secret_blob"), F.col("spans").alias("secret_spans"))
-    joined = docs.withColumn("secret_key", blob).join(hits, F.col("secret_key") == F.col("secret_blob"), "left")
-    clean = masked(F.col(text_col), F.col("secret_spans"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))
-    out = joined.withColumn(text_col, F.when(F.col("secret_spans").isNull(), F.col(text_col)).otherwise(clean))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[path_col].alias("path"), blob.alias("blob"))
+    rows = joined(rows, findings(ledger, rules), "path", "blob")
+    text = F.col(f"row.`{text_col}`")
+    clean = masked(text, F.col("spans"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))
+    rows = rows.select("row", "spans", F.when(F.col("spans").isNull(), text).otherwise(clean).alias("clean"))
+    cells = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    cells[text_col] = F.col("clean").alias(text_col)
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("secret_spans").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast("long")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        cells[length_col] = F.when(F.col("spans").isNull(), cells[length_col]).otherwise(F.length("clean").cast("long")).alias(length_col)
+    return rows.select(*cells.values())
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The secrets of every document, found through a fresh ledger."""
+    """The secrets of every document, found through a ledger that begins empty."""
     history = versions(documents(spark, sf_dir))
-    ledger = persisted(scan(history), "secret-ledger")
+    ledger = updated(history, shared_path(spark, "secret-ledger"))
     spans, base = F.col("spans"), [r.kind for r in BASE]
-    return attach(history.select("path", "blob"), ledger).select(
+    return attach(history, ledger).select(
         F.col("path").alias("doc_id"),
         *[count(spans, k).alias(f"n_{k}") for k in base],
         F.sha2(digest(spans, base), 256).alias("base_sha256"),

@@ -19,12 +19,13 @@ NEAR = 256
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of span: its pattern, what of a match decides, and a cheap pattern that any match contains."""
+    """A kind of span: its pattern, what of a match decides, a cheap pattern that any match contains, and the version of all that."""
 
     kind: str
     pattern: str
     keep: Callable[[Column], Column] | None = None
     guard: str | None = None
+    version: str = "1"
 
 
 #: Elements that running() folds at a time, so that its arrays are not copied once per element.
