@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from tidemark.llm import html
@@ -39,6 +42,74 @@ def test_common_markup(page, want):
     assert html.main_text(page) == want
 
 
+RUSSIAN = "Вчера вечером в городе открылась новая библиотека, и жители пришли посмотреть на книги, которые собирали много лет. Они остались довольны."
+PROSE = "It was the best of the times and it was the worst of the times, as it is said by the one who was there in the end. "
+
+
+def test_other_languages_and_scripts():
+    pages = [RUSSIAN, "これは長い文章です。" * 12, "Kaupungissa avattiin eilen uusi kirjasto jonne saapui satoja asukkaita katsomaan kirjoja, joita kerättiin vuosikausia ympäri maata ja ulkomailta saakka."]
+    for text in pages:
+        menu = "".join(f"<li><a href=/{i}>{text[:40]}</a></li>" for i in range(4))
+        assert html.main_text(f"<body><ul>{menu}</ul><p>{text}</p><p>{text}</p></body>") == f"{text}\n{text}"
+
+
+def test_a_teaser_is_not_the_article():
+    text = (PROSE * 4).strip()
+    page = f"<body><div><p>{text}</p><p>{text}</p></div><article><p>Read this next, it is good.</p></article></body>"
+    assert html.main_text(page).split("\n")[:2] == [text, text]
+    page = f"<body><div><p>{text}</p></div><article><p>{text}</p></article></body>"
+    assert html.main_text(page) == text
+
+
+def brute(page):
+    """The rules again, block by block from their definitions: each block in doubt looks at all others."""
+    found = [b for b in html.blocks_of(page) if b[0] != html.OUT]
+
+    def label(blocks, i, article):
+        _, text, linked = blocks[i]
+        words = [w for b in blocks for w in re.findall(r"[^\W\d_]+", b[1].lower())]
+        foreign = not article and len(words) >= html.TELLING and sum(w in html.STOP_WORDS for w in words) < html.KNOWN * len(words)
+        is_link = lambda k: 0 <= k < len(blocks) and blocks[k][2] > html.LINKED * len(blocks[k][1])
+        if is_link(i):
+            return None if article and len(text) < html.SHORT and not is_link(i - 1) and not is_link(i + 1) else False
+        if len(text) < html.SHORT:
+            return None
+        own = re.findall(r"[^\W\d_]+", text.lower())
+        dense = sum(w in html.STOP_WORDS for w in own) / len(own) if own else 0
+        if article or foreign or dense >= html.DENSE or (dense >= html.SPARSE and len(text) >= html.LONG):
+            return True
+        return None if dense >= html.SPARSE else False
+
+    article, rest = [b for b in found if b[0] == html.ARTICLE], [b for b in found if b[0] == html.BODY]
+    sure = sum(len(b[1]) for i, b in enumerate(rest) if label(rest, i, False))
+    teaser = article and sure > html.MASS * sum(len(b[1]) for b in article)
+    own = found if teaser or not article else article
+    labels = [label(own, i, bool(article) and not teaser) for i in range(len(own))]
+    kept = []
+    for i, (_, text, _) in enumerate(own):
+        if labels[i] is None:
+            decided = [(abs(k - i), not x) for k, x in enumerate(labels) if x is not None]
+            if decided and min(decided)[1]:
+                continue
+        elif not labels[i]:
+            continue
+        kept.append(text)
+    return "\n".join(kept)
+
+
+def test_rules_against_brute_force():
+    random.seed(4)
+    texts = ["Menu", "A heading", PROSE, PROSE * 3, RUSSIAN, "x1 y2 z3 " * 12, "and the of " * 9, "Name Surname " * 8]
+    for _ in range(400):
+        parts = []
+        for _ in range(random.randrange(9)):
+            text, tag = random.choice(texts), random.choice(["p", "p", "div", "li", "article", "aside", "main"])
+            text = f"<a href=/>{text}</a>" if random.random() < 0.3 else text
+            parts.append(f"<{tag}>{text}</{tag}>")
+        page = f"<body>{''.join(parts)}</body>"
+        assert html.main_text(page) == brute(page), page
+
+
 def test_short_blocks_follow_their_neighbours():
     long = "It was the best of the times and it was the worst of the times, as it is said by the one who was there in the end. " * 3
     page = f"<body><p>Menu one</p><ul>{'<li><a href=/>a link of some length here</a></li>' * 4}</ul><h2>Heading</h2><p>{long}</p><p>Short.</p><p>{long}</p></body>"

@@ -5,8 +5,14 @@ forms, adverts, comments ... are boilerplate; the article element or an element
 its link density, its length and its density of stop words. Pass two gives each ambiguous short block the label of
 the nearest decided neighbours in the same part of the page. Kept blocks are joined in page order.
 
-A null or empty page has the empty text. Broken markup is read as browsers read it: what isn't closed stays open.
-Pages are independent: no shuffle, repeated rows repeat their result, a page of any length is read whole.
+Where the text outside the article that pass one is sure of is more than MASS times the article's, the article is taken
+for a teaser, and the whole page but its boilerplate is judged. Where hardly any word of a page is one of the stop
+words (KNOWN), its language is none of theirs: length and link density then decide alone.
+
+A null or empty page has the empty text, an empty table an empty result. Broken markup is read as browsers read it: what
+isn't closed stays open. A block as near to a kept neighbour as to a dropped one (a tie) is kept. Pages are independent: no
+shuffle, repeated rows repeat their result, a page of any length is read whole. The operator reads the id and html
+columns only, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,6 +40,12 @@ STOP_WORDS = frozenset(
 
 SHORT, LONG, DENSE, SPARSE, LINKED = 70, 200, 0.3, 0.15, 0.5
 
+#: The least share of stop words in a page of one of their languages, and words that tell.
+KNOWN, TELLING = 0.1, 20
+
+#: How much more text there is outside of an article that is but a teaser.
+MASS = 3
+
 GONE = frozenset("script style noscript template iframe object svg math canvas head title textarea select option button".split())
 RAW = frozenset("script style noscript template iframe svg title textarea".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
@@ -180,49 +192,68 @@ def blocks_of(page: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def density(text: str) -> float:
+Block = tuple[int, str, int]
+
+
+def density(text: str) -> tuple[int, int]:
+    """Words, and stop words among them."""
     words = re.findall(r"[^\W\d_]+", text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return len(words), sum(w in STOP_WORDS for w in words)
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, one a line."""
-    if not page:
-        return ""
-    found = blocks_of(page)
-    wanted = ARTICLE if any(b[0] == ARTICLE for b in found) else BODY
-    own = [b for b in found if b[0] == wanted]  # what is elsewhere is boilerplate
-    labels: list[bool | None] = []
+def first_pass(own: list[Block], in_article: bool) -> list[bool | None]:
+    """Keep, drop or None for each block from itself; in an article only a short block is in doubt."""
+    told = [density(text) if not in_article else (0, 0) for _, text, _ in own]
+    many = sum(n for n, _ in told)
+    foreign = many >= TELLING and sum(k for _, k in told) < KNOWN * many
     links = [False, *(linked > LINKED * len(text) for _, text, linked in own), False]
+    labels: list[bool | None] = []
     for i, (_, text, _) in enumerate(own):
         size = len(text)
         if links[i + 1]:  # a lone short link in an article may be a line of it; a list of links is a menu
-            alone = wanted == ARTICLE and size < SHORT and not links[i] and not links[i + 2]
+            alone = in_article and size < SHORT and not links[i] and not links[i + 2]
             labels.append(None if alone else False)
-        elif wanted == ARTICLE:  # here only a short block is in doubt
+        elif in_article or foreign:
             labels.append(True if size >= SHORT else None)
         elif size < SHORT:
             labels.append(None)
         else:
-            words = density(text)
+            words = told[i][1] / told[i][0] if told[i][0] else 0.0
             labels.append(True if words >= DENSE or (words >= SPARSE and size >= LONG) else None if words >= SPARSE else False)
+    return labels
+
+
+def second_pass(labels: list[bool | None]) -> list[bool]:
+    """Blocks in doubt follow the nearest decided one; of two as near, one that is kept; alone they are kept."""
     before: list[tuple[int, bool] | None] = []
     last: tuple[int, bool] | None = None
     for i, label in enumerate(labels):
         before.append(last)
         if label is not None:
             last = (i, label)
-    keep = [False] * len(own)
+    keep = [False] * len(labels)
     after: tuple[int, bool] | None = None
-    for i in range(len(own) - 1, -1, -1):
-        if labels[i] is not None:
-            keep[i] = bool(labels[i])
-            after = (i, keep[i])
+    for i in range(len(labels) - 1, -1, -1):
+        if (label := labels[i]) is not None:
+            keep[i], after = label, (i, label)
             continue
         near = [x for x in (before[i], after) if x is not None]
         least = min((abs(x[0] - i) for x in near), default=0)
         keep[i] = any(x[1] for x in near if abs(x[0] - i) == least) if near else True
-    return "\n".join(text for (_, text, _), k in zip(own, keep, strict=True) if k)
+    return keep
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, one a line."""
+    if not page:
+        return ""
+    found = [b for b in blocks_of(page) if b[0] != OUT]  # what is elsewhere is boilerplate
+    article, rest = ([b for b in found if b[0] == place] for place in (ARTICLE, BODY))
+    size = lambda blocks, labels: sum(len(b[1]) for b, label in zip(blocks, labels, strict=True) if label)
+    teaser = bool(article and rest) and size(rest, first_pass(rest, False)) > MASS * size(article, [True] * len(article))
+    own = found if teaser else article or rest
+    labels = first_pass(own, bool(article) and not teaser)
+    return "\n".join(text for (_, text, _), k in zip(own, second_pass(labels), strict=True) if k)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
