@@ -12,6 +12,7 @@ from tidemark.catalog import ORACLES, QUERIES
 from tidemark.operators import analytics, sinks, state
 from tidemark.sources.crosswalk import match_events, posts
 from tidemark.streaming import ingest
+from tests.helpers import events
 
 DIR = "/root/testdata/sf0.001"
 
@@ -67,16 +68,31 @@ def test_months_are_pruned(spark, tmp_path):
 
 
 def test_a_replayed_batch_counts_once(spark, tmp_path):
-    events = match_events(spark, DIR)
+    rows = match_events(spark, DIR)
     path = str(tmp_path / "in")
-    events.write.parquet(path)
+    rows.write.parquet(path)
     for _ in range(2):  # the second run finds nothing new
-        ingest.drain(ingest.once(ingest.read_stream(spark, path, events.schema)), str(tmp_path / "out"), str(tmp_path / "check"))
+        ingest.drain(ingest.read_stream(spark, path, rows.schema), str(tmp_path / "out"), str(tmp_path / "check"), key=ingest.EVENT_KEY)
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == events.count()
+    assert out.count() == rows.count()
     first = out.filter("batch_id = 0").drop("batch_id")
     sinks.write_batch(spark.createDataFrame(first.collect(), first.schema), str(tmp_path / "out"), 0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    days = [30, 31, 2, 3, 2, 30]
+    for n, day in enumerate(days):
+        rows = [{"post_id": f"p{day}-{i}", "published_at": datetime.datetime(2024, 1, day, i)} for i in range(8)]
+        events(spark, *rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.read_stream(spark, str(tmp_path / "in"), match_schema(spark), files_per_batch=1)
+    ingest.drain(stream, str(tmp_path / "out"), str(tmp_path / "check"), key=ingest.EVENT_KEY)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("post_id").distinct().count() == 32
+
+
+def match_schema(spark):
+    return events(spark).schema
 
 
 def test_windows_in_update_mode(spark, tmp_path):

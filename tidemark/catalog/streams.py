@@ -15,13 +15,14 @@ BOOK = Book()
 
 
 def drained(spark, sf_dir, name: str):
-    """Two deliveries of the same events, one of them again: each match counts once."""
+    """Two deliveries of the same events, one of them again, late days after early ones in batches of one file: each match counts once."""
     base = fresh_path(spark, "stream")
     events = match_events(spark, sf_dir)
-    events.write.parquet(f"{base}/in")
-    events.filter(F.col("seq") == 0).write.mode("append").parquet(f"{base}/in")
-    rows = ingest.once(ingest.read_stream(spark, f"{base}/in", events.schema))
-    ingest.drain(rows, f"{base}/out", f"{base}/offsets", lambda batch: aggregates.build(batch, name))
+    late = F.dayofmonth("published_at") % 2 == 0
+    for part in (events.filter(late), events.filter(~late), events.filter(F.col("seq") == 0)):
+        part.coalesce(2).write.mode("append").parquet(f"{base}/in")
+    rows = ingest.read_stream(spark, f"{base}/in", events.schema, files_per_batch=1)
+    ingest.drain(rows, f"{base}/out", f"{base}/offsets", lambda batch: aggregates.build(batch, name), key=ingest.EVENT_KEY)
     return aggregates.merge(spark.read.parquet(f"{base}/out"), name)
 
 

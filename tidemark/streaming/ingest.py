@@ -1,7 +1,8 @@
 """The ingest stream: files in, each match once, batches that can be replayed, sums at read time.
 
-Late rows are kept: a batch appends its rows and aggregates are summed when read, so nothing waits for a watermark but
-the memory of keys already seen.
+Late rows are kept, however late: a batch drops the rows whose keys earlier batches have written, by an anti join with the
+table of keys, not by a watermark. That table is partitioned by day, and a batch reads the days that it spans. A batch
+appends its rows; aggregates are summed when read.
 """
 
 from __future__ import annotations
@@ -15,29 +16,40 @@ from pyspark.sql.types import StructType
 from tidemark.operators.sinks import write_batch
 from tidemark.operators.state import MATCH_KEY
 
-#: How long a key is remembered.
-MEMORY = "14 days"
+EVENT_KEY = [*MATCH_KEY, "seq"]
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def once(rows: DataFrame, time: str = "event_at", key: list[str] = (*MATCH_KEY, "seq")) -> DataFrame:
-    """Each key once within MEMORY."""
-    return rows.withWatermark(time, MEMORY).dropDuplicatesWithinWatermark(list(key))
-
-
 def tumbling(rows: DataFrame, width: str, time: str = "published_at") -> DataFrame:
     """Signed posts per tenant, topic and window, for update mode."""
     w = F.window(time, width)
     return rows.groupBy("tenant_id", "topic_id", w.start.alias("bucket")).agg(F.sum("sign").cast("long").alias("posts"))
 
 
-def drain(rows: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Process what is there and stop. A batch that is replayed after a failure replaces its own folder."""
+def unseen(batch: DataFrame, batch_id: int, keys: str, key: list[str], time: str) -> DataFrame:
+    """The rows of ``batch`` whose key neither an earlier batch nor an earlier row of it has; their keys are written, so that a replay finds the same."""
+    spark = batch.sparkSession
+    rows = batch.dropDuplicates(key).withColumn("_day", F.to_date(time))
+    first, last = rows.agg(F.min("_day"), F.max("_day")).first()
+    empty = rows.select(*key, "_day").limit(0).withColumn("batch_id", F.lit(0))
+    empty.write.mode("append").partitionBy("batch_id", "_day").parquet(keys)  # so that there is a table to read
+    known = spark.read.schema(empty.schema).parquet(keys).filter((F.col("batch_id") < batch_id) & (F.col("_day").between(first, last) | F.col("_day").isNull()))
+    fresh = rows.join(known.select(*key), key, "left_anti")
+    fresh.select(*key, "_day").write.mode("overwrite").partitionBy("_day").parquet(f"{keys}/batch_id={batch_id}")
+    return fresh.drop("_day")
+
+
+def drain(rows: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] | None = None, *, key: list[str] | None = None, time: str = "published_at") -> None:
+    """Process what is there and stop. With ``key`` each key counts once. A batch that is replayed after a failure replaces its own folder.
+
+    ``time`` never changes with a redelivery, so that both deliveries fall on one day; a null time is a day of its own.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
+        batch = unseen(batch, batch_id, f"{checkpoint}-keys", key, time) if key else batch
         write_batch(work(batch) if work else batch, path, batch_id)
 
     query = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
