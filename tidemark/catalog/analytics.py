@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.book import Book
 from tidemark.catalog.state import AGG_SQL
+from tidemark.operators import aggregates
 from tidemark.operators import analytics as A
 from tidemark.schemas import EMOTIONS, REPLIES, SENTIMENTS
 from tidemark.sources.crosswalk import EVENTS_SQL, POSTS_SQL, SNAPSHOTS_SQL, STATE_SQL, match_events, posts, snapshots
-from tidemark.sources.store import table
+from tidemark.sources.store import fresh_path, table
 
 BOOK = Book()
 DAYS = A.Filter("t1", "q1", datetime(2024, 1, 15, 6, 30), datetime(2024, 1, 25, 12, 30))
+EARLY = A.Filter("t1", "q1", datetime(2024, 1, 1), datetime(2024, 1, 8, 12, 30))  # when posts have texts
 HOURS = A.Filter("t1", "q1", datetime(2024, 1, 10, 6, 30), datetime(2024, 1, 12, 12, 30), ("click", "view", "purchase"))
 
 
@@ -70,7 +72,7 @@ BOOK.add(
     tabled(A.average_engagement, DAYS),
     e(f"SELECT sum(count)::BIGINT AS posts, sum(engagement)::BIGINT AS engagement, coalesce(sum(count) FILTER (content_type IN ('reply', 'comment')), 0)::BIGINT AS replies, coalesce(sum(count) FILTER (content_type IN ('repost', 'quote')), 0)::BIGINT AS reposts, floor(sum(engagement) / sum(count) + 0.5)::BIGINT AS average FROM ({BREAKDOWN})"),
 )
-BOOK.add("reposted_accounts", tabled(A.reposted_accounts, DAYS), e(f"SELECT parent_author_id, sum(reposts)::BIGINT AS reposts, max(handle) AS handle FROM {read('agg_reposted_author_1d', DAYS)} GROUP BY ALL HAVING sum(reposts) > 0 ORDER BY reposts DESC, parent_author_id LIMIT 20"))
+BOOK.add("reposted_accounts", tabled(A.reposted_accounts, DAYS), e(f"SELECT platform, parent_author_id, sum(reposts)::BIGINT AS reposts, arg_max(handle, {{'b': bucket, 'v': handle}}) FILTER (handle IS NOT NULL) AS handle FROM {read('agg_reposted_author_1d', DAYS)} GROUP BY platform, parent_author_id HAVING sum(reposts) > 0 ORDER BY reposts DESC, platform, parent_author_id LIMIT 20"))
 BOOK.add("activity_heatmap", tabled(A.activity_heatmap, DAYS), e(f"SELECT isodow(bucket + INTERVAL 7 HOUR)::INT AS dow, hour(bucket + INTERVAL 7 HOUR)::INT AS hour, sum(posts)::BIGINT AS n FROM {read('agg_topic_1h', DAYS)} GROUP BY ALL HAVING sum(posts) <> 0"))
 BOOK.add("author_created_year_exact", tabled(lambda t, f: A.author_created_year(t, f, exact=True), HOURS), e(f"SELECT coalesce(author_created_year::VARCHAR, 'unknown') AS year, count(DISTINCT author_id)::BIGINT AS authors FROM e WHERE tenant_id = 't1' AND topic_id = 'q1' AND sign = 1 AND {within(HOURS, 'published_at', False)} GROUP BY ALL"))
 BOOK.add("author_created_year", tabled(A.author_created_year, DAYS))
@@ -89,12 +91,23 @@ BOOK.add(
     tabled(lambda t, f: A.issue_delta(t, f, 8), DAYS),
     e(f", cur AS ({ISSUES} ORDER BY count DESC, issue LIMIT 8), prev AS (SELECT issue, sum(mentions) AS n FROM {read('agg_issue_1h', DAYS.previous())} GROUP BY ALL) SELECT issue, count, coalesce(n, 0)::BIGINT AS previous, CASE WHEN n > 0 THEN floor((count - n) * 100 / n + 0.5) END AS change_pct FROM cur LEFT JOIN prev USING (issue)"),
 )
-for _by in ("posts", "engagement"):
+NEWEST_OF = "arg_max({c}, {{'b': bucket, 'v': {c}}}) FILTER ({c} IS NOT NULL) AS {c}"
+for _by, _s in (("posts", None), ("engagement", None), ("posts", "negative")):
+    _where = f"WHERE sentiment = '{_s}'" if _s else ""
     BOOK.add(
-        f"top_accounts_{_by}",
-        tabled(lambda t, f, b=_by: A.top_accounts(t, f, b, 10), DAYS),
-        e(f"SELECT author_id, sum(posts)::BIGINT AS posts, sum(replies)::BIGINT AS replies, sum(reposts)::BIGINT AS reposts, sum(engagement)::BIGINT AS engagement, arg_max(handle, {{'b': bucket, 'p': platform}}) AS handle, arg_max(followers, {{'b': bucket, 'p': platform}}) AS followers FROM {read('agg_author_1d', DAYS)} GROUP BY ALL HAVING sum({_by}) > 0 ORDER BY {_by} DESC, author_id LIMIT 10"),
+        f"top_accounts_{_by}{'_' + _s if _s else ''}",
+        tabled(lambda t, f, b=_by, s=_s: A.top_accounts(t, f, b, 10, s), DAYS),
+        e(f"SELECT platform, author_id, sum(posts)::BIGINT AS posts, sum(replies)::BIGINT AS replies, sum(reposts)::BIGINT AS reposts, sum(engagement)::BIGINT AS engagement, {NEWEST_OF.format(c='handle')}, {NEWEST_OF.format(c='followers')} FROM {read('agg_author_1d', DAYS)} {_where} GROUP BY platform, author_id HAVING sum({_by}) > 0 ORDER BY {_by} DESC, platform, author_id LIMIT 10"),
     )
+BOOK.add("issues_negative", tabled(lambda t, f: A.issues(t, f, 8, sentiment="negative"), DAYS), e(f"SELECT issue, sum(mentions)::BIGINT AS count, sum(engagement)::BIGINT AS engagement FROM {read('agg_issue_1h', DAYS)} WHERE sentiment = 'negative' GROUP BY ALL HAVING sum(mentions) > 0 ORDER BY count DESC, issue LIMIT 8"))
+
+
+def stored(spark, sf_dir, work, f):
+    """The same over stored tables, written in two parts."""
+    events, path = match_events(spark, sf_dir), fresh_path(spark, "aggregates")
+    for part in ("0", "1"):
+        aggregates.write(events.filter(F.pmod(F.crc32("post_id"), F.lit(2)) == int(part)), path, ["agg_topic_1h", "agg_topic_1d"], part)
+    return work(A.Tables(events, path), f)
 
 
 def locations(spark, sf_dir):
@@ -107,13 +120,15 @@ BOOK.add("locations", locations, e(f", g AS (SELECT region, sum(posts) AS n, sum
 
 def summary_sql() -> str:
     def one(f: A.Filter, name: str) -> str:
-        return f"SELECT '{name}' AS period, sum(posts)::BIGINT AS posts, sum(engagement)::BIGINT AS engagement, sum(posts) FILTER (sentiment = 'negative')::BIGINT AS negative, sum(posts) FILTER (sentiment = 'positive')::BIGINT AS positive, (SELECT count(DISTINCT author_id) FROM {read('agg_author_1d', f)} WHERE posts <> 0) AS authors FROM {read('agg_topic_1d', f)}"
+        return f"SELECT '{name}' AS period, sum(posts)::BIGINT AS posts, sum(engagement)::BIGINT AS engagement, sum(posts) FILTER (sentiment = 'negative')::BIGINT AS negative, sum(posts) FILTER (sentiment = 'positive')::BIGINT AS positive, (SELECT count(DISTINCT author_id) FROM (SELECT platform, author_id, bucket FROM {read('agg_author_1d', f)} GROUP BY ALL HAVING sum(posts) <> 0)) AS authors FROM {read('agg_topic_1d', f)}"
 
     deltas = ", ".join(f"CASE WHEN period = 'current' THEN {up(f'({c} - lag({c}) OVER w) * 100 / lag({c}) OVER w', 1)} END AS {c}_delta_pct" for c in ("posts", "engagement", "authors"))
     return e(f"SELECT *, {deltas} FROM ({one(DAYS, 'current')} UNION ALL {one(DAYS.previous(), 'previous')}) WINDOW w AS (ORDER BY period DESC)")
 
 
 BOOK.add("summary", tabled(A.summary, DAYS), summary_sql())
+for _name, _work, _f in (("exposure_posts", A.exposure, DAYS), ("sentiment_timeline_hourly", A.sentiment_timeline, HOURS), ("platform_breakdown", A.platform_breakdown, DAYS)):
+    BOOK.add(f"stored_{_name}", lambda s, d, w=_work, f=_f: stored(s, d, w, f), BOOK.oracles[_name])
 
 
 def psycho_sql(name: str, column: str) -> str:
@@ -123,7 +138,7 @@ def psycho_sql(name: str, column: str) -> str:
 BOOK.add("psychography", tabled(A.psychography, DAYS), e(f"SELECT * FROM ({psycho_sql('agg_psycho_gender_1d', 'author_gender')}) UNION ALL SELECT * FROM ({psycho_sql('agg_psycho_age_1d', 'author_age_range')})"))
 
 # feeds: scope, then the newest row of each match, then every other filter
-FM = f"WITH {EVENTS_SQL}, {STATE_SQL}, {POSTS_SQL}, {SNAPSHOTS_SQL}, fm AS (SELECT * FROM m WHERE {scope(DAYS)} AND {within(DAYS, 'published_at', False)})"
+FM = f"WITH {EVENTS_SQL}, {STATE_SQL}, {POSTS_SQL}, {SNAPSHOTS_SQL}, fm AS (SELECT * FROM m WHERE {scope(EARLY)} AND {within(EARLY, 'published_at', False)})"
 FEEDS = {
     "feed": (A.Feed(), "true"),
     "feed_negative": (A.Feed(sentiment="negative"), "sentiment = 'negative'"),
@@ -135,22 +150,34 @@ for _name, (_feed, _where) in FEEDS.items():
     for _sort, _order in (("latest", "published_at DESC"), ("engagement", "engagement DESC, published_at DESC")):
         BOOK.add(
             f"{_name}_{_sort}",
-            lambda s, d, w=_feed, o=_sort: A.feed(match_events(s, d), posts(s, d), DAYS, w, o, 20, 5),
-            f"{FM}, page AS (SELECT * FROM fm WHERE {_where} ORDER BY {_order}, platform, post_id LIMIT 20 OFFSET 5) SELECT page.platform, page.post_id, page.published_at::VARCHAR AS published_at, sentiment, emotion, engagement, author_handle, text, lang FROM page LEFT JOIN pl ON page.platform = pl.platform AND page.post_id = pl.post_id",
+            lambda s, d, w=_feed, o=_sort: A.feed(match_events(s, d), posts(s, d), EARLY, w, o, 20, 5),
+            f"{FM}, page AS (SELECT *, row_number() OVER (ORDER BY {_order}, platform, post_id)::INT AS place FROM fm WHERE {_where}) SELECT place, page.platform, page.post_id, page.published_at::VARCHAR AS published_at, sentiment, emotion, engagement, author_handle, text, lang FROM page LEFT JOIN pl ON page.platform = pl.platform AND page.post_id = pl.post_id WHERE place BETWEEN 6 AND 25",
         )
-    BOOK.add(f"{_name}_count", lambda s, d, w=_feed: A.feed_count(match_events(s, d), DAYS, w), f"{FM} SELECT count(*) AS n FROM fm WHERE {_where}")
-BOOK.add(
-    "gallery",
-    lambda s, d: A.gallery(match_events(s, d), posts(s, d), DAYS, ("image",), 3),
-    f"""{FM}, page AS (SELECT fm.platform, fm.post_id, fm.published_at, fm.engagement, substr(text, 1, 280) AS text, media_text AS mt, row_number() OVER (ORDER BY fm.published_at DESC, fm.platform, fm.post_id) AS place
-      FROM fm JOIN (SELECT *, media AS media_text FROM pl WHERE media LIKE '%"image"%') p2 ON fm.platform = p2.platform AND fm.post_id = p2.post_id)
-      SELECT platform, post_id, published_at::VARCHAR AS published_at, engagement, text, regexp_extract(mt, 'https://[^"]+') AS urls, (SELECT count(*) > 3 FROM page) AS has_more FROM page WHERE place <= 3""",
-)
-BOOK.add(
-    "export_rows",
-    lambda s, d: A.export_rows(match_events(s, d), posts(s, d), snapshots(s, d), DAYS),
-    f"{FM}, ls AS (SELECT platform, post_id, arg_max_null(likes, captured_at) AS likes, arg_max_null(comments, captured_at) AS comments, arg_max_null(views, captured_at) AS views FROM s GROUP BY ALL) SELECT fm.platform, fm.post_id, fm.published_at::VARCHAR AS published_at, sentiment, engagement, author_handle, text, likes, comments, views FROM fm LEFT JOIN pl ON fm.platform = pl.platform AND fm.post_id = pl.post_id LEFT JOIN ls ON fm.platform = ls.platform AND fm.post_id = ls.post_id",
-)
+    BOOK.add(f"{_name}_count", lambda s, d, w=_feed: A.feed_count(match_events(s, d), EARLY, w), f"{FM} SELECT count(*) AS n FROM fm WHERE {_where}")
+GALLERY = {
+    "gallery": (A.Feed(), None, "engagement", 3, 0, "true", "engagement DESC, published_at DESC"),
+    "gallery_image": (A.Feed(sentiment="negative"), "image", "latest", 5, 2, "sentiment = 'negative' AND (media LIKE '%\"image\"%' OR media LIKE '%\"gif\"%')", "published_at DESC"),
+    "gallery_video": (A.Feed(), "video", "latest", 5, 0, "media LIKE '%\"video\"%'", "published_at DESC"),
+}
+for _name, (_feed, _media, _sort, _limit, _offset, _where, _order) in GALLERY.items():
+    BOOK.add(
+        _name,
+        lambda s, d, w=_feed, m=_media, o=_sort, n=_limit, k=_offset: A.gallery(match_events(s, d), posts(s, d), EARLY, w, m, o, n, k).withColumn("media", F.to_json("media")),
+        f"""{FM}, rows AS (SELECT fm.platform, fm.post_id, fm.published_at, sentiment, engagement, engagement_known, author_handle, substr(text, 1, 280) AS text, pl.media FROM fm JOIN pl ON fm.platform = pl.platform AND fm.post_id = pl.post_id WHERE pl.media IS NOT NULL AND pl.media <> '[]'),
+          page AS (SELECT *, row_number() OVER (ORDER BY {_order}, platform, post_id)::INT - {_offset} AS place FROM rows WHERE {_where})
+          SELECT place, platform, post_id, published_at::VARCHAR AS published_at, sentiment, CASE WHEN engagement_known = 1 THEN engagement END AS engagement, author_handle, text, CASE WHEN contains(media, 'video') THEN media ELSE '[{{"type":"image","url":"' || regexp_extract(media, 'https://[^"]+') || '"}}]' END AS media,
+          (SELECT count(*) > {_limit + _offset} FROM page) AS has_more FROM page WHERE place BETWEEN 1 AND {_limit}""",
+    )
+for _name, _most in (("export_rows", A.MOST_EXPORTED), ("export_rows_truncated", 7)):
+    BOOK.add(
+        _name,
+        lambda s, d, n=_most: A.export_rows(match_events(s, d), posts(s, d), snapshots(s, d), EARLY, most=n).withColumns({c: F.array_join(c, ",") for c in ("issues", "hashtags")}),
+        f"""{FM}, ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform, post_id ORDER BY captured_at DESC) AS rn FROM s) WHERE rn = 1),
+          page AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, platform, post_id)::INT AS place FROM fm)
+          SELECT place, (SELECT count(*) > {_most} FROM fm) AS truncated, page.platform, page.post_id, page.published_at::VARCHAR AS published_at, content_type, author_handle, author_followers, engagement, engagement_known, sentiment, emotion,
+          array_to_string(issues, ',') AS issues, array_to_string(hashtags, ',') AS hashtags, text, lang, likes, comments, shares, views
+          FROM page LEFT JOIN pl ON page.platform = pl.platform AND page.post_id = pl.post_id LEFT JOIN ls ON page.platform = ls.platform AND page.post_id = ls.post_id WHERE place <= {_most}""",
+    )
 NEEDLES, TAGS, FROM = ["worthless", "DISGUSTING", "trash"], ["abc"], datetime(2024, 1, 1)
 CAND = f"WITH {POSTS_SQL}, h AS (SELECT * FROM p WHERE regexp_matches(lower(text), 'worthless|disgusting|trash') OR list_has_any(list_transform(regexp_extract_all(lower(text), '#([\\p{{L}}\\p{{N}}_]+)', 1), lambda t: replace(t, '_', '')), ['abc']))"
 BOOK.add("preview_counts", lambda s, d: A.preview(posts(s, d), NEEDLES, TAGS, FROM)[0], f"{CAND} SELECT platform, count(DISTINCT post_id) AS n FROM h GROUP BY ALL")

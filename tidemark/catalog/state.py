@@ -53,8 +53,8 @@ def agg_sql(bucket: str, keys: str, measures: list[str] | str, source: str = "e"
 AGG_SQL = {
     **{f"agg_topic_{b}": agg_sql(b, "sentiment, content_type", ["posts", "engagement", "engagement_known_posts"]) for b in BUCKET_SQL},
     "agg_topic_uniq_1h": agg_sql("1h", "", ["authors"], "(SELECT * FROM e WHERE sign = 1)"),
-    "agg_issue_1h": agg_sql("1h", "issue", ["mentions", "engagement"], "(SELECT *, unnest(issues) AS issue FROM e)"),
-    "agg_author_1d": agg_sql("1d", "author_id", AUTHOR_SQL),
+    "agg_issue_1h": agg_sql("1h", "issue, sentiment", ["mentions", "engagement"], "(SELECT *, unnest(issues) AS issue FROM e)"),
+    "agg_author_1d": agg_sql("1d", "author_id, sentiment", AUTHOR_SQL),
     "agg_reposted_author_1d": agg_sql("1d", "parent_author_id", f"sum(CASE WHEN {REPOST} THEN sign ELSE 0 END)::BIGINT AS reposts, {newest_sql('parent_author_handle', 'handle')}", "(SELECT * FROM e WHERE parent_author_id IS NOT NULL)"),
     "agg_geo_1d": agg_sql("1d", "coalesce(geo_region_code, '') AS region", ["posts", "engagement"]),
     "agg_author_age_1d": agg_sql("1d", "coalesce(author_created_year, 0) AS year", ["authors"], "(SELECT * FROM e WHERE sign = 1)"),

@@ -7,8 +7,9 @@ rows just add to their bucket. Keys are never null: an unknown region is '', an
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import REPLIES, REPOSTS
@@ -67,8 +68,8 @@ SKETCH = {"authors": lambda: F.hll_sketch_agg("author_id")}
 TABLES = {
     **{f"agg_topic_{b}": Table(b, {"sentiment": "sentiment", "content_type": "content_type"}, KNOWN) for b in BUCKETS},
     "agg_topic_uniq_1h": Table("1h", {}, SKETCH, where="sign = 1"),
-    "agg_issue_1h": Table("1h", {"issue": "item"}, MENTIONS, explode="issues"),
-    "agg_author_1d": Table("1d", {"author_id": "author_id"}, AUTHOR),
+    "agg_issue_1h": Table("1h", {"issue": "item", "sentiment": "sentiment"}, MENTIONS, explode="issues"),
+    "agg_author_1d": Table("1d", {"author_id": "author_id", "sentiment": "sentiment"}, AUTHOR),
     "agg_reposted_author_1d": Table("1d", {"parent_author_id": "parent_author_id"}, {"reposts": lambda: of_type(REPOSTS), "handle": lambda: newest("parent_author_handle")}, where="parent_author_id is not null"),
     "agg_geo_1d": Table("1d", {"region": GEO}),
     "agg_author_age_1d": Table("1d", {"year": YEAR}, SKETCH, where="sign = 1"),
@@ -93,10 +94,28 @@ def build(events: DataFrame, name: str) -> DataFrame:
     return events.groupBy(*COMMON, *keys, bucket).agg(*[m().alias(n) for n, m in t.measures.items()])
 
 
+#: Tables whose parts add up: sums and sketches, no newest values.
+STORED = [n for n, t in TABLES.items() if not {"handle", "followers"} & set(t.measures)]
+
+
 def merge(parts: DataFrame, name: str) -> DataFrame:
-    """Rows of several builds of a table of sums as one table."""
+    """Rows of several builds of a table of STORED as one table."""
     keys = [*COMMON, *TABLES[name].keys, "bucket"]
-    return parts.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in TABLES[name].measures])
+    return parts.groupBy(*keys).agg(*[(F.hll_union_agg if m == "authors" else F.sum)(m).alias(m) for m in TABLES[name].measures])
+
+
+def write(events: DataFrame, path: str, names: list[str] | None = None, part: str = "0") -> None:
+    """Add the aggregates of these events to the tables below ``path``, by month; the same ``part`` again replaces itself."""
+    for name in names or STORED:
+        rows = build(events, name).withColumn("ym", F.date_format("bucket", "yyyyMM").cast("int"))
+        rows.repartition("ym", *COMMON).sortWithinPartitions(*COMMON, "bucket").write.mode("overwrite").partitionBy("ym").parquet(f"{path}/{name}/part={part}")
+
+
+def read_stored(spark: SparkSession, path: str, name: str, start: datetime, end: datetime) -> DataFrame:
+    """A stored table's months from ``start`` to ``end``; parts are added up."""
+    ym = lambda t: t.year * 100 + t.month
+    parts = spark.read.parquet(f"{path}/{name}").filter(F.col("ym").between(ym(start), ym(end)))
+    return merge(parts, name)
 
 
 def media_items(events: DataFrame) -> DataFrame:

@@ -10,16 +10,17 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregates import build
+from tidemark.operators.aggregates import STORED, build, read_stored
 from tidemark.operators.state import POST_KEY, latest_per_key, topic_matches
 from tidemark.schemas import EMOTIONS, REPLIES, REPOSTS, SENTIMENTS, UNKNOWN
 
 #: A series has at most so many buckets.
 MOST_BUCKETS = 2000
 
+#: Fixed value: rows of an export; beyond it ``truncated`` is set.
 MOST_EXPORTED = 50_000
 
 
@@ -48,6 +49,13 @@ class Filter:
         return F.col(column).between(F.lit(self.start), F.lit(self.end))
 
 
+    def raw(self, daily: bool) -> Column:
+        """The times that the buckets within may hold, for the scan of raw events."""
+        floor = {"minute": 0, "second": 0, "microsecond": 0} | ({"hour": 0} if daily else {})
+        end = self.end.replace(**floor) + (timedelta(days=1) if daily else timedelta(hours=1))
+        return (F.col("published_at") >= F.lit(self.start.replace(**floor))) & (F.col("published_at") < F.lit(end))
+
+
 def rounded(x: Column, places: int) -> Column:
     k = 10**places
     return F.floor(x * k + 0.5) / k
@@ -58,33 +66,37 @@ def pct(part: Column, whole: Column, places: int) -> Column:
 
 
 class Tables:
-    """Aggregate tables of one event stream, built when first asked for."""
+    """Aggregate tables of one event stream: stored ones (``aggregates.write``) where a folder is given, else built when asked for."""
 
-    def __init__(self, events: DataFrame):
-        self.events = events
+    def __init__(self, events: DataFrame, stored: str | None = None):
+        self.events, self.stored = events, stored
 
     def read(self, name: str, f: Filter) -> DataFrame:
-        return build(self.events.filter(f.scope()), name).filter(f.within("bucket", name.endswith("_1d")))
+        daily = name.endswith("_1d")
+        if self.stored and name in STORED:
+            rows = read_stored(self.events.sparkSession, self.stored, name, f.start, f.end).filter(f.scope())
+        else:
+            rows = build(self.events.filter(f.scope() & f.raw(daily)), name)
+        return rows.filter(f.within("bucket", daily))
 
 
-def spine(spark: SparkSession, f: Filter, grain: str) -> DataFrame:
-    """Every bucket from the start's to the end, MOST_BUCKETS at most."""
+def buckets(f: Filter, grain: str) -> Column:
+    """Every bucket from the start's to the end, MOST_BUCKETS at most, as an array."""
     if grain == "1h":
         first = f.start.replace(minute=0, second=0, microsecond=0)
-        n = int((f.end - first).total_seconds() // 3600)
-        return spark.range(min(n + 1, MOST_BUCKETS)).select((F.lit(first) + F.make_interval(hours=F.col("id").cast("int"))).alias("bucket"))
-    n = (f.end.date() - f.start.date()).days
-    return spark.range(min(n + 1, MOST_BUCKETS)).select(F.date_add(F.lit(f.start.date()), F.col("id").cast("int")).alias("bucket"))
+        n = min(int((f.end - first).total_seconds() // 3600), MOST_BUCKETS - 1)
+        return F.sequence(F.lit(first), F.lit(first + timedelta(hours=n)), F.expr("interval 1 hour"))
+    n = min((f.end.date() - f.start.date()).days, MOST_BUCKETS - 1)
+    return F.sequence(F.lit(f.start.date()), F.lit(f.start.date() + timedelta(days=n)), F.expr("interval 1 day"))
 
 
 def series(rows: DataFrame, f: Filter, grain: str, keys: list[str] | None = None) -> DataFrame:
-    """(key, bucket, n) with every bucket of every key; keys are those given, or those that the rows have."""
-    spark = rows.sparkSession
-    rows = rows.filter("n <> 0")
-    names = spark.createDataFrame([(k,) for k in keys], "key string") if keys else rows.select("key").distinct()
-    # both sides are bounded: a few keys, and MOST_BUCKETS buckets
-    grid = spine(spark, f, grain).crossJoin(F.broadcast(names))
-    return grid.join(rows, ["key", "bucket"], "left").select("key", "bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """(key, bucket, n) with every bucket of every key; keys are those given, or those that the rows have. The rows are read once."""
+    per = rows.filter("n <> 0").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("long")))).alias("known"))  # MOST_BUCKETS at most
+    if keys:
+        per = rows.sparkSession.createDataFrame([(k,) for k in keys], "key string").join(per, "key", "left")
+    each = per.select("key", "known", F.explode(buckets(f, grain)).alias("bucket"))
+    return each.select("key", "bucket", F.coalesce(F.try_element_at("known", F.col("bucket")), F.lit(0).cast("long")).alias("n"))
 
 
 def exposure(t: Tables, f: Filter, mode: str = "posts") -> DataFrame:
@@ -132,8 +144,9 @@ def average_engagement(t: Tables, f: Filter) -> DataFrame:
     return total.withColumn("average", F.when(F.col("posts") > 0, F.floor(F.col("engagement") / F.col("posts") + 0.5).cast("long")))
 
 
-def merged_newest(name: str, over: str) -> Column:
-    return F.max_by(name, F.when(F.col(name).isNotNull(), F.struct("bucket", over)))
+def merged_newest(name: str) -> Column:
+    """The value of the newest bucket that has one; within a bucket the largest."""
+    return F.max_by(name, F.when(F.col(name).isNotNull(), F.struct("bucket", F.col(name).alias("value"))))
 
 
 def top(rows: DataFrame, by: str, tie: list[str], k: int) -> DataFrame:
@@ -141,8 +154,8 @@ def top(rows: DataFrame, by: str, tie: list[str], k: int) -> DataFrame:
 
 
 def reposted_accounts(t: Tables, f: Filter, k: int = 20) -> DataFrame:
-    rows = t.read("agg_reposted_author_1d", f).groupBy("parent_author_id").agg(F.sum("reposts").alias("reposts"), F.max("handle").alias("handle"))
-    return top(rows, "reposts", ["parent_author_id"], k)
+    rows = t.read("agg_reposted_author_1d", f).groupBy("platform", "parent_author_id").agg(F.sum("reposts").alias("reposts"), merged_newest("handle").alias("handle"))
+    return top(rows, "reposts", ["platform", "parent_author_id"], k)
 
 
 def activity_heatmap(t: Tables, f: Filter, zone: str = "Asia/Jakarta") -> DataFrame:
@@ -182,14 +195,17 @@ def model_versions(t: Tables, f: Filter, k: int = 10) -> DataFrame:
 
 
 def hashtags(t: Tables, f: Filter, k: int = 20, sentiment: str | None = None) -> DataFrame:
-    rows = t.read("agg_hashtag_1d", f)
-    if sentiment:
-        rows = rows.filter(F.col("sentiment") == sentiment)
+    rows = of_sentiment(t.read("agg_hashtag_1d", f), sentiment)
     return top(rows.groupBy("hashtag").agg(F.sum("posts").alias("count"), F.sum("engagement").alias("engagement")), "count", ["hashtag"], k)
 
 
-def issues(t: Tables, f: Filter, k: int = 20, by: str = "count") -> DataFrame:
-    rows = t.read("agg_issue_1h", f).groupBy("issue").agg(F.sum("mentions").alias("count"), F.sum("engagement").alias("engagement")).filter("count > 0")
+def of_sentiment(rows: DataFrame, sentiment: str | None) -> DataFrame:
+    return rows.filter(F.col("sentiment") == sentiment) if sentiment else rows
+
+
+def issues(t: Tables, f: Filter, k: int = 20, by: str = "count", sentiment: str | None = None) -> DataFrame:
+    rows = of_sentiment(t.read("agg_issue_1h", f), sentiment)
+    rows = rows.groupBy("issue").agg(F.sum("mentions").alias("count"), F.sum("engagement").alias("engagement")).filter("count > 0")
     return rows.orderBy(F.desc(by), F.desc("count"), "issue").limit(k)
 
 
@@ -200,10 +216,12 @@ def issue_delta(t: Tables, f: Filter, k: int = 20) -> DataFrame:
     return both.withColumn("change_pct", F.when(F.col("previous") > 0, rounded((F.col("count") - F.col("previous")) * 100 / F.col("previous"), 0)))
 
 
-def top_accounts(t: Tables, f: Filter, by: str = "posts", k: int = 20) -> DataFrame:
+def top_accounts(t: Tables, f: Filter, by: str = "posts", k: int = 20, sentiment: str | None = None) -> DataFrame:
+    """Accounts of a platform: the same id on another platform is another account."""
     sums = [F.sum(c).alias(c) for c in ("posts", "replies", "reposts", "engagement")]
-    last = [merged_newest(c, "platform").alias(c) for c in ("handle", "followers")]
-    return top(t.read("agg_author_1d", f).groupBy("author_id").agg(*sums, *last), by, ["author_id"], k)
+    last = [merged_newest(c).alias(c) for c in ("handle", "followers")]
+    rows = of_sentiment(t.read("agg_author_1d", f), sentiment)
+    return top(rows.groupBy("platform", "author_id").agg(*sums, *last), by, ["platform", "author_id"], k)
 
 
 def locations(t: Tables, f: Filter, regions: DataFrame | None = None) -> DataFrame:
@@ -215,24 +233,26 @@ def locations(t: Tables, f: Filter, regions: DataFrame | None = None) -> DataFra
 
 
 def summary(t: Tables, f: Filter) -> DataFrame:
-    """This period and the one before in one row each, with the change of this one in per cent."""
-
-    def one(x: Filter, name: str) -> DataFrame:
-        posts = t.read("agg_topic_1d", x).agg(
-            F.coalesce(F.sum("posts"), F.lit(0)).alias("posts"),
-            F.coalesce(F.sum("engagement"), F.lit(0)).alias("engagement"),
-            F.coalesce(F.sum(F.when(F.col("sentiment") == "negative", F.col("posts"))), F.lit(0)).alias("negative"),
-            F.coalesce(F.sum(F.when(F.col("sentiment") == "positive", F.col("posts"))), F.lit(0)).alias("positive"),
-        )
-        authors = t.read("agg_author_1d", x).filter("posts <> 0").agg(F.count_distinct("author_id").alias("authors"))
-        return posts.crossJoin(authors).withColumn("period", F.lit(name))
-
-    both = one(f, "current").unionByName(one(f.previous(), "previous"))
-    order = Window.partitionBy().orderBy(F.desc("period"))  # two rows
+    """This period and the one before in one row each, with the change of this one in per cent. Each table is read once for both."""
+    before = f.previous()
+    whole = replace(f, start=before.start)
+    periods = {"current": f.within("bucket", True), "previous": before.within("bucket", True)}
+
+    def cells(name: str, value: Column) -> list[Column]:
+        return [F.coalesce(F.sum(F.when(cond, value)), F.lit(0)).cast("long").alias(f"{p}_{name}") for p, cond in periods.items()]
+
+    of = lambda s: F.when(F.col("sentiment") == s, F.col("posts"))
+    posts = t.read("agg_topic_1d", whole).agg(*cells("posts", F.col("posts")), *cells("engagement", F.col("engagement")), *cells("negative", of("negative")), *cells("positive", of("positive")))
+    # an author's sentiments of a day first come together, so that posts that cancel out don't count
+    daily = t.read("agg_author_1d", whole).groupBy("platform", "author_id", "bucket").agg(F.sum("posts").alias("posts")).filter("posts <> 0")
+    authors = daily.agg(*[F.count_distinct(F.when(cond, F.col("author_id"))).alias(f"{p}_authors") for p, cond in periods.items()])
+    names = ["posts", "engagement", "negative", "positive", "authors"]
+    row = posts.crossJoin(authors)  # one row each
+    both = row.select(F.explode(F.array(*[F.struct(F.lit(p).alias("period"), *[F.col(f"{p}_{c}").alias(c) for c in names], *[F.col(f"previous_{c}").alias(f"old_{c}") for c in names]) for p in periods])).alias("r")).select("r.*")
     for c in ("posts", "engagement", "authors"):
-        before = F.lag(c).over(order)
-        both = both.withColumn(f"{c}_delta_pct", F.when(before != 0, rounded((F.col(c) - before) * 100 / before, 1)))
-    return both
+        old = F.when(F.col("period") == "current", F.col(f"old_{c}"))
+        both = both.withColumn(f"{c}_delta_pct", F.when(old != 0, rounded((F.col(c) - old) * 100 / old, 1)))
+    return both.drop(*[f"old_{c}" for c in names])
 
 
 def psychography(t: Tables, f: Filter) -> DataFrame:
@@ -287,46 +307,70 @@ def ordered(df: DataFrame, sort: str) -> DataFrame:
     return df.orderBy(*first, "platform", "post_id")
 
 
+def newest_of(rows: DataFrame, page: DataFrame, version: str) -> DataFrame:
+    """The newest row of each post on a page: rows of other posts drop out before the window."""
+    return latest_per_key(rows.join(page.select(*POST_KEY), POST_KEY, "left_semi"), POST_KEY, [version])
+
+
+def placed(df: DataFrame, sort: str, start: int = 0) -> DataFrame:
+    """A page with each row's place from ``start`` + 1, in order: a join above a limit keeps no order."""
+    first = [F.desc("engagement"), F.desc("published_at")] if sort == "engagement" else [F.desc("published_at")]
+    order = Window.partitionBy().orderBy(*first, *POST_KEY)  # the rows of one page
+    return df.withColumn("place", F.row_number().over(order) + start)
+
+
 def feed(events: DataFrame, posts: DataFrame, f: Filter, what: Feed = Feed(), sort: str = "latest", limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of matches with their posts: the limit stands below the join."""
-    page = ordered(feed_matches(events, f, what), sort).offset(offset).limit(limit)
-    page = page.select("platform", "post_id", "published_at", "sentiment", "emotion", "engagement", "author_handle")
-    newest = latest_per_key(posts, POST_KEY, ["version"]).select(*POST_KEY, "text", "lang")
-    return ordered(page.join(newest, POST_KEY, "left"), sort)
+    """A page of matches with their posts, in order of ``place``: the limit stands below the join."""
+    page = placed(ordered(feed_matches(events, f, what), sort).offset(offset).limit(limit), sort, offset)
+    page = page.select("place", "platform", "post_id", "published_at", "sentiment", "emotion", "engagement", "author_handle")
+    newest = newest_of(posts, F.broadcast(page), "version").select(*POST_KEY, "text", "lang")
+    return page.join(newest, POST_KEY, "left").orderBy("place")
 
 
 def feed_count(events: DataFrame, f: Filter, what: Feed = Feed()) -> DataFrame:
     return feed_matches(events, f, what).agg(F.count("*").alias("n"))
 
 
-def gallery(events: DataFrame, posts: DataFrame, f: Filter, types: tuple[str, ...] = ("image", "video"), limit: int = 24) -> DataFrame:
-    """Posts with media, newest first. One row more than the limit tells whether there are more; https media only, 4 at most."""
-    media = F.from_json("media", "array<struct<type:string,url:string,thumb:string>>")
-    having = posts.filter("media is not null").withColumn("m", media).filter(F.exists("m", lambda x: x["type"].isin(*types)))
-    having = latest_per_key(having, POST_KEY, ["version"]).select(*POST_KEY, F.substring("text", 1, 280).alias("text"), "m")
-    now = feed_matches(events, f, Feed()).select(*POST_KEY, "published_at", "engagement")
-    page = now.join(having.select(*POST_KEY), POST_KEY, "left_semi").join(having, POST_KEY)
-    page = page.orderBy(F.desc("published_at"), *POST_KEY).limit(limit + 1)
-    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("published_at"), *POST_KEY))  # limit + 1 rows
-    page = page.withColumn("place", place).withColumn("has_more", F.max("place").over(Window.partitionBy()) > limit).filter(F.col("place") <= limit)
-    kept = F.slice(F.filter("m", lambda x: x["url"].startswith("https://")), 1, 4)
-    page = page.withColumn("urls", F.array_join(F.transform(kept, lambda x: x["url"]), " "))
-    return page.filter("urls <> ''").select(*POST_KEY, "published_at", "engagement", "text", "urls", "has_more")
+#: What a media filter lets through.
+MEDIA_TYPES = {"image": ("image", "gif"), "video": ("video",)}
+
+
+def gallery(events: DataFrame, posts: DataFrame, f: Filter, what: Feed = Feed(), media: str | None = None, sort: str = "engagement", limit: int = 24, offset: int = 0) -> DataFrame:
+    """A page of matches whose newest post has media (of a type, if asked for), in order of ``place``.
+
+    One row more than the limit tells whether there are more. Of the media, https ones are shown, 4 at most; a page's
+    posts without any are left out. Unknown engagement is null.
+    """
+    now = feed_matches(events, f, what).select(*POST_KEY, "published_at", "sentiment", "engagement", "engagement_known", "author_handle")
+    newest = newest_of(posts, now, "version").withColumn("m", F.from_json("media", "array<struct<type:string,url:string,thumb:string>>"))
+    # the newest version decides: filters on media stand above it
+    having = newest.filter(F.size("m") > 0)
+    if media:
+        having = having.filter(F.exists("m", lambda x: x["type"].isin(*MEDIA_TYPES[media])))
+    rows = now.join(having.select(*POST_KEY, F.substring("text", 1, 280).alias("text"), "m"), POST_KEY)
+    page = placed(ordered(rows, sort).offset(offset).limit(limit + 1), sort)
+    page = page.withColumn("has_more", F.max("place").over(Window.partitionBy()) > limit).filter(F.col("place") <= limit)
+    https = lambda c: F.coalesce(c.startswith("https://"), F.lit(False))
+    shown = F.transform(F.slice(F.filter("m", lambda x: https(x["url"])), 1, 4), lambda x: F.struct(F.coalesce(x["type"], F.lit("image")).alias("type"), x["url"].alias("url"), F.when(https(x["thumb"]), x["thumb"]).alias("thumb")))
+    page = page.withColumn("media", shown).withColumn("engagement", F.when(F.col("engagement_known") == 1, F.col("engagement")))
+    return page.filter(F.size("media") > 0).select("place", *POST_KEY, "published_at", "sentiment", "engagement", "author_handle", "text", "media", "has_more").orderBy("place")
 
 
-def export_rows(events: DataFrame, posts: DataFrame, snapshots: DataFrame, f: Filter, what: Feed = Feed()) -> DataFrame:
-    """Matches with their posts and each post's newest metrics."""
-    page = ordered(feed_matches(events, f, what), "latest").limit(MOST_EXPORTED)
-    page = page.select("platform", "post_id", "published_at", "sentiment", "engagement", "author_handle")
-    newest = latest_per_key(posts, POST_KEY, ["version"]).select(*POST_KEY, "text")
-    metrics = snapshots.groupBy(*POST_KEY).agg(*[F.max_by(c, "captured_at").alias(c) for c in ("likes", "comments", "views")])
-    return page.join(newest, POST_KEY, "left").join(metrics, POST_KEY, "left")
+def export_rows(events: DataFrame, posts: DataFrame, snapshots: DataFrame, f: Filter, what: Feed = Feed(), most: int = MOST_EXPORTED) -> DataFrame:
+    """Matches with their posts and each post's newest metrics, newest first by ``place``; ``truncated`` if there were more than ``most``."""
+    page = placed(ordered(feed_matches(events, f, what), "latest").limit(most + 1), "latest")
+    page = page.withColumn("truncated", F.max("place").over(Window.partitionBy()) > most).filter(F.col("place") <= most)
+    shown = ["content_type", "author_handle", "author_followers", "engagement", "engagement_known", "sentiment", "emotion", "issues", "hashtags"]
+    page = page.select("place", "truncated", *POST_KEY, "published_at", *shown)
+    newest = newest_of(posts, page, "version").select(*POST_KEY, "text", "lang")
+    metrics = newest_of(snapshots, page, "captured_at").select(*POST_KEY, "likes", "comments", "shares", "views")
+    return page.join(newest, POST_KEY, "left").join(metrics, POST_KEY, "left").orderBy("place")
 
 
 def needle_search(posts: DataFrame, needles: list[str], tags: list[str]) -> Column:
     """Any of the needles in the text, whatever the case, or any of the hashtags."""
     text = F.lower("text")
-    found = reduce(lambda a, b: a | b, [text.contains(n.lower()) for n in needles[:250]])
+    found = reduce(lambda a, b: a | b, [text.contains(n.lower()) for n in needles])
     return found | F.arrays_overlap(F.transform(F.regexp_extract_all(text, F.lit(r"#([\p{L}\p{N}_]+)"), F.lit(1)), lambda t: F.replace(t, F.lit("_"), F.lit(""))), F.array(*map(F.lit, [t.lower() for t in tags]))) if tags else found
 
 

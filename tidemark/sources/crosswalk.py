@@ -87,14 +87,16 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         "concat('u', user_id) as author_id",
         "cast(ts as timestamp) as published_at",
-        """case when k % 4 = 1 then concat('[{"type":"image","url":"https://m/', doc_id, '"},{"type":"gif","url":"http://m/', doc_id, '"}]') end as media""",
+        """case when k % 4 = 1 then concat('[{"type":"image","url":"https://m/', doc_id, '"},{"type":"gif","url":"http://m/', doc_id, '"}]')
+          when k % 8 = 3 then concat('[{"type":"video","url":"https://v/', doc_id, '","thumb":"https://t/', doc_id, '"}]') when k % 8 = 7 then '[]' end as media""",
         "case when k % 6 = 0 then null else k % 6 = 1 end as is_ad",
         "source as source_connector",
     )
 
 
 POSTS_SQL = """p AS (SELECT event_type AS platform, doc_id::VARCHAR AS post_id, version, CASE WHEN version = 2 THEN text || ' v2' ELSE text END AS text, lang, 'u' || user_id AS author_id,
-  ts AS published_at, CASE WHEN k % 4 = 1 THEN '[{"type":"image","url":"https://m/' || doc_id || '"},{"type":"gif","url":"http://m/' || doc_id || '"}]' END AS media,
+  ts AS published_at, CASE WHEN k % 4 = 1 THEN '[{"type":"image","url":"https://m/' || doc_id || '"},{"type":"gif","url":"http://m/' || doc_id || '"}]'
+    WHEN k % 8 = 3 THEN '[{"type":"video","url":"https://v/' || doc_id || '","thumb":"https://t/' || doc_id || '"}]' WHEN k % 8 = 7 THEN '[]' END AS media,
   CASE WHEN k % 6 = 0 THEN NULL ELSE k % 6 = 1 END AS is_ad, source AS source_connector
   FROM (SELECT *, unnest(CASE WHEN doc_id % 10 = 0 THEN [1, 2] ELSE [1] END) AS version FROM documents JOIN (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events) ev ON doc_id = event_id)),
 pl AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY platform, post_id ORDER BY version DESC) AS rn FROM p) WHERE rn = 1)"""
