@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import events
-from tidemark.operators import aggregates, analytics, enrich, evalkit, ops, routing, state
+from tidemark.operators import aggregates, analytics, enrich, evalkit, ops, state
 from tidemark.sources import items
 
 F1 = analytics.Filter("A", "T", datetime(2026, 9, 27, 0, 0), datetime(2026, 9, 27, 23, 0))
@@ -33,7 +33,9 @@ def test_aggregates_after_a_correction(spark):
     day = aggregates.build(stream(spark), "agg_topic_1d").agg(F.sum("engagement_known_posts"), F.sum("engagement")).first()
     assert tuple(day) == (2, 20)
     assert table(spark, "agg_hashtag_1d", "hashtag", "sentiment", "posts") == {("citydemo", "negative", 0), ("citydemo", "positive", 2)}
-    assert table(spark, "agg_author_1d", "author_id", "posts", "replies", "reposts", "followers") == {("a1", 1, 1, 0, 150), ("a2", 0, 0, 1, 100)}
+    sums = analytics.top_accounts(analytics.Tables(stream(spark)), F1, "engagement").select("author_id", "posts", "replies", "reposts", "followers").collect()
+    assert {tuple(r) for r in sums} == {("a1", 1, 1, 0, 150), ("a2", 0, 0, 1, 100)}
+    assert {("negative", 0), ("positive", 1)} <= table(spark, "agg_author_1d", "sentiment", "posts") and table(spark, "agg_issue_1h", "issue", "sentiment", "mentions") == {("town hall", "negative", 0), ("town hall", "positive", 1)}
     assert table(spark, "agg_reposted_author_1d", "parent_author_id", "reposts", "handle") == {("orig", 1, "Origin")}
     assert table(spark, "agg_geo_1d", "region", "posts") == {("", 2), ("31", 1)}
     assert ("male", "positive", 2) in table(spark, "agg_psycho_gender_1d", "author_gender", "sentiment", "posts")
@@ -102,10 +104,85 @@ def test_volume_spike(spark, now_posts, before, factor):
 
 
 def test_cost_split(spark):
-    runs = spark.createDataFrame([("r", 0.4), ("e", 1.0)], "run_id string, cost double")
-    weights = spark.createDataFrame([("r", "A", 30), ("r", "B", 10), ("e", "A", 0), ("e", "B", 0), ("e", "C", 0)], "run_id string, tenant_id string, matches long")
-    got = {(r.run_id, r.tenant_id): r.share for r in ops.allocate_cost(runs, weights).collect()}
-    assert got == {("r", "A"): 0.3, ("r", "B"): 0.1, ("e", "A"): 0.333333333, ("e", "B"): 0.333333333, ("e", "C"): 0.333333334}
+    runs = spark.createDataFrame([("r", 4.0, 42.0, 0.4), ("e", 1.0, 0.0, 1.0)], "run_id string, requests double, results double, cost double")
+    weights = spark.createDataFrame([("r", "A", 30), ("r", "B", 10), ("r", "C", 0), ("e", "A", 0), ("e", "B", 0), ("e", "C", 0)], "run_id string, tenant_id string, matches long")
+    got = {(r.run_id, r.tenant_id): (r.basis, r.requests, r.results, r.cost) for r in ops.allocate(runs, weights, ["requests", "results", "cost"]).collect()}
+    assert got.pop(("r", "A")) == ("matches", 3.0, 31.5, 0.3) and got.pop(("r", "B")) == ("matches", 1.0, 10.5, 0.1)
+    assert {k: v[3] for k, v in got.items()} == {("e", "A"): 0.333333333, ("e", "B"): 0.333333333, ("e", "C"): 0.333333334}
+    assert {v[0] for v in got.values()} == {"even_split"}
+
+
+@pytest.mark.parametrize("runs, want", [([(0, 60, None)], 300), ([(0, 60, None), (0, 60, None)], 5), ([(60, 30, None), (60, 30, None)], 180), ([(5, 30, 5), (0, 3000, 5)], 20), ([(3, 30, 5), (0, 3000, 5)], 5), ([(0, 0, None), (9, 60, None)], 300)])
+def test_adaptive_items(spark, runs, want):
+    rows = spark.createDataFrame([("k", i, *r) for i, r in enumerate(runs)], "plan string, at int, items_new int, window_min int, max_items int")
+    assert ops.adaptive_most(rows, ["plan"], F.asc("at"), 1800).first().max_items == want
+
+
+def test_percentiles_take_the_floor_index(spark):
+    rows = spark.createDataFrame([("k", v) for v in [10, 20, 30, 40]] + [("one", 7), ("ties", 1), ("ties", 1), ("ties", 2)], "k string, v int")
+    got = {r.k: (r.n, r.p50, r.p95) for r in ops.percentiles(rows, "v", ["k"], [50, 95]).collect()}
+    assert got == {"k": (4, 30, 40), "one": (1, 7, 7), "ties": (3, 1, 2)}
+
+
+def test_health_labels(spark):
+    rows = [("good", "success", 10)] * 10 + [("slow", "success", 800)] * 10 + [("bad", "success", 10)] * 3 + [("bad", "failed", 10)] * 7 + [("none", None, None)] + [("down", "failed", 5)]
+    got = {r.k: (r.score, r.label) for r in ops.health(spark.createDataFrame(rows, "k string, status string, latency int"), ["k"], 200.0).collect()}
+    assert got == {"good": (100, "healthy"), "slow": (50, "degraded"), "bad": (30, "unhealthy"), "none": (None, "unknown"), "down": (0, "unhealthy")}
+
+
+def test_accounts_of_two_platforms_stay_apart(spark):
+    rows = events(spark, {"post_id": "1"}, {"post_id": "2", "platform": "y"}, {"post_id": "3", "platform": "y", "sentiment": "positive"})
+    got = analytics.top_accounts(analytics.Tables(rows), F1)
+    assert {(r.platform, r.author_id, r.posts) for r in got.collect()} == {("x", "a1", 1), ("y", "a1", 2)}
+    assert {(r.platform, r.posts) for r in analytics.top_accounts(analytics.Tables(rows), F1, sentiment="positive").collect()} == {("y", 1)}
+
+
+POSTS = "platform string, post_id string, version int, text string, lang string, media string"
+
+
+def test_gallery_shows_the_newest_version(spark):
+    gif = '[{"type":"gif","url":"https://g","thumb":"http://t"},{"type":"image","url":"http://no"}]'
+    posts = spark.createDataFrame([("x", "p1", 1, "old", "en", gif), ("x", "p1", 2, "new", "en", "[]"), ("x", "p2", 1, "gif", "en", gif), ("x", "p3", 1, "plain", "en", None)], POSTS)
+    rows = events(spark, {"post_id": "p1"}, {"post_id": "p2", "engagement_known": 0}, {"post_id": "p3"})
+    got = analytics.gallery(rows, posts, F1, media="image").collect()
+    assert [(r.post_id, r.engagement, r.has_more, [tuple(m) for m in r.media]) for r in got] == [("p2", None, False, [("gif", "https://g", None)])]
+    assert analytics.gallery(rows, posts, F1, media="video").count() == 0
+
+
+def test_exports_are_in_order_and_say_what_is_cut(spark):
+    rows = events(spark, *[{"post_id": f"p{i}", "published_at": datetime(2026, 9, 27, i)} for i in range(6)])
+    posts = spark.createDataFrame([("x", f"p{i}", 1, str(i), "en", None) for i in range(6)], POSTS)
+    snaps = spark.createDataFrame([("x", "p5", datetime(2026, 9, 28), 1, None, 2, 3), ("x", "p5", datetime(2026, 9, 27), 9, 9, 9, 9)], "platform string, post_id string, captured_at timestamp, likes long, comments long, shares long, views long")
+    got = analytics.export_rows(rows, posts, snaps, F1, most=4).collect()
+    assert [(r.place, r.post_id, r.truncated) for r in got] == [(i + 1, f"p{5 - i}", True) for i in range(4)]
+    assert (got[0].likes, got[0].comments, got[0].shares) == (1, None, 2)
+    assert not analytics.export_rows(rows, posts, snaps, F1).first().truncated
+
+
+def test_a_refresh_writes_followers_on_both_rows(spark):
+    rows = events(spark, {"post_id": "p1"}, {"post_id": "p2"}, {"post_id": "p3"})
+    snaps = spark.createDataFrame(
+        [("x", "p1", datetime(2026, 9, 28), 12, 150), ("x", "p2", datetime(2026, 9, 28), None, 150), ("x", "p3", datetime(2026, 9, 28), 10, 100)], "platform string, post_id string, captured_at timestamp, likes long, author_followers long"
+    ).selectExpr("*", *[f"cast(null as bigint) as {c}" for c in ("comments", "shares", "quotes", "saves")])
+    got = {(r.post_id, r.sign, r.engagement, r.author_followers) for r in state.refreshed(rows, snaps).collect()}
+    assert got == {("p1", -1, 10, 150), ("p1", 1, 12, 150), ("p2", -1, 10, 150), ("p2", 1, 10, 150)}
+
+
+def test_stored_aggregates(spark, tmp_path):
+    e = stream(spark)
+    aggregates.write(e.filter("seq = 0"), str(tmp_path), part="a")
+    aggregates.write(e.filter("seq <> 0"), str(tmp_path), part="b")
+    aggregates.write(e.filter("seq <> 0"), str(tmp_path), part="b")
+    stored, built = analytics.Tables(e, str(tmp_path)), analytics.Tables(e)
+    for name in aggregates.STORED:
+        a, b = stored.read(name, F1), built.read(name, F1)
+        if "authors" in b.columns:
+            a, b = a.withColumn("authors", F.hll_sketch_estimate("authors")), b.withColumn("authors", F.hll_sketch_estimate("authors"))
+        assert a.select(*b.columns).exceptAll(b).count() == b.exceptAll(a.select(*b.columns)).count() == 0
+    plan = stored.read("agg_topic_1h", F1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ym" in plan and "tenant_id" in plan.split("PushedFilters")[1][:120]
+    raw = built.read("agg_topic_1h", F1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "published_at" in raw and ">=" in raw
 
 
 def test_evaluation(spark):
@@ -143,10 +220,3 @@ def test_items_without_required_fields_go(spark, tmp_path):
     (row,) = items.normalized(items.read_items(spark, str(tmp_path))).collect()
     assert (row.post_id, row.author_handle, row.likes, row.comments, row.content_type) == ("1", "budi", 3, None, "post")
     assert str(row.published_at) == "2023-12-31 17:00:00"
-
-
-def test_weighted_draw_follows_weights(spark):
-    n = 4000
-    rows = spark.range(n).selectExpr("id as request", "explode(array(named_struct('c', 'a', 'w', 3), named_struct('c', 'b', 'w', 1), named_struct('c', 's', 'w', 0))) as x", "1 as priority", "cast(null as string) as eliminated_by", "1.0D as cost").selectExpr("request", "x.c as connector", "x.w as weight", "priority", "eliminated_by", "cost")
-    got = {r.connector: r["count"] for r in routing.select_route(rows, ["request"], "weighted").groupBy("connector").count().collect()}
-    assert sum(got.values()) == n and set(got) == {"a", "b"} and abs(got["a"] / n - 0.75) < 0.03

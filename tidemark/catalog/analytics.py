@@ -174,7 +174,7 @@ for _name, _most in (("export_rows", A.MOST_EXPORTED), ("export_rows_truncated",
         lambda s, d, n=_most: A.export_rows(match_events(s, d), posts(s, d), snapshots(s, d), EARLY, most=n).withColumns({c: F.array_join(c, ",") for c in ("issues", "hashtags")}),
         f"""{FM}, ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform, post_id ORDER BY captured_at DESC) AS rn FROM s) WHERE rn = 1),
           page AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, platform, post_id)::INT AS place FROM fm)
-          SELECT place, (SELECT count(*) > {_most} FROM fm) AS truncated, page.platform, page.post_id, page.published_at::VARCHAR AS published_at, content_type, author_handle, author_followers, engagement, engagement_known, sentiment, emotion,
+          SELECT place, (SELECT count(*) > {_most} FROM fm) AS truncated, page.platform, page.post_id, page.published_at::VARCHAR AS published_at, content_type, author_handle, page.author_followers, engagement, engagement_known, sentiment, emotion,
           array_to_string(issues, ',') AS issues, array_to_string(hashtags, ',') AS hashtags, text, lang, likes, comments, shares, views
           FROM page LEFT JOIN pl ON page.platform = pl.platform AND page.post_id = pl.post_id LEFT JOIN ls ON page.platform = ls.platform AND page.post_id = ls.post_id WHERE place <= {_most}""",
     )

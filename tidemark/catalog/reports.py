@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.book import Book
 from tidemark.catalog.state import AGG_SQL
 from tidemark.functions import values
-from tidemark.operators import aggregates, evalkit, ops, routing
+from tidemark.operators import aggregates, evalkit, ops
 from tidemark.operators.state import topic_matches
 from tidemark.sources.crosswalk import EVENTS_SQL, STATE_SQL, match_events
 from tidemark.sources.store import table
@@ -95,13 +95,18 @@ BOOK.add("cost_guard", guarded, f"WITH {R} SELECT tenant_id, strftime(finished_a
 
 def allocated(s, d):
     weights = attempts(s, d).withColumn("tenant_id", F.concat(F.lit("t"), F.col("results") % 4)).groupBy("run_id", "tenant_id").agg(F.sum(F.col("requests") % 3).alias("matches"))
-    return ops.allocate_cost(runs(s, d).select("run_id", F.col("cost").cast("double").alias("cost")), weights).groupBy("tenant_id").agg(F.count("*").alias("runs"), F.floor(F.sum("share") + 0.5).alias("cost"))
+    used = attempts(s, d).groupBy("run_id").agg(*[F.sum(c).cast("double").alias(c) for c in ("requests", "results", "cost")])
+    out = ops.allocate(used, weights, ["requests", "results", "cost"])
+    return out.groupBy("tenant_id", "basis").agg(F.count("*").alias("runs"), *[F.floor(F.sum(c) * 1000 + 0.5).alias(c) for c in ("requests", "results", "cost")])
 
 
+PARTS = ", ".join(f"u.{c}::DOUBLE * n / total AS {c}" for c in ("requests", "results", "cost"))
 BOOK.add(
     "cost_allocation",
     allocated,
-    f"WITH {A}, {R}, w AS (SELECT run_id, 't' || results % 4 AS tenant_id, sum(requests % 3) AS matches FROM a GROUP BY ALL), b AS (SELECT run_id, w.tenant_id, r.cost::DOUBLE AS cost, CASE WHEN sum(matches) OVER (PARTITION BY run_id) > 0 THEN r.cost * matches / sum(matches) OVER (PARTITION BY run_id) ELSE r.cost / count(*) OVER (PARTITION BY run_id) END AS part FROM r JOIN w USING (run_id)) SELECT tenant_id, count(*) AS runs, floor(sum(part) + 0.5)::BIGINT AS cost FROM b GROUP BY tenant_id",
+    f"""WITH {A}, w AS (SELECT run_id, 't' || results % 4 AS tenant_id, sum(requests % 3) AS matches FROM a GROUP BY ALL), u AS (SELECT run_id, sum(requests) AS requests, sum(results) AS results, sum(cost) AS cost FROM a GROUP BY run_id),
+      b AS (SELECT *, sum(n) OVER (PARTITION BY run_id) AS total FROM (SELECT run_id, tenant_id, CASE WHEN every > 0 THEN matches ELSE 1 END AS n, CASE WHEN every > 0 THEN 'matches' ELSE 'even_split' END AS basis FROM (SELECT *, sum(matches) OVER (PARTITION BY run_id) AS every FROM w) WHERE matches > 0 OR every = 0)),
+      z AS (SELECT tenant_id, basis, {PARTS} FROM b JOIN u USING (run_id)) SELECT tenant_id, basis, count(*) AS runs, {", ".join(f"floor(sum({c}) * 1000 + 0.5)::BIGINT AS {c}" for c in ("requests", "results", "cost"))} FROM z GROUP BY ALL""",
 )
 BOOK.add(
     "map_merge_sum",
@@ -111,24 +116,46 @@ BOOK.add(
 BOOK.add("dup_invariant", lambda s, d: ops.duplicates(table(s, d, "lineitem"), ["l_orderkey", "l_partkey"]), "SELECT l_orderkey, l_partkey, count(*) AS c FROM lineitem GROUP BY ALL HAVING c > 1")
 BOOK.add(
     "percentile_health",
-    lambda s, d: ops.health(attempts(s, d), ["connector"], 200.0).drop("rate"),
-    f"WITH {A}, h AS (SELECT connector, count(*) AS n, avg((status = 'success')::INT) AS rate, (quantile_disc(latency, 0.95) FILTER (status = 'success'))::DOUBLE AS p95 FROM a GROUP BY ALL), z AS (SELECT *, floor(100 * rate * least(1.0, 400.0 / p95) + 0.5)::BIGINT AS score FROM h) SELECT connector, n, p95, score, CASE WHEN score >= 80 THEN 'healthy' WHEN score >= 50 THEN 'degraded' ELSE 'unhealthy' END AS label FROM z",
+    lambda s, d: ops.health(attempts(s, d).withColumns({"latency": F.col("latency") + F.col("run_id") % 900, "status": F.expr("case when connector <> 'c3' then case when connector = 'c4' and run_id % 5 > 0 then 'failed' else status end end")}), ["connector"], 200.0).drop("rate"),
+    f"""WITH {A}, x AS (SELECT connector, latency + run_id % 900 AS latency, CASE WHEN connector <> 'c3' THEN CASE WHEN connector = 'c4' AND run_id % 5 > 0 THEN 'failed' ELSE status END END AS status FROM a),
+      h AS (SELECT connector, count(status) AS n, avg((status = 'success')::INT) AS rate, (quantile_disc(latency, 0.95) FILTER (status = 'success'))::DOUBLE AS p95 FROM x GROUP BY ALL), z AS (SELECT *, floor(100 * rate * coalesce(least(1.0, 400.0 / p95), 1.0) + 0.5)::BIGINT AS score FROM h)
+      SELECT connector, n, p95, score, CASE WHEN score IS NULL THEN 'unknown' WHEN score < 40 THEN 'unhealthy' WHEN score >= 80 THEN 'healthy' ELSE 'degraded' END AS label FROM z""",
+)
+BOOK.add(
+    "loadtest_percentiles",
+    lambda s, d: ops.percentiles(attempts(s, d), "latency", ["connector"], [50, 95, 99]),
+    f"WITH {A}, x AS (SELECT connector, latency, row_number() OVER (PARTITION BY connector ORDER BY latency) - 1 AS i, count(*) OVER (PARTITION BY connector) AS n FROM a) SELECT connector, max(n) AS n, {', '.join(f'max(latency) FILTER (i = least(n - 1, floor({p} * n / 100.0))) AS p{p}' for p in (50, 95, 99))} FROM x GROUP BY connector",
 )
-BOOK.add("loadtest_percentiles", lambda s, d: ops.percentiles(attempts(s, d), "latency", ["connector"], [0.5, 0.95, 0.99]), f"WITH {A} SELECT connector, count(*) AS n, quantile_disc(latency, 0.5)::DOUBLE AS p50, quantile_disc(latency, 0.95)::DOUBLE AS p95, quantile_disc(latency, 0.99)::DOUBLE AS p99 FROM a GROUP BY ALL")
 BOOK.add("histogram_metric", lambda s, d: ops.histogram(attempts(s, d), "latency", ["status"], [50, 100, 250, 500]), f"WITH {A} SELECT status, {', '.join(f'count(*) FILTER (latency <= {b}) AS le_{b}' for b in (50, 100, 250, 500))}, count(*) AS count, sum(latency)::BIGINT AS sum FROM a GROUP BY ALL")
 BOOK.add("ratio_rules", lambda s, d: ops.failing(runs(s, d), ["plan_id"], 0.4), f"WITH {R} SELECT plan_id, count(*) AS runs, count(*) FILTER (status = 'failed') AS failed FROM r GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (status = 'failed') > 0.4 * count(*)")
 
 
 def projected(s, d):
-    rows = runs(s, d).groupBy("platform").agg(F.sum("results").alias("used")).withColumns({"per_day": F.col("used") / 10, "most": F.lit(500_000), "period": F.when(F.col("platform") == "p0", "day").otherwise("month")})
+    rows = runs(s, d).groupBy("platform").agg(F.sum("results").alias("used")).withColumns({"per_day": F.when(F.col("platform") != "p3", F.col("used") / 10), "most": F.when(F.col("platform") == "p2", 0).otherwise(500_000), "period": F.when(F.col("platform") == "p0", "day").otherwise("month")})
     return ops.quota_projection(rows, F.lit("2024-02-10").cast("timestamp"))
 
 
-BOOK.add("quota_projection", projected, f"WITH {R}, q AS (SELECT platform, sum(results)::BIGINT AS used, sum(results) / 10 AS per_day, 500000 AS most, CASE WHEN platform = 'p0' THEN 'day' ELSE 'month' END AS period FROM r GROUP BY ALL), z AS (SELECT *, used + per_day * CASE WHEN period = 'day' THEN 1 ELSE 19 END AS projected FROM q) SELECT *, floor(projected * 100 / most * 10 + 0.5) / 10 AS pct FROM z")
+BOOK.add(
+    "quota_projection",
+    projected,
+    f"WITH {R}, q AS (SELECT platform, sum(results)::BIGINT AS used, CASE WHEN platform <> 'p3' THEN sum(results) / 10 END AS per_day, CASE WHEN platform = 'p2' THEN 0 ELSE 500000 END AS most, CASE WHEN platform = 'p0' THEN 'day' ELSE 'month' END AS period FROM r GROUP BY platform), z AS (SELECT *, used + per_day * CASE WHEN period = 'day' THEN 1 ELSE 20 END AS projected FROM q) SELECT *, CASE WHEN projected IS NOT NULL THEN CASE WHEN most > 0 THEN floor(projected * 100 / most + 0.5)::BIGINT ELSE 100 END END AS pct FROM z",
+)
+
+
+def estimated(s, d):
+    plans = "p_partkey as plan_id", "p_size * 60 as interval_s", "p_size % 3 + 1 as queries", "op", "p_size % 4 + op as parts", "case when op = 1 then 2 end as pages", "case when p_size % 5 = 0 then null else p_size * 10 end as matches", "1.5D as overhead"
+    prices = "case when op = 1 then 0.25D end as per_request", "case when p_size % 7 > 0 then 2.0D end as per_thousand", "case when op = 2 then 0.5D end as per_run", "p_size"
+    rows = table(s, d, "part").withColumn("op", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).filter("op <= 2 or p_size % 2 = 0").selectExpr(*plans, *prices)
+    return ops.cost_estimate(rows)
+
+
 BOOK.add(
     "cost_estimate",
-    lambda s, d: ops.cost_estimate(table(s, d, "part").selectExpr("p_partkey as plan_id", "p_size * 60 as interval_s", "p_size % 4 + 1 as pages", "case when p_size % 5 = 0 then null else 20 end as per_page", "0.25D as per_request", "case when p_size % 7 = 0 then null else 2.0D end as per_thousand")).select("plan_id", "requests", "results_day", "usd"),
-    "SELECT plan_id, requests::BIGINT AS requests, (requests * per_page)::BIGINT AS results_day, requests * 0.25 + requests * per_page * per_thousand / 1000 AS usd FROM (SELECT p_partkey AS plan_id, ceil(86400 / (p_size * 60)) * (p_size % 4 + 1) AS requests, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 20 END AS per_page, CASE WHEN p_size % 7 = 0 THEN NULL ELSE 2.0::DOUBLE END AS per_thousand FROM part)",
+    estimated,
+    """WITH x AS (SELECT *, 86400 / (p_size * 60) AS per_day, CASE WHEN p_size % 5 > 0 THEN floor(p_size * 10 * 1.5 + 0.5) END AS res, CASE WHEN p_size % 2 = 0 THEN 3 ELSE 2 END AS ops FROM part, (SELECT unnest([1, 2, 3]) AS op) WHERE op <= 2 OR p_size % 2 = 0),
+      y AS (SELECT p_partkey, op, p_size, (p_size % 3 + 1) * per_day AS runs, (p_size % 4 + op) * per_day * CASE WHEN op = 1 THEN 2 ELSE 1 END AS req, res, ops FROM x)
+      SELECT p_partkey AS plan_id, floor(sum(req) + 0.5)::BIGINT AS requests, floor(sum(runs) + 0.5)::BIGINT AS runs, max(res)::BIGINT AS results,
+      CASE WHEN bool_and(op < 3 OR p_size % 7 > 0) THEN floor(sum(CASE WHEN op = 1 THEN req * 0.25 ELSE 0 END + CASE WHEN op = 2 THEN runs * 0.5 ELSE 0 END + coalesce(res / ops * CASE WHEN p_size % 7 > 0 THEN 2.0 ELSE 0 END / 1000, 0)) * 100 + 0.5) / 100 END AS usd FROM y GROUP BY p_partkey""",
 )
 BOOK.add(
     "empty_streak",
@@ -137,8 +164,10 @@ BOOK.add(
 )
 BOOK.add(
     "adaptive_max_items",
-    lambda s, d: ops.adaptive_most(runs(s, d).selectExpr("plan_id", "run_id", "results as items_new", "30 as window_min", "45 as max_items"), ["plan_id"], F.desc("run_id"), 1800).select("plan_id", "samples", "max_items"),
-    f"WITH {R}, x AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY run_id DESC) AS rn FROM r), g AS (SELECT plan_id, count(*) AS samples, sum(results) / sum(30) AS rate, max((results >= 45)::INT) AS full_ FROM x WHERE rn <= 6 GROUP BY ALL) SELECT plan_id, samples, (CASE WHEN samples < 2 THEN 300 ELSE least(greatest(ceil(rate * 30.0 * CASE WHEN full_ = 1 THEN 4 ELSE 2 END), 5), 300) END)::BIGINT AS max_items FROM g",
+    lambda s, d: ops.adaptive_most(runs(s, d).selectExpr("plan_id", "run_id", "results as items_new", "run_id % 4 * 10 as window_min", "case when run_id % 3 > 0 then 40 end as max_items"), ["plan_id"], F.desc("run_id"), 1800).select("plan_id", "samples", "max_items"),
+    f"""WITH {R}, x AS (SELECT plan_id, run_id, results AS n, run_id % 4 * 10 AS win, CASE WHEN run_id % 3 > 0 THEN 40 END AS asked FROM r QUALIFY row_number() OVER (PARTITION BY plan_id ORDER BY run_id DESC) <= 6),
+      y AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY run_id DESC) AS rn FROM x WHERE win > 0), g AS (SELECT plan_id, count(*) AS samples, sum(n) / sum(win) AS rate, max(CASE WHEN rn = 1 AND n >= 0.8 * asked THEN asked * 4 END) AS grown FROM y GROUP BY plan_id)
+      SELECT plan_id, samples, (CASE WHEN samples < 2 THEN 300 ELSE least(300, greatest(5, ceil(3 * rate * 30.0), coalesce(grown, 0))) END)::BIGINT AS max_items FROM g""",
 )
 BOOK.add(
     "gap_topk",
@@ -190,14 +219,10 @@ BOOK.add(
         values.backoff(F.col("p_size"), F.col("p_partkey") % 5 + 1).alias("backoff"),
         values.overlap(F.col("p_size") * 60).alias("overlap"),
         values.clamp_interval(F.col("p_size") * 100).alias("interval"),
-        values.in_night(F.col("p_partkey") % 24).alias("night"),
-        values.pace(F.lit(1800), F.col("p_partkey") % 8, F.col("p_partkey") % 24).alias("pace"),
         values.count_metric((F.col("p_retailprice") - 950).cast("string")).alias("metric"),
     ),
     """SELECT p_partkey, least(p_size * pow(2, p_partkey % 5), p_size * 4)::BIGINT AS backoff, greatest(60, floor(p_size * 12.0 + 0.5))::BIGINT AS overlap,
       CASE WHEN p_size * 100 <= 300 THEN 300 WHEN p_size * 100 <= 900 THEN 900 WHEN p_size * 100 <= 1800 THEN 1800 WHEN p_size * 100 <= 2700 THEN 2700 ELSE 3600 END AS interval,
-      p_partkey % 24 >= 23 OR p_partkey % 24 < 5 AS night,
-      CASE WHEN p_partkey % 8 >= 6 THEN 10800 WHEN p_partkey % 8 >= 2 OR p_partkey % 24 >= 23 OR p_partkey % 24 < 5 THEN 3600 ELSE 1800 END AS pace,
       CASE WHEN p_retailprice - 950 >= 0 THEN floor(p_retailprice - 950) END::BIGINT AS metric FROM part""",
 )
 BOOK.add(
@@ -229,8 +254,8 @@ BOOK.add(
 )
 BOOK.add(
     "alert_new_issue",
-    lambda s, d: ops.new_issues(hourly(s, d, "agg_issue_1h").filter("platform = 'click'"), F.lit(NOW), 24, 1),
-    f"WITH {EVENTS_SQL}, h AS ({AGG_SQL['agg_issue_1h']}), g AS (SELECT tenant_id, topic_id, issue, sum(CASE WHEN bucket >= TIMESTAMP '2024-01-19 12:00' THEN mentions ELSE 0 END)::BIGINT AS mentions, sum(CASE WHEN bucket < TIMESTAMP '2024-01-19 12:00' THEN mentions ELSE 0 END) AS before FROM h WHERE platform = 'click' AND bucket BETWEEN TIMESTAMP '2024-01-12 12:00' AND TIMESTAMP '{NOW}' GROUP BY ALL) SELECT tenant_id, topic_id, issue, mentions FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, topic_id ORDER BY mentions DESC, issue) AS rn FROM g WHERE mentions >= 1 AND before = 0) WHERE rn <= 5",
+    lambda s, d: ops.new_issues(hourly(s, d, "agg_issue_1h").withColumn("issue", F.concat_ws("-", "issue", "platform", F.hour("bucket"))), F.lit(NOW), 6, 1),
+    f"WITH {EVENTS_SQL}, h AS ({AGG_SQL['agg_issue_1h']}), g AS (SELECT tenant_id, topic_id, issue || '-' || platform || '-' || hour(bucket) AS issue, sum(CASE WHEN bucket >= TIMESTAMP '2024-01-20 06:00' THEN mentions ELSE 0 END)::BIGINT AS mentions, sum(CASE WHEN bucket < TIMESTAMP '2024-01-20 06:00' THEN mentions ELSE 0 END) AS before FROM h WHERE bucket BETWEEN TIMESTAMP '2024-01-13 06:00' AND TIMESTAMP '{NOW}' GROUP BY ALL) SELECT tenant_id, topic_id, issue, mentions FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, topic_id ORDER BY mentions DESC, issue) AS rn FROM g WHERE mentions >= 1 AND before = 0) WHERE rn <= 5",
 )
 BOOK.add(
     "alert_cooldown",
@@ -239,8 +264,8 @@ BOOK.add(
 )
 BOOK.add(
     "comment_planner",
-    lambda s, d: ops.comment_plan(topic_matches(match_events(s, d)).filter("tenant_id = 't1'"), table(s, d, "events").filter("event_id % 3 = 0").selectExpr("event_type as platform", "cast(event_id as string) as post_id", "cast(ts as timestamp) as fetched_at"), F.lit("2024-01-31").cast("timestamp"), 3, 240).select("topic_id", "platform", "post_id", "engagement"),
-    f"WITH {EVENTS_SQL}, {STATE_SQL} SELECT topic_id, platform, post_id, engagement FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, platform ORDER BY engagement DESC, published_at DESC, post_id) AS r FROM (SELECT * EXCLUDE (rn) FROM m) m WHERE tenant_id = 't1' AND NOT (post_id::BIGINT % 3 = 0 AND published_at > TIMESTAMP '2024-01-21')) WHERE r <= 3",
+    lambda s, d: ops.comment_plan(topic_matches(match_events(s, d)), table(s, d, "events").filter("event_id % 3 = 0").selectExpr("event_type as platform", "cast(event_id as string) as post_id", "cast(ts as timestamp) as fetched_at"), F.lit("2024-01-31").cast("timestamp"), 3, 240).select("tenant_id", "topic_id", "platform", "post_id", "engagement"),
+    f"WITH {EVENTS_SQL}, {STATE_SQL} SELECT tenant_id, topic_id, platform, post_id, engagement FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, topic_id, platform ORDER BY engagement DESC, published_at DESC, post_id) AS r FROM (SELECT * EXCLUDE (rn) FROM m) m WHERE NOT (post_id::BIGINT % 3 = 0 AND published_at > TIMESTAMP '2024-01-21')) WHERE r <= 3",
 )
 
 # evaluation: the label of quality against a rule of thumb
@@ -273,63 +298,5 @@ BOOK.add(
 )
 BOOK.add("frozen_split", lambda s, d: pairs(s, d).select("id", evalkit.frozen_split(F.col("id")).alias("split")), f"WITH {PAIRS} SELECT id, CASE WHEN ('0x' || substr(sha1(id::VARCHAR), 1, 8))::BIGINT % 100 < 50 THEN 'dev' ELSE 'test' END AS split FROM pairs")
 BOOK.add("merge_annotators", lambda s, d: evalkit.merge_annotators(pairs(s, d).selectExpr("id", "gold as label"), pairs(s, d).selectExpr("id", "pred as label")), f"WITH {PAIRS} SELECT id, CASE WHEN gold = pred THEN gold END AS label, CASE WHEN gold = pred THEN 'agreed' ELSE 'adjudicate' END AS status FROM pairs")
-BOOK.add("evaluate", lambda s, d: r9(evalkit.evaluate(pairs(s, d))))
-
-# routes of requests: customers ask, suppliers of their nation serve
-ROUTE = {
-    "request": "c_custkey",
-    "connector": "s_name",
-    "enabled": "s_suppkey % 7 <> 0",
-    "excluded": "(c_custkey + s_suppkey) % 5 = 0",
-    "interval_s": "c_custkey % 4 * 300",
-    "least_interval_s": "s_suppkey % 3 * 300",
-    "accounts": "s_suppkey % 6",
-    "priority": "s_suppkey % 2",
-    "weight": "s_suppkey % 3",
-    "results": "c_custkey % 100 * 10",
-    "per_thousand": "case when s_suppkey % 4 = 0 then null else s_suppkey % 9 end",
-}
-FEATURES = {"want": "case when c_custkey % 3 = 0 then array('phrase') else array('or', 'and') end", "have": "case when s_suppkey % 2 = 0 then array('or', 'and', 'not') else array('phrase', 'or', 'and') end"}
-
-
-def routed(s, d):
-    rows = table(s, d, "customer").join(table(s, d, "supplier"), F.expr("c_nationkey = s_nationkey")).selectExpr(*[f"{v} as {k}" for k, v in (ROUTE | FEATURES).items()])
-    rows = rows.withColumn("eliminated_by", routing.eliminated_by(features=F.col("want"), offered=F.col("have")))
-    return rows.withColumn("cost", routing.run_cost(F.lit(1.0), F.col("per_thousand"), F.col("results"))).drop("want", "have")
-
-
-ROUTE_SQL = f"""x AS (SELECT {', '.join(f'{v} AS {k}' for k, v in ROUTE.items())}, CASE WHEN c_custkey % 3 = 0 THEN s_suppkey % 2 = 1 ELSE true END AS fits FROM customer JOIN supplier ON c_nationkey = s_nationkey),
-routes AS (SELECT * EXCLUDE (fits), CASE WHEN NOT enabled THEN 'disabled' WHEN excluded THEN 'excluded' WHEN NOT fits THEN 'features' WHEN interval_s < least_interval_s THEN 'interval' WHEN accounts = 0 THEN 'account' END AS eliminated_by, 1.0::DOUBLE + per_thousand * results / 1000 AS cost FROM x)"""
-BOOK.add("route_evaluate", lambda s, d: routed(s, d).select("request", "connector", "eliminated_by", "cost"), f"WITH {ROUTE_SQL} SELECT request, connector, eliminated_by, cost FROM routes")
-for _strategy, _order in (("priority", "priority, cost NULLS LAST"), ("cost", "cost NULLS LAST, priority")):
-    BOOK.add(
-        f"route_select_{_strategy}",
-        lambda s, d, x=_strategy: routing.select_route(routed(s, d), ["request"], x).select("request", "connector"),
-        f"WITH {ROUTE_SQL} SELECT request, connector FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {_order}, connector) AS rn FROM routes WHERE eliminated_by IS NULL) WHERE rn = 1",
-    )
-BOOK.add("weighted_pick", lambda s, d: routing.select_route(routed(s, d), ["request"], "weighted").select("request", "connector"))
-ERROR = "element_at(array('rate_limited', 'timeout', 'unavailable', 'auth_failed', 'odd'), cast(event_id % 5 + 1 as int))"
-
-
-def failed(s, d):
-    rows = table(s, d, "events").filter("event_type = 'error'").selectExpr("event_id", "user_id % 20 as account", "cast(ts as timestamp) as at", f"{ERROR} as error")
-    return routing.decide_failures(rows)
-
-
-FAILED_SQL = "f AS (SELECT event_id, user_id % 20 AS account, ts AS fired, CASE event_id % 5 WHEN 0 THEN 'retry_later' WHEN 2 THEN 'next_connector' WHEN 3 THEN 'disable_account' ELSE 'retry' END AS action, CASE WHEN event_id % 5 IN (2, 3) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS health_weight FROM events WHERE event_type = 'error')"
-BOOK.add("failover_decide", lambda s, d: failed(s, d).select("event_id", "action", "health_weight"), f"WITH {FAILED_SQL} SELECT event_id, action, health_weight FROM f")
-BOOK.add(
-    "circuit_breaker",
-    lambda s, d: routing.circuit(failed(s, d), ["account"], "at", window_s=36_000, most=2.0).select("event_id", "recent", "circuit"),
-    f"WITH {FAILED_SQL}, z AS (SELECT event_id, sum(health_weight) OVER (PARTITION BY account ORDER BY CAST(epoch(date_trunc('second', fired)) AS BIGINT) RANGE BETWEEN 36000 PRECEDING AND CURRENT ROW) AS recent FROM f) SELECT event_id, recent, CASE WHEN recent >= 2 THEN 'open' ELSE 'closed' END AS circuit FROM z",
-)
-BOOK.add(
-    "health_factor",
-    lambda s, d: table(s, d, "supplier").select("s_suppkey", routing.health_factor(F.element_at(F.array(*map(F.lit, ["closed", "open", "half_open"])), (F.col("s_suppkey") % 3 + 1).cast("int")), F.col("s_suppkey") % 100).alias("factor")),
-    "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 0.1::DOUBLE WHEN s_suppkey % 3 = 2 OR s_suppkey % 100 < 50 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM supplier",
-)
-BOOK.add(
-    "run_state",
-    lambda s, d: routing.run_states(attempts(s, d).selectExpr("run_id", "requests as attempt", "results as part", "status as state")),
-    f"WITH {A} SELECT run_id, requests AS attempt, results AS part, status AS state FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY requests DESC, results DESC, (status IN ('success', 'failed'))::INT DESC, status) AS rn FROM a) WHERE rn = 1",
-)
+PARTS = [f"({BOOK.oracles[n]})" for n in ("macro_f1", "accuracy", "cohen_kappa", "ece")]
+BOOK.add("evaluate", lambda s, d: r9(evalkit.evaluate(pairs(s, d))), f"SELECT * FROM {', '.join(PARTS)}, (WITH {PAIRS} SELECT {N9.format('(count(*) FILTER (confidence >= 0.5) / count(*))')} AS coverage FROM pairs)")

@@ -202,14 +202,14 @@ BOOK.add(
 
 def refreshed(spark, sf_dir):
     e = match_events(spark, sf_dir)
-    return state.refreshed(e, snapshots(spark, sf_dir)).groupBy("platform").agg(F.count("*").alias("rows"), F.sum(F.col("sign") * F.col("engagement")).alias("change"))
+    return state.refreshed(e, snapshots(spark, sf_dir)).groupBy("platform").agg(F.count("*").alias("rows"), F.sum(F.col("sign") * F.col("engagement")).alias("change"), F.sum(F.col("sign") * F.coalesce("author_followers", F.lit(0))).alias("followers_change"), F.sum(F.col("sign") * F.col("engagement_known")).alias("known_change"))
 
 
-LATEST_SNAP = "ls AS (SELECT platform, post_id, coalesce(likes, 0) + coalesce(comments, 0) + coalesce(shares, 0) + coalesce(quotes, 0) + coalesce(saves, 0) AS total, coalesce(likes, comments, shares, quotes, saves) IS NOT NULL AS known FROM (SELECT *, row_number() OVER (PARTITION BY platform, post_id ORDER BY captured_at DESC) AS rn FROM s) WHERE rn = 1)"
+LATEST_SNAP = "ls AS (SELECT platform, post_id, coalesce(likes, 0) + coalesce(comments, 0) + coalesce(shares, 0) + coalesce(quotes, 0) + coalesce(saves, 0) AS total, coalesce(likes, comments, shares, quotes, saves) IS NOT NULL AS known, author_followers AS fol FROM (SELECT *, row_number() OVER (PARTITION BY platform, post_id ORDER BY captured_at DESC) AS rn FROM s) WHERE rn = 1)"
 BOOK.add(
     "refresh",
     refreshed,
-    f"WITH {EVENTS_SQL}, {STATE_SQL}, {SNAPSHOTS_SQL}, {LATEST_SNAP} SELECT platform, (2 * count(*))::BIGINT AS rows, sum(total - engagement)::BIGINT AS change FROM m JOIN ls USING (platform, post_id) WHERE known AND total <> engagement GROUP BY platform",
+    f"WITH {EVENTS_SQL}, {STATE_SQL}, {SNAPSHOTS_SQL}, {LATEST_SNAP} SELECT platform, (2 * count(*))::BIGINT AS rows, sum(CASE WHEN known THEN total - engagement ELSE 0 END)::BIGINT AS change, 0::BIGINT AS followers_change, sum(CASE WHEN known THEN 1 - engagement_known ELSE 0 END)::BIGINT AS known_change FROM m JOIN ls USING (platform, post_id) WHERE (known AND (total <> engagement OR engagement_known <> 1)) OR (fol IS NOT NULL AND fol IS DISTINCT FROM author_followers) GROUP BY platform",
 )
 BOOK.add(
     "engagement",

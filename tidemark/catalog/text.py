@@ -32,14 +32,32 @@ BOOK.add("tokenize", on_text(lambda t: F.size(X.tokenize(X.normalize_text(t)))),
 BOOK.add("hashtags_in", on_text(lambda t: F.array_join(X.hashtags_in(X.normalize_text(t)), ",")), r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(strip_accents(lower(text)), '#([\p{L}\p{N}_]+)', 1), lambda t: replace(t, '_', '')), ',') AS out FROM documents")
 LANGS = "CASE doc_id % 6 WHEN 0 THEN 'in' WHEN 1 THEN 'EN-us' WHEN 2 THEN 'und' WHEN 3 THEN NULL WHEN 4 THEN 'zlm' ELSE lang END"
 BOOK.add("normalize_lang", lambda s, d: docs(s, d).select("doc_id", X.normalize_lang(F.expr(LANGS)).alias("out")), "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'id' WHEN 1 THEN 'en' WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 'ms' ELSE lang END AS out FROM documents")
-BOOK.add("pseudonymize", hashed(X.pseudonymize))
-BOOK.add("is_short", on_text(X.is_short), r"SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '<(?:url|user|num)>|https?://\S+|@\w+', ' ', 'g'), '[^\p{L}\p{N}]+'), lambda t: t <> '')) < 3 AS out FROM documents")
+NUMBERS = r"\b(?:\d{5,}|[03-9]\d{3}|1[0-8]\d{2}|2[1-9]\d{2})\b"
+PSEUDO = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(?:https?://|www\.)\S+', '<url>', 'g'), '(^|[^\w@])@[A-Za-z0-9_.]{{1,30}}', '\1<user>', 'g'), '{NUMBERS}', '<num>', 'g'), '\s+', ' ', 'g'))"
+BOOK.add("pseudonymize", hashed(X.pseudonymize), f"SELECT doc_id, sha256(coalesce({PSEUDO}, '')) AS out FROM documents")
+BOOK.add("split_hashtag", lambda s, d: docs(s, d).select("doc_id", X.split_hashtag(F.concat(F.lit("SaveTheHTTPWorld_"), "doc_id", F.lit("_"), F.upper("lang"), F.lit("now"))).alias("out")), "SELECT doc_id, 'save the http world ' || doc_id || ' ' || CASE lang WHEN 'en' THEN 'e nnow' ELSE lower(lang[1]) || ' ' || lower(lang[2]) || 'now' END AS out FROM documents")
+TAGGED = "'see #BanjirJakarta at www.x.org @bob_1 no ' || doc_id || ' #covid19_' || lang"
+BOOK.add("preprocess", lambda s, d: docs(s, d).select("doc_id", X.preprocess(F.expr(TAGGED))[0].alias("out"), F.array_join(X.preprocess(F.expr(TAGGED))[1], ",").alias("tags")), "SELECT doc_id, 'see banjir jakarta at <url> <user> no ' || CASE WHEN doc_id >= 1000 AND NOT doc_id BETWEEN 1900 AND 2099 THEN '<num>' ELSE doc_id::VARCHAR END || ' covid 19 ' || lang AS out, 'BanjirJakarta,covid19_' || lang AS tags FROM documents")
+BOOK.add("is_short", on_text(lambda t: X.is_short(F.substring(t, 1, 12))), r"SELECT doc_id, len(list_filter(string_split_regex(substr(text, 1, 12), '\s+'), lambda t: t NOT IN ('', '<url>', '<user>', '<num>'))) < 3 AS out FROM documents")
 BOOK.add("safe_text", hashed(X.safe_text), r"SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE text END) AS out FROM documents")
-BOOK.add("redact", hashed(X.redact), r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(bearer\s+)[A-Za-z0-9._~+/-]+=*', '\1<redacted>', 'g'), '(?i)((?:password|secret|token|api_?key)\s*[:=]\s*)\S+', '\1<redacted>', 'g'), '\b[0-9a-f]{32,}\b', '<redacted>', 'g')) AS out FROM documents")
+def redact_sql(text: str) -> str:
+    """The patterns without what looks ahead: what is replaced twice stays the same."""
+    for pattern, kept in X.SECRET_PATTERNS:
+        after = "@" if "(?=@)" in pattern else ""
+        pattern = pattern.replace("(?=@)", "@").replace(r"(?!\[REDACTED\])", "").replace("'", "''")
+        text = f"regexp_replace({text}, '{pattern}', '{kept.replace('$', chr(92))}[REDACTED]{after}', 'g')"
+    return text
+
+
+LOGGED = "concat(text, ' Bearer abcdef123456== at https://u:pw', doc_id, '@h/?key=k', doc_id, '&x=1 ghp_abcdefghijklmnopqrstuv password: \"p', doc_id, '\" eyJabcdef.eyJghijkl.mnopqrs', chr(10), 'params: a@b.c,1', chr(10), 'end')"
+BOOK.add("redact", lambda s, d: docs(s, d).select("doc_id", F.sha2(F.coalesce(X.redact(F.expr(LOGGED)), F.lit("")), 256).alias("out")), f"SELECT doc_id, sha256(coalesce({redact_sql('t')}, '')) AS out FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {LOGGED} END AS t FROM documents)")
+RAW_ISSUES = ["upper(p_name)", "p_type || ' <b>!'", "p_type", "' x '", "p_brand || ' https://a.b/c'", "'a b c d e'"]
 BOOK.add(
     "clean_issues",
-    lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.clean_issues(F.split(F.concat_ws("|", F.upper("p_name"), "p_type", "p_type", F.lit(" x "), "p_brand", F.lit("a b c d e")), r"\|")), ",").alias("out")),
-    "SELECT p_partkey, array_to_string(list_distinct_in_order[1:3], ',') AS out FROM (SELECT p_partkey, CASE WHEN lower(p_type) = lower(p_name) THEN [lower(p_name), lower(p_brand)] ELSE [lower(p_name), lower(p_type), lower(p_brand)] END AS list_distinct_in_order FROM part)",
+    lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.clean_issues(F.array(*map(F.expr, RAW_ISSUES))), ",").alias("out")),
+    rf"""WITH x AS (SELECT p_partkey, list_transform([{", ".join(RAW_ISSUES)}], lambda v: trim(regexp_replace(regexp_replace(regexp_replace(lower(v), '<[^>]*>|https?://\S+|[#@]', ' ', 'g'), '[^\p{{L}}\p{{N}}\s-]', ' ', 'g'), '\s+', ' ', 'g'))) AS l FROM part),
+      y AS (SELECT p_partkey, list_filter(l, lambda v: length(v) BETWEEN 3 AND 60 AND len(string_split(v, ' ')) <= 4) AS l FROM x)
+      SELECT p_partkey, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i)[1:3], ',') AS out FROM y""",
 )
 
 # topic queries
@@ -119,7 +137,7 @@ def labelled(s, d):
 BOOK.add(
     "label_assembly",
     labelled,
-    r"SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'neutral' WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment, CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN toxic = 1 THEN 'anger' ELSE 'joy' END AS emotion, CASE WHEN l.doc_id IS NOT NULL THEN 'm1' WHEN len(list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '<(?:url|user|num)>|https?://\S+|@\w+', ' ', 'g'), '[^\p{L}\p{N}]+'), lambda t: t <> '')) < 3 THEN 'rule:short-text' ELSE 'unlabeled' END AS model_version FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    r"SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'neutral' WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment, CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN toxic = 1 THEN 'anger' ELSE 'joy' END AS emotion, CASE WHEN l.doc_id IS NOT NULL THEN 'm1' WHEN len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda t: t NOT IN ('', '<url>', '<user>', '<num>'))) < 3 THEN 'rule:short-text' ELSE 'unlabeled' END AS model_version FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
 )
 
 

@@ -56,17 +56,52 @@ def normalize_lang(code: Column) -> Column:
     return F.when(base.isin(NO_LANG) | (base == ""), None).otherwise(F.coalesce(F.element_at(alias, base), base))
 
 
+def composed(s: str) -> str:
+    """NFKC, without zero-width characters."""
+    return unicodedata.normalize("NFKC", s).translate(ZERO_WIDTH)
+
+
+@F.pandas_udf(StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.map(composed, na_action="ignore")
+
+
+def compose(text: Column) -> Column:
+    """``composed`` of a column; ASCII texts stay in the JVM."""
+    plain = text.rlike(ASCII)
+    return F.when(plain, text).otherwise(_composed(F.when(~plain, text)))
+
+
+# What the patterns take for words and digits, in any script.
+W, D = r"[\p{L}\p{N}\p{M}_]", r"\p{Nd}"
+
+
+def squeezed(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
+
+
 def pseudonymize(text: Column) -> Column:
-    """URLs, mentions and long numbers (but for years 19xx and 20xx) give way to their kinds; blanks are squeezed."""
-    out = F.regexp_replace(text, r"(?:https?://|www\.)\S+", "<url>")
-    out = F.regexp_replace(out, r"(?<![\w@])@\w+", "<user>")
-    out = F.regexp_replace(out, r"(?<!\d)(?!(?:19|20)\d{2}(?!\d))\d{4,}", "<num>")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """URLs, mentions and numbers of four digits or more (but for years 19xx and 20xx) give way to their kinds, in composed text; blanks are squeezed."""
+    out = F.regexp_replace(compose(text), r"(?i)(?:https?://|www\.)(?U:\S+)", "<url>")
+    out = F.regexp_replace(out, rf"(?<!{W}|@)@[A-Za-z0-9_.]{{1,30}}", "<user>")
+    out = F.regexp_replace(out, rf"(?<!{W})(?!(?:19|20){D}{{2}}(?!{W})){D}{{4,}}(?!{W})", "<num>")
+    return squeezed(out)
 
 
 def split_hashtag(tag: Column) -> Column:
-    """CamelCase and digits as words."""
-    return F.regexp_replace(F.regexp_replace(tag, "^#", ""), r"(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", " ")
+    """A tag's words, in lower case: parted at changes of case, before digits, and at ``_``."""
+    parts = F.regexp_replace(tag, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])", " ")
+    return F.lower(F.replace(parts, F.lit("_"), F.lit(" ")))
+
+
+def preprocess(text: Column, lexicon: dict[str, str] | None = None) -> tuple[Column, Column]:
+    """The text as a model takes it (pseudonymized, hashtags as words), and its hashtags."""
+    clean = pseudonymize(text)
+    tags = F.regexp_extract_all(clean, F.lit(f"#({W}+)"), F.lit(1))
+    pieces = F.split(clean, f"#{W}+", -1)
+    # a piece more than there are tags
+    woven = F.zip_with(pieces, tags, lambda piece, tag: F.concat(piece, F.coalesce(split_hashtag(tag), F.lit(""))))
+    return squeezed(with_lexicon(F.array_join(woven, ""), lexicon or {})), tags
 
 
 def with_lexicon(text: Column, lexicon: dict[str, str]) -> Column:
@@ -78,14 +113,21 @@ def with_lexicon(text: Column, lexicon: dict[str, str]) -> Column:
 
 
 def is_short(text: Column, least: int = 3) -> Column:
-    """Fewer than ``least`` words besides placeholders, mentions and URLs."""
-    bare = F.regexp_replace(text, r"<(?:url|user|num)>|https?://\S+|@\w+", " ")
-    return F.size(tokenize(bare)) < least
+    """Fewer than ``least`` words, parted by blanks, besides placeholders."""
+    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: ~w.isin("", "<url>", "<user>", "<num>"))) < least
 
 
 def clean_issues(issues: Column) -> Column:
-    """Lower case, trimmed, 3 to 60 characters, 4 words at most, distinct, the first 3."""
-    names = F.transform(issues, lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")))
+    """Composed, in lower case, without markup, URLs, ``#``, ``@`` and punctuation but hyphens; 3 to 60 characters, 4 words at most, distinct, the first 3."""
+
+    def clean(x: Column) -> Column:
+        bare = F.regexp_replace(F.lower(x), r"<[^>]*>|https?://(?U:\S+)|[#@]", " ")
+        return squeezed(F.regexp_replace(bare, r"[^\p{L}\p{N}\s-]", " "))
+
+    # the items are composed as one text, as Python takes no arrays within lambdas; no item holds this character
+    mark = "\x1f"
+    whole = compose(F.array_join(F.transform(issues, lambda x: F.replace(x, F.lit(mark), F.lit(" "))), mark))
+    names = F.when(F.size(issues) > 0, F.transform(F.split(whole, mark, -1), clean)).otherwise(F.array().cast("array<string>"))
     good = F.filter(names, lambda x: F.length(x).between(3, 60) & (F.size(F.split(x, " ")) <= 4))
     return F.slice(F.array_distinct(good), 1, 3)
 
@@ -95,11 +137,23 @@ def safe_text(text: Column) -> Column:
     return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
+# What is secret in log texts, in order, with what stays of a match.
+SECRET_PATTERNS = [
+    (r"(?i)\b(Bearer|Basic)\s+[A-Za-z0-9._~+/=-]{8,}", "$1 "),
+    (r"\beyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}", ""),
+    (r"\b(?:sk-ant-[A-Za-z0-9_-]{8,}|apify_api_[A-Za-z0-9]{8,}|ghp_[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{30,}|xox[abp]-[A-Za-z0-9-]{10,})", ""),
+    (r"(://[^:/?#\s@]+):[^@/\s]+(?=@)", "$1:"),
+    (r"(?i)([?&](?:token|access_token|api_key|apikey|key|sig|signature|password|X-Amz-Signature|X-Amz-Credential)=)[^&\s#\"']+", "$1"),
+    (r"(?i)(\bparams:\s*)[^\n]*", "$1"),
+    (r"(?i)\b((?:(?:access_|refresh_|id_)?token|api[_-]?key|x-api-key|password|passwd|secret|client_secret|sessionid|session_id)\"?\s*[=:]\s*[\"']?)(?!\[REDACTED\])[^\s&,;\"'}]+", "$1"),
+]
+
+
 def redact(text: Column) -> Column:
-    """Bearer tokens, keys in assignments and long hexadecimal strings give way to ``<redacted>``."""
-    out = F.regexp_replace(text, r"(?i)(bearer\s+)[A-Za-z0-9._~+/-]+=*", "$1<redacted>")
-    out = F.regexp_replace(out, r"(?i)((?:password|secret|token|api_?key)\s*[:=]\s*)\S+", "$1<redacted>")
-    return F.regexp_replace(out, r"\b[0-9a-f]{32,}\b", "<redacted>")
+    """Credentials in a log text give way to ``[REDACTED]``; what tells their kind stays."""
+    for pattern, kept in SECRET_PATTERNS:
+        text = F.regexp_replace(text, pattern, kept + "[REDACTED]")
+    return text
 
 
 def register(spark: SparkSession) -> None:

@@ -43,16 +43,6 @@ def clamp_interval(seconds: Column) -> Column:
     return out
 
 
-def in_night(hour: Column, start: int = 23, end: int = 5) -> Column:
-    """Whether an hour is in the night, which may pass midnight."""
-    return (hour >= start) | (hour < end) if start > end else (hour >= start) & (hour < end)
-
-
-def pace(interval: Column, streak: Column, hour: Column) -> Column:
-    """Seconds to the next run: doubled at night and for two empty runs, six times for six."""
-    return F.when(streak >= 6, interval * 6).when((streak >= 2) | in_night(hour), interval * 2).otherwise(interval)
-
-
 def period_start(at: Column, zone: str, unit: str) -> Column:
     """The UTC time at which the day or month of a time zone began."""
     return F.to_utc_timestamp(F.date_trunc(unit, F.from_utc_timestamp(at, zone)), zone)

@@ -65,16 +65,24 @@ def cost_guard(policies: DataFrame, spent: DataFrame) -> DataFrame:
     return out.withColumn("breached", F.col("used") >= F.col("most"))
 
 
-def allocate_cost(runs: DataFrame, weights: DataFrame) -> DataFrame:
-    """(run_id, tenant_id, share): a run's cost by its tenants' matches, evenly where there are none; the last tenant takes the remainder."""
+def allocate(runs: DataFrame, weights: DataFrame, amounts: list[str]) -> DataFrame:
+    """(run_id, tenant_id, matches, basis, amounts): what a run used, by its tenants' matches.
+
+    Tenants without matches get nothing where others have some; where none has any, all get the same (``even_split``).
+    The last tenant by name takes what rounding leaves.
+    """
     w = Window.partitionBy("run_id")  # the tenants of one run
-    both = runs.join(weights, "run_id").withColumn("all", F.sum("matches").over(w)).withColumn("tenants", F.count("*").over(w))
-    part = F.when(F.col("all") > 0, F.col("cost") * F.col("matches") / F.col("all")).otherwise(F.col("cost") / F.col("tenants"))
-    both = both.withColumn("part", F.round(part, COST_SCALE))
-    order = w.orderBy("tenant_id")
-    before = F.coalesce(F.sum("part").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = F.row_number().over(w.orderBy(F.desc("tenant_id"))) == 1
-    return both.select("run_id", "tenant_id", F.round(F.when(last, F.col("cost") - before).otherwise(F.col("part")), COST_SCALE).alias("share"))
+    both = runs.join(weights, "run_id").withColumn("all", F.sum("matches").over(w)).filter((F.col("matches") > 0) | (F.col("all") <= 0))
+    even = F.col("all") <= 0
+    both = both.withColumns({"n": F.when(even, 1).otherwise(F.col("matches")), "basis": F.when(even, "even_split").otherwise("matches")}).withColumn("total", F.sum("n").over(w))
+    order, last = w.orderBy("tenant_id"), F.row_number().over(w.orderBy(F.desc("tenant_id"))) == 1
+    for c in amounts:
+        both = both.withColumn(f"part_{c}", F.round(F.col(c) * F.col("n") / F.col("total"), COST_SCALE))
+    out = []
+    for c in amounts:
+        before = F.coalesce(F.sum(f"part_{c}").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        out.append(F.round(F.when(last, F.col(c) - before).otherwise(F.col(f"part_{c}")), COST_SCALE).alias(c))
+    return both.select("run_id", "tenant_id", F.when(even, 0).otherwise(F.col("matches")).alias("matches"), "basis", *out)
 
 
 def merge_maps(a: Column, b: Column) -> Column:
@@ -87,20 +95,26 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def health(attempts: DataFrame, by: list[str], reference_ms: float) -> DataFrame:
-    """Success rate, nearest-rank p95 of successes, and the score 100 * rate * min(1, 2 * reference / p95)."""
+    """Success rate, nearest-rank p95 of successes, the score 100 * rate * min(1, 2 * reference / p95), and a label: unknown without attempts, unhealthy below 40, degraded below 80."""
+    ran = F.col("status").isNotNull()
     rows = attempts.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.avg((F.col("status") == "success").cast("int")).alias("rate"),
+        F.count_if(ran).alias("n"),
+        F.avg(F.when(ran, (F.col("status") == "success").cast("int"))).alias("rate"),
         F.expr("percentile_disc(0.95) within group (order by latency) filter (where status = 'success')").alias("p95"),
     )
-    score = F.floor(100 * F.col("rate") * F.least(F.lit(1.0), 2 * F.lit(reference_ms) / F.col("p95")) + 0.5).cast("long")
-    rows = rows.withColumn("score", F.coalesce(score, F.lit(0)))
-    return rows.withColumn("label", F.when(F.col("score") >= 80, "healthy").when(F.col("score") >= 50, "degraded").otherwise("unhealthy"))
+    slow = F.when(F.col("p95") > 0, F.least(F.lit(1.0), 2 * F.lit(reference_ms) / F.col("p95"))).otherwise(1.0)
+    rows = rows.withColumn("score", F.floor(100 * F.col("rate") * slow + 0.5).cast("long"))
+    label = F.when(F.col("score").isNull(), "unknown").when(F.col("score") < 40, "unhealthy").when(F.col("score") >= 80, "healthy").otherwise("degraded")
+    return rows.withColumn("label", label)
 
 
-def percentiles(rows: DataFrame, value: str, by: list[str], points: list[float]) -> DataFrame:
-    cells = [F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"p{round(p * 100)}") for p in points]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *cells)
+def percentiles(rows: DataFrame, value: str, by: list[str], points: list[int]) -> DataFrame:
+    """The values at place floor(p / 100 * n) from 0, the last at most: of n sorted values the first with more than that many at or before it."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("many"))  # equal values together, so that a window holds distinct ones
+    w = Window.partitionBy(*by)
+    ranked = counts.withColumns({"n": F.sum("many").over(w), "upto": F.sum("many").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
+    at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n") / 100))
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p}") for p in points])
 
 
 def histogram(rows: DataFrame, value: str, by: list[str], bounds: list[float]) -> DataFrame:
@@ -115,17 +129,31 @@ def failing(runs: DataFrame, by: list[str], ratio: float = 0.5, least: int = 3)
 
 
 def quota_projection(rows: DataFrame, at: Column) -> DataFrame:
-    """Used, and what the month comes to at this pace, with its share of the limit."""
-    left = F.dayofmonth(F.last_day(at)) - F.dayofmonth(at)
+    """Used, and what the period comes to at this pace (today counts), with its share of the limit; a limit of 0 is full. What has no pace stays unknown."""
+    left = F.dayofmonth(F.last_day(at)) - F.dayofmonth(at) + 1
     out = rows.withColumn("projected", F.col("used") + F.col("per_day") * F.when(F.col("period") == "day", 1).otherwise(left))
-    return out.withColumn("pct", F.when(F.col("most") > 0, rounded(F.col("projected") * 100 / F.col("most"), 1)))
-
-
-def cost_estimate(plans: DataFrame) -> DataFrame:
-    """Requests, results and money a day; what isn't known stays null."""
-    out = plans.withColumn("requests", F.ceil(F.lit(86_400) / F.col("interval_s")) * F.col("pages"))
-    out = out.withColumn("results_day", F.col("requests") * F.col("per_page"))
-    return out.withColumn("usd", F.col("requests") * F.col("per_request") + F.col("results_day") * F.col("per_thousand") / 1000)
+    return out.withColumn("pct", F.when(F.col("projected").isNotNull(), F.when(F.col("most") > 0, F.floor(F.col("projected") * 100 / F.col("most") + 0.5)).otherwise(100).cast("long")))
+
+
+def cost_estimate(operations: DataFrame) -> DataFrame:
+    """Requests, runs, results and money a day per plan, from a row per operation of it.
+
+    Results are the plan's expected matches times its overhead, shared evenly by its operations for the price. Money is
+    unknown where an operation has no price at all; unknown matches leave the price of results out.
+    """
+    rows = operations.withColumn("per_day", F.lit(86_400) / F.col("interval_s"))
+    rows = rows.withColumns({"o_runs": F.col("queries") * F.col("per_day"), "o_requests": F.col("parts") * F.col("per_day") * F.coalesce("pages", F.lit(1))})
+    rows = rows.withColumn("o_results", F.floor(F.col("matches") * F.col("overhead") + 0.5)).withColumn("ops", F.count("*").over(Window.partitionBy("plan_id")))  # a plan's operations
+    priced = F.coalesce("per_request", "per_thousand", "per_run").isNotNull()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    usd = F.col("o_requests") * zero("per_request") + F.col("o_runs") * zero("per_run") + F.coalesce(F.col("o_results") / F.col("ops") * zero("per_thousand") / 1000, F.lit(0.0))
+    out = rows.groupBy("plan_id").agg(
+        F.floor(F.sum("o_requests") + 0.5).alias("requests"),
+        F.floor(F.sum("o_runs") + 0.5).alias("runs"),
+        F.max("o_results").cast("long").alias("results"),
+        F.when(F.every(priced), rounded(F.sum(usd), 2)).alias("usd"),
+    )
+    return out
 
 
 def empty_streak(runs: DataFrame, key: list[str], order: Column, value: str, most: int = 6) -> DataFrame:
@@ -137,15 +165,18 @@ def empty_streak(runs: DataFrame, key: list[str], order: Column, value: str, mos
 
 
 def adaptive_most(runs: DataFrame, key: list[str], order: Column, interval_s: int, least: int = 5, most: int = 300) -> DataFrame:
-    """Items to ask for next: twice the rate of the last 6 runs, 4 times where runs were full, within bounds; ``most`` below two samples."""
-    six = top_n_per_key(runs, key, [order], 6)
+    """Items to ask for next: 3 times the rate of the last 6 runs that had a window, and 4 times what the newest of them asked for
+    if it brought 80 % of that or more; within bounds, ``most`` below two samples."""
+    six = top_n_per_key(runs, key, [order], 6).filter("window_min > 0")
+    newest = Window.partitionBy(*key).orderBy(order)
+    six = six.withColumn("newest", F.row_number().over(newest) == 1)
     rows = six.groupBy(*key).agg(
         F.count("*").alias("samples"),
-        (F.sum("items_new") / F.greatest(F.sum("window_min"), F.lit(1))).alias("rate"),
-        F.max(F.col("items_new") >= F.coalesce("max_items", F.lit(2**31 - 1))).alias("full"),
+        (F.sum("items_new") / F.sum("window_min")).alias("rate"),
+        F.max(F.when(F.col("newest") & (F.col("items_new") >= 0.8 * F.col("max_items")), F.col("max_items") * 4)).alias("grown"),
     )
-    want = F.ceil(F.col("rate") * (interval_s / 60) * F.when(F.col("full"), 4).otherwise(2))
-    return rows.withColumn("max_items", F.when(F.col("samples") < 2, most).otherwise(F.least(F.greatest(want, F.lit(least)), F.lit(most))).cast("long"))
+    want = F.greatest(F.lit(least), F.ceil(3 * F.col("rate") * (interval_s / 60)), F.coalesce("grown", F.lit(0)))
+    return rows.withColumn("max_items", F.when(F.col("samples") < 2, most).otherwise(F.least(want, F.lit(most))).cast("long"))
 
 
 def newest_gaps(gaps: DataFrame, key: list[str], k: int = 20) -> DataFrame:
@@ -213,7 +244,7 @@ def cooled_down(rules: DataFrame, fired: DataFrame, now: Column) -> DataFrame:
 
 
 def comment_plan(matches: DataFrame, fetched: DataFrame, now: Column, per_group: int = 5, gap_hours: int = 24) -> DataFrame:
-    """The posts of most engagement of each topic and platform whose comments were not fetched lately."""
+    """The posts of most engagement of each tenant's topic and platform whose comments were not fetched lately."""
     recent = fetched.filter(F.col("fetched_at") > now - F.make_interval(hours=F.lit(gap_hours))).select("platform", "post_id")
     open_ = matches.join(recent, ["platform", "post_id"], "left_anti")
-    return top_n_per_key(open_, ["topic_id", "platform"], [F.desc("engagement"), F.desc("published_at"), F.asc("post_id")], per_group)
+    return top_n_per_key(open_, ["tenant_id", "topic_id", "platform"], [F.desc("engagement"), F.desc("published_at"), F.asc("post_id")], per_group)

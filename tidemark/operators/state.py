@@ -29,10 +29,10 @@ def topic_matches(events: DataFrame) -> DataFrame:
     return latest_per_key(events.filter("sign = 1"), MATCH_KEY, ["event_at", "seq"])
 
 
-def corrections(events: DataFrame, changes: DataFrame, *, keep_human: bool) -> DataFrame:
+def corrections(events: DataFrame, changes: DataFrame, *, keep_human: bool, on_both: tuple[str, ...] = ()) -> DataFrame:
     """The pairs that carry ``changes`` (key columns, ``at`` and the columns to replace) into the stream.
 
-    With ``keep_human`` rows labelled by a person, or by the same model already, stay.
+    The -1 row repeats the old values, but for the columns ``on_both``, which no sum is made of. With ``keep_human`` rows labelled by a person, or by the same model already, stay.
     """
     names = [c for c in changes.columns if c not in (*MATCH_KEY, "at")]
     now = topic_matches(events)
@@ -42,7 +42,7 @@ def corrections(events: DataFrame, changes: DataFrame, *, keep_human: bool) -> D
     pair = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.lit(1).alias("seq")), F.struct(F.lit(1).alias("sign"), F.lit(2).alias("seq"))))
     both = both.drop("sign", "seq").withColumn("p", pair)
     out = [
-        F.when(F.col("p.sign") > 0, F.coalesce(f"new_{c}", c)).otherwise(F.col(c)).alias(c) if c in names else F.col("p." + c).alias(c) if c in ("sign", "seq") else F.col("at").alias(c) if c == "event_at" else F.col(c)
+        F.when((F.col("p.sign") > 0) | F.lit(c in on_both), F.coalesce(f"new_{c}", c)).otherwise(F.col(c)).alias(c) if c in names else F.col("p." + c).alias(c) if c in ("sign", "seq") else F.col("at").alias(c) if c == "event_at" else F.col(c)
         for c in events.columns
     ]
     return both.select(*out)
@@ -56,13 +56,16 @@ def engagement(row: str = "") -> tuple[Column, Column]:
 
 
 def refreshed(events: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Correction pairs from each post's newest snapshot; unknown metrics keep the old engagement."""
+    """Correction pairs from each post's newest snapshot. What is unknown there keeps its old value; a new follower count stands on both rows."""
     latest = latest_per_key(snapshots, POST_KEY, ["captured_at"])
     total, known = engagement()
-    latest = latest.select(*POST_KEY, F.col("captured_at").alias("at"), total.alias("engagement"), known.alias("known"))
-    keys = topic_matches(events).select(*MATCH_KEY, F.col("engagement").alias("old"))
-    changes = keys.join(latest.filter("known"), POST_KEY).filter("engagement <> old")
-    return corrections(events, changes.select(*MATCH_KEY, "at", "engagement", F.lit(1).alias("engagement_known")), keep_human=False)
+    latest = latest.select(*POST_KEY, F.col("captured_at").alias("at"), F.when(known, total).alias("engagement"), F.when(known, 1).alias("engagement_known"), "author_followers")
+    names = ["engagement", "engagement_known", "author_followers"]
+    old = topic_matches(events).select(*MATCH_KEY, *[F.col(c).alias(f"old_{c}") for c in names])
+    both = old.join(latest, POST_KEY)
+    other = [F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in names]
+    changes = both.filter(other[0] | other[1] | other[2]).select(*MATCH_KEY, "at", *names)
+    return corrections(events, changes, keep_human=False, on_both=("author_followers",))
 
 
 def not_fresh(candidates: DataFrame, snapshots: DataFrame, since: Column) -> DataFrame:

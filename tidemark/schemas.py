@@ -25,7 +25,7 @@ POST = (
     "platform string, post_id string, version int, text string, lang string, author_id string, published_at timestamp, media string, is_ad boolean, source_connector string"
 )
 
-SNAPSHOT = ("platform string, post_id string, captured_at timestamp, likes bigint, comments bigint, shares bigint, quotes bigint, saves bigint, views bigint")
+SNAPSHOT = ("platform string, post_id string, captured_at timestamp, likes bigint, comments bigint, shares bigint, quotes bigint, saves bigint, views bigint, author_followers bigint")
 
 #: What a source delivers, before any column is trusted.
 CANONICAL = (

@@ -116,10 +116,12 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(null as bigint) as quotes",
         "case when k % 20 = 0 then null else cast(1 as bigint) end as saves",
         "cast(k * 100 as bigint) as views",
+        "case when k % 3 = 0 then cast(user_id * 10 + n as bigint) end as author_followers",
     )
 
 
 SNAPSHOTS_SQL = """s AS (SELECT event_type AS platform, event_id::VARCHAR AS post_id, ts + CASE WHEN n = 1 THEN INTERVAL 1 HOUR ELSE INTERVAL 25 HOUR END AS captured_at,
   CASE WHEN k % 10 = 0 THEN NULL ELSE (k * n)::BIGINT END AS likes, CASE WHEN k % 5 = 0 THEN NULL ELSE (k + n)::BIGINT END AS comments,
-  CASE WHEN k % 3 = 0 THEN NULL ELSE n::BIGINT END AS shares, NULL::BIGINT AS quotes, CASE WHEN k % 20 = 0 THEN NULL ELSE 1::BIGINT END AS saves, (k * 100)::BIGINT AS views
+  CASE WHEN k % 3 = 0 THEN NULL ELSE n::BIGINT END AS shares, NULL::BIGINT AS quotes, CASE WHEN k % 20 = 0 THEN NULL ELSE 1::BIGINT END AS saves, (k * 100)::BIGINT AS views,
+  CASE WHEN k % 3 = 0 THEN (user_id * 10 + n)::BIGINT END AS author_followers
   FROM (SELECT *, unnest([1, 2]) AS n FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)))"""
