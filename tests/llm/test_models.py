@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, quality
@@ -49,3 +51,43 @@ def test_quality_odd_rows(spark):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect() if r.doc_id and r.doc_id >= 100} == {i for i in range(101, 160, 2)}
     assert {r.score for r in quality.predict(table, quality.train(table, labels.limit(0))).collect()} == {0.5}
     assert quality.predict(table.limit(0), model).collect() == []
+
+
+def test_one_id_repeated_very_often(spark):
+    """An id counts once, so that what is gathered stays within the sample."""
+    rows = [(i, "the end of the day is near and so it is" if i % 2 else "das Ende der Tage ist nah und so ist es", "en" if i % 2 else "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    often = docs.union(docs.filter("doc_id = 7").crossJoin(spark.range(20_000)).select("doc_id", "text", "lang"))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    a, b = quality.train(docs, labels), quality.train(often, labels)
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+    probe = docs.limit(6)
+    scores = [[(r.id, r.lang_pred, round(r.score, 6)) for r in language.predict(probe, m).collect()] for m in (language.train(docs, sample=4000), language.train(often, sample=40_000))]
+    assert scores[0] == scores[1]
+
+
+def dual(rows, labels, cost):
+    """The hinge-loss dual by projected gradient steps over all coordinates, without the package's solver."""
+    x = np.zeros((len(rows), quality.SIZE + 1))
+    for i, (at, value) in enumerate(rows):
+        x[i, at], x[i, -1] = value, 1.0
+    x = x[:, (x != 0).any(axis=0)]
+    gram = (x @ x.T) * np.outer(labels, labels)
+    alpha = np.zeros(len(rows))
+    for _ in range(3000):
+        for i in range(len(rows)):
+            alpha[i] = min(cost, max(0.0, alpha[i] - (gram[i] @ alpha - 1) / gram[i, i]))
+    return x @ (x.T @ (alpha * labels))
+
+
+def test_margins_equal_those_of_a_plain_solver():
+    random.seed(5)
+    words = ["good", "fine", "text", "here", "bad", "###", "junk", "spam"]
+    texts = [" ".join(random.choice(words[:6] if i % 2 else words[2:]) for _ in range(12)) for i in range(40)]
+    labels = np.array([i % 2 for i in range(40)])
+    rows = quality.features(pa.array(texts))
+    model = quality.Model(rows, labels)
+    scaled = [(r, model.ratio[r] / max(1e-9, float(np.sqrt((model.ratio[r] ** 2).sum())))) for r in rows]
+    want = dual(scaled, np.where(labels == 1, 1.0, -1.0), 10.0)
+    got = np.array([float(model.weights[r].sum()) / float(np.sqrt((model.ratio[r] ** 2).sum())) for r in rows]) + model.bias
+    assert np.abs(got - want).max() < 0.05 and (np.sign(got) == np.where(labels == 1, 1, -1)).all()

@@ -57,6 +57,9 @@ def test_components_match_all_pairs(spark):
     rows = texts(3) + [(5000, None), (5001, ""), (5002, " \n\t"), (5003, "one"), (5004, "ONE"), (5005, "one"), (None, "one")]
     rows += [(6000, "a b c d e f g"), (6000, "h i j k l m n"), (6001, "h i j k l m n"), (6002, "A B C D E F G"), (5003, "one")]
     rows += [(7000, "abc def " * 3000), (7001, "abc def " * 3001), (7002, "é é ü" * 50)]
+    # an id with two texts, one of them also a lesser id's; its other text has a near copy
+    one, two = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(60))
+    rows += [(8005, one), (8005, two), (8003, two), (8006, one + " more")]
     docs = spark.createDataFrame([(*r, "s", 0) for r in rows], SCHEMA)
     got = sorted(((r.id, r.n_shingles, r.component_id) for r in neardup.components_of(docs).collect()), key=str)
     assert got == brute(rows)

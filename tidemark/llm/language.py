@@ -6,7 +6,8 @@ that family. Features are the shares of a text's byte bigrams and trigrams (lett
 Models are fitted on at most SAMPLE labelled texts, shared equally by the languages and chosen by a hash of the id,
 each read whole. A text that is null or has no letter is ``und`` with score 0; ties go to the language that sorts
 first. With no labelled text at all every text is ``und``; with one language every text with a letter is that one.
-Repeated rows repeat their result; a text of any length is read whole; one scan, no shuffle.
+Repeated rows repeat their result; a text of any length is read whole; one scan, no shuffle. The operator reads the id,
+language and text columns only, so other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -150,8 +151,11 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang"
             shares = [(n / max(1, n.sum())).astype(np.float32) for _, n in found]
             yield pa.RecordBatch.from_arrays([chunk.column("lang"), chunk.column("draw"), chunk.column("id"), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["lang", "draw", "id", "at", "share"])
 
-    # bounded: 1.2 times the sample on average, each row the n-grams of one text, SIZE at most
-    table = chosen.select("lang", "draw", "id", "text").mapInArrow(run, "lang string, draw bigint, id string, at array<int>, share array<float>").toArrow()
+    # bounded: 1.2 times the sample on average, each row the n-grams of one text, SIZE at most; an id counts once per
+    # language, however often it is repeated
+    found = chosen.select("lang", "draw", "id", "text").mapInArrow(run, "lang string, draw bigint, id string, at array<int>, share array<float>")
+    found = found.groupBy("lang", "draw", "id").agg(F.min(F.struct("at", "share")).alias("x"))
+    table = found.select("lang", "draw", "id", "x.at", "x.share").toArrow()
     order = sorted(zip(table["lang"].to_pylist(), table["draw"].to_pylist(), table["id"].to_pylist(), range(table.num_rows), strict=True))
     taken: dict[str, int] = {}
     labels, features = [], []

@@ -268,7 +268,12 @@ def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     members = persisted(described.join(reps, ["n", "f1", "f2"], "left").select("id", "n", "rep", "slack0", "slack1", "sketch"), "members")
     sets = members.filter("id = rep").dropDuplicates(["id", "n", "sketch"])
 
-    others = members.filter("rep is null or id <> rep").select("id").filter("id is not null").distinct()
+    # an id with several texts stays in the index if one of them stands for its set, and ties their sets together
+    own = members.filter("id = rep").select("id").distinct()
+    others = members.filter("rep is null or id <> rep").select("id").filter("id is not null").distinct().join(own, "id", "left_anti")
+    several = members.filter("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a")
+    ties = members.filter("rep is not null").join(several, "id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    ties = persisted(ties, "ties")
     nodes = semi(rows.filter("id is not null"), others, "left_anti")
     shared = persisted(shared_keys(block_keys(nodes)), "shared-keys").withColumn("id", F.expr("node div 2"))
     poor = shared.filter("poor")
@@ -280,7 +285,7 @@ def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     firsts = buckets.groupBy("key").agg(F.min("node").alias("least"), F.min(F.pmod("node", F.lit(2))).alias("role")).filter("role = 0")
     stars = buckets.join(firsts, "key").selectExpr("least div 2 as x", "id as y").filter("x <> y")
     stars = persisted(stars.selectExpr("least(x, y) as a", "greatest(x, y) as b").distinct(), "stars")
-    links = persisted(verified(likely(stars, sets), rows), "links")
+    links = persisted(verified(likely(stars, sets), rows).union(ties), "links")
     labels = components(links)
 
     labelled = buckets.select("key", "node", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))

@@ -7,7 +7,9 @@ its smoothed class counts, then a hinge-loss linear model is fitted by dual coor
 The model is fitted on at most SAMPLE labelled rows per class, chosen by a hash of the id, each read whole. Null and
 empty texts have no n-gram and get the score of the bias and the empty text's own features. Without labels of both
 classes every score is the share of label 1 (0.5 without any label). Duplicate labels of an id: the least counts.
-Repeated rows repeat their result. Scoring is one scan without a shuffle.
+Repeated rows repeat their result; a tie (0.5) is label 1. Scoring is one scan without a shuffle. The operator reads the id and
+text columns only (``keep_good`` hands on all others), so other columns may have any name; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -107,7 +109,10 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows per class. The chosen ids (a bounded table) are broadcast to the texts."""
+    """Fit on at most ``sample`` labelled ids per class, each with the features of one of its texts: SIZE numbers at most.
+
+    The chosen ids (a bounded table) are broadcast to the texts. Of an id with two labels or texts the lesser counts.
+    """
     marks = labels.filter(labels[label_col].isin(0, 1)).groupBy(labels[id_col].alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 24))
@@ -119,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for chunk in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([chunk.column("label"), chunk.column("draw"), chunk.column("id").cast(pa.string()), pa.array(features(chunk.column("text")), pa.list_(pa.int32()))], names=["label", "draw", "id", "at"])
 
-    table = texts.mapInArrow(run, "label int, draw bigint, id string, at array<int>").toArrow()  # bounded by the sample
+    # an id counts once, however often it is repeated, so that the sample bounds what is gathered
+    drawn = texts.mapInArrow(run, "label int, draw bigint, id string, at array<int>").groupBy("label", "draw", "id").agg(F.min("at").alias("at"))
+    table = drawn.toArrow()
     order = sorted(zip(table["label"].to_pylist(), table["draw"].to_pylist(), table["id"].to_pylist(), range(table.num_rows), strict=True))
     at = table["at"].combine_chunks()
     rows, marked, taken = [], [], [0, 0]
