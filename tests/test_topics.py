@@ -68,3 +68,34 @@ def test_language_and_tags(spark):
     q = T.compiled("q", "satu", languages=["id"], not_media_tags=["Iklan"])
     got = {r.id: r.r for r in T.prepared(spark.createDataFrame(rows, "id long, text string, lang string")).select("id", T.reason(q).alias("r")).collect()}
     assert got == {1: "language", 2: "match", 3: "match", 4: "match", 5: "not_media_tags", 6: "query"}
+
+
+@pytest.mark.parametrize("most", [2000, 0])
+def test_rows_of_queries_mean_what_columns_mean(spark, monkeypatch, most):
+    monkeypatch.setattr(T, "MOST_LITERAL_KEYS", most)
+    rows = [(i, t, lang, a, tags) for i, (t, lang, a, tags) in enumerate([("satu dua tiga", "en", "@Bob", ["Iklan"]), ("satu dua tiga #kopi", "id", None, None), ("kopi susu enak sekali", None, "ann", ["promo"]), ("", None, "bob", None), (None, None, None, None), ("susu #satu", "en", "bob", [])])]
+    items = T.prepared(spark.createDataFrame(rows, "id long, text string, lang string, author string, tags array<string>"), author="author", tags="tags")
+    make = [("a", "satu or @bob", {}), ("b", "satu", {"languages": ["id"]}), ("c", "kopi or susu", {"media_tags": ["promo", "kopi"]}), ("d", "(satu or susu) not (kopi or @bob)", {"not_media_tags": ["iklan"]}), ("e", "satu or not kopi", {})]
+    queries = [T.compiled(n, q, **k) for n, q, k in make]
+    got = {(r.id, r.query) for r in T.matches(items, queries, ["id"]).collect()}
+    want = {(r.id, q.name) for q in queries for r in items.filter(T.reason(q) == "match").select("id").collect()}
+    assert got == want and len(want) > 8
+
+
+def test_five_thousand_queries(spark):
+    queries = [T.compiled(f"q{i}", f"(w{i} or w{i + 1}) and not w{i + 2}") for i in range(5000)]
+    items = T.prepared(spark.createDataFrame([(i, f"w{i * 7} x w{i * 7 + 5}") for i in range(300)], "id long, text string"), lang=None)
+    got = {(r.id, r.query) for r in T.matches(items, queries, ["id"]).collect()}
+    has = {i: {i * 7, i * 7 + 5} for i in range(300)}
+    assert got == {(i, f"q{n}") for i, ws in has.items() for w in ws for n in (w - 1, w) if 0 <= n < 5000 and n + 2 not in ws}
+
+
+@pytest.mark.parametrize("text, want", [("a", {"term"}), ('a "b c"', {"and", "term", "phrase"}), ("a (b or c)", {"and", "or", "group", "term"}), ("a not (b c)", {"and", "not", "group", "term"})])
+def test_features(text, want):
+    assert T.features(T.parse(text)) == want
+
+
+def test_limits_of_keywords_and_languages():
+    for bad in ({"keywords": ["k"] * 51}, {"keywords": ["k" * 101]}, {"languages": ["xx"]}):
+        with pytest.raises(T.QueryError):
+            T.compiled("q", "a", **bad)

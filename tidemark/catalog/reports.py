@@ -10,8 +10,7 @@ from tidemark.catalog.book import Book
 from tidemark.catalog.state import AGG_SQL
 from tidemark.functions import values
 from tidemark.operators import aggregates, evalkit, ops
-from tidemark.operators.state import topic_matches
-from tidemark.sources.crosswalk import EVENTS_SQL, STATE_SQL, match_events
+from tidemark.sources.crosswalk import EVENTS_SQL, match_events
 from tidemark.sources.store import table
 
 BOOK = Book()
@@ -176,7 +175,7 @@ BOOK.add(
 )
 BOOK.add(
     "threshold_crossing",
-    lambda s, d: ops.crossings(runs(s, d).select("plan_id", "run_id", "results"), ["plan_id"], ["run_id"], "results", 1000, [50, 80, 100]),
+    lambda s, d: ops.crossings(runs(s, d).select("plan_id", "run_id", "results"), ["plan_id"], ["run_id"], "results", 1000, [50, 80, 100], block=F.expr("run_id div 100")),
     f"WITH {R}, x AS (SELECT plan_id, run_id, results, sum(results) OVER (PARTITION BY plan_id ORDER BY run_id)::BIGINT AS used FROM r) SELECT plan_id, run_id, threshold::INT AS threshold, used FROM x, (SELECT unnest([50, 80, 100]) AS threshold) WHERE used - results < threshold * 10 AND used >= threshold * 10",
 )
 BOOK.add(
@@ -189,11 +188,6 @@ BOOK.add(
     lambda s, d: ops.preferred(table(s, d, "customer").selectExpr("c_nationkey", "c_mktsegment", "case when c_custkey % 3 = 0 then concat('t', c_custkey) end as tenant_id", "c_custkey as created_at"), ["c_nationkey", "c_mktsegment"]).join(table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey"),
     "SELECT c_nationkey, c_mktsegment, tenant_id, created_at, n_name FROM (SELECT c_nationkey, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 't' || c_custkey END AS tenant_id, c_custkey AS created_at, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey % 3 <> 0, c_custkey) AS rn FROM customer) JOIN nation ON c_nationkey = n_nationkey WHERE rn = 1",
 )
-BOOK.add(
-    "stream_or_plan",
-    lambda s, d: table(s, d, "customer").join(table(s, d, "supplier"), F.expr("c_custkey = s_suppkey"), "left").select("c_custkey", F.coalesce("s_name", "c_name").alias("name")),
-    "SELECT c_custkey, coalesce(s_name, c_name) AS name FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey",
-)
 BOOK.add(
     "lateral_unnest",
     lambda s, d: table(s, d, "events").withColumn("x", F.explode(F.from_json(F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]")), "array<struct<k:int>>"))).groupBy("x.k").agg(F.count("*").alias("n")),
@@ -262,11 +256,6 @@ BOOK.add(
     lambda s, d: ops.cooled_down(table(s, d, "customer").selectExpr("c_custkey as rule_id", "c_nationkey * 100 as cooldown_min"), table(s, d, "events").selectExpr("user_id as rule_id", "cast(ts as timestamp) as fired_at"), F.lit("2024-01-31").cast("timestamp")),
     "SELECT c_custkey AS rule_id, c_nationkey * 100 AS cooldown_min FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND ts > TIMESTAMP '2024-01-31' - INTERVAL 1 MINUTE * (c_nationkey * 100))",
 )
-BOOK.add(
-    "comment_planner",
-    lambda s, d: ops.comment_plan(topic_matches(match_events(s, d)), table(s, d, "events").filter("event_id % 3 = 0").selectExpr("event_type as platform", "cast(event_id as string) as post_id", "cast(ts as timestamp) as fetched_at"), F.lit("2024-01-31").cast("timestamp"), 3, 240).select("tenant_id", "topic_id", "platform", "post_id", "engagement"),
-    f"WITH {EVENTS_SQL}, {STATE_SQL} SELECT tenant_id, topic_id, platform, post_id, engagement FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, topic_id, platform ORDER BY engagement DESC, published_at DESC, post_id) AS r FROM (SELECT * EXCLUDE (rn) FROM m) m WHERE NOT (post_id::BIGINT % 3 = 0 AND published_at > TIMESTAMP '2024-01-21')) WHERE r <= 3",
-)
 
 # evaluation: the label of quality against a rule of thumb
 PAIRS = "pairs AS (SELECT doc_id AS id, lang AS stratum, quality::VARCHAR AS gold, (n_chars % 3 > 0)::INT::VARCHAR AS pred, (n_chars % 11) / 10 AS confidence FROM labels JOIN documents USING (doc_id))"

@@ -64,7 +64,7 @@ BOOK.add(
 QUERIES = [
     topics.compiled("a", '"the and" OR worthless', topic="t1"),
     topics.compiled("b", "(trash OR idiot) AND NOT moron", topic="t1"),
-    topics.compiled("c", "der -das", topic="t2", languages=["de"]),
+    topics.compiled("c", "der -das", topic="t2", languages=["de"], known=["en", "de", "fr", "es"]),
     topics.compiled("d", "que AND (eaux OR ment) NOT \"de la\"", topic="t2"),
     topics.compiled("e", "disgusting", topic="t3", keywords=["moron", "of the"]),
     topics.compiled("f", "#tag OR @someone OR año", topic="t3"),
@@ -99,7 +99,7 @@ BOOK.add("match_query", lambda s, d: topics.prepared(docs(s, d)).select("doc_id"
 BOOK.add("prepare_item", lambda s, d: topics.prepared(docs(s, d)).select("doc_id", F.sha2("q_joined", 256).alias("joined"), "q_words", F.array_join("q_hashtags", ",").alias("tags")), f"WITH {MATCH_SQL} SELECT doc_id, sha256(joined) AS joined, words::INT AS q_words, array_to_string(list_transform(list_distinct(tags), lambda t: t), ',') AS tags FROM i")
 BOOK.add(
     "query_catalog",
-    lambda s, d: s.createDataFrame([(q.name, q.digest(), ",".join(topics.index_keys(q)), topics.size(q.tree)) for q in QUERIES], "query string, digest string, keys string, nodes int"),
+    lambda s, d: s.createDataFrame([(q.name, q.digest(), ",".join(topics.index_keys(q)), topics.size(q.tree), ",".join(sorted(topics.features(q.tree)))) for q in QUERIES], "query string, digest string, keys string, nodes int, features string"),
 )
 
 # enrichment: nations as a gazetteer

@@ -78,3 +78,11 @@ def labelled(items: DataFrame, labels: DataFrame, key: list[str], text: str = "t
             "emotion": F.when(F.col("_has"), F.col("emotion")).otherwise(UNKNOWN),
         }
     ).drop("_has")
+
+
+def label_corpus(labelled: DataFrame, key: list[str], at: Column) -> DataFrame:
+    """A row per task of what models said: sentiment, emotion and, where there are issues, key phrases; what rules or nobody said is left out."""
+    task = lambda name, label, conf: F.struct(F.lit(name).alias("task"), F.col(label).alias("label"), F.col(conf).alias("confidence"))
+    rows = labelled.filter(~F.coalesce("model_version", F.lit("unlabeled")).rlike("^(rule:|unlabeled$)")).withColumn("phrases", F.array_join("issues", " | "))
+    tasks = F.array(task("sentiment", "sentiment", "sentiment_confidence"), task("emotion", "emotion", "emotion_confidence"), task("keyphrase", "phrases", "sentiment_confidence"))
+    return rows.select(*key, F.explode(tasks).alias("t"), "model_version").filter("t.label <> '' and t.label <> 'below_18'").select(*key, "t.*", F.lit("llm").alias("source"), "model_version", at.alias("created_at"))

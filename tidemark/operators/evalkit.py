@@ -62,7 +62,9 @@ def stratified_sample(rows: DataFrame, by: str, key: str, n: int, least: int = 5
     total = counts.agg(F.sum("c").alias("t"))
     take = counts.crossJoin(total).select(by, F.least(F.col("c"), F.greatest(F.lit(least), F.bround(F.lit(n) * F.col("c") / F.col("t")))).cast("int").alias("k"))
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.sha1(F.col(key).cast("string")), key))
-    return rows.withColumn("_rn", place).join(F.broadcast(take), by).filter(F.col("_rn") <= F.col("k")).drop("_rn", "k")
+    # no stratum takes more, and a fixed bound lets Spark limit the strata before the shuffle
+    first = rows.withColumn("_rn", place).filter(F.col("_rn") <= max(n, least))
+    return first.join(take, by).filter(F.col("_rn") <= F.col("k")).drop("_rn", "k")
 
 
 def frozen_split(key: Column) -> Column:

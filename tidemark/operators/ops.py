@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,37 @@ def grouped_names(rows: DataFrame, by: str, name: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(name).alias("n"), F.sort_array(F.collect_set(name)).alias("names"))
 
 
+def user_offices(users: DataFrame, members: DataFrame, offices: DataFrame) -> DataFrame:
+    """Users but operators, each with its offices and roles there by the office's name; those without any have an empty list."""
+    there = offices.filter("kind = 'office' and deleted_at is null").select("tenant_id", "name")
+    own = members.join(there, "tenant_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("name", "tenant_id", "role"))).alias("offices"))
+    out = users.filter(~F.col("is_operator")).join(own, "user_id", "left")
+    return out.withColumn("offices", F.coalesce("offices", F.array().cast("array<struct<name:string,tenant_id:string,role:string>>")))
+
+
+def searched(rows: DataFrame, column: str, text: str) -> DataFrame:
+    """Rows whose column holds the text, in either case; its wildcards are plain characters."""
+    plain = "".join("\\" + c if c in "\\%_" else c for c in text)
+    return rows.filter(F.col(column).ilike(f"%{plain}%"))
+
+
+def recent_by_status(runs: DataFrame, now: Column, hours: int = 1) -> DataFrame:
+    since = now - F.make_interval(hours=F.lit(hours))
+    return runs.filter(F.col("scheduled_for") >= since).groupBy("platform", "status").agg(F.count("*").alias("n"))
+
+
+def oldest_waiting(outbox: DataFrame, now: Column) -> DataFrame:
+    """How many rows wait to be sent, and for how many seconds the oldest does."""
+    waiting = outbox.filter("published_at is null")
+    return waiting.agg(F.count("*").alias("n"), F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(F.min("created_at")), F.lit(0)).alias("age_s"))
+
+
+def error_ratio(requests: DataFrame, by: list[str], most: float = 0.02) -> DataFrame:
+    """Groups of requests of which more than that share failed on the server's side."""
+    rows = requests.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if(F.col("code").between(500, 599)).alias("errors"))
+    return rows.filter(F.col("errors") > most * F.col("requests"))
+
+
 def state_metrics(runs: DataFrame, now: Column) -> DataFrame:
     since = F.max(F.when(F.col("status") == "success", F.col("finished_at")))
     return runs.groupBy("platform").agg(F.count("*").alias("runs"), (F.unix_timestamp(now) - F.unix_timestamp(since)).alias("success_age_s"))
@@ -185,10 +218,20 @@ def newest_gaps(gaps: DataFrame, key: list[str], k: int = 20) -> DataFrame:
     return kept.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("gap_start", "gap_end"))).alias("gaps"))
 
 
-def crossings(log: DataFrame, key: list[str], order: list[str], amount: str, limit: float, thresholds: list[int]) -> DataFrame:
-    """Rows of an ordered log at which the running total passes a share of the limit."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    log = log.withColumn("used", F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("used") - F.col(amount))
+def crossings(log: DataFrame, key: list[str], order: list[str], amount: str, limit: float, thresholds: list[int], *, block: Column) -> DataFrame:
+    """Rows of an ordered log at which the running total passes a share of the limit; amounts are not negative.
+
+    ``block`` never falls along the order (a day, say). Totals run over the blocks first; only blocks in which a threshold
+    lies are put in order row by row, so that a key's log is never in one task as a whole.
+    """
+    log = log.withColumn("_block", block)
+    blocks = log.groupBy(*key, "_block").agg(F.sum(amount).alias("_sum"))
+    running = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("_end", F.sum("_sum").over(running)).withColumn("_start", F.col("_end") - F.col("_sum"))
+    passed = [(F.col("_start") < t * limit / 100) & (F.col("_end") >= t * limit / 100) for t in thresholds]
+    hit = blocks.filter(reduce(lambda a, b: a | b, passed)).select(*key, "_block", "_start")
+    w = Window.partitionBy(*key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    log = log.join(hit, [*key, "_block"]).withColumn("used", F.col("_start") + F.sum(amount).over(w)).withColumn("before", F.col("used") - F.col(amount))
     each = log.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     at = F.col("threshold") * F.lit(limit) / 100
     return each.filter((F.col("before") < at) & (F.col("used") >= at)).select(*key, *order, "threshold", "used")
@@ -241,10 +284,3 @@ def cooled_down(rules: DataFrame, fired: DataFrame, now: Column) -> DataFrame:
     """Rules that did not fire within their cooldown: an anti join on the rule with a range."""
     recent = F.expr("rules.rule_id = fired.rule_id") & (F.col("fired.fired_at") > now - F.make_interval(mins=F.col("rules.cooldown_min")))
     return rules.alias("rules").join(fired.alias("fired"), recent, "left_anti")
-
-
-def comment_plan(matches: DataFrame, fetched: DataFrame, now: Column, per_group: int = 5, gap_hours: int = 24) -> DataFrame:
-    """The posts of most engagement of each tenant's topic and platform whose comments were not fetched lately."""
-    recent = fetched.filter(F.col("fetched_at") > now - F.make_interval(hours=F.lit(gap_hours))).select("platform", "post_id")
-    open_ = matches.join(recent, ["platform", "post_id"], "left_anti")
-    return top_n_per_key(open_, ["tenant_id", "topic_id", "platform"], [F.desc("engagement"), F.desc("published_at"), F.asc("post_id")], per_group)

@@ -24,6 +24,11 @@ def write_monthly(rows: DataFrame, path: str, time: str, order: list[str]) -> No
     month.repartition("ym", F.pmod(F.xxhash64(*order), F.lit(16))).sortWithinPartitions(*order).write.partitionBy("ym").mode("overwrite").parquet(path)
 
 
+def append_monthly(rows: DataFrame, path: str, time: str) -> None:
+    """Append to a table partitioned by month."""
+    rows.withColumn("ym", F.date_format(time, "yyyyMM")).write.partitionBy("ym").mode("append").parquet(path)
+
+
 def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
     """Months ``first`` to ``last`` (yyyyMM): folders of other months are not read."""
     return spark.read.parquet(path).filter(F.col("ym").cast("string").between(first, last))
@@ -35,8 +40,9 @@ def for_spreadsheet(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV files with a header, quotes doubled, and lines ended as spreadsheets expect. Spark writes one file per partition."""
-    for_spreadsheet(rows).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
+    """CSV files with a byte order mark, a header, quotes doubled, and lines ended as spreadsheets expect. Spark writes one file per partition."""
+    marked = for_spreadsheet(rows).toDF("\ufeff" + rows.columns[0], *rows.columns[1:])
+    marked.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 
 def tables_of(spark: SparkSession, prefix: str) -> DataFrame:

@@ -79,3 +79,9 @@ def retained(posts: DataFrame, matches: DataFrame, now: Column, *, unmatched_day
     age = F.datediff(now, F.col("published_at"))
     marked = posts.join(matches.select(*POST_KEY).distinct().withColumn("matched", F.lit(True)), POST_KEY, "left")
     return marked.filter(F.when(F.col("matched"), age <= most_days).otherwise(age <= unmatched_days)).drop("matched")
+
+
+def retained_by_tenant(rows: DataFrame, days: DataFrame, now: Column, *, time: str = "published_at", least: int = 30) -> DataFrame:
+    """Rows within their tenant's days, ``least`` at least; rows of tenants without a number of days stay."""
+    kept = rows.join(days.select("tenant_id", "days"), "tenant_id", "left")
+    return kept.filter(F.col("days").isNull() | (F.col(time) >= now - F.make_interval(days=F.greatest(F.col("days"), F.lit(least))))).drop("days")

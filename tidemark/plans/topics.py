@@ -1,8 +1,9 @@
 """Boolean topic queries compiled to Columns, and the join of many queries with many items.
 
 ``parse`` reads terms, phrases, #tags, @authors, AND/OR/NOT (any case), a leading minus and parentheses; side by side
-means AND. The tree becomes one Column over prepared items, so that Catalyst simplifies and compiles it. ``matches``
-joins items with many queries through the keys that any match must contain (an equi-join), then applies the queries.
+means AND. One query becomes one Column over prepared items, so that Catalyst simplifies and compiles it. Many queries
+are rows of a table: ``matches`` joins items with it through the keys that any match must contain (equi-joins), then
+evaluates each candidate's tree from its row, so that the plan is the same for six queries and for many thousands.
 """
 
 from __future__ import annotations
@@ -20,10 +21,18 @@ from tidemark.functions.text import fold, hashtags_in, normalize_lang, normalize
 
 # Limits of a query.
 MOST_CHARACTERS, MOST_DEPTH, MOST_NODES = 2000, 10, 200
+MOST_KEYWORDS, MOST_KEYWORD = 50, 100
+LANGUAGES = ("id", "en", "ms")
 
 #: Index keys that are written into the plan itself.
 MOST_LITERAL_KEYS = 2000
 
+#: A table of queries is broadcast up to so many bytes, which the driver counts as it writes them.
+BROADCAST_BYTES = 32 << 20
+
+#: A query as a row: its tree in ``nodes``, kids before parents, by their places.
+PROGRAM = "q_no int, query string, topic string, q_keys array<string>, nodes array<struct<kind:string,value:string,tag:string,kids:array<int>>>, languages array<string>, media array<string>, not_media array<string>"
+
 TOKEN = re.compile(r"""\s*(?:(?P<open>\()|(?P<close>\))|["“”](?P<phrase>[^"“”]*)["“”]|(?P<minus>-(?=\S))|(?P<word>[^\s()"“”]+))""")
 AUTHOR = re.compile(r"@([A-Za-z0-9._]{1,64})")
 
@@ -153,12 +162,20 @@ def merge_keywords(tree: Node, keywords: list[str]) -> Node:
     """Keywords as alternatives of the positive part, so that its NOTs still hold."""
     if not keywords:
         return tree
+    if len(keywords) > MOST_KEYWORDS or any(len(k) > MOST_KEYWORD for k in keywords):
+        raise QueryError("too many keywords, or one is too long")
     extra = [leaf(k, True) if " " in k else leaf(k, False) for k in keywords]
     parts = list(tree.kids) if tree.kind == "and" else [tree]
     nots, core = [p for p in parts if p.kind == "not"], [p for p in parts if p.kind != "not"]
     return group("and", [group("or", [group("and", core), *extra] if core else extra), *nots])
 
 
+def features(node: Node, depth: int = 0) -> set[str]:
+    """What a source must be able to do for this query; a nested AND or OR needs groups."""
+    own = {node.kind, "group"} if node.kind in ("and", "or") and depth else {node.kind}
+    return own.union(*(features(k, depth + 1) for k in node.kids))
+
+
 def canonical(node: Node) -> Node:
     if not node.kids:
         return node
@@ -196,7 +213,10 @@ class Query:
         return hashlib.sha256(json.dumps(what, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
 
 
-def compiled(name: str, text: str, *, topic: str = "", keywords: list[str] = (), languages=(), media_tags=(), not_media_tags=()) -> Query:
+def compiled(name: str, text: str, *, topic: str = "", keywords: list[str] = (), languages=(), media_tags=(), not_media_tags=(), known=LANGUAGES) -> Query:
+    """A query; ``languages`` must be among the ``known`` ones."""
+    if not set(languages) <= set(known):
+        raise QueryError("an unknown language")
     tags = lambda ts: tuple("".join(words_of(t)) for t in ts)
     return Query(name, merge_keywords(parse(text), list(keywords)), topic or name, tuple(languages), tags(media_tags), tags(not_media_tags))
 
@@ -258,34 +278,73 @@ def index_keys(q: Query) -> list[str]:
     return sorted(set(keys))
 
 
-def candidates(items: DataFrame, table: dict[str, list[int]], keys: list[str]) -> DataFrame:
-    """``items`` once for each query (``q_no``) that may match, by the index keys that an item has.
+def program(node: Node) -> list[tuple[str, str, str, list[int]]]:
+    """The nodes of a tree as rows, kids before parents; the root is the last."""
+    out: list[tuple[str, str, str, list[int]]] = []
 
-    Up to MOST_LITERAL_KEYS the keys are part of the plan: each item is looked at on its own, without a join or a
-    shuffle. Beyond that its keys are joined with the table of keys, whose rows the users' queries bound.
-    """
-    own = F.concat(F.split(F.trim("q_joined"), " "), F.transform("q_hashtags", lambda t: F.concat(F.lit("#"), t)), F.array(F.concat(F.lit("@"), F.coalesce("q_author", F.lit(""))), F.lit("")))
-    if len(table) <= MOST_LITERAL_KEYS:
-        numbers = F.create_map(*[x for k, ns in table.items() for x in (F.lit(k), F.array(*map(F.lit, ns)))])
-        found = F.array_intersect(own, F.array(*map(F.lit, table)))
-        return items.withColumn("q_no", F.explode(F.array_distinct(F.flatten(F.transform(found, lambda k: F.element_at(numbers, k))))))
-    rows = items.sparkSession.createDataFrame([(k, n) for k, ns in table.items() for n in ns], "q_key string, q_no int")
-    found = items.select(*keys, F.explode(F.array_distinct(own)).alias("q_key")).join(F.broadcast(rows), "q_key")
-    return items.join(found.select(*keys, "q_no").distinct(), keys)
+    def put(n: Node) -> int:
+        kids = [put(k) for k in n.kids]
+        v = n.value
+        kind = n.kind if kids else {"@": "author", "#": "tag"}.get(v[:1], "text")
+        out.append((kind, v[1:] if kind in ("author", "tag") else f" {v} ", v.replace(" ", ""), kids))
+        return len(out) - 1
+
+    put(node)
+    return out
+
+
+def holds(nodes: Column) -> Column:
+    """``to_column`` for a tree that stands in a row: each node's value from those before it."""
+
+    def step(done: Column, n: Column) -> Column:
+        at = lambda k: F.get(done, k)
+        text = F.col("q_joined").contains(n["value"]) | F.array_contains(F.col("q_hashtags"), n["tag"])
+        own = F.when(n["kind"] == "text", text).when(n["kind"] == "tag", F.array_contains(F.col("q_hashtags"), n["value"]))
+        own = own.when(n["kind"] == "author", F.coalesce(F.col("q_author") == n["value"], F.lit(False)))
+        own = own.when(n["kind"] == "and", F.forall(n["kids"], at)).when(n["kind"] == "or", F.exists(n["kids"], at))
+        return F.concat(done, F.array(own.otherwise(~at(F.get(n["kids"], F.lit(0))))))
+
+    return F.element_at(F.aggregate(nodes, F.array().cast("array<boolean>"), step), -1)
+
+
+def passes() -> Column:
+    """``reason(q) == 'match'`` for a query that stands in the item's row."""
+    any_of = lambda c: F.arrays_overlap(F.col("q_tags"), F.col(c))
+    lang = (F.size("languages") == 0) | F.col("q_lang").isNull() | (F.col("q_words") < 3) | F.array_contains(F.col("languages"), F.col("q_lang"))
+    return lang & ((F.size("media") == 0) | any_of("media")) & ~any_of("not_media") & holds(F.col("nodes"))
+
+
+def with_small(rows: DataFrame, many: int, small: DataFrame, key: str) -> DataFrame:
+    """An equi-join with a table of queries of ``many`` bytes."""
+    return rows.join(F.broadcast(small) if many <= BROADCAST_BYTES else small, key)
 
 
 def matches(items: DataFrame, queries: list[Query], keys: list[str]) -> DataFrame:
-    """(item key columns, query, topic) of every match; ``items`` are prepared. Each candidate is put to its query."""
-    table: dict[str, list[int]] = {}
-    for i, q in enumerate(queries):
-        for k in index_keys(q):
-            table.setdefault(k, []).append(i)
-    verdict = F.lit("none")
-    for i, q in enumerate(queries):
-        verdict = F.when(F.col("q_no") == i, reason(q)).otherwise(verdict)
-    names = F.array(*[F.struct(F.lit(q.name).alias("query"), F.lit(q.topic).alias("topic")) for q in queries])
-    hit = candidates(items, table, keys).filter(verdict == "match").withColumn("q", names[F.col("q_no")])
-    return hit.select(*keys, "q.query", "q.topic")
+    """(item key columns, query, topic) of every match; ``items`` are prepared.
+
+    Up to MOST_LITERAL_KEYS index keys each item is looked at on its own and nothing is shuffled: the item goes on for
+    each key that it has, and of a query's several keys only the first in the item counts. Beyond that the items' keys
+    alone are joined with the index, and what they find is joined back to the items.
+    """
+    spark = items.sparkSession
+    per_query = [index_keys(q) for q in queries]
+    index_rows = [(k, i) for i, ks in enumerate(per_query) for k in ks]
+    program_rows = [(i, q.name, q.topic, ks, program(q.tree), list(q.languages), list(q.media_tags), list(q.not_media_tags)) for i, (q, ks) in enumerate(zip(queries, per_query, strict=True))]
+    index_bytes = sum(len(k.encode()) + 64 for k, _ in index_rows)
+    program_bytes = sum(512 + sum(len(k.encode()) + 16 for k in r[3]) + sum(2 * len(n[1].encode()) + 4 * len(n[3]) + 96 for n in r[4]) for r in program_rows)
+    index, programs = spark.createDataFrame(index_rows, "q_key string, q_no int"), spark.createDataFrame(program_rows, PROGRAM)
+    own = F.concat(F.split(F.trim("q_joined"), " "), F.transform("q_hashtags", lambda t: F.concat(F.lit("#"), t)), F.array(F.concat(F.lit("@"), F.coalesce("q_author", F.lit(""))), F.lit("")))
+    known = sorted({k for k, _ in index_rows})
+    if len(known) <= MOST_LITERAL_KEYS:
+        # one expression: a column of its own would be computed twice, for a filter that the optimizer infers from it
+        each = F.flatten(F.transform(F.array(F.array_intersect(own, F.array(*map(F.lit, known)))), lambda ks: F.transform(ks, lambda k: F.struct(k.alias("q_key"), ks.alias("q_found")))))
+        found = items.withColumn("q_hit", F.explode(each)).select(*items.columns, "q_hit.q_key", "q_hit.q_found")
+        found = with_small(with_small(found, index_bytes, index, "q_key"), program_bytes, programs, "q_no")
+        found = found.filter(F.get(F.array_intersect("q_keys", "q_found"), F.lit(0)) == F.col("q_key"))
+    else:
+        pairs = with_small(items.select(*keys, F.explode(F.array_distinct(own)).alias("q_key")), index_bytes, index, "q_key")
+        found = with_small(items.join(pairs.select(*keys, "q_no").distinct(), keys), program_bytes, programs, "q_no")
+    return found.filter(passes()).select(*keys, "query", "topic")
 
 
 def first_per_topic(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,6 +43,13 @@ def normalized(raw: DataFrame) -> DataFrame:
     return rows.filter("post_id is not null and published_at is not null and author_id is not null and author_handle is not null")
 
 
+def rejected(raw: DataFrame) -> DataFrame:
+    """(reason, n): the raw items that ``normalized`` leaves out, counted by the first thing that they lack."""
+    bad = F.col("_bad").isNotNull() if "_bad" in raw.columns else F.lit(False)
+    why = F.when(bad, "broken").when(F.col("id").isNull(), "id").when(to_utc(F.col("created_at")).isNull(), "time").when(F.col("author.id").isNull() | F.col("author.handle").isNull(), "author")
+    return raw.groupBy(why.alias("reason")).agg(F.count("*").alias("n")).filter("reason is not null")
+
+
 def pages(reads: list[DataFrame], start: Column, end: Column, floor_days: int = 30) -> DataFrame:
     """Several pages as one: within the window (and never older than the floor), each post once."""
     rows = reads[0]
