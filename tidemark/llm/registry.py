@@ -1,6 +1,6 @@
 """The queries of this package and their SQL, by name."""
 
-from tidemark.llm import bpe, gif, html, language, mixing, neardup, pii, quality, rules, secrets
+from tidemark.llm import bpe, centroids, gif, html, language, mixing, neardup, packing, pii, quality, rules, runs, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_bpe_roundtrip": bpe.op8,
     "op9_quality_rules": rules.op9,
     "op10_html_extraction": html.op10,
+    "op11_hamerly_clusters": centroids.op11,
+    "op12_best_fit_packing": packing.op12,
+    "op13_periodic_runs": runs.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -20,4 +23,6 @@ ORACLES: dict[str, str] = {
     "op3_pii_contextual": pii.oracle(),
     "op6_source_mixing": mixing.ORACLE,
     "op9_quality_rules": rules.oracle(),
+    "op11_hamerly_clusters": centroids.oracle(),
+    "op13_periodic_runs": runs.ORACLE,
 }
