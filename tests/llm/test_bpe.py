@@ -42,3 +42,21 @@ def test_bytes_survive(word):
     table = bpe.Bpe(bpe.vocabulary())
     ids, sizes = table.merge([word])
     assert table.decode(ids) == word and sizes.sum() == len(ids)
+
+
+def test_several_special_tokens():
+    """The leftmost one first and of several there the longest, however many stand in a text."""
+    import json
+
+    import regex
+
+    spec = json.loads(bpe.vocabulary())
+    last = max(spec["model"]["vocab"].values())
+    for n, content in enumerate(["<s>", "<s>>", "</s>"], last + 1):
+        spec["added_tokens"].append({"id": n, "content": content, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+        spec["model"]["vocab"][content] = n
+    table, tok = bpe.Bpe(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    texts = ["a<s>b</s>c", "<s>><s></s>", "<s>" * 3000 + " x", "<|endoftext|><s> <s", ""]
+    ids, offsets = table.encode(texts, regex.compile(bpe.SPLIT))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t

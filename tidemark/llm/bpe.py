@@ -4,12 +4,14 @@ The words of a chunk of texts are encoded together. Their symbols lie in one fla
 every adjacent pair in the sorted pair keys by binary search and merges, in each word, the pair of lowest rank.
 
 Nulls encode as the empty text (no ids); empty texts give no ids. Repeated rows give repeated results. A text of
-any length is encoded whole. Other columns are left alone: operators return the id column and their own.
+any length is encoded whole. Of equal pairs that overlap, every other one from the left merges. An empty table gives an
+empty result. Only the columns named are read, so others may have any name: operators return the id column and their own.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: How many distinct words a worker remembers before it starts afresh.
 REMEMBERED_WORDS = 100_000
 
+#: The rank of a pair that never merges.
+NONE = 1 << 60
+
 # The public pre-tokenisation pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
@@ -45,6 +50,7 @@ class Bpe:
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
         self.size = max([*vocab.values(), *self.specials.values()]) + 1
         self.first = np.array([vocab[c] for c in letters], dtype=np.int64)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -52,6 +58,8 @@ class Bpe:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)[order]
+        # what binary search finds for each pair of bytes, with which every word begins
+        self.byte_rank, self.byte_into = self.find(np.repeat(self.first, 256), np.tile(self.first, 256))
         pieces = [b""] * self.size
         for token, i in vocab.items():
             pieces[i] = bytes(back[c] for c in token)
@@ -68,33 +76,47 @@ class Bpe:
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of each pair, by binary search over the sorted keys; NONE where there is no such merge."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE), self.merged[at]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words one after another, and the number of ids of each; no word is empty."""
+        """The ids of the words one after another, and the number of ids of each; no word is empty.
+
+        A round merges in every word its pairs of lowest rank; only pairs next to a merge are looked up anew.
+        """
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        flat = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        flat, word = self.first[raw], np.repeat(np.arange(len(words)), sizes)
+        pair = np.append(raw[:-1].astype(np.int64) * 256 + raw[1:], 0)
+        rank, into = self.byte_rank[pair], self.byte_into[pair]
+        rank[np.cumsum(sizes) - 1] = NONE  # a word's last symbol has no pair
         done_ids: list[np.ndarray] = []
         done_word: list[np.ndarray] = []
-        none = np.int64(1 << 60)
         while len(flat):
-            key = flat[:-1] * self.size + flat[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (word[:-1] == word[1:]) & (self.keys[at] == key)
-            rank = np.append(np.where(hit, self.ranks[at], none), none)
             begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             lowest = np.repeat(np.minimum.reduceat(rank, begins), np.diff(np.append(begins, len(flat))))
-            ended = lowest == none
-            if ended.any():  # words without a mergeable pair are finished
-                done_ids.append(flat[ended])
-                done_word.append(word[ended])
-            chosen = np.flatnonzero((rank == lowest) & ~ended)
+            gone = lowest == NONE
+            if gone.any():  # words without a mergeable pair are finished
+                done_ids.append(flat[gone])
+                done_word.append(word[gone])
+            chosen = np.flatnonzero((rank == lowest) & ~gone)
             if len(chosen):  # of overlapping pairs, as in "aaa", every other one from the left
                 run = np.flatnonzero(np.append(True, np.diff(chosen) != 1))
                 nth = np.arange(len(chosen)) - np.repeat(run, np.diff(np.append(run, len(chosen))))
                 chosen = chosen[nth % 2 == 0]
-                flat[chosen] = self.merged[at[chosen]]
-                ended[chosen + 1] = True
-            flat, word = flat[~ended], word[~ended]
+                flat[chosen] = into[chosen]
+                gone[chosen + 1] = True
+            kept = ~gone
+            place = (np.cumsum(kept) - 1)[chosen]
+            flat, word, rank, into = flat[kept], word[kept], rank[kept], into[kept]
+            near = np.concatenate([place, place[place > 0] - 1])
+            rank[near] = NONE
+            near = near[near < len(flat) - 1]
+            near = near[word[near] == word[near + 1]]
+            rank[near], into[near] = self.find(flat[near], flat[near + 1])
         ids, owner = np.concatenate(done_ids), np.concatenate(done_word)
         order = np.argsort(owner, kind="stable")
         return ids[order].astype(np.int32), np.bincount(owner, minlength=len(words)).astype(np.int64)
@@ -131,16 +153,12 @@ class Bpe:
         return self.pool[place], np.append(0, ends)[counts]
 
     def split(self, text: str, pattern) -> list[str]:
-        for token in self.specials:
-            if token in text:
-                head, _, tail = text.partition(token)
-                return self.split(head, pattern) + [token] + self.split(tail, pattern) if len(self.specials) > 1 else self.split_all(text, token, pattern)
-        return pattern.findall(text)
-
-    def split_all(self, text: str, token: str, pattern) -> list[str]:
+        """The words of a text; a special token's string is one of its own, the leftmost first and of several there the longest."""
+        if not any(token in text for token in self.specials):
+            return pattern.findall(text)
         out: list[str] = []
-        for n, part in enumerate(text.split(token)):
-            out += [token] * (n > 0) + pattern.findall(part)
+        for n, part in enumerate(self.special.split(text)):
+            out += [part] if n % 2 else pattern.findall(part)
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
