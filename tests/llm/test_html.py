@@ -1,5 +1,6 @@
 import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 
@@ -68,7 +69,7 @@ def brute(page):
     def label(blocks, i, article):
         _, text, linked = blocks[i]
         words = [w for b in blocks for w in re.findall(r"[^\W\d_]+", b[1].lower())]
-        foreign = not article and len(words) >= html.TELLING and sum(w in html.STOP_WORDS for w in words) < html.KNOWN * len(words)
+        foreign = len(words) >= html.TELLING and sum(w in html.STOP_WORDS for w in words) < html.KNOWN * len(words)
         is_link = lambda k: 0 <= k < len(blocks) and blocks[k][2] > html.LINKED * len(blocks[k][1])
         if is_link(i):
             return None if article and len(text) < html.SHORT and not is_link(i - 1) and not is_link(i + 1) else False
@@ -76,9 +77,9 @@ def brute(page):
             return None
         own = re.findall(r"[^\W\d_]+", text.lower())
         dense = sum(w in html.STOP_WORDS for w in own) / len(own) if own else 0
-        if article or foreign or dense >= html.DENSE or (dense >= html.SPARSE and len(text) >= html.LONG):
+        if foreign or dense >= html.DENSE or (dense >= html.SPARSE and (article or len(text) >= html.LONG)):
             return True
-        return None if dense >= html.SPARSE else False
+        return None if article or dense >= html.SPARSE else False
 
     article, rest = [b for b in found if b[0] == html.ARTICLE], [b for b in found if b[0] == html.BODY]
     sure = sum(len(b[1]) for i, b in enumerate(rest) if label(rest, i, False))
@@ -123,3 +124,100 @@ def test_pages(spark):
     assert len(got) == len(rows)
     assert all(r.text == PAGES[r.id][1] for r in got if r.id is not None)
     assert html.extract(pages.limit(0)).collect() == []
+
+
+LONG_PROSE = (PROSE * 3).strip()
+BAD = ["reader-comments", "user-comments", "comment-thread", "comments", "post-comments", "CommentList", "disqus_thread", "related-posts", "related-articles", "article-share", "story-newsletter", "site-footer", "ad-slot-3", "cookie-banner", "reader_comments_2"]
+FINE = ["has-comments", "no-sidebar", "comments-open", "category-social", "with-related", "tag-advert", "commentary", "content", "lead", "adventure-story"]
+
+
+@pytest.mark.parametrize("name", BAD)
+def test_bad_names(name):
+    for attribute in ("class", "id"):
+        bad = f'<div {attribute}="{name}"><p>{LONG_PROSE} And nobody said so.</p></div>'
+        assert html.main_text(f"<body><article><p>{LONG_PROSE}</p>{bad}</article></body>") == LONG_PROSE
+        assert html.main_text(f"<body><main><article><p>{LONG_PROSE}</p></article>{bad}</main></body>") == LONG_PROSE
+        assert html.main_text(f"<body><p>{LONG_PROSE}</p>{bad.replace('div', 'section')}</body>") == LONG_PROSE
+
+
+@pytest.mark.parametrize("name", FINE)
+def test_names_that_only_sound_bad(name):
+    for page in (f'<body><article><div class="{name}"><p>{LONG_PROSE}</p></div></article></body>', f'<body><div class="{name}"><p>{LONG_PROSE}</p></div></body>'):
+        assert html.main_text(page) == LONG_PROSE
+
+
+def test_words_decide_in_articles_too():
+    """Of two blocks as long and beside the same list of links the one with stop words stays, the other follows its neighbour."""
+    links = "".join(f"<li><a href=/{i}>one more of the links</a></li>" for i in range(3))
+    names = "Lorem Dolor Amet Tempor Magna Aliqua Veniam Nostrud Labore Cillum Fugiat Nulla Officia Mollit"
+    page = f"<article><p>{LONG_PROSE}</p><p>%s</p><p>%s</p><ul>{links}</ul></article>"
+    assert html.main_text(page % (names, names)) == f"{LONG_PROSE}\n{names}"
+    assert html.main_text(page % (PROSE.strip(), PROSE.strip())) == "\n".join([LONG_PROSE, PROSE.strip(), PROSE.strip()])
+
+
+class Reader(HTMLParser):
+    """A second way to the blocks, for sound pages: the standard library's parser and a stack of places."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.text, self.linked, self.link, self.out = [html.BODY], "", 0, False, []
+
+    def close_block(self):
+        if text := " ".join(self.text.split()):
+            self.out.append((self.stack[-1], text, self.linked))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text += " "
+        elif tag == "a":
+            self.link = True
+        elif tag not in ("b", "i", "span"):
+            self.close_block()
+            name, now = dict(attrs).get("class", ""), self.stack[-1]
+            if now == html.OUT or tag in ("nav", "aside", "footer", "script", "form") or (tag not in ("article", "main") and name in ("comments", "ad", "related-posts", "reader-comments")):
+                now = html.OUT
+            elif tag in ("article", "main") or name == "post-content":
+                now = html.ARTICLE
+            self.stack.append(now)
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = False
+        elif tag not in ("b", "i", "span", "br"):
+            self.close_block()
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(data) * self.link
+
+
+def test_blocks_against_a_second_parser():
+    rng = random.Random(12)
+    texts = ["A heading", PROSE, "caf&eacute; &amp; more &#8212; of it", "x &lt; y", RUSSIAN[:80], "  spaced \n out\t"]
+
+    def element(depth):
+        tag = rng.choice(["p", "div", "div", "section", "ul", "h2", "article", "aside", "nav", "footer", "main", "script"])
+        name = rng.choice(["", "", "", ' class="comments"', " class='ad'", ' class="post-content"', ' class="related-posts"', ' class="reader-comments"', ' class="lead"'])
+        if tag == "script":
+            return "<script>var x = '</p><p>';</script>"
+        if tag in ("p", "h2") or depth == 0:
+            inner = rng.choice(texts)
+            inner = rng.choice([inner, f"<b>{inner}</b> and <i>so</i> on", f'<a href="/x">{inner}</a>', f"{inner}<br>{inner}"])
+        else:
+            inner = "".join(element(depth - 1) for _ in range(rng.randrange(4)))
+        return f"<{tag}{name}>{inner}</{tag}>"
+
+    some_without = 0
+    for _ in range(400):
+        page = f"<body>{''.join(element(3) for _ in range(rng.randrange(1, 5)))}</body>"
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        reader.close_block()
+        kept = lambda blocks: [b[:2] for b in blocks if b[0] != html.OUT]
+        assert kept(html.blocks_of(page)) == kept(reader.out), page
+        some_without += "<article" not in page and "<main" not in page and "post-content" not in page
+        assert html.main_text(page) == brute(page), page
+    assert some_without > 50

@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block-level tags. Pass one decides what it can from a block alone: its place (menus,
 forms, adverts, comments ... are boilerplate; the article element or an element named as content is the article),
-its link density, its length and its density of stop words. Pass two gives each ambiguous short block the label of
-the nearest decided neighbours in the same part of the page. Kept blocks are joined in page order.
+its link density, its length and its density of stop words. Pass two gives each block in doubt (short ones, and in an
+article those with few stop words) the label of the nearest decided neighbours in the same part of the page. Kept blocks
+are joined in page order.
 
 Where the text outside the article that pass one is sure of is more than MASS times the article's, the article is taken
 for a teaser, and the whole page but its boilerplate is judged. Where hardly any word of a page is one of the stop
@@ -78,9 +79,14 @@ PART = re.compile(r"[a-z0-9]+")
 STANDING = frozenset(
     """
     site page global top bottom left right primary secondary inner outer wrap wrapper container box bar list section area
-    block link links item items form slot unit banner post entry article blog main header
+    block link links item items form slot unit banner post posts entry article articles story stories blog main header
+    reader readers user users visitor thread area
     """.split()
 )
+#: Names of comments, whatever else a token says.
+ALWAYS = frozenset("comment comments commentlist commenter commenters disqus respond".split())
+#: Words that make a token a remark about a page or a topic, not the name of a part.
+REMARKS = frozenset("has have with without no not is are open closed enabled disabled free category tag topic format".split())
 #: Elements that hold the text whatever their names are.
 HOLDERS = frozenset("html body main article".split())
 
@@ -88,10 +94,15 @@ OUT, BODY, ARTICLE = 0, 1, 2
 
 
 def is_bad(token: str, now: int) -> bool:
-    """Whether a whole class token, id or role names boilerplate: by a bad name and else only words of standing or numbers."""
-    parts = set(PART.findall(token))
-    if not (parts & BAD_NAMES or ("header" in parts and now != ARTICLE)):
+    """Whether a whole class token, id or role names boilerplate: comments anywhere in it, a bad name at its end, or one with nothing else but words of standing or numbers."""
+    parts = PART.findall(token)
+    if not any(p in BAD_NAMES or p in ALWAYS for p in parts) and not ("header" in parts and now != ARTICLE):
         return False
+    if any(p in REMARKS for p in parts):
+        return False
+    names = [p for p in parts if not p.isdigit()]
+    if any(p in ALWAYS for p in parts) or (names and names[-1] in BAD_NAMES):
+        return True
     return all(p in BAD_NAMES or p in STANDING or any(c.isdigit() for c in p) for p in parts)
 
 
@@ -202,24 +213,24 @@ def density(text: str) -> tuple[int, int]:
 
 
 def first_pass(own: list[Block], in_article: bool) -> list[bool | None]:
-    """Keep, drop or None for each block from itself; in an article only a short block is in doubt."""
-    told = [density(text) if not in_article else (0, 0) for _, text, _ in own]
+    """Keep, drop or None for each block from itself. In an article no block is dropped for its words: with few stop words it is in doubt."""
+    told = [density(text) for _, text, _ in own]
     many = sum(n for n, _ in told)
     foreign = many >= TELLING and sum(k for _, k in told) < KNOWN * many
     links = [False, *(linked > LINKED * len(text) for _, text, linked in own), False]
     labels: list[bool | None] = []
     for i, (_, text, _) in enumerate(own):
         size = len(text)
+        words = told[i][1] / told[i][0] if told[i][0] else 0.0
         if links[i + 1]:  # a lone short link in an article may be a line of it; a list of links is a menu
             alone = in_article and size < SHORT and not links[i] and not links[i + 2]
             labels.append(None if alone else False)
-        elif in_article or foreign:
-            labels.append(True if size >= SHORT else None)
         elif size < SHORT:
             labels.append(None)
+        elif foreign or words >= DENSE or (words >= SPARSE and (in_article or size >= LONG)):
+            labels.append(True)
         else:
-            words = told[i][1] / told[i][0] if told[i][0] else 0.0
-            labels.append(True if words >= DENSE or (words >= SPARSE and size >= LONG) else None if words >= SPARSE else False)
+            labels.append(None if in_article or words >= SPARSE else False)
     return labels
 
 
