@@ -1,9 +1,12 @@
 """GIF media: write samples as frames, and decode any GIF to timed frames with colour histograms.
 
 Decoding reads the LZW code stream of each image, applies the local or global palette, transparency, interlacing
-and the disposal rule of the frame before, and gives each frame its start and delay. A null or malformed file has
-no frames (``error`` says why); frames before the damage stay. Rows are independent, so repeated rows repeat their
-result, and nothing is shuffled. Each file is handled whole in one task: its memory is bounded by the file.
+and the disposal rule of the frame before, and gives each frame its start and delay. What lies beyond the canvas is cut off,
+as viewers do. A null or malformed file has no frames (``error`` says why); frames before the damage stay. Rows are
+independent: nothing is shuffled, repeated rows repeat their result, and equal texts are equal files. Null and empty texts
+are one block of padding. A text of any length is one file, read and written whole in one task, in memory and time in
+proportion to it (with ``keep_rgb`` to its frames' canvases). An empty table gives an empty result. Only the columns named are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -125,7 +128,7 @@ def lzw_expand(stream: bytes, root: int, most: int) -> bytes:
             out.append(prev)
             size += 1
             del run[0]
-        room = FULL - len(table)
+        room, mark = FULL - len(table), len(out)
         enter, put = table.append, out.append
         for code in run[:room]:
             try:
@@ -140,7 +143,7 @@ def lzw_expand(stream: bytes, root: int, most: int) -> bytes:
         for code in run[max(room, 0) :]:  # the table is full and stays
             prev = table[code]
             out.append(prev)
-        size = sum(map(len, out)) if len(stops) == 0 or codes[n] != end else most
+        size += sum(map(len, out[mark:]))
         seen += n
         if not len(stops):
             at = int(begins[-1] + left[-1])
@@ -200,8 +203,6 @@ def read_gif(data: bytes, keep_rgb: bool) -> tuple[int, int, list[dict], bytes,
                 colours, at = palette(at, flags)
             if colours is None:
                 raise ValueError("no palette")
-            if left + w > width or top + h > height:
-                raise ValueError("a frame outside the canvas")
             root = data[at]
             if not 1 <= root <= 8:
                 raise ValueError("a code size that is not allowed")
@@ -215,7 +216,8 @@ def read_gif(data: bytes, keep_rgb: bool) -> tuple[int, int, list[dict], bytes,
                 index = index[np.argsort(rows)]
             if undo is not None:
                 canvas = undo()
-            before, box = canvas, (slice(top, top + h), slice(left, left + w))
+            before, box = canvas, (slice(top, min(top + h, height)), slice(left, min(left + w, width)))
+            index = index[: max(0, height - top), : max(0, width - left)]
             canvas = canvas.copy()
             canvas[box] = colours[index] if clear < 0 else np.where((index == clear)[..., None], canvas[box], colours[index])
             shown = canvas
