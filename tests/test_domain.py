@@ -51,9 +51,10 @@ def test_authors_sketch(spark):
 
 def test_parts_add_up_to_the_whole(spark):
     e = stream(spark)
-    for name in ("agg_topic_5m", "agg_issue_1h", "agg_emotion_1h", "agg_psycho_age_1d"):
-        parts = aggregates.build(e.filter("seq = 0"), name).unionByName(aggregates.build(e.filter("seq <> 0"), name))
-        assert aggregates.merge(parts, name).exceptAll(aggregates.build(e, name).select(*aggregates.merge(parts, name).columns)).count() == 0
+    for name in ("agg_topic_5m", "agg_issue_1h", "agg_emotion_1h", "agg_psycho_age_1d", "agg_author_1d", "agg_reposted_author_1d"):
+        parts = aggregates.parts(e.filter("seq = 0"), name).unionByName(aggregates.parts(e.filter("seq <> 0"), name))
+        merged = aggregates.finished(aggregates.merge(parts, name), name)
+        assert merged.exceptAll(aggregates.build(e, name).select(*merged.columns)).count() == 0
 
 
 def test_human_labels_stay(spark):
@@ -174,7 +175,7 @@ def test_stored_aggregates(spark, tmp_path):
     aggregates.write(e.filter("seq <> 0"), str(tmp_path), part="b")
     aggregates.write(e.filter("seq <> 0"), str(tmp_path), part="b")
     stored, built = analytics.Tables(e, str(tmp_path)), analytics.Tables(e)
-    for name in aggregates.STORED:
+    for name in aggregates.TABLES:
         a, b = stored.read(name, F1), built.read(name, F1)
         if "authors" in b.columns:
             a, b = a.withColumn("authors", F.hll_sketch_estimate("authors")), b.withColumn("authors", F.hll_sketch_estimate("authors"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.book import Book
 from tidemark.catalog.state import AGG_SQL
-from tidemark.operators import aggregates
+from tidemark.operators import aggregates, kept
 from tidemark.operators import analytics as A
-from tidemark.schemas import EMOTIONS, REPLIES, SENTIMENTS
+from tidemark.schemas import EMOTIONS, EVENT, POST, REPLIES, SENTIMENTS
 from tidemark.sources.crosswalk import EVENTS_SQL, POSTS_SQL, SNAPSHOTS_SQL, STATE_SQL, match_events, posts, snapshots
 from tidemark.sources.store import fresh_path, table
 
@@ -102,11 +102,11 @@ for _by, _s in (("posts", None), ("engagement", None), ("posts", "negative")):
 BOOK.add("issues_negative", tabled(lambda t, f: A.issues(t, f, 8, sentiment="negative"), DAYS), e(f"SELECT issue, sum(mentions)::BIGINT AS count, sum(engagement)::BIGINT AS engagement FROM {read('agg_issue_1h', DAYS)} WHERE sentiment = 'negative' GROUP BY ALL HAVING sum(mentions) > 0 ORDER BY count DESC, issue LIMIT 8"))
 
 
-def stored(spark, sf_dir, work, f):
-    """The same over stored tables, written in two parts."""
+def stored(spark, sf_dir, work, f, names):
+    """The same over stored tables, written in two parts, corrections in both and before what they correct."""
     events, path = match_events(spark, sf_dir), fresh_path(spark, "aggregates")
     for part in ("0", "1"):
-        aggregates.write(events.filter(F.pmod(F.crc32("post_id"), F.lit(2)) == int(part)), path, ["agg_topic_1h", "agg_topic_1d"], part)
+        aggregates.write(events.filter(F.pmod(F.crc32("post_id") + F.col("seq"), F.lit(2)) == int(part)), path, names, part)
     return work(A.Tables(events, path), f)
 
 
@@ -127,8 +127,17 @@ def summary_sql() -> str:
 
 
 BOOK.add("summary", tabled(A.summary, DAYS), summary_sql())
-for _name, _work, _f in (("exposure_posts", A.exposure, DAYS), ("sentiment_timeline_hourly", A.sentiment_timeline, HOURS), ("platform_breakdown", A.platform_breakdown, DAYS)):
-    BOOK.add(f"stored_{_name}", lambda s, d, w=_work, f=_f: stored(s, d, w, f), BOOK.oracles[_name])
+for _name, _work, _f, _tables in (
+    ("exposure_posts", A.exposure, DAYS, ["agg_topic_1d"]),
+    ("sentiment_timeline_hourly", A.sentiment_timeline, HOURS, ["agg_topic_1h"]),
+    ("platform_breakdown", A.platform_breakdown, DAYS, ["agg_topic_1d"]),
+    ("top_accounts_posts", lambda t, f: A.top_accounts(t, f, "posts", 10), DAYS, ["agg_author_1d"]),
+    ("top_accounts_posts_negative", lambda t, f: A.top_accounts(t, f, "posts", 10, "negative"), DAYS, ["agg_author_1d"]),
+    ("active_accounts", A.active_accounts, DAYS, ["agg_author_1d"]),
+    ("reposted_accounts", A.reposted_accounts, DAYS, ["agg_reposted_author_1d"]),
+    ("summary", A.summary, DAYS, ["agg_topic_1d", "agg_author_1d"]),
+):
+    BOOK.add(f"stored_{_name}", lambda s, d, w=_work, f=_f, n=_tables: stored(s, d, w, f, n), BOOK.oracles[_name])
 
 
 def psycho_sql(name: str, column: str) -> str:
@@ -178,6 +187,24 @@ for _name, _most in (("export_rows", A.MOST_EXPORTED), ("export_rows_truncated",
           array_to_string(issues, ',') AS issues, array_to_string(hashtags, ',') AS hashtags, text, lang, likes, comments, shares, views
           FROM page LEFT JOIN pl ON page.platform = pl.platform AND page.post_id = pl.post_id LEFT JOIN ls ON page.platform = ls.platform AND page.post_id = ls.post_id WHERE place <= {_most}""",
     )
+
+
+def kept_tables(spark, sf_dir):
+    """Matches and posts kept by batches: corrections and late days first, every third row twice."""
+    events, every = match_events(spark, sf_dir), posts(spark, sf_dir)
+    base = fresh_path(spark, "kept")
+    late = F.dayofmonth("published_at") > 20
+    for rows in (events.filter((F.col("seq") > 0) | late), events.filter((F.col("seq") == 0) & ~late), events.filter(F.pmod(F.crc32("post_id"), F.lit(3)) == 0)):
+        kept.upsert(rows.filter("sign = 1"), f"{base}/matches", kept.MATCHES)
+    for version in (2, 1):
+        kept.upsert(every.filter(F.col("version") == version), f"{base}/posts", kept.POSTS)
+    return kept.Current(f"{base}/matches", kept.MATCHES, EVENT), kept.Current(f"{base}/posts", kept.POSTS, POST)
+
+
+BOOK.add("kept_matches", lambda s, d: kept_tables(s, d)[0].rows(s).select("tenant_id", "topic_id", "platform", "post_id", "sentiment", "seq"), f"WITH {EVENTS_SQL}, {STATE_SQL} SELECT tenant_id, topic_id, platform, post_id, sentiment, seq FROM m")
+BOOK.add("kept_feed_negative_engagement", lambda s, d: A.feed(*kept_tables(s, d), EARLY, FEEDS["feed_negative"][0], "engagement", 20, 5), BOOK.oracles["feed_negative_engagement"])
+BOOK.add("kept_gallery", lambda s, d: A.gallery(*kept_tables(s, d), EARLY, A.Feed(), None, "engagement", 3, 0).withColumn("media", F.to_json("media")), BOOK.oracles["gallery"])
+BOOK.add("kept_export_rows", lambda s, d: A.export_rows(*kept_tables(s, d), snapshots(s, d), EARLY).withColumns({c: F.array_join(c, ",") for c in ("issues", "hashtags")}), BOOK.oracles["export_rows"])
 NEEDLES, TAGS, FROM = ["worthless", "DISGUSTING", "trash"], ["abc"], datetime(2024, 1, 1)
 CAND = f"WITH {POSTS_SQL}, h AS (SELECT * FROM p WHERE regexp_matches(lower(text), 'worthless|disgusting|trash') OR list_has_any(list_transform(regexp_extract_all(lower(text), '#([\\p{{L}}\\p{{N}}_]+)', 1), lambda t: replace(t, '_', '')), ['abc']))"
 BOOK.add("preview_counts", lambda s, d: A.preview(posts(s, d), NEEDLES, TAGS, FROM)[0], f"{CAND} SELECT platform, count(DISTINCT post_id) AS n FROM h GROUP BY ALL")

@@ -22,9 +22,9 @@ def drained(spark, sf_dir, name: str):
     for part in (events.filter(late), events.filter(~late), events.filter(F.col("seq") == 0)):
         part.coalesce(2).write.mode("append").parquet(f"{base}/in")
     rows = ingest.read_stream(spark, f"{base}/in", events.schema, files_per_batch=1)
-    ingest.drain(rows, f"{base}/out", f"{base}/offsets", lambda batch: aggregates.build(batch, name), key=ingest.EVENT_KEY)
-    return aggregates.merge(spark.read.parquet(f"{base}/out"), name)
+    ingest.drain(rows, f"{base}/out", f"{base}/offsets", lambda batch: aggregates.parts(batch, name), key=ingest.EVENT_KEY)
+    return aggregates.finished(aggregates.merge(spark.read.parquet(f"{base}/out"), name), name)
 
 
-for _name in ("agg_topic_1h", "agg_emotion_1d"):
+for _name in ("agg_topic_1h", "agg_emotion_1d", "agg_author_1d"):
     BOOK.add(f"stream_{_name}", lambda s, d, n=_name: drained(s, d, n), f"WITH {EVENTS_SQL} SELECT * REPLACE (bucket::VARCHAR AS bucket) FROM ({AGG_SQL[_name]})")

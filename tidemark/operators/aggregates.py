@@ -1,11 +1,13 @@
 """The pre-aggregated tables: one builder, one row of ``TABLES`` each.
 
 Measures are sums of ``sign * x``, so tables built from parts of the stream add up to the table of the whole, and late
-rows just add to their bucket. Keys are never null: an unknown region is '', an unknown year 0.
+rows just add to their bucket. A newest value is stored with what makes it the newest, so that the later of two parts wins in
+whatever order they come. Keys are never null: an unknown region is '', an unknown year 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -25,28 +27,40 @@ def signed(x: Column | int = 1) -> Column:
     return F.sum(F.col("sign") * x).cast("long")
 
 
-POSTS = {"posts": lambda: signed()}
-ENGAGEMENT = POSTS | {"engagement": lambda: signed(F.col("engagement"))}
-KNOWN = ENGAGEMENT | {"engagement_known_posts": lambda: signed(F.col("engagement_known"))}
-MENTIONS = {"mentions": lambda: signed(), "engagement": lambda: signed(F.col("engagement"))}
+@dataclass(frozen=True)
+class Measure:
+    """How a part of a measure is built from events, merged with other parts, and read."""
+
+    build: Callable[[], Column]
+    merge: Callable[[str], Column] = F.sum
+    read: Callable[[Column], Column] = staticmethod(lambda c: c)
+
 
+def total(x: str | None = None) -> Measure:
+    return Measure(lambda: signed(F.col(x)) if x else signed())
 
-def newest(name: str) -> Column:
-    """The newest value that isn't null; ties go to the later correction, then the larger post id."""
-    return F.max_by(name, F.when(F.col(name).isNotNull(), F.struct("event_at", "seq", "post_id")))
 
+def newest(name: str) -> Measure:
+    """The newest value that isn't null; ties go to the later correction, then the larger post id, then the larger value."""
+    part = lambda: F.max(F.when(F.col(name).isNotNull(), F.struct("event_at", "seq", "post_id", F.col(name).alias("value"))))
+    return Measure(part, F.max, lambda c: c["value"])
 
-def of_type(kinds: list[str]) -> Column:
-    return F.sum(F.when(F.col("content_type").isin(kinds), F.col("sign")).otherwise(0)).cast("long")
 
+def of_type(kinds: list[str]) -> Measure:
+    return Measure(lambda: F.sum(F.when(F.col("content_type").isin(kinds), F.col("sign")).otherwise(0)).cast("long"))
 
+
+POSTS = {"posts": total()}
+ENGAGEMENT = POSTS | {"engagement": total("engagement")}
+KNOWN = ENGAGEMENT | {"engagement_known_posts": total("engagement_known")}
+MENTIONS = {"mentions": total(), "engagement": total("engagement")}
 AUTHOR = {
-    "posts": lambda: F.sum(F.when(F.col("content_type") == "post", F.col("sign")).otherwise(0)).cast("long"),
-    "replies": lambda: of_type(REPLIES),
-    "reposts": lambda: of_type(REPOSTS),
-    "engagement": lambda: signed(F.col("engagement")),
-    "handle": lambda: newest("author_handle"),
-    "followers": lambda: newest("author_followers"),
+    "posts": of_type(["post"]),
+    "replies": of_type(REPLIES),
+    "reposts": of_type(REPOSTS),
+    "engagement": total("engagement"),
+    "handle": newest("author_handle"),
+    "followers": newest("author_followers"),
 }
 
 
@@ -56,21 +70,21 @@ class Table:
 
     bucket: str
     keys: dict[str, str] = field(default_factory=dict)
-    measures: dict = field(default_factory=lambda: ENGAGEMENT)
+    measures: dict[str, Measure] = field(default_factory=lambda: ENGAGEMENT)
     explode: str | None = None
     where: str | None = None
 
 
 GEO = "coalesce(geo_region_code, '')"
 YEAR = "coalesce(author_created_year, 0)"
-SKETCH = {"authors": lambda: F.hll_sketch_agg("author_id")}
+SKETCH = {"authors": Measure(lambda: F.hll_sketch_agg("author_id"), F.hll_union_agg)}
 
 TABLES = {
     **{f"agg_topic_{b}": Table(b, {"sentiment": "sentiment", "content_type": "content_type"}, KNOWN) for b in BUCKETS},
     "agg_topic_uniq_1h": Table("1h", {}, SKETCH, where="sign = 1"),
     "agg_issue_1h": Table("1h", {"issue": "item", "sentiment": "sentiment"}, MENTIONS, explode="issues"),
     "agg_author_1d": Table("1d", {"author_id": "author_id", "sentiment": "sentiment"}, AUTHOR),
-    "agg_reposted_author_1d": Table("1d", {"parent_author_id": "parent_author_id"}, {"reposts": lambda: of_type(REPOSTS), "handle": lambda: newest("parent_author_handle")}, where="parent_author_id is not null"),
+    "agg_reposted_author_1d": Table("1d", {"parent_author_id": "parent_author_id"}, {"reposts": of_type(REPOSTS), "handle": newest("parent_author_handle")}, where="parent_author_id is not null"),
     "agg_geo_1d": Table("1d", {"region": GEO}),
     "agg_author_age_1d": Table("1d", {"year": YEAR}, SKETCH, where="sign = 1"),
     **{f"agg_emotion_{b}": Table(b, {"emotion": "emotion"}) for b in ("1h", "1d")},
@@ -82,8 +96,8 @@ TABLES = {
 COMMON = ["tenant_id", "topic_id", "platform"]
 
 
-def build(events: DataFrame, name: str) -> DataFrame:
-    """The table ``name`` of these events: one partial and one final aggregation, one shuffle."""
+def parts(events: DataFrame, name: str) -> DataFrame:
+    """The table ``name`` of these events, as it is stored and merged: one partial and one final aggregation, one shuffle."""
     t = TABLES[name]
     if t.where:
         events = events.filter(t.where)
@@ -91,31 +105,37 @@ def build(events: DataFrame, name: str) -> DataFrame:
         events = events.withColumn("item", F.explode(t.explode))
     keys = [F.expr(v).alias(k) for k, v in t.keys.items()]
     bucket = BUCKETS[t.bucket]("published_at").alias("bucket")
-    return events.groupBy(*COMMON, *keys, bucket).agg(*[m().alias(n) for n, m in t.measures.items()])
+    return events.groupBy(*COMMON, *keys, bucket).agg(*[m.build().alias(n) for n, m in t.measures.items()])
 
 
-#: Tables whose parts add up: sums and sketches, no newest values.
-STORED = [n for n, t in TABLES.items() if not {"handle", "followers"} & set(t.measures)]
+def merge(rows: DataFrame, name: str) -> DataFrame:
+    """Parts of the table ``name`` as one, in any order."""
+    keys = [*COMMON, *TABLES[name].keys, "bucket"]
+    return rows.groupBy(*keys).agg(*[m.merge(n).alias(n) for n, m in TABLES[name].measures.items()])
 
 
-def merge(parts: DataFrame, name: str) -> DataFrame:
-    """Rows of several builds of a table of STORED as one table."""
-    keys = [*COMMON, *TABLES[name].keys, "bucket"]
-    return parts.groupBy(*keys).agg(*[(F.hll_union_agg if m == "authors" else F.sum)(m).alias(m) for m in TABLES[name].measures])
+def finished(rows: DataFrame, name: str) -> DataFrame:
+    """Parts as they are read: newest values without what makes them so."""
+    return rows.withColumns({n: m.read(F.col(n)) for n, m in TABLES[name].measures.items()})
+
+
+def build(events: DataFrame, name: str) -> DataFrame:
+    """The table ``name`` of these events."""
+    return finished(parts(events, name), name)
 
 
 def write(events: DataFrame, path: str, names: list[str] | None = None, part: str = "0") -> None:
     """Add the aggregates of these events to the tables below ``path``, by month; the same ``part`` again replaces itself."""
-    for name in names or STORED:
-        rows = build(events, name).withColumn("ym", F.date_format("bucket", "yyyyMM").cast("int"))
+    for name in names or TABLES:
+        rows = parts(events, name).withColumn("ym", F.date_format("bucket", "yyyyMM").cast("int"))
         rows.repartition("ym", *COMMON).sortWithinPartitions(*COMMON, "bucket").write.mode("overwrite").partitionBy("ym").parquet(f"{path}/{name}/part={part}")
 
 
 def read_stored(spark: SparkSession, path: str, name: str, start: datetime, end: datetime) -> DataFrame:
     """A stored table's months from ``start`` to ``end``; parts are added up."""
     ym = lambda t: t.year * 100 + t.month
-    parts = spark.read.parquet(f"{path}/{name}").filter(F.col("ym").between(ym(start), ym(end)))
-    return merge(parts, name)
+    stored = spark.read.parquet(f"{path}/{name}").filter(F.col("ym").between(ym(start), ym(end)))
+    return finished(merge(stored, name), name)
 
 
 def media_items(events: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregates import STORED, build, read_stored
+from tidemark.operators.aggregates import build, read_stored
+from tidemark.operators.kept import Current
 from tidemark.operators.state import POST_KEY, latest_per_key, topic_matches
 from tidemark.schemas import EMOTIONS, REPLIES, REPOSTS, SENTIMENTS, UNKNOWN
 
@@ -73,7 +74,7 @@ class Tables:
 
     def read(self, name: str, f: Filter) -> DataFrame:
         daily = name.endswith("_1d")
-        if self.stored and name in STORED:
+        if self.stored:
             rows = read_stored(self.events.sparkSession, self.stored, name, f.start, f.end).filter(f.scope())
         else:
             rows = build(self.events.filter(f.scope() & f.raw(daily)), name)
@@ -297,9 +298,17 @@ class Feed:
         return reduce(lambda a, b: a & b, [c for c in conditions if c is not None and not isinstance(c, str)], F.lit(True))
 
 
-def feed_matches(events: DataFrame, f: Filter, feed: Feed) -> DataFrame:
-    """Current matches in the range; scope first (key columns), then the newest row, then every other filter."""
-    return topic_matches(events.filter(f.scope() & f.within("published_at", False))).filter(feed.where())
+def feed_matches(events: DataFrame | Current, f: Filter, feed: Feed) -> DataFrame:
+    """Current matches in the range; scope first (key columns), then the newest row, then every other filter.
+
+    Of a kept table only the topic's partitions of the range's months are read, and each row is the newest already.
+    """
+    inside = f.scope() & f.within("published_at", False)
+    if isinstance(events, Current):
+        rows = events.rows(SparkSession.active(), f.start, f.end, tenant_id=f.tenant, topic_id=f.topic).filter(inside)
+    else:
+        rows = topic_matches(events.filter(inside))
+    return rows.filter(feed.where())
 
 
 def ordered(df: DataFrame, sort: str) -> DataFrame:
@@ -307,8 +316,10 @@ def ordered(df: DataFrame, sort: str) -> DataFrame:
     return df.orderBy(*first, "platform", "post_id")
 
 
-def newest_of(rows: DataFrame, page: DataFrame, version: str) -> DataFrame:
-    """The newest row of each post on a page: rows of other posts drop out before the window."""
+def newest_of(rows: DataFrame | Current, page: DataFrame, version: str, f: Filter) -> DataFrame:
+    """The newest row of each post on a page: rows of other posts drop out before the window. A kept table needs no window; a post is as old as its match."""
+    if isinstance(rows, Current):
+        return rows.rows(page.sparkSession, f.start, f.end).join(page.select(*POST_KEY), POST_KEY, "left_semi")
     return latest_per_key(rows.join(page.select(*POST_KEY), POST_KEY, "left_semi"), POST_KEY, [version])
 
 
@@ -319,15 +330,15 @@ def placed(df: DataFrame, sort: str, start: int = 0) -> DataFrame:
     return df.withColumn("place", F.row_number().over(order) + start)
 
 
-def feed(events: DataFrame, posts: DataFrame, f: Filter, what: Feed = Feed(), sort: str = "latest", limit: int = 50, offset: int = 0) -> DataFrame:
+def feed(events: DataFrame | Current, posts: DataFrame | Current, f: Filter, what: Feed = Feed(), sort: str = "latest", limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of matches with their posts, in order of ``place``: the limit stands below the join."""
     page = placed(ordered(feed_matches(events, f, what), sort).offset(offset).limit(limit), sort, offset)
     page = page.select("place", "platform", "post_id", "published_at", "sentiment", "emotion", "engagement", "author_handle")
-    newest = newest_of(posts, F.broadcast(page), "version").select(*POST_KEY, "text", "lang")
+    newest = newest_of(posts, F.broadcast(page), "version", f).select(*POST_KEY, "text", "lang")
     return page.join(newest, POST_KEY, "left").orderBy("place")
 
 
-def feed_count(events: DataFrame, f: Filter, what: Feed = Feed()) -> DataFrame:
+def feed_count(events: DataFrame | Current, f: Filter, what: Feed = Feed()) -> DataFrame:
     return feed_matches(events, f, what).agg(F.count("*").alias("n"))
 
 
@@ -335,14 +346,14 @@ def feed_count(events: DataFrame, f: Filter, what: Feed = Feed()) -> DataFrame:
 MEDIA_TYPES = {"image": ("image", "gif"), "video": ("video",)}
 
 
-def gallery(events: DataFrame, posts: DataFrame, f: Filter, what: Feed = Feed(), media: str | None = None, sort: str = "engagement", limit: int = 24, offset: int = 0) -> DataFrame:
+def gallery(events: DataFrame | Current, posts: DataFrame | Current, f: Filter, what: Feed = Feed(), media: str | None = None, sort: str = "engagement", limit: int = 24, offset: int = 0) -> DataFrame:
     """A page of matches whose newest post has media (of a type, if asked for), in order of ``place``.
 
     One row more than the limit tells whether there are more. Of the media, https ones are shown, 4 at most; a page's
     posts without any are left out. Unknown engagement is null.
     """
     now = feed_matches(events, f, what).select(*POST_KEY, "published_at", "sentiment", "engagement", "engagement_known", "author_handle")
-    newest = newest_of(posts, now, "version").withColumn("m", F.from_json("media", "array<struct<type:string,url:string,thumb:string>>"))
+    newest = newest_of(posts, now, "version", f).withColumn("m", F.from_json("media", "array<struct<type:string,url:string,thumb:string>>"))
     # the newest version decides: filters on media stand above it
     having = newest.filter(F.size("m") > 0)
     if media:
@@ -356,27 +367,64 @@ def gallery(events: DataFrame, posts: DataFrame, f: Filter, what: Feed = Feed(),
     return page.filter(F.size("media") > 0).select("place", *POST_KEY, "published_at", "sentiment", "engagement", "author_handle", "text", "media", "has_more").orderBy("place")
 
 
-def export_rows(events: DataFrame, posts: DataFrame, snapshots: DataFrame, f: Filter, what: Feed = Feed(), most: int = MOST_EXPORTED) -> DataFrame:
+def export_rows(events: DataFrame | Current, posts: DataFrame | Current, snapshots: DataFrame, f: Filter, what: Feed = Feed(), most: int = MOST_EXPORTED) -> DataFrame:
     """Matches with their posts and each post's newest metrics, newest first by ``place``; ``truncated`` if there were more than ``most``."""
     page = placed(ordered(feed_matches(events, f, what), "latest").limit(most + 1), "latest")
     page = page.withColumn("truncated", F.max("place").over(Window.partitionBy()) > most).filter(F.col("place") <= most)
     shown = ["content_type", "author_handle", "author_followers", "engagement", "engagement_known", "sentiment", "emotion", "issues", "hashtags"]
     page = page.select("place", "truncated", *POST_KEY, "published_at", *shown)
-    newest = newest_of(posts, page, "version").select(*POST_KEY, "text", "lang")
-    metrics = newest_of(snapshots, page, "captured_at").select(*POST_KEY, "likes", "comments", "shares", "views")
+    newest = newest_of(posts, page, "version", f).select(*POST_KEY, "text", "lang")
+    metrics = newest_of(snapshots, page, "captured_at", f).select(*POST_KEY, "likes", "comments", "shares", "views")
     return page.join(newest, POST_KEY, "left").join(metrics, POST_KEY, "left").orderBy("place")
 
 
+def hashtags_of(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"#([\p{L}\p{N}_]+)"), F.lit(1)), lambda t: F.replace(t, F.lit("_"), F.lit("")))
+
+
 def needle_search(posts: DataFrame, needles: list[str], tags: list[str]) -> Column:
-    """Any of the needles in the text, whatever the case, or any of the hashtags."""
+    """Any of the needles in the text, whatever the case, or any of the hashtags; without either nothing."""
     text = F.lower("text")
-    found = reduce(lambda a, b: a | b, [text.contains(n.lower()) for n in needles])
-    return found | F.arrays_overlap(F.transform(F.regexp_extract_all(text, F.lit(r"#([\p{L}\p{N}_]+)"), F.lit(1)), lambda t: F.replace(t, F.lit("_"), F.lit(""))), F.array(*map(F.lit, [t.lower() for t in tags]))) if tags else found
+    found = reduce(lambda a, b: a | b, [text.contains(n.lower()) for n in needles], F.lit(False))
+    return found | F.arrays_overlap(hashtags_of(F.col("text")), F.array(*map(F.lit, [t.lower() for t in tags]))) if tags else found
+
 
+#: Needles and their keys are broadcast up to so many bytes, counted first; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
-def preview(posts: DataFrame, needles: list[str], tags: list[str], since: datetime, sample: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidates per platform, and the newest ``sample`` of them with their newest text."""
-    hits = posts.filter(F.col("published_at") >= F.lit(since)).filter(needle_search(posts, needles, tags))
+
+def grams(text: Column, least: int) -> Column:
+    """The distinct stretches of three characters, and of fewer down to ``least``."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * k}))"), F.lit(1)) for k in range(least, 4)]))
+
+
+def needle_hits(posts: DataFrame, needles: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys``, ``needle``: which of many needles (a column of that name) each text holds, whatever the case.
+
+    A needle's key is that of its stretches of three characters which fewest texts have (a shorter needle is its own key).
+    Texts are joined with needles by the key and then looked at, so that a text costs its own length and what its
+    keys point to, not the number of needles. A null or empty needle is in no text. Which stretches are rare is told from
+    every tenth text by hash; it decides nothing but the work to do.
+    """
+    low = needles.select(F.lower("needle").alias("needle")).filter("needle <> ''").distinct()
+    size = low.agg(F.coalesce(F.sum(F.octet_length("needle") * 4 + 64), F.lit(0)).alias("bytes"), F.coalesce(F.min(F.length("needle")), F.lit(3)).alias("least")).first()
+    ready = (lambda t: F.broadcast(t)) if size.bytes <= BROADCAST_BYTES else (lambda t: t)
+    lower = F.lower(F.col(text))
+    own = posts.select(*keys, lower.alias("_text"))
+    some = own.filter(F.pmod(F.xxhash64("_text"), F.lit(10)) == 0)
+    each = some.select(F.explode(grams(F.col("_text"), min(size.least, 3))).alias("key"))
+    candidates = low.select("needle", F.explode(F.when(F.length("needle") >= 3, grams(F.col("needle"), 3)).otherwise(F.array("needle"))).alias("key"))
+    often = each.join(ready(candidates.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("df"))
+    chosen = candidates.join(often, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("k"))
+    pairs = own.select(*keys, "_text", F.explode(grams(F.col("_text"), min(size.least, 3))).alias("key")).join(ready(chosen.select("needle", F.col("k.key").alias("key"))), "key")
+    return pairs.filter(F.contains("_text", F.col("needle"))).select(*keys, "needle")
+
+
+def preview(posts: DataFrame, needles: list[str], tags: list[str], since: datetime, sample: int = 2000, platforms: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidates per platform (of those asked for), and the newest ``sample`` of them with their newest text."""
+    recent = posts.filter(F.col("published_at") >= F.lit(since))
+    recent = recent.filter(F.col("platform").isin(*platforms)) if platforms else recent
+    hits = recent.filter(needle_search(posts, needles, tags))
     counts = hits.groupBy("platform").agg(F.count_distinct("post_id").alias("n"))
     newest = hits.groupBy(*POST_KEY).agg(F.max_by("text", "version").alias("text"), F.max_by("lang", "version").alias("lang"), F.max("published_at").alias("published_at"))
     return counts, newest.orderBy(F.desc("published_at"), *POST_KEY).limit(sample)

@@ -26,21 +26,31 @@ def gazetteer(regions: DataFrame) -> DataFrame:
     return names.withColumn("words", F.size(F.split("alias", " ")))
 
 
-def infer_region(items: DataFrame, regions: DataFrame, *, key: list[str], place: str, profile: str, most_words: int = 4) -> DataFrame:
+#: Aliases are broadcast up to so many bytes, counted first; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def infer_region(items: DataFrame, regions: DataFrame, *, key: list[str], place: str, profile: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``key``, ``region``, ``confidence``: an exact name first, else the longest whole-word alias; what is ambiguous stays null.
 
-    Every run of words up to ``most_words`` of a place is looked up in the table of aliases: an equi-join, not a scan
-    of all aliases per item. The gazetteer is a fixed list of regions and is broadcast.
+    Aliases may have any number of words. A word is looked up among the aliases' first words, which say how many words
+    the aliases that begin with it have; the runs of so many words are then looked up among the aliases. Both are
+    equi-joins, and a word makes no more rows than its aliases have lengths.
     """
     names = gazetteer(regions)
+    size = names.agg(F.coalesce(F.sum(F.octet_length("alias") + F.octet_length("code") + 64), F.lit(0)).alias("bytes"), F.coalesce(F.max("words"), F.lit(1)).alias("longest")).first()
+    ready = (lambda t: F.broadcast(t)) if size.bytes <= broadcast_bytes else (lambda t: t)
+    heads = names.groupBy(F.substring_index("alias", " ", 1).alias("head")).agg(F.collect_set("words").alias("lengths"))
     one = items.select(*key, F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.col(place).alias("raw")), F.struct(F.lit(2).alias("rank"), F.col(profile).alias("raw")))).alias("s"))
-    one = one.select(*key, "s.rank", normalize_place(F.col("s.raw")).alias("text")).filter("text <> ''")
-    words = F.split("text", " ")
-    n = F.size(words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most_words))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))))
-    hits = one.withColumn("alias", F.explode(F.array_distinct(F.concat(runs, F.array("text"))))).join(F.broadcast(names), "alias")
+    one = one.select(*key, "s.rank", F.split(normalize_place(F.col("s.raw")), " ").alias("all")).filter("all[0] <> ''")
+    # each word with those after it, as many as the longest alias has
+    ahead = F.transform("all", lambda w, i: F.struct(w.alias("head"), (i == 0).alias("first"), F.slice("all", i + 1, size.longest).alias("run")))
+    each = one.select(*key, "rank", F.size("all").alias("n"), F.explode(ahead).alias("w")).select(*key, "rank", "n", "w.*").join(ready(heads), "head")
+    each = each.select(*key, "rank", "n", "first", "run", F.explode("lengths").alias("k")).filter(F.size("run") >= F.col("k"))
+    runs = each.select(*key, "rank", (F.col("first") & (F.col("k") == F.col("n"))).alias("exact"), F.array_join(F.slice("run", F.lit(1), F.col("k")), " ").alias("alias"))
+    hits = runs.join(ready(names.select("alias", "code")), "alias")
     # a place has few runs of words, so that what it hits fits in a row; one shuffle, by item
-    hit = F.struct("rank", (F.col("alias") == F.col("text")).alias("exact"), F.length("alias").alias("long"), "code")
+    hit = F.struct("rank", "exact", F.length("alias").alias("long"), "code")
     found = hits.groupBy(*key).agg(F.collect_set(hit).alias("hits"))
 
     def choice(rank: int, exact: float, part: float) -> Column:

@@ -156,6 +156,43 @@ def histogram(rows: DataFrame, value: str, by: list[str], bounds: list[float]) -
     return rows.groupBy(*by).agg(*below, F.count("*").alias("count"), F.sum(value).alias("sum"))
 
 
+def increases(samples: DataFrame, series: list[str], at: str, value: str, block: Column) -> DataFrame:
+    """``samples`` with ``increase``: how much a counter grew since the sample before it; after a reset it began at 0. A series' first sample grew by nothing.
+
+    ``block`` never falls along a series (a day, say): samples are put in order within blocks, and a block's first one
+    takes the last value of the block before, so that no series is in one task as a whole. Of samples at one time the
+    smaller value comes first.
+    """
+    rows = samples.withColumn("_block", block)
+    inside = Window.partitionBy(*series, "_block").orderBy(at, value)
+    rows = rows.withColumn("_before", F.lag(value).over(inside))
+    ends = rows.groupBy(*series, "_block").agg(F.max(F.struct(at, value))[value].alias("_last"))
+    blocks = ends.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*series).orderBy("_block"))).drop("_last")
+    rows = rows.join(blocks, [*series, "_block"], "left").withColumn("_before", F.coalesce("_before", "_carried"))
+    grown = F.when(F.col("_before").isNull(), F.lit(0)).when(F.col(value) < F.col("_before"), F.col(value)).otherwise(F.col(value) - F.col("_before"))
+    return rows.withColumn("increase", grown).drop("_block", "_before", "_carried")
+
+
+def histogram_quantile(rows: DataFrame, by: list[str], bound: str, count: str, q: float) -> DataFrame:
+    """``by``, ``n`` and ``quantile`` from cumulative counts at or below each bound, of which the last is infinite.
+
+    The value is taken to lie evenly between the bounds around its rank, the lowest bucket beginning at 0 if its bound is
+    above; in the last bucket it is the highest finite bound. Without an infinite bound, with fewer than two bounds or
+    without values it is unknown. Counts of one bound are added up.
+    """
+    added = rows.groupBy(*by, F.col(bound).cast("double").alias("le")).agg(F.sum(count).cast("double").alias("c"))
+    each = added.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("le", "c"))).alias("b"))  # a histogram's bounds
+    last = F.element_at("b", -1)
+    rank = F.lit(q) * last["c"]
+    place = F.array_position(F.transform("b", lambda x: x["c"] >= rank), True).cast("int")  # from 1
+    here, before = F.get("b", place - 1), F.get("b", place - 2)
+    low, under = F.coalesce(before["le"], F.lit(0.0)), F.coalesce(before["c"], F.lit(0.0))
+    inner = F.when((place == 1) & (here["le"] <= 0), here["le"]).otherwise(low + (here["le"] - low) * (rank - under) / (here["c"] - under))
+    value = F.when(place == F.size("b"), F.element_at("b", -2)["le"]).otherwise(inner)
+    known = (last["le"] == float("inf")) & (last["c"] > 0) & (F.size("b") > 1)
+    return each.select(*by, last["c"].alias("n"), F.when(known, value).alias("quantile"))
+
+
 def failing(runs: DataFrame, by: list[str], ratio: float = 0.5, least: int = 3) -> DataFrame:
     rows = runs.groupBy(*by).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"))
     return rows.filter((F.col("runs") >= least) & (F.col("failed") > ratio * F.col("runs")))

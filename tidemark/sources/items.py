@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import count_metric, to_utc
 from tidemark.schemas import CANONICAL
+from tidemark.sources.store import fresh_path, remove
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -69,3 +70,36 @@ def collected(rows: DataFrame, variant: str, paths: list[str], id_path: str) ->
     each = F.concat(*[F.coalesce(F.try_variant_get(variant, p, "array<variant>"), F.array().cast("array<variant>")) for p in paths])
     one = rows.select(F.explode(each).alias("o")).withColumn("id", F.try_variant_get("o", id_path, "string"))
     return one.filter("id is not null").groupBy("id").agg(F.min(F.to_json("o")).alias("object"))
+
+
+def collected_deep(rows: DataFrame, variant: str, id_key: str, required: list[str]) -> DataFrame:
+    """(id, object): objects at any depth that have a text or number ``id_key`` and all ``required`` keys, each id once.
+
+    A walk level by level, until a level holds nothing: each level is a table in the shared folder, made of the one before by
+    ``variant_explode`` and then removed with it. What is found is not looked into further. Of one id's objects
+    the one whose JSON sorts first stays.
+    """
+    spark = rows.sparkSession
+    base, depth = fresh_path(spark, "walk"), 0
+    level = rows.select(F.col(variant).alias("v")).filter("v is not null")
+    while True:
+        at = f"{base}/level-{depth}"
+        has = [F.try_variant_get("v", f"$['{k}']", "variant").isNotNull() for k in required]
+        name = F.try_variant_get("v", f"$['{id_key}']", "string")
+        found = (F.coalesce(name, F.lit("")) != "") & ~F.schema_of_variant(F.coalesce(F.try_variant_get("v", f"$['{id_key}']", "variant"), F.parse_json(F.lit("null")))).rlike("^(OBJECT|ARRAY)")
+        for c in has:
+            found = found & c
+        level.select("v", F.when(found, name).alias("id")).write.parquet(at)
+        if depth:
+            remove(spark, f"{base}/in-{depth}")
+        here = spark.read.schema("v variant, id string").parquet(at)
+        here.filter("id is not null").select("id", F.to_json("v").alias("object")).write.mode("append").parquet(f"{base}/found")
+        depth += 1
+        below = f"{base}/in-{depth}"
+        here.filter("id is null").lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("value").write.parquet(below)
+        remove(spark, at)
+        level = spark.read.schema("value variant").parquet(below).select(F.col("value").alias("v"))
+        if level.isEmpty():
+            remove(spark, below)
+            break
+    return spark.read.schema("id string, object string").parquet(f"{base}/found").groupBy("id").agg(F.min("object").alias("object"))

@@ -1,13 +1,14 @@
 """The ingest stream: files in, each match once, batches that can be replayed, sums at read time.
 
-Late rows are kept, however late: a batch drops the rows whose keys earlier batches have written, by an anti join with the
-table of keys, not by a watermark. That table is partitioned by day, and a batch reads the days that it spans. A batch
-appends its rows; aggregates are summed when read.
+Late rows are kept, however late: a batch drops the rows whose keys earlier batches have written, by an anti join with
+the table of keys (``streaming.keys``), not by a watermark. A batch is read once, and reads the keys of the days that it
+spans. It appends its rows; aggregates are summed when read, and kept tables take its newest rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators.sinks import write_batch
 from tidemark.operators.state import MATCH_KEY
+from tidemark.streaming import keys as K
 
 EVENT_KEY = [*MATCH_KEY, "seq"]
 
@@ -29,28 +31,43 @@ def tumbling(rows: DataFrame, width: str, time: str = "published_at") -> DataFra
     return rows.groupBy("tenant_id", "topic_id", w.start.alias("bucket")).agg(F.sum("sign").cast("long").alias("posts"))
 
 
-def unseen(batch: DataFrame, batch_id: int, keys: str, key: list[str], time: str) -> DataFrame:
-    """The rows of ``batch`` whose key neither an earlier batch nor an earlier row of it has; their keys are written, so that a replay finds the same."""
-    spark = batch.sparkSession
-    rows = batch.dropDuplicates(key).withColumn("_day", F.to_date(time))
-    first, last = rows.agg(F.min("_day"), F.max("_day")).first()
-    empty = rows.select(*key, "_day").limit(0).withColumn("batch_id", F.lit(0))
-    empty.write.mode("append").partitionBy("batch_id", "_day").parquet(keys)  # so that there is a table to read
-    known = spark.read.schema(empty.schema).parquet(keys).filter((F.col("batch_id") < batch_id) & (F.col("_day").between(first, last) | F.col("_day").isNull()))
-    fresh = rows.join(known.select(*key), key, "left_anti")
-    fresh.select(*key, "_day").write.mode("overwrite").partitionBy("_day").parquet(f"{keys}/batch_id={batch_id}")
-    return fresh.drop("_day")
+def once_each(batch: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows with the same key the least one by its other columns, so that every evaluation takes the same."""
+    rest = [c for c in batch.columns if c not in key]
+    least = batch.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r"))
+    return least.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in batch.columns])
 
 
-def drain(rows: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] | None = None, *, key: list[str] | None = None, time: str = "published_at") -> None:
+def claimed(batch: DataFrame, batch_id: int, path: str, key: list[str], time: str, now: datetime | None = None, *, fan: int = K.FAN, life: timedelta = timedelta(days=K.LIFE_DAYS)) -> DataFrame:
+    """The rows of ``batch`` whose key no earlier batch has had within ``life``, persisted; their keys are written. A replay finds the same."""
+    spark, now = batch.sparkSession, now or datetime.now(UTC).replace(tzinfo=None)
+    rows = once_each(batch, key).withColumn(K.DAY, F.to_date(time)).persist()
+    first, last = rows.agg(F.min(K.DAY), F.max(K.DAY)).first()
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in key), f"{K.ARRIVED} timestamp", f"{K.DAY} date"])
+    K.tidy(spark, path, batch_id, schema, now, fan=fan, life=life)
+    known = K.known(spark, path, batch_id, schema, first, last, now, fan=fan, life=life)
+    fresh = rows if known is None else rows.join(known.select(*key), key, "left_anti").persist()
+    K.write(fresh.select(*key, F.lit(now).cast("timestamp").alias(K.ARRIVED), K.DAY), path, 0, batch_id)
+    if fresh is not rows:
+        rows.unpersist()
+    return fresh
+
+
+def drain(rows: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] | None = None, *, key: list[str] | None = None, time: str = "published_at", also: list[Callable[[DataFrame], None]] | None = None) -> None:
     """Process what is there and stop. With ``key`` each key counts once. A batch that is replayed after a failure replaces its own folder.
 
     ``time`` never changes with a redelivery, so that both deliveries fall on one day; a null time is a day of its own.
+    ``also`` takes each batch's rows besides; it must not mind to get them twice (as ``kept.upsert``).
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch = unseen(batch, batch_id, f"{checkpoint}-keys", key, time) if key else batch
+        fresh = claimed(batch, batch_id, f"{checkpoint}-keys", key, time) if key else batch
+        batch = fresh.drop(K.DAY)
         write_batch(work(batch) if work else batch, path, batch_id)
+        for other in also or []:
+            other(batch)
+        fresh.unpersist()
 
     query = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
