@@ -138,12 +138,12 @@ def test_accounts_of_two_platforms_stay_apart(spark):
     assert {(r.platform, r.posts) for r in analytics.top_accounts(analytics.Tables(rows), F1, sentiment="positive").collect()} == {("y", 1)}
 
 
-POSTS = "platform string, post_id string, version int, text string, lang string, media string"
+POSTS = "platform string, post_id string, version int, text string, lang string, media string, author_name string, author_followers long, url string"
 
 
 def test_gallery_shows_the_newest_version(spark):
     gif = '[{"type":"gif","url":"https://g","thumb":"http://t"},{"type":"image","url":"http://no"}]'
-    posts = spark.createDataFrame([("x", "p1", 1, "old", "en", gif), ("x", "p1", 2, "new", "en", "[]"), ("x", "p2", 1, "gif", "en", gif), ("x", "p3", 1, "plain", "en", None)], POSTS)
+    posts = spark.createDataFrame([(*p, None, None, None) for p in [("x", "p1", 1, "old", "en", gif), ("x", "p1", 2, "new", "en", "[]"), ("x", "p2", 1, "gif", "en", gif), ("x", "p3", 1, "plain", "en", None)]], POSTS)
     rows = events(spark, {"post_id": "p1"}, {"post_id": "p2", "engagement_known": 0}, {"post_id": "p3"})
     got = analytics.gallery(rows, posts, F1, media="image").collect()
     assert [(r.post_id, r.engagement, r.has_more, [tuple(m) for m in r.media]) for r in got] == [("p2", None, False, [("gif", "https://g", None)])]
@@ -152,11 +152,12 @@ def test_gallery_shows_the_newest_version(spark):
 
 def test_exports_are_in_order_and_say_what_is_cut(spark):
     rows = events(spark, *[{"post_id": f"p{i}", "published_at": datetime(2026, 9, 27, i)} for i in range(6)])
-    posts = spark.createDataFrame([("x", f"p{i}", 1, str(i), "en", None) for i in range(6)], POSTS)
+    posts = spark.createDataFrame([("x", f"p{i}", 1, str(i), "en", None, f"Name {i}", 7, f"https://s/{i}") for i in range(6)], POSTS)
     snaps = spark.createDataFrame([("x", "p5", datetime(2026, 9, 28), 1, None, 2, 3), ("x", "p5", datetime(2026, 9, 27), 9, 9, 9, 9)], "platform string, post_id string, captured_at timestamp, likes long, comments long, shares long, views long")
     got = analytics.export_rows(rows, posts, snaps, F1, most=4).collect()
     assert [(r.place, r.post_id, r.truncated) for r in got] == [(i + 1, f"p{5 - i}", True) for i in range(4)]
-    assert (got[0].likes, got[0].comments, got[0].shares) == (1, None, 2)
+    assert (got[0].likes, got[0].comments, got[0].shares) == (1, 9, 2)  # each metric's newest known value
+    assert (got[0].author_name, got[0].author_followers, got[0].url) == ("Name 5", 7, "https://s/5")
     assert not analytics.export_rows(rows, posts, snaps, F1).first().truncated
 
 

@@ -62,7 +62,7 @@ def test_a_batch_rewrites_its_own_partitions_only(spark, tmp_path):
 def test_feeds_of_kept_tables(spark, tmp_path):
     made = [{"post_id": f"p{i}", "published_at": datetime(2026, 8 + i % 2, 1 + i), "topic_id": "TU"[i % 3 == 0]} for i in range(12)]
     e = events(spark, *made, *[m | {"seq": 2, "sentiment": "positive", "event_at": datetime(2026, 10, 1)} for m in made[::2]])
-    posts = spark.createDataFrame([("x", f"p{i}", v, f"text {v}", "en", "a", datetime(2026, 8 + i % 2, 1 + i), None, None, "s") for i in range(12) for v in (1, 2)], POST)
+    posts = spark.createDataFrame([("x", f"p{i}", v, f"text {v}", "en", "a", None, None, None, datetime(2026, 8 + i % 2, 1 + i), None, None, "s") for i in range(12) for v in (1, 2)], POST)
     kept.upsert(e, str(tmp_path / "m"), kept.MATCHES)
     kept.upsert(posts, str(tmp_path / "p"), kept.POSTS)
     now, texts = kept.Current(str(tmp_path / "m"), kept.MATCHES, EVENT), kept.Current(str(tmp_path / "p"), kept.POSTS, POST)
@@ -211,7 +211,7 @@ def test_stored_aggregates_lose_old_months(spark, tmp_path):
 def test_posts_without_matches_go(spark, tmp_path):
     path = str(tmp_path / "p")
     ages = {"new": 3, "never": 31, "once": 399, "gone": 401, "now": 900}
-    posts = spark.createDataFrame([("x", k, 1, k, "en", "a", NOW - timedelta(days=d), None, None, "s") for k, d in ages.items()], POST)
+    posts = spark.createDataFrame([("x", k, 1, k, "en", "a", None, None, None, NOW - timedelta(days=d), None, None, "s") for k, d in ages.items()], POST)
     kept.upsert(posts, path, kept.POSTS)
     keyed = lambda *ids: spark.createDataFrame([("x", i) for i in ids], "platform string, post_id string")
     upkeep.purge_posts(spark, path, kept.POSTS.parts, POST, NOW, keyed("once", "gone", "now"), keyed("now"))

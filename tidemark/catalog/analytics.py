@@ -181,10 +181,10 @@ for _name, _most in (("export_rows", A.MOST_EXPORTED), ("export_rows_truncated",
     BOOK.add(
         _name,
         lambda s, d, n=_most: A.export_rows(match_events(s, d), posts(s, d), snapshots(s, d), EARLY, most=n).withColumns({c: F.array_join(c, ",") for c in ("issues", "hashtags")}),
-        f"""{FM}, ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform, post_id ORDER BY captured_at DESC) AS rn FROM s) WHERE rn = 1),
+        f"""{FM}, ls AS (SELECT platform, post_id, {", ".join(f"arg_max({c}, captured_at) FILTER ({c} IS NOT NULL) AS {c}" for c in ("likes", "comments", "shares", "views"))} FROM s GROUP BY ALL),
           page AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, platform, post_id)::INT AS place FROM fm)
-          SELECT place, (SELECT count(*) > {_most} FROM fm) AS truncated, page.platform, page.post_id, page.published_at::VARCHAR AS published_at, content_type, author_handle, page.author_followers, engagement, engagement_known, sentiment, emotion,
-          array_to_string(issues, ',') AS issues, array_to_string(hashtags, ',') AS hashtags, text, lang, likes, comments, shares, views
+          SELECT place, (SELECT count(*) > {_most} FROM fm) AS truncated, page.platform, page.post_id, page.published_at::VARCHAR AS published_at, content_type, author_handle, engagement, engagement_known, sentiment, emotion,
+          array_to_string(issues, ',') AS issues, array_to_string(hashtags, ',') AS hashtags, text, lang, author_name, pl.author_followers AS author_followers, url, likes, comments, shares, views
           FROM page LEFT JOIN pl ON page.platform = pl.platform AND page.post_id = pl.post_id LEFT JOIN ls ON page.platform = ls.platform AND page.post_id = ls.post_id WHERE place <= {_most}""",
     )
 
@@ -209,6 +209,7 @@ NEEDLES, TAGS, FROM = ["worthless", "DISGUSTING", "trash"], ["abc"], datetime(20
 CAND = f"WITH {POSTS_SQL}, h AS (SELECT * FROM p WHERE regexp_matches(lower(text), 'worthless|disgusting|trash') OR list_has_any(list_transform(regexp_extract_all(lower(text), '#([\\p{{L}}\\p{{N}}_]+)', 1), lambda t: replace(t, '_', '')), ['abc']))"
 BOOK.add("preview_counts", lambda s, d: A.preview(posts(s, d), NEEDLES, TAGS, FROM)[0], f"{CAND} SELECT platform, count(DISTINCT post_id) AS n FROM h GROUP BY ALL")
 BOOK.add("preview_sample", lambda s, d: A.preview(posts(s, d), NEEDLES, TAGS, FROM, 50)[1], f"{CAND} SELECT platform, post_id, arg_max(text, version) AS text, arg_max(lang, version) AS lang, max(published_at)::VARCHAR AS published_at FROM h GROUP BY platform, post_id ORDER BY max(published_at) DESC, platform, post_id LIMIT 50")
+BOOK.add("preview_platforms", lambda s, d: A.preview(posts(s, d), NEEDLES, TAGS, FROM, platforms=("click", "view"))[0], f"{CAND} SELECT platform, count(DISTINCT post_id) AS n FROM h WHERE platform IN ('click', 'view') GROUP BY ALL")
 BOOK.add(
     "preview_estimate",
     lambda s, d: A.preview_estimate(*A.preview(posts(s, d), NEEDLES, TAGS, FROM, 50), F.col("lang") == "en"),

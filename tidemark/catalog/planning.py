@@ -44,7 +44,7 @@ RUNS = """r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 3 > 0 THEN o
 
 
 def plans(s, d):
-    return table(s, d, "customer").filter("c_custkey < 60").selectExpr(
+    return table(s, d, "customer").selectExpr(
         "c_custkey as plan_id", "concat('p', c_custkey % 5) as platform", "c_custkey as topic_id", "concat('t', c_nationkey) as tenant_id", "300 + c_custkey * 60 as interval_s",
         "case when c_custkey % 4 > 0 then timestamp'2000-01-01 00:00:00' + make_interval(0, 0, 0, c_custkey * 10) end as high_watermark",
         "timestamp'2001-08-01 00:00:00' + make_interval(0, 0, 0, 0, c_custkey % 3) as next_run_at", "case when c_custkey % 6 = 0 then 'disabled' else 'active' end as status",
@@ -53,14 +53,14 @@ def plans(s, d):
 
 PLANS = """p AS (SELECT c_custkey AS plan_id, 'p' || c_custkey % 5 AS platform, c_custkey AS topic_id, 't' || c_nationkey AS tenant_id, 300 + c_custkey * 60 AS interval_s,
   CASE WHEN c_custkey % 4 > 0 THEN TIMESTAMP '2000-01-01' + INTERVAL 1 DAY * (c_custkey * 10) END AS high_watermark, TIMESTAMP '2001-08-01' + INTERVAL 1 HOUR * (c_custkey % 3) AS next_run_at,
-  CASE WHEN c_custkey % 6 = 0 THEN 'disabled' ELSE 'active' END AS status FROM customer WHERE c_custkey < 60)"""
+  CASE WHEN c_custkey % 6 = 0 THEN 'disabled' ELSE 'active' END AS status FROM customer)"""
 
 
 def streams(s, d):
-    return table(s, d, "supplier").filter("s_suppkey < 15").selectExpr("s_suppkey as stream_id", "concat('p', s_suppkey % 4) as platform")
+    return table(s, d, "supplier").selectExpr("s_suppkey as stream_id", "concat('p', s_suppkey % 4) as platform")
 
 
-OWNED = f"{RUNS}, {PLANS}, o AS (SELECT r.*, coalesce(p.platform, s.platform) AS platform FROM r LEFT JOIN p USING (plan_id) LEFT JOIN (SELECT s_suppkey AS stream_id, 'p' || s_suppkey % 4 AS platform FROM supplier WHERE s_suppkey < 15) s USING (stream_id) WHERE coalesce(p.platform, s.platform) IS NOT NULL)"
+OWNED = f"{RUNS}, {PLANS}, o AS (SELECT r.*, coalesce(p.platform, s.platform) AS platform FROM r LEFT JOIN p USING (plan_id) LEFT JOIN (SELECT s_suppkey AS stream_id, 'p' || s_suppkey % 4 AS platform FROM supplier) s USING (stream_id) WHERE coalesce(p.platform, s.platform) IS NOT NULL)"
 owned = lambda s, d: planning.with_owner(runs(s, d), plans(s, d), streams(s, d))
 BOOK.add("stream_or_plan", lambda s, d: ops.crawl_monitor(owned(s, d).withColumn("results", F.lit(1)), ["platform"], ["succeeded", "partial", "failed"]).drop("new", "last_success"), f"WITH {OWNED} SELECT platform, count(*) AS total, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed FROM o GROUP BY platform")
 BOOK.add("recent_runs", lambda s, d: ops.recent_by_status(owned(s, d), at(NOW), 24 * 365), f"WITH {OWNED} SELECT platform, status, count(*) AS n FROM o WHERE scheduled_for >= TIMESTAMP '{NOW}' - INTERVAL 8760 HOUR GROUP BY ALL")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.book import Book
 from tidemark.catalog.state import AGG_SQL
 from tidemark.functions import values
-from tidemark.operators import aggregates, evalkit, ops
+from tidemark.operators import aggregates, evalkit, ops, relational
 from tidemark.sources.crosswalk import EVENTS_SQL, match_events
 from tidemark.sources.store import table
 
@@ -89,6 +89,77 @@ def guarded(s, d):
     return ops.cost_guard(policies, spent)
 
 
+# soft caps whose period begins when it does in the policy's own time zone
+CAP_NOW = "1998-07-31 20:30:00"
+
+
+def caps(s, d):
+    policies = table(s, d, "customer").selectExpr(
+        "c_custkey as policy_id", "element_at(array('global', 'tenant', 'topic'), cast(c_custkey % 3 + 1 as int)) as scope_type", "case when c_custkey % 3 > 0 then concat('s', c_nationkey) end as scope_id",
+        "case when c_custkey % 2 = 0 then 'day' else 'month' end as period", "'usd' as unit", "cast(c_custkey % 40 * 10 as bigint) as most", "element_at(array('UTC', 'Asia/Jakarta', 'America/Bogota'), cast(c_custkey % 7 % 3 + 1 as int)) as reset_tz",
+        "c_custkey % 11 > 0 as enabled", "c_custkey % 13 = 0 as hard", "case when c_custkey % 5 = 0 then 'earlier' end as throttled_since",
+    )
+    spent = table(s, d, "orders").selectExpr("element_at(array('global', 'tenant', 'topic'), cast(o_orderkey % 3 + 1 as int)) as scope_type", "case when o_orderkey % 3 > 0 then concat('s', o_orderkey % 25) end as scope_id", "case when o_orderkey % 2 = 0 then 'day' else 'month' end as period", "'usd' as unit", "cast(date_trunc(case when o_orderkey % 2 = 0 then 'day' else 'month' end, date_add(date'1998-06-15', cast(o_orderkey % 50 as int))) as date) as period_start")
+    return ops.soft_caps(policies, spent.groupBy(*spent.columns).agg(F.count("*").alias("used")), F.lit(CAP_NOW).cast("timestamp")).select("policy_id", "period_start", "used", "breached", "change")
+
+
+BOOK.add(
+    "cost_guard_zones",
+    caps,
+    f"""WITH p AS (SELECT c_custkey AS policy_id, (['global', 'tenant', 'topic'])[c_custkey % 3 + 1] AS st, CASE WHEN c_custkey % 3 > 0 THEN 's' || c_nationkey ELSE '*' END AS si, CASE WHEN c_custkey % 2 = 0 THEN 'day' ELSE 'month' END AS period, c_custkey % 40 * 10 AS most,
+        TIMESTAMP '{CAP_NOW}' + INTERVAL 1 HOUR * ([0, 7, -5])[c_custkey % 7 % 3 + 1] AS at_home, c_custkey % 5 = 0 AS was FROM customer WHERE c_custkey % 11 > 0 AND c_custkey % 13 > 0),
+      u AS (SELECT (['global', 'tenant', 'topic'])[o_orderkey % 3 + 1] AS st, CASE WHEN o_orderkey % 3 > 0 THEN 's' || o_orderkey % 25 ELSE '*' END AS si, CASE WHEN o_orderkey % 2 = 0 THEN 'day' ELSE 'month' END AS period,
+        date_trunc(CASE WHEN o_orderkey % 2 = 0 THEN 'day' ELSE 'month' END, DATE '1998-06-15' + (o_orderkey % 50)::INT)::DATE AS ps, count(*) AS used FROM orders GROUP BY ALL),
+      j AS (SELECT policy_id, date_trunc(p.period, at_home)::DATE AS ps, coalesce(used, 0) AS used, coalesce(used, 0) >= most AS breached, was FROM p LEFT JOIN u ON u.st = p.st AND u.si = p.si AND u.period = p.period AND u.ps = date_trunc(p.period, at_home)::DATE)
+      SELECT policy_id, ps::VARCHAR AS period_start, used, breached, CASE WHEN breached AND NOT was THEN 'throttled' WHEN was AND NOT breached THEN 'released' END AS change FROM j""",
+)
+
+
+# failures with five dimensions: customers as plans, suppliers as streams, nations as topics, regions as tenants, parts as connectors
+def reported(s, d):
+    rows = table(s, d, "orders").selectExpr(
+        "o_orderkey as run_id", "cast(o_orderdate as timestamp) as scheduled_for", "case o_orderstatus when 'O' then 'failed' else 'succeeded' end as status", "case when o_orderkey % 4 = 0 then 'backfill' else 'incremental' end as kind",
+        "case when o_orderkey % 3 > 0 then o_custkey end as plan_id", "case when o_orderkey % 3 = 0 then o_custkey % 120 end as stream_id", "o_orderkey % 7 as tenant_id", "o_orderkey % 2500 as connector_id", "o_orderpriority as error_code", "repeat(o_orderpriority, 60) as message",
+    )
+    plans = table(s, d, "customer").selectExpr("c_custkey as plan_id", "c_mktsegment as platform", "c_nationkey as topic_id")
+    streams = table(s, d, "supplier").selectExpr("s_suppkey as stream_id", "concat('p', s_nationkey) as platform")
+    topics = table(s, d, "nation").selectExpr("n_nationkey as topic_id", "n_name as topic_name")
+    tenants = table(s, d, "region").selectExpr("r_regionkey as tenant_id", "r_name as tenant_name")
+    connectors = table(s, d, "part").selectExpr("p_partkey as connector_id", "p_name as connector")
+    return ops.failure_report(rows, plans, streams, topics, tenants, connectors, F.lit("1996-01-01").cast("timestamp"))
+
+
+BOOK.add(
+    "failure_report",
+    reported,
+    """WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1996-01-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 30)
+      SELECT o_orderkey AS run_id, o_orderdate::VARCHAR AS scheduled_for, CASE WHEN o_orderkey % 4 = 0 THEN 'backfill' ELSE 'incremental' END AS kind, coalesce(c_mktsegment, 'p' || s_nationkey) AS platform, o_orderpriority AS error_code, substr(repeat(o_orderpriority, 60), 1, 300) AS message, p_name AS connector, n_name AS topic_name, r_name AS tenant_name
+      FROM f LEFT JOIN customer ON o_orderkey % 3 > 0 AND c_custkey = o_custkey LEFT JOIN supplier ON o_orderkey % 3 = 0 AND s_suppkey = o_custkey % 120 LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = o_orderkey % 7 LEFT JOIN part ON p_partkey = o_orderkey % 2500""",
+)
+
+
+# what can serve a platform: policies, rules, connectors, providers, capabilities
+def served(s, d):
+    policies = table(s, d, "customer").selectExpr("c_custkey as policy_id", "concat('p', c_nationkey) as platform", "c_mktsegment as operation", "case when c_custkey % 3 = 0 then concat('t', c_custkey) end as tenant_id", "c_custkey as created_at", "c_custkey % 2 = 0 as allow_unverified", "c_custkey % 7 > 0 as enabled")
+    rules = table(s, d, "orders").selectExpr("o_custkey as policy_id", "o_orderkey % 100 as connector_id", "o_orderkey % 3 as priority", "o_orderkey % 4 as weight", "o_orderstatus <> 'P' as enabled")
+    connectors = table(s, d, "supplier").selectExpr("s_suppkey as connector_id", "s_nationkey as provider_id", "s_suppkey % 6 > 0 as enabled")
+    providers = table(s, d, "nation").selectExpr("n_nationkey as provider_id", "n_nationkey % 8 > 0 as enabled")
+    segments = table(s, d, "customer").select(F.col("c_mktsegment").alias("operation")).distinct()
+    able = table(s, d, "supplier").select("s_suppkey").join(segments, F.expr("s_suppkey % 9 <> length(operation)")).selectExpr("s_suppkey as connector_id", "operation", "element_at(array('verified', 'declared', 'off'), cast((s_suppkey + length(operation)) % 3 + 1 as int)) as status")
+    return ops.usable(policies, rules, connectors, providers, able).select("platform", "operation", "policy_id", "connector_id", "priority", "weight", "capability")
+
+
+BOOK.add(
+    "usable_connectors",
+    served,
+    """WITH pol AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey % 3 <> 0, c_custkey) AS rn FROM customer WHERE c_custkey % 7 > 0) WHERE rn = 1),
+      cap AS (SELECT s_suppkey, o, (['verified', 'declared', 'off'])[(s_suppkey + length(o)) % 3 + 1] AS status FROM supplier, (SELECT DISTINCT c_mktsegment AS o FROM customer) WHERE s_suppkey % 9 <> length(o))
+      SELECT 'p' || c_nationkey AS platform, c_mktsegment AS operation, c_custkey AS policy_id, o_orderkey % 100 AS connector_id, o_orderkey % 3 AS priority, o_orderkey % 4 AS weight, status AS capability
+      FROM pol JOIN orders ON o_custkey = c_custkey AND o_orderkey % 4 > 0 AND o_orderstatus <> 'P' JOIN supplier s ON s.s_suppkey = o_orderkey % 100 AND s.s_suppkey % 6 > 0 JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 8 > 0
+      JOIN cap ON cap.s_suppkey = s.s_suppkey AND cap.o = c_mktsegment WHERE status = 'verified' OR (c_custkey % 2 = 0 AND status = 'declared')""",
+)
+
+
 BOOK.add("cost_guard", guarded, f"WITH {R} SELECT tenant_id, strftime(finished_at, '%Y-%m') AS period, 1000000000 AS most, sum(cost)::BIGINT AS used, sum(cost) >= 1000000000 AS breached FROM r GROUP BY ALL")
 
 
@@ -190,20 +261,20 @@ BOOK.add(
 )
 BOOK.add(
     "lateral_unnest",
-    lambda s, d: table(s, d, "events").withColumn("x", F.explode(F.from_json(F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]")), "array<struct<k:int>>"))).groupBy("x.k").agg(F.count("*").alias("n")),
+    lambda s, d: relational.unnest_json(table(s, d, "events").withColumn("j", F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]"))), "j", "struct<k:int>", "x").groupBy("x.k").agg(F.count("*").alias("n")),
     "SELECT json_extract_string(props, '$.k')::INT AS k, 2 * count(*) AS n FROM events GROUP BY ALL",
 )
-BOOK.add("offset_page", lambda s, d: table(s, d, "part").orderBy(F.desc("p_size"), "p_partkey").offset(40).limit(20).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 20 OFFSET 40")
-BOOK.add("deterministic_sample", lambda s, d: table(s, d, "documents").orderBy(F.sha1(F.col("doc_id").cast("string")), "doc_id").limit(100).select("doc_id"), "SELECT doc_id FROM documents ORDER BY sha1(doc_id::VARCHAR), doc_id LIMIT 100")
+BOOK.add("offset_page", lambda s, d: relational.page(table(s, d, "part"), [("p_size", "desc"), ("p_partkey", "asc")], 20, 40).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 20 OFFSET 40")
+BOOK.add("deterministic_sample", lambda s, d: relational.hashed_sample(table(s, d, "documents"), "doc_id", 100).select("doc_id"), "SELECT doc_id FROM documents ORDER BY sha1(doc_id::VARCHAR), doc_id LIMIT 100")
 BOOK.add(
     "merge_sorted",
-    lambda s, d: table(s, d, "customer").selectExpr("c_name as name", "c_acctbal as bal").unionByName(table(s, d, "supplier").selectExpr("s_name as name", "s_acctbal as bal")).orderBy(F.desc("bal"), "name").limit(25),
+    lambda s, d: relational.merge_sorted([table(s, d, "customer").selectExpr("c_name as name", "c_acctbal as bal"), table(s, d, "supplier").selectExpr("s_name as name", "s_acctbal as bal")], [("bal", "desc"), ("name", "asc")], 25),
     "SELECT * FROM (SELECT c_name AS name, c_acctbal AS bal FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier) ORDER BY bal DESC, name LIMIT 25",
 )
 BOOK.add("compare_ids", lambda s, d: attempts(s, d).groupBy("connector").agg(F.max_by(F.col("run_id").cast("string"), values.compare_key(F.col("run_id").cast("string"))).alias("newest")), f"WITH {A} SELECT connector, max(run_id)::VARCHAR AS newest FROM a GROUP BY ALL")
-BOOK.add("subset_test", lambda s, d: match_events(s, d).filter(F.size(F.array_except("issues", F.array(*[F.lit(f"iss{i}") for i in range(6)]))) == 0).groupBy("platform").agg(F.count("*").alias("n")), f"WITH {EVENTS_SQL} SELECT platform, count(*) AS n FROM e WHERE len(list_filter(issues, lambda x: x NOT IN ('iss0', 'iss1', 'iss2', 'iss3', 'iss4', 'iss5'))) = 0 GROUP BY ALL")
-BOOK.add("set_difference", lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id")).join(attempts(s, d).select(F.col("run_id").alias("id")), "id", "left_anti"), "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
-BOOK.add("null_order", lambda s, d: match_events(s, d).select("geo_region_code").distinct().orderBy(F.asc_nulls_last("geo_region_code")).limit(8), f"WITH {EVENTS_SQL} SELECT DISTINCT geo_region_code FROM e ORDER BY geo_region_code NULLS LAST LIMIT 8")
+BOOK.add("subset_test", lambda s, d: match_events(s, d).filter(relational.subset_of(F.col("issues"), F.array(*[F.lit(f"iss{i}") for i in range(6)]))).groupBy("platform").agg(F.count("*").alias("n")), f"WITH {EVENTS_SQL} SELECT platform, count(*) AS n FROM e WHERE len(list_filter(issues, lambda x: x NOT IN ('iss0', 'iss1', 'iss2', 'iss3', 'iss4', 'iss5'))) = 0 GROUP BY ALL")
+BOOK.add("set_difference", lambda s, d: relational.without(table(s, d, "orders").select(F.col("o_orderkey").alias("id")), attempts(s, d).select(F.col("run_id").alias("id")), ["id"]), "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+BOOK.add("null_order", lambda s, d: match_events(s, d).select("geo_region_code").distinct().orderBy(*relational.ordering([("geo_region_code", "asc nulls last")])).limit(8), f"WITH {EVENTS_SQL} SELECT DISTINCT geo_region_code FROM e ORDER BY geo_region_code NULLS LAST LIMIT 8")
 
 # numbers and times
 BOOK.add(
@@ -230,6 +301,11 @@ BOOK.add(
     lambda s, d: table(s, d, "events").selectExpr("event_id", f"case event_id % 5 when 0 then {CLASSIC} when 1 then cast(unix_timestamp(cast(ts as timestamp)) as string) when 2 then cast(unix_timestamp(cast(ts as timestamp)) * 1000 as string) when 3 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'+07:00'\") else '2 hours ago' end as raw").select("event_id", values.to_utc(F.col("raw")).alias("at")),
     "SELECT event_id, CASE event_id % 5 WHEN 0 THEN (date_trunc('second', ts) - INTERVAL 7 HOUR)::VARCHAR WHEN 3 THEN (date_trunc('second', ts) - INTERVAL 7 HOUR)::VARCHAR WHEN 4 THEN NULL ELSE date_trunc('second', ts)::VARCHAR END AS at FROM events",
 )
+BOOK.add(
+    "first_valid_time",
+    lambda s, d: table(s, d, "events").selectExpr("event_id", "case when event_id % 3 > 0 then 'soon' when event_id % 2 = 0 then cast(unix_timestamp(cast(ts as timestamp)) as string) end as a", "case when event_id % 5 > 0 then date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end as b").select("event_id", values.first_time(F.col("a"), F.col("b")).alias("at")),
+    "SELECT event_id, CASE WHEN event_id % 6 = 0 OR event_id % 5 > 0 THEN date_trunc('second', ts)::VARCHAR END AS at FROM events",
+)
 
 # alerts, at a time within the data
 NOW = datetime(2024, 1, 20, 12, 30)
@@ -279,7 +355,7 @@ BOOK.add(
     f"WITH {PAIRS}, pe AS (SELECT sum(x * y) AS xy FROM (SELECT gold AS l, count(*) AS x FROM pairs GROUP BY ALL) JOIN (SELECT pred AS l, count(*) AS y FROM pairs GROUP BY ALL) USING (l)), k AS (SELECT avg((gold = pred)::INT) AS po, (SELECT xy FROM pe) / (count(*) * count(*)) AS pe FROM pairs) SELECT {N9.format('(po - pe) / (1 - pe)')} AS kappa FROM k",
 )
 BOOK.add("ece", lambda s, d: r9(evalkit.ece(pairs(s, d))), f"WITH {PAIRS}, b AS (SELECT greatest(ceil(confidence * 10) - 1, 0) AS bin, count(*) AS n, avg(confidence) AS c, avg((gold = pred)::INT) AS a FROM pairs GROUP BY ALL) SELECT {N9.format('(sum(n * abs(c - a)) / sum(n))')} AS ece FROM b")
-BOOK.add("coverage_curve", lambda s, d: evalkit.coverage_curve(pairs(s, d), [0.25, 0.5, 0.75]), f"WITH {PAIRS} SELECT t::DOUBLE AS tau, count(*) FILTER (confidence >= t) / count(*) AS coverage, count(*) FILTER (confidence >= t AND gold = pred) / nullif(count(*) FILTER (confidence >= t), 0) AS accuracy FROM pairs, (SELECT unnest([0.25, 0.5, 0.75]) AS t) GROUP BY t")
+BOOK.add("coverage_curve", lambda s, d: evalkit.coverage_curve(pairs(s, d), [0.25, 0.5, 0.75]), f"WITH {PAIRS} SELECT t::DOUBLE AS tau, count(*) FILTER (confidence >= t) / count(*) AS coverage, coalesce(count(*) FILTER (confidence >= t AND gold = pred) / nullif(count(*) FILTER (confidence >= t), 0), 0.0) AS accuracy, 1 - count(*) FILTER (confidence >= t) / count(*) AS to_llm_pct FROM pairs, (SELECT unnest([0.25, 0.5, 0.75]) AS t) GROUP BY t")
 BOOK.add(
     "stratified_sample",
     lambda s, d: evalkit.stratified_sample(pairs(s, d), "stratum", "id", 200, 20).select("id", "stratum"),

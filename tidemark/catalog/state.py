@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.book import Book
-from tidemark.operators import aggregates, sinks, state
+from tidemark.operators import aggregates, relational, sinks, state
 from tidemark.sources import items
 from tidemark.sources.crosswalk import EVENTS_SQL, NEWEST, POSTS_SQL, SNAPSHOTS_SQL, STATE_SQL, match_events, posts, snapshots
 from tidemark.sources.store import fresh_path, table
@@ -91,10 +91,16 @@ BOOK.add(
 )
 BOOK.add(
     "scan_param_in",
-    lambda s, d: match_events(s, d).filter(F.col("sign") == 1).join(table(s, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("post_id")), "post_id", "left_semi").select(*SHOWN),
+    lambda s, d: relational.by_keys(match_events(s, d).filter(F.col("sign") == 1), ["post_id"], table(s, d, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("post_id"))).select(*SHOWN),
     f"WITH {EVENTS_SQL} SELECT {SHOWN_SQL} FROM e WHERE sign = 1 AND post_id IN (SELECT doc_id::VARCHAR FROM labels WHERE toxic = 1)",
 )
 
+BOOK.add(
+    "scan_tuple_in",
+    lambda s, d: relational.by_keys(match_events(s, d).filter(F.col("sign") == 1), ["platform", "sentiment", "topic_id"], [("click", "negative", "q1"), ("view", "positive", "q2"), ("click", "negative", "q1"), ("view", None, "q3")]).select(*SHOWN),
+    f"WITH {EVENTS_SQL} SELECT {SHOWN_SQL} FROM e WHERE sign = 1 AND ((platform = 'click' AND sentiment = 'negative' AND topic_id = 'q1') OR (platform = 'view' AND sentiment = 'positive' AND topic_id = 'q2'))",
+)
+
 
 def monthly(spark, sf_dir):
     path = fresh_path(spark, "events-by-month")
@@ -112,7 +118,7 @@ def tables(spark, sf_dir):
     return sinks.tables_of(spark, "tidemark_")
 
 
-BOOK.add("scan_meta", tables, "SELECT * FROM (VALUES ('tidemark_match_events'), ('tidemark_posts')) t(name)")
+BOOK.add("scan_meta", tables, f"WITH {EVENTS_SQL}, {POSTS_SQL} SELECT 'tidemark_match_events' AS name, 27 AS columns, count(*) AS rows FROM e UNION ALL SELECT 'tidemark_posts', 13, count(*) FROM p")
 
 # raw items of a source, as JSON lines: conversations stand in for threads of posts and replies
 RAW = {
@@ -127,7 +133,9 @@ RAW = {
     "hashtags": "cast(null as array<string>)",
     "is_repost": "conv_id % 5 = 0",
     "is_quote": "conv_id % 3 = 0",
+    "is_comment": "turn > 2 and conv_id % 7 = 1",
     "reply_to": "case when turn > 0 then cast(conv_id * 1000 as string) end",
+    "root": "case when conv_id % 2 = 0 and turn > 1 then concat('r', conv_id) end",
 }
 
 
@@ -135,12 +143,12 @@ def normalized(spark, sf_dir):
     path = fresh_path(spark, "items")
     items.write_items(table(spark, sf_dir, "conversations").selectExpr(*[f"{v} as {k}" for k, v in RAW.items()]), path)
     rows = items.normalized(items.read_items(spark, path))
-    return rows.select("platform", "post_id", "content_type", "parent_post_id", F.length("text").alias("n"), "published_at", "author_id", "author_handle", "author_followers", "likes", "comments", "shares", "views")
+    return rows.select("platform", "post_id", "content_type", "parent_post_id", "root_post_id", F.length("text").alias("n"), "published_at", "author_id", "author_handle", "author_followers", "likes", "comments", "shares", "views")
 
 
 ITEMS_SQL = """i AS (SELECT 'x' AS platform, (conv_id * 1000 + turn)::VARCHAR AS post_id,
-  CASE WHEN conv_id % 5 = 0 THEN 'repost' WHEN conv_id % 3 = 0 THEN 'quote' WHEN turn > 0 THEN 'reply' ELSE 'post' END AS content_type,
-  CASE WHEN turn > 0 THEN (conv_id * 1000)::VARCHAR END AS parent_post_id, length(text)::INT AS n,
+  CASE WHEN turn > 2 AND conv_id % 7 = 1 THEN 'comment' WHEN conv_id % 5 = 0 THEN 'repost' WHEN conv_id % 3 = 0 THEN 'quote' WHEN turn > 0 THEN 'reply' ELSE 'post' END AS content_type,
+  CASE WHEN turn > 0 THEN (conv_id * 1000)::VARCHAR END AS parent_post_id, CASE WHEN conv_id % 2 = 0 AND turn > 1 THEN 'r' || conv_id WHEN turn > 2 AND conv_id % 7 = 1 THEN (conv_id * 1000)::VARCHAR END AS root_post_id, length(text)::INT AS n,
   CASE conv_id % 4 WHEN 2 THEN '2024-02-02 21:05:06' ELSE strftime(make_timestamp((1700000000 + conv_id) * 1000000), '%Y-%m-%d %H:%M:%S') END AS published_at,
   role AS author_id, lower(role) AS author_handle, conv_id::BIGINT AS author_followers, turn::BIGINT AS likes, NULL::BIGINT AS comments, NULL::BIGINT AS shares, 12::BIGINT AS views
   FROM conversations WHERE turn % 7 <> 6 AND conv_id % 4 <> 3)"""
@@ -162,7 +170,11 @@ def collected(spark, sf_dir):
 
 BOOK.add("recursive_collect", collected, "SELECT DISTINCT user_id::VARCHAR AS id FROM events UNION SELECT 'x' || user_id % 7 FROM events UNION SELECT event_type FROM events")
 BOOK.add("ads_filter", lambda s, d: items.without_ads(posts(s, d)).groupBy("platform").agg(F.count("*").alias("n")), f"WITH {POSTS_SQL} SELECT platform, count(*) AS n FROM p WHERE NOT coalesce(is_ad, false) GROUP BY ALL")
-BOOK.add("star_replace", lambda s, d: table(s, d, "nation").withColumns({"n_name": F.lower("n_name")}), "SELECT * REPLACE (lower(n_name) AS n_name) FROM nation")
+BOOK.add(
+    "star_replace",
+    lambda s, d: relational.star_replace(match_events(s, d), {"sentiment": F.element_at(F.create_map(*map(F.lit, ("negative", "-", "positive", "+"))), F.col("sentiment")), "author_followers": F.coalesce("author_followers", F.lit(0)) + 1}).select(*SHOWN, "seq"),
+    f"WITH {EVENTS_SQL}, x AS (SELECT * REPLACE (CASE sentiment WHEN 'negative' THEN '-' WHEN 'positive' THEN '+' END AS sentiment, coalesce(author_followers, 0) + 1 AS author_followers) FROM e) SELECT {SHOWN_SQL}, seq FROM x",
+)
 
 # corrections
 RELABEL = "post_id::BIGINT % 15 = 0"

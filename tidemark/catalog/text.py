@@ -38,7 +38,7 @@ BOOK.add("pseudonymize", hashed(X.pseudonymize), f"SELECT doc_id, sha256(coalesc
 BOOK.add("split_hashtag", lambda s, d: docs(s, d).select("doc_id", X.split_hashtag(F.concat(F.lit("SaveTheHTTPWorld_"), "doc_id", F.lit("_"), F.upper("lang"), F.lit("now"))).alias("out")), "SELECT doc_id, 'save the http world ' || doc_id || ' ' || CASE lang WHEN 'en' THEN 'e nnow' ELSE lower(lang[1]) || ' ' || lower(lang[2]) || 'now' END AS out FROM documents")
 TAGGED = "'see #BanjirJakarta at www.x.org @bob_1 no ' || doc_id || ' #covid19_' || lang"
 BOOK.add("preprocess", lambda s, d: docs(s, d).select("doc_id", X.preprocess(F.expr(TAGGED))[0].alias("out"), F.array_join(X.preprocess(F.expr(TAGGED))[1], ",").alias("tags")), "SELECT doc_id, 'see banjir jakarta at <url> <user> no ' || CASE WHEN doc_id >= 1000 AND NOT doc_id BETWEEN 1900 AND 2099 THEN '<num>' ELSE doc_id::VARCHAR END || ' covid 19 ' || lang AS out, 'BanjirJakarta,covid19_' || lang AS tags FROM documents")
-BOOK.add("is_short", on_text(lambda t: X.is_short(F.substring(t, 1, 12))), r"SELECT doc_id, len(list_filter(string_split_regex(substr(text, 1, 12), '\s+'), lambda t: t NOT IN ('', '<url>', '<user>', '<num>'))) < 3 AS out FROM documents")
+BOOK.add("is_short", on_text(X.is_short), r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda t: t NOT IN ('', '<url>', '<user>', '<num>'))) < 3 AS out FROM documents")
 BOOK.add("safe_text", hashed(X.safe_text), r"SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE text END) AS out FROM documents")
 def redact_sql(text: str) -> str:
     """The patterns without what looks ahead: what is replaced twice stays the same."""
@@ -50,6 +50,12 @@ def redact_sql(text: str) -> str:
 
 
 LOGGED = "concat(text, ' Bearer abcdef123456== at https://u:pw', doc_id, '@h/?key=k', doc_id, '&x=1 ghp_abcdefghijklmnopqrstuv password: \"p', doc_id, '\" eyJabcdef.eyJghijkl.mnopqrs', chr(10), 'params: a@b.c,1', chr(10), 'end')"
+LOG_MAP = "map('Set-Cookie', 'a=b', 'user_TOKEN', concat('t', doc_id), 'X-API-key', 'k', 'note', concat(text, ' password: p', doc_id), 'tokens', cast(doc_id as string), 'E-Mail', 'x', 'phone_numbers', '1', 'emailing', 'y')"
+BOOK.add(
+    "redact_keys",
+    lambda s, d: docs(s, d).filter("text is not null").withColumn("m", X.without_personal(X.redact_map(F.expr(LOG_MAP)))).select("doc_id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"), F.expr("concat(m['Set-Cookie'], m['user_TOKEN'], m['X-API-key'], m['tokens'])").alias("values"), F.sha2(F.expr("m['note']"), 256).alias("note")),
+    f"SELECT doc_id, 'Set-Cookie,X-API-key,emailing,note,tokens,user_TOKEN' AS keys, '[REDACTED][REDACTED][REDACTED]' || doc_id AS values, sha256({redact_sql('t')}) AS note FROM (SELECT doc_id, text || ' password: p' || doc_id AS t FROM documents WHERE text IS NOT NULL)",
+)
 BOOK.add("redact", lambda s, d: docs(s, d).select("doc_id", F.sha2(F.coalesce(X.redact(F.expr(LOGGED)), F.lit("")), 256).alias("out")), f"SELECT doc_id, sha256(coalesce({redact_sql('t')}, '')) AS out FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {LOGGED} END AS t FROM documents)")
 RAW_ISSUES = ["upper(p_name)", "p_type || ' <b>!'", "p_type", "' x '", "p_brand || ' https://a.b/c'", "'a b c d e'"]
 BOOK.add(

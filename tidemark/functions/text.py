@@ -156,6 +156,31 @@ def redact(text: Column) -> Column:
     return text
 
 
+# Keys whose values are secret, ends of such keys, and keys of personal data.
+SENSITIVE_KEYS = [
+    "authorization", "proxy-authorization", "cookie", "set-cookie", "password", "passwd", "token", "access_token", "refresh_token", "id_token", "secret",
+    "client_secret", "api_key", "apikey", "x-api-key", "sessionid", "session", "credential", "credentials", "private_key", "mfa_secret", "otp",
+]
+SENSITIVE_ENDS = r"_(token|secret|password|api_key)$"
+PERSONAL_KEYS = r"(?i)^(e-?mails?|phones?(_?numbers?)?|phone_numbers|contact_?info|address(es)?|birth_?(day|date)|bio_?links)$"
+
+
+def is_sensitive(key: Column) -> Column:
+    """Whether a key names a secret, in either case, with hyphens or underscores."""
+    plain = F.replace(F.lower(key), F.lit("-"), F.lit("_"))
+    return plain.isin([k.replace("-", "_") for k in SENSITIVE_KEYS]) | plain.rlike(SENSITIVE_ENDS)
+
+
+def redact_map(values: Column) -> Column:
+    """A map of texts for a log: secrets give way by their keys, and by their looks in all other values."""
+    return F.transform_values(values, lambda k, v: F.when(is_sensitive(k), F.lit("[REDACTED]")).otherwise(redact(v)))
+
+
+def without_personal(values: Column) -> Column:
+    """A map without the keys of personal data."""
+    return F.map_filter(values, lambda k, v: ~k.rlike(PERSONAL_KEYS))
+
+
 def register(spark: SparkSession) -> None:
     """Make ``fold_text`` callable from SQL."""
     spark.udf.register("fold_text", _folded)

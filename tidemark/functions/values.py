@@ -26,6 +26,11 @@ def to_utc(raw: Column) -> Column:
     return F.when(raw.rlike(r"^\d{9,14}$"), epoch).otherwise(F.coalesce(iso, classic))
 
 
+def first_time(*raw: Column) -> Column:
+    """The first of several fields that holds a time, as ``to_utc`` reads it."""
+    return F.coalesce(*[to_utc(r) for r in raw])
+
+
 def backoff(interval: Column, failures: Column) -> Column:
     """Seconds to wait: doubled with each failure, four intervals at most."""
     return F.least(interval * F.pow(F.lit(2), failures - 1), interval * 4).cast("long")

@@ -368,13 +368,14 @@ def gallery(events: DataFrame | Current, posts: DataFrame | Current, f: Filter,
 
 
 def export_rows(events: DataFrame | Current, posts: DataFrame | Current, snapshots: DataFrame, f: Filter, what: Feed = Feed(), most: int = MOST_EXPORTED) -> DataFrame:
-    """Matches with their posts and each post's newest metrics, newest first by ``place``; ``truncated`` if there were more than ``most``."""
+    """Matches with their posts and each metric's newest known value, newest first by ``place``; ``truncated`` if there were more than ``most``. Followers are the post's."""
     page = placed(ordered(feed_matches(events, f, what), "latest").limit(most + 1), "latest")
     page = page.withColumn("truncated", F.max("place").over(Window.partitionBy()) > most).filter(F.col("place") <= most)
-    shown = ["content_type", "author_handle", "author_followers", "engagement", "engagement_known", "sentiment", "emotion", "issues", "hashtags"]
+    shown = ["content_type", "author_handle", "engagement", "engagement_known", "sentiment", "emotion", "issues", "hashtags"]
     page = page.select("place", "truncated", *POST_KEY, "published_at", *shown)
-    newest = newest_of(posts, page, "version", f).select(*POST_KEY, "text", "lang")
-    metrics = newest_of(snapshots, page, "captured_at", f).select(*POST_KEY, "likes", "comments", "shares", "views")
+    newest = newest_of(posts, page, "version", f).select(*POST_KEY, "text", "lang", "author_name", "author_followers", "url")
+    known = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("captured_at"))).alias(c) for c in ("likes", "comments", "shares", "views")]
+    metrics = snapshots.join(page.select(*POST_KEY), POST_KEY, "left_semi").groupBy(*POST_KEY).agg(*known)
     return page.join(newest, POST_KEY, "left").join(metrics, POST_KEY, "left").orderBy("place")
 
 

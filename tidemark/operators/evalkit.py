@@ -47,12 +47,13 @@ def ece(pairs: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def coverage_curve(pairs: DataFrame, taus: list[float]) -> DataFrame:
-    """Share of rows at or above each threshold, and their accuracy: one aggregation for all thresholds."""
+    """Share of rows at or above each threshold, their accuracy (0 without any), and the share that would go on to a larger model: one aggregation for all thresholds."""
     cells = []
     for t in taus:
         above = F.col("confidence") >= t
         hit = F.count_if(above & (F.col("gold") == F.col("pred")))
-        cells.append(F.struct(F.lit(t).alias("tau"), (F.count_if(above) / F.count("*")).alias("coverage"), F.when(F.count_if(above) > 0, hit / F.count_if(above)).alias("accuracy")))
+        share = F.coalesce(F.try_divide(F.count_if(above), F.count("*")), F.lit(0.0))
+        cells.append(F.struct(F.lit(t).alias("tau"), share.alias("coverage"), F.coalesce(F.try_divide(hit, F.count_if(above)), F.lit(0.0)).alias("accuracy"), (1 - share).alias("to_llm_pct")))
     return pairs.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 

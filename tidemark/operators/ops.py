@@ -44,6 +44,15 @@ def recent_failures(runs: DataFrame, dims: list[tuple[DataFrame, str]], k: int =
     return out.withColumn("message", F.substring("message", 1, 300))
 
 
+def failure_report(runs: DataFrame, plans: DataFrame, streams: DataFrame, topics: DataFrame, tenants: DataFrame, connectors: DataFrame, since: Column, k: int = 30) -> DataFrame:
+    """The newest failures since then with platform (of the plan, else of the shared stream), topic, tenant and connector; the limit stands below the five joins."""
+    own = runs.filter((F.col("status") == "failed") & (F.col("scheduled_for") >= since)).orderBy(F.desc("scheduled_for"), "run_id").limit(k)
+    out = own.join(plans.select("plan_id", F.col("platform").alias("_p"), "topic_id"), "plan_id", "left").join(streams.select("stream_id", F.col("platform").alias("_s")), "stream_id", "left")
+    out = out.join(topics.select("topic_id", "topic_name"), "topic_id", "left").join(tenants.select("tenant_id", "tenant_name"), "tenant_id", "left").join(connectors.select("connector_id", "connector"), "connector_id", "left")
+    shown = ["run_id", "scheduled_for", "kind", F.coalesce("_p", "_s").alias("platform"), "error_code", F.substring("message", 1, 300).alias("message"), "connector", "topic_name", "tenant_name"]
+    return out.select(*shown).orderBy(F.desc("scheduled_for"), "run_id")
+
+
 def counts_by_state(rows: DataFrame, by: list[str], state: str) -> DataFrame:
     """A map of state to count per group."""
     one = rows.groupBy(*by, state).agg(F.count("*").alias("n"))
@@ -98,6 +107,27 @@ def cost_guard(policies: DataFrame, spent: DataFrame) -> DataFrame:
     return out.withColumn("breached", F.col("used") >= F.col("most"))
 
 
+def period_start(now: Column, period: Column, zone: Column) -> Column:
+    """The first day of the day or month that it is in a time zone."""
+    local = F.from_utc_timestamp(now, zone)
+    return F.when(period == "day", F.to_date(local)).otherwise(F.to_date(F.date_trunc("month", local)))
+
+
+def soft_caps(policies: DataFrame, usage: DataFrame, now: Column) -> DataFrame:
+    """Enabled soft policies with what was used of their current period, as their own time zone has it, and what changes: ``throttled`` or ``released``.
+
+    ``policies``: policy_id, scope_type, scope_id (null: everything), period, unit, most, reset_tz, enabled, hard,
+    throttled_since. ``usage``: scope_type, scope_id, period, unit, period_start, used.
+    """
+    own = policies.filter(F.col("enabled") & ~F.col("hard")).withColumn("period_start", period_start(now, F.col("period"), F.col("reset_tz")))
+    own = own.withColumn("_scope", F.coalesce("scope_id", F.lit("*")))
+    used = usage.select("scope_type", F.coalesce("scope_id", F.lit("*")).alias("_scope"), "period", "unit", "period_start", "used")
+    out = own.join(used, ["scope_type", "_scope", "period", "unit", "period_start"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    out = out.withColumn("breached", F.col("used") >= F.col("most"))
+    change = F.when(F.col("breached") & F.col("throttled_since").isNull(), "throttled").when(~F.col("breached") & F.col("throttled_since").isNotNull(), "released")
+    return out.withColumn("change", change).drop("_scope")
+
+
 def allocate(runs: DataFrame, weights: DataFrame, amounts: list[str]) -> DataFrame:
     """(run_id, tenant_id, matches, basis, amounts): what a run used, by its tenants' matches.
 
@@ -285,6 +315,18 @@ def preferred(rows: DataFrame, key: list[str]) -> DataFrame:
     return top_n_per_key(rows, key, [F.col("tenant_id").isNull().cast("int").asc(), F.col("created_at").asc()])
 
 
+def usable(policies: DataFrame, rules: DataFrame, connectors: DataFrame, providers: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """What can serve each platform and operation: a tenant's own policy before the global one, then its rules, their connectors and providers, and what these can do.
+
+    Only what is enabled counts, with a weight, and verified (declared is enough where the policy allows it).
+    """
+    chosen = preferred(policies.filter("enabled"), ["platform", "operation"]).select("policy_id", "platform", "operation", "allow_unverified")
+    out = chosen.join(rules.filter("enabled and weight > 0").select("policy_id", "connector_id", "priority", "weight"), "policy_id")
+    out = out.join(connectors.filter("enabled").select("connector_id", "provider_id"), "connector_id").join(providers.filter("enabled").select("provider_id"), "provider_id")
+    out = out.join(capabilities.select("connector_id", "operation", F.col("status").alias("capability")), ["connector_id", "operation"])
+    return out.filter((F.col("capability") == "verified") | (F.col("allow_unverified") & (F.col("capability") == "declared")))
+
+
 # --- alerts, over the hourly tables ---
 
 

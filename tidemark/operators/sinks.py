@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,9 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def tables_of(spark: SparkSession, prefix: str) -> DataFrame:
-    """Names of the catalog's tables and views with a prefix."""
-    names = [(t.name,) for t in spark.catalog.listTables() if t.name.startswith(prefix)]
-    return spark.createDataFrame(names, "name string")
+    """(name, columns, rows) of the catalog's tables and views with a prefix, each read for its count alone."""
+    names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
+    if not names:
+        return spark.createDataFrame([], "name string, columns int, rows long")
+    each = [spark.table(n).agg(F.lit(n).alias("name"), F.lit(len(spark.table(n).columns)).alias("columns"), F.count("*").alias("rows")) for n in names]
+    return reduce(lambda a, b: a.unionByName(b), each)

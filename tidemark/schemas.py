@@ -22,7 +22,7 @@ EVENT = (
 )
 
 POST = (
-    "platform string, post_id string, version int, text string, lang string, author_id string, published_at timestamp, media string, is_ad boolean, source_connector string"
+    "platform string, post_id string, version int, text string, lang string, author_id string, author_name string, author_followers bigint, url string, published_at timestamp, media string, is_ad boolean, source_connector string"
 )
 
 SNAPSHOT = ("platform string, post_id string, captured_at timestamp, likes bigint, comments bigint, shares bigint, quotes bigint, saves bigint, views bigint, author_followers bigint")
@@ -31,5 +31,5 @@ SNAPSHOT = ("platform string, post_id string, captured_at timestamp, likes bigin
 CANONICAL = (
     """platform string, id string, content_type string, text string, lang string, created_at string,
     author struct<id:string,handle:string,name:string,followers:string>, metrics struct<likes:string,comments:string,shares:string,views:string>,
-    hashtags array<string>, is_repost boolean, is_quote boolean, reply_to string, _bad string"""
+    hashtags array<string>, is_repost boolean, is_quote boolean, is_comment boolean, reply_to string, root string, _bad string"""
 )

@@ -86,6 +86,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when version = 2 then concat(text, ' v2') else text end as text",
         "lang",
         "concat('u', user_id) as author_id",
+        "case when k % 9 > 0 then concat('Name ', user_id) end as author_name",
+        "cast(user_id * 3 as bigint) as author_followers",
+        "concat('https://s/', doc_id) as url",
         "cast(ts as timestamp) as published_at",
         """case when k % 4 = 1 then concat('[{"type":"image","url":"https://m/', doc_id, '"},{"type":"gif","url":"http://m/', doc_id, '"}]')
           when k % 8 = 3 then concat('[{"type":"video","url":"https://v/', doc_id, '","thumb":"https://t/', doc_id, '"}]') when k % 8 = 7 then '[]' end as media""",
@@ -94,7 +97,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-POSTS_SQL = """p AS (SELECT event_type AS platform, doc_id::VARCHAR AS post_id, version, CASE WHEN version = 2 THEN text || ' v2' ELSE text END AS text, lang, 'u' || user_id AS author_id,
+POSTS_SQL = """p AS (SELECT event_type AS platform, doc_id::VARCHAR AS post_id, version, CASE WHEN version = 2 THEN text || ' v2' ELSE text END AS text, lang, 'u' || user_id AS author_id, CASE WHEN k % 9 > 0 THEN 'Name ' || user_id END AS author_name, (user_id * 3)::BIGINT AS author_followers, 'https://s/' || doc_id AS url,
   ts AS published_at, CASE WHEN k % 4 = 1 THEN '[{"type":"image","url":"https://m/' || doc_id || '"},{"type":"gif","url":"http://m/' || doc_id || '"}]'
     WHEN k % 8 = 3 THEN '[{"type":"video","url":"https://v/' || doc_id || '","thumb":"https://t/' || doc_id || '"}]' WHEN k % 8 = 7 THEN '[]' END AS media,
   CASE WHEN k % 6 = 0 THEN NULL ELSE k % 6 = 1 END AS is_ad, source AS source_connector

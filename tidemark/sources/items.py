@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import count_metric, to_utc
 from tidemark.schemas import CANONICAL
-from tidemark.sources.store import fresh_path, remove
+from tidemark.sources.store import exists, fresh_path, remove
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -20,18 +20,19 @@ def write_items(rows: DataFrame, path: str) -> None:
 
 
 def content_type() -> Column:
-    """repost, quote, reply or post, in that order."""
-    return F.when(F.col("is_repost"), "repost").when(F.col("is_quote"), "quote").when(F.col("reply_to").isNotNull(), "reply").otherwise("post")
+    """comment, repost, quote, reply or post, in that order."""
+    return F.when(F.col("is_comment"), "comment").when(F.col("is_repost"), "repost").when(F.col("is_quote"), "quote").when(F.col("reply_to").isNotNull(), "reply").otherwise("post")
 
 
-def normalized(raw: DataFrame) -> DataFrame:
-    """One canonical row per raw item; unknown is null, never a guess. Rows without id, time or author are gone."""
+def normalized(raw: DataFrame, also: list[str] = []) -> DataFrame:
+    """One canonical row per raw item; unknown is null, never a guess. Rows without id, time or author are gone. ``also``: columns to hand on."""
     rows = raw.filter(F.col("_bad").isNull()) if "_bad" in raw.columns else raw
     rows = rows.select(
         F.lower("platform").alias("platform"),
         F.col("id").alias("post_id"),
         content_type().alias("content_type"),
         F.col("reply_to").alias("parent_post_id"),
+        F.coalesce("root", F.when(F.col("is_comment"), F.col("reply_to"))).alias("root_post_id"),
         "text",
         "lang",
         to_utc(F.col("created_at")).alias("published_at"),
@@ -40,15 +41,16 @@ def normalized(raw: DataFrame) -> DataFrame:
         count_metric(F.col("author.followers")).alias("author_followers"),
         *[count_metric(F.col(f"metrics.{m}")).alias(m) for m in ("likes", "comments", "shares", "views")],
         F.coalesce("hashtags", F.array().cast("array<string>")).alias("hashtags"),
+        *also,
     )
     return rows.filter("post_id is not null and published_at is not null and author_id is not null and author_handle is not null")
 
 
-def rejected(raw: DataFrame) -> DataFrame:
-    """(reason, n): the raw items that ``normalized`` leaves out, counted by the first thing that they lack."""
+def rejected(raw: DataFrame, by: list[str] = []) -> DataFrame:
+    """(reason, n), per ``by``: the raw items that ``normalized`` leaves out, counted by the first thing that they lack."""
     bad = F.col("_bad").isNotNull() if "_bad" in raw.columns else F.lit(False)
     why = F.when(bad, "broken").when(F.col("id").isNull(), "id").when(to_utc(F.col("created_at")).isNull(), "time").when(F.col("author.id").isNull() | F.col("author.handle").isNull(), "author")
-    return raw.groupBy(why.alias("reason")).agg(F.count("*").alias("n")).filter("reason is not null")
+    return raw.groupBy(*by, why.alias("reason")).agg(F.count("*").alias("n")).filter("reason is not null")
 
 
 def pages(reads: list[DataFrame], start: Column, end: Column, floor_days: int = 30) -> DataFrame:
@@ -60,6 +62,26 @@ def pages(reads: list[DataFrame], start: Column, end: Column, floor_days: int =
     return rows.filter(F.col("published_at").between(since, end)).dropDuplicates(["platform", "post_id"])
 
 
+def fetched(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Items of several pages (files of JSON lines, gzip or not), each post once, and (page, items, dropped, status) per page.
+
+    A page that is missing or breaks off does not undo the others: what could be read of it stays (``status`` is then
+    ``partial`` or ``missing``). Of a page that breaks off in the midst of a line, that line counts as dropped.
+    """
+    there = [p for p in paths if exists(spark, p)]
+    raw = spark.read.schema(CANONICAL).option("columnNameOfCorruptRecord", "_bad").option("ignoreCorruptFiles", True).json(there) if there else spark.createDataFrame([], CANONICAL)
+    where = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1) if there else F.lit("")
+    raw = raw.withColumn("_page", where)
+    rows = normalized(raw).dropDuplicates(["platform", "post_id"])
+    bad = rejected(raw, ["_page"]).groupBy("_page").agg(F.sum("n").alias("dropped"), F.max(F.when(F.col("reason") == "broken", 1)).alias("broken"))
+    good = normalized(raw, ["_page"]).groupBy("_page").agg(F.count("*").alias("items"))
+    asked = spark.createDataFrame([(p.rsplit("/", 1)[-1], p in there) for p in paths], "page string, there boolean")
+    both = asked.join(good.withColumnRenamed("_page", "page"), "page", "left").join(bad.withColumnRenamed("_page", "page"), "page", "left")
+    status = F.when(~F.col("there"), "missing").when(F.col("broken") == 1, "partial").otherwise("read")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return rows, both.select("page", n("items"), n("dropped"), status.alias("status"))
+
+
 def without_ads(rows: DataFrame) -> DataFrame:
     """Only known advertisements go."""
     return rows.filter(~F.coalesce("is_ad", F.lit(False)))
