@@ -8,13 +8,13 @@ from tidemark.catalog.book import Book
 from tidemark.functions import text as X
 from tidemark.operators import enrich, sinks
 from tidemark.plans import topics
-from tidemark.sources.store import fresh_path, table
+from tidemark.sources.store import fresh_path, spread, table
 
 BOOK = Book()
 
 
 def docs(s, d):
-    return table(s, d, "documents").select("doc_id", "text", "lang")
+    return spread(table(s, d, "documents").select("doc_id", "text", "lang"))
 
 
 def on_text(work):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.book import Book
 from tidemark.operators import analytics, enrich, ops, sharing, upkeep
 from tidemark.sources import items
-from tidemark.sources.store import fresh_path, table
+from tidemark.sources.store import fresh_path, spread, table
 
 BOOK = Book()
 
@@ -98,7 +98,7 @@ NEEDLE = "CASE WHEN item_id % 5 = 0 THEN substr(text, 1, 2) WHEN item_id % 5 = 1
 
 def needled(s, d):
     needles = table(s, d, "benchmark").selectExpr(f"{NEEDLE} as needle")
-    return analytics.needle_hits(table(s, d, "documents"), needles, ["doc_id"])
+    return analytics.needle_hits(spread(table(s, d, "documents").select("doc_id", "text")), needles, ["doc_id"])
 
 
 BOOK.add("needle_hits", needled, f"SELECT doc_id, needle FROM documents JOIN (SELECT DISTINCT lower({NEEDLE}) AS needle FROM benchmark) ON contains(lower(text), needle) WHERE needle <> ''")

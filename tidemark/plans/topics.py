@@ -222,16 +222,21 @@ def compiled(name: str, text: str, *, topic: str = "", keywords: list[str] = (),
 
 
 def prepared(items: DataFrame, *, text: str = "text", lang: str | None = "lang", author: str | None = None, hashtags: str | None = None, tags: str | None = None) -> DataFrame:
-    """``items`` with ``q_joined``, ``q_words``, ``q_hashtags``, ``q_lang``, ``q_tags`` and ``q_author``."""
+    """``items`` with ``q_joined``, ``q_words``, ``q_hashtags``, ``q_lang``, ``q_tags`` and ``q_author``.
+
+    All but language and author are never null, and say so: else conditions on them would have the optimizer look for
+    nulls below, preparing each item a second time.
+    """
+    sure = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     clean = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]", "")) if c else F.array().cast("array<string>")
     out = items.withColumn("q_text", normalize_text(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumn("q_hashtags", F.array_distinct(F.concat(clean(hashtags), hashtags_in(F.col("q_text")))))
+    out = out.withColumn("q_hashtags", sure(F.array_distinct(F.concat(clean(hashtags), hashtags_in(F.col("q_text"))))))
     return out.withColumns(
         {
-            "q_joined": F.concat(F.lit(" "), F.array_join(tokenize(F.col("q_text")), " "), F.lit(" ")),
+            "q_joined": F.coalesce(F.concat(F.lit(" "), F.array_join(tokenize(F.col("q_text")), " "), F.lit(" ")), F.lit("  ")),
             "q_words": F.size(tokenize(F.regexp_replace("q_text", r"#[\p{L}\p{N}_]+", " "))),
             "q_lang": normalize_lang(F.col(lang)) if lang else F.lit(None).cast("string"),
-            "q_tags": F.array_distinct(F.concat(clean(tags), F.col("q_hashtags"))),
+            "q_tags": sure(F.array_distinct(F.concat(clean(tags), F.col("q_hashtags")))),
             "q_author": F.regexp_replace(F.lower(F.col(author)), "^@", "") if author else F.lit(None).cast("string"),
         }
     ).drop("q_text")
@@ -336,9 +341,9 @@ def matches(items: DataFrame, queries: list[Query], keys: list[str]) -> DataFram
     own = F.concat(F.split(F.trim("q_joined"), " "), F.transform("q_hashtags", lambda t: F.concat(F.lit("#"), t)), F.array(F.concat(F.lit("@"), F.coalesce("q_author", F.lit(""))), F.lit("")))
     known = sorted({k for k, _ in index_rows})
     if len(known) <= MOST_LITERAL_KEYS:
-        # one expression: a column of its own would be computed twice, for a filter that the optimizer infers from it
         each = F.flatten(F.transform(F.array(F.array_intersect(own, F.array(*map(F.lit, known)))), lambda ks: F.transform(ks, lambda k: F.struct(k.alias("q_key"), ks.alias("q_found")))))
-        found = items.withColumn("q_hit", F.explode(each)).select(*items.columns, "q_hit.q_key", "q_hit.q_found")
+        # outer, as no filter is then inferred, which would prepare each item a second time; the join drops items without a key
+        found = items.withColumn("q_hit", F.explode_outer(each)).select(*items.columns, "q_hit.q_key", "q_hit.q_found")
         found = with_small(with_small(found, index_bytes, index, "q_key"), program_bytes, programs, "q_no")
         found = found.filter(F.get(F.array_intersect("q_keys", "q_found"), F.lit(0)) == F.col("q_key"))
     else:
