@@ -8,7 +8,7 @@
    candidate as the good patterns around it say. A pattern is for the kind of which it has most trusted values. It is
    good with SUPPORT of them or more and a score of CONFIDENCE or more, the mean trust of all its values; the values of
    good patterns are trusted with their mean score. So found values support further patterns, which find further
-   values, until nothing changes, or for ROUNDS rounds.
+   values. A pattern once good stays so, with its first score; rounds go on until one finds no other, so they end.
 4. Candidates beside a good pattern become spans ``like_<kind>``.
 
 DataFrame functions only. Scores are whole millionths, so that results don't depend on the order of sums. The graph
@@ -27,8 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, documents, persisted
+from tidemark.llm.common import WORD, documents, persisted, shared_path
 from tidemark.llm.spans import NEAR, PLACED, SPAN, Rule, all_found, count, digest, found, masked, once, running
+from tidemark.sources.store import remove
 
 #: Distinct trusted values of one kind that make a pattern worth scoring.
 SUPPORT = 10
@@ -39,8 +40,8 @@ UNIT = 1_000_000
 #: The least score of a good pattern.
 CONFIDENCE = 750_000
 
-#: Rounds at most; they end as soon as one changes nothing.
-ROUNDS = 4
+#: Rounds that the SQL writes out; Spark's go on until nothing is found.
+SQL_ROUNDS = 6
 
 
 def digits_of(match: Column) -> Column:
@@ -151,21 +152,27 @@ def trusted(fresh: DataFrame, good: DataFrame) -> DataFrame:
     return per.groupBy("value").agg(F.min(F.struct((-F.col("trust")).alias("least"), "aim", "trust")).alias("b")).select("value", "b.aim", "b.trust")
 
 
-def patterns(edges: DataFrame, *, support: int = SUPPORT, confidence: int = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, aim, score) of the good patterns once the rounds have ended."""
+def patterns(edges: DataFrame, *, support: int = SUPPORT, confidence: int = CONFIDENCE, rounds: int | None = None) -> DataFrame:
+    """(pattern, aim, score) of the good patterns once a round has found no other; ``rounds`` stops earlier."""
+    spark = edges.sparkSession
     totals = persisted(edges.groupBy("pattern").agg(F.count("*").alias("many")), "pii-totals")
     seeds = edges.filter("kind <> ''").select("pattern", F.col("kind").alias("aim"), F.lit(UNIT).cast("long").alias("trust"))
     fresh = edges.filter("kind = ''").select("pattern", "value")
-    votes, state = seeds, (0, None)
-    for i in range(rounds):
-        good = persisted(good_of(votes, totals, support, confidence), "pii-patterns")
-        if i == rounds - 1:
+    path, good, many, turn = "", None, 0, 0
+    while rounds is None or turn < rounds:
+        if good is None:
+            found = good_of(seeds, totals, support, confidence)
+        else:
+            votes = seeds.unionByName(fresh.join(trusted(fresh, good), "value").select("pattern", "aim", "trust"))
+            found = good.unionByName(good_of(votes, totals, support, confidence).join(good.select("pattern"), "pattern", "left_anti"))
+        last, path = path, shared_path(spark, "pii-patterns")
+        found.write.parquet(path)
+        if last:
+            remove(spark, last)
+        good, turn = spark.read.schema(found.schema).parquet(path), turn + 1
+        before, many = many, good.count()
+        if many == before:
             break
-        now = persisted(trusted(fresh, good), "pii-values")
-        told = now.agg(F.count("*"), F.sum(F.xxhash64("value", "aim", "trust").cast("decimal(38,0)"))).first()
-        if tuple(told) == state:
-            break
-        state, votes = tuple(told), seeds.unionByName(fresh.join(now, "value").select("pattern", "aim", "trust"))
     return good
 
 
@@ -178,7 +185,7 @@ def discovered(table: DataFrame, good: DataFrame) -> DataFrame:
     return best.groupBy("row").agg(F.collect_list(span.cast(SPAN)).alias("more"))
 
 
-def extract(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: int = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def extract(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: int = CONFIDENCE, rounds: int | None = None) -> DataFrame:
     """``id`` and ``spans`` (base and discovered, sorted) of every row."""
     table = scanned(docs, id_col=id_col, text_col=text_col)
     edges = persisted(graph(table), "pii-edges")
@@ -193,10 +200,10 @@ def redacted(text: Column, spans: Column) -> Column:
     return masked(text, spans, lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))
 
 
-def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The personal data of every document."""
+def told(docs: DataFrame) -> DataFrame:
+    """The contract's columns of the personal data in ``docs``."""
     spans, base = F.col("spans"), [r.kind for r in BASE]
-    return extract(documents(spark, sf_dir)).select(
+    return extract(docs).select(
         F.col("id").alias("doc_id"),
         *[count(spans, k).alias(f"n_{k}") for k in base],
         F.sha2(digest(spans, base), 256).alias("base_sha256"),
@@ -204,6 +211,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document."""
+    return told(documents(spark, sf_dir))
+
+
+# Sentences with identifiers after every document: known kinds, unknown ones after the same words, and unknown ones
+# that only stand beside those. In Spark and in SQL.
+PLANTED = """concat(coalesce(text, ''), CASE WHEN doc_id % 16 < 7 THEN concat(' Contact our desk at user', doc_id, '@mail', doc_id % 50, '.example for more')
+  WHEN doc_id % 16 = 7 THEN concat(' contact our desk at user', doc_id, '_at_mail for more, or page user', doc_id, '_at_mail tonight') WHEN doc_id % 16 < 15 THEN concat(' ring home on +49 30 ', 5550000 + doc_id, ' any day')
+  ELSE concat(' ring home on ', 7770000 + doc_id, ' any day') END, CASE WHEN doc_id % 128 = 9 THEN concat(' or page helper', doc_id, '_x tonight') ELSE '' END)"""
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op3``, of the documents with identifiers planted, so that patterns are learnt, and values found, in several rounds."""
+    return told(documents(spark, sf_dir).selectExpr("doc_id", f"{PLANTED} AS text"))
+
+
 def _spans_sql(rank: int, kind: str, pattern: str, keep: str) -> str:
     return f"""SELECT doc_id, rid, {rank} AS rank, '{kind}' AS kind, m, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM (
       SELECT doc_id, rid, ms[i] AS m, list_sum([length(x) FOR x IN gs[1:i]]) + coalesce(list_sum([length(x) FOR x IN ms[1:i - 1]]), 0) AS s
@@ -211,8 +235,8 @@ def _spans_sql(rank: int, kind: str, pattern: str, keep: str) -> str:
         SELECT doc_id, rid, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d))) WHERE {keep}"""
 
 
-def oracle() -> str:
-    """DuckDB SQL for op3's rows, with every round written out."""
+def oracle(source: str = "documents") -> str:
+    """DuckDB SQL for the rows of ``told``, with SQL_ROUNDS rounds written out."""
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     double = "list_sum([CASE WHEN i % 2 = 1 THEN x::INT ELSE (x::INT * 2) % 10 + (x::INT >= 5)::INT END FOR x, i IN string_split(reverse({d}), '')])".format(d=digits)
     keep = {
@@ -230,11 +254,13 @@ def oracle() -> str:
     line = "kind || ':' || s || ':' || e, ',' ORDER BY s, rank"
     seeds = f"SELECT pattern, kind AS aim, {UNIT} AS trust FROM edges WHERE kind <> ''"
     rounds = []
-    for n in range(ROUNDS):
+    for n in range(SQL_ROUNDS):
         votes = f"{seeds} UNION ALL SELECT pattern, aim, trust FROM edges JOIN value{n - 1} USING (value) WHERE kind = ''" if n else seeds
+        earlier = f"SELECT pattern, aim, score FROM good{n - 1} UNION ALL " if n else ""
+        other = f"AND pattern NOT IN (SELECT pattern FROM good{n - 1})" if n else ""
         rounds.append(
-            f"""good{n} AS MATERIALIZED (SELECT pattern, aim, trust // (many + 1) AS score FROM (SELECT pattern, aim, count(*) AS n, sum(trust)::BIGINT AS trust FROM ({votes}) GROUP BY pattern, aim HAVING count(*) >= {SUPPORT}
-              QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY count(*) DESC, aim) = 1) JOIN totals USING (pattern) WHERE trust // (many + 1) >= {CONFIDENCE})"""
+            f"""good{n} AS MATERIALIZED ({earlier}SELECT pattern, aim, trust // (many + 1) AS score FROM (SELECT pattern, aim, count(*) AS n, sum(trust)::BIGINT AS trust FROM ({votes}) GROUP BY pattern, aim HAVING count(*) >= {SUPPORT}
+              QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY count(*) DESC, aim) = 1) JOIN totals USING (pattern) WHERE trust // (many + 1) >= {CONFIDENCE} {other})"""
         )
         rounds.append(
             f"""value{n} AS MATERIALIZED (SELECT value, aim, sum(score)::BIGINT // count(*) AS trust FROM edges JOIN good{n} USING (pattern) WHERE kind = '' GROUP BY value, aim
@@ -242,7 +268,7 @@ def oracle() -> str:
         )
     chosen = "'" + "', '".join(r.kind for r in BASE) + "'"
     return f"""
-WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM {source} AS given),
 base AS MATERIALIZED ({base}), tokens AS MATERIALIZED ({tokens}),
 fresh AS MATERIALIZED (SELECT * FROM tokens WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = tokens.rid AND base.s < tokens.e AND tokens.s < base.e)),
 spans AS (SELECT *, kind AS seed FROM base UNION ALL SELECT *, '' AS seed FROM fresh),
@@ -250,7 +276,7 @@ ctx AS MATERIALIZED (SELECT *, {marks} AS pats FROM (SELECT spans.*, regexp_extr
 edges AS MATERIALIZED (SELECT DISTINCT unnest(pats) AS pattern, lower(m) AS value, seed AS kind FROM ctx),
 totals AS MATERIALIZED (SELECT pattern, count(*) AS many FROM edges GROUP BY pattern),
 {", ".join(rounds)},
-more AS (SELECT doc_id, rid, rank, 'like_' || aim AS kind, s, e FROM (SELECT doc_id, rid, rank, s, e, unnest(pats) AS pattern FROM ctx WHERE seed = '') JOIN good{ROUNDS - 1} USING (pattern)
+more AS (SELECT doc_id, rid, rank, 'like_' || aim AS kind, s, e FROM (SELECT doc_id, rid, rank, s, e, unnest(pats) AS pattern FROM ctx WHERE seed = '') JOIN good{SQL_ROUNDS - 1} USING (pattern)
   QUALIFY row_number() OVER (PARTITION BY rid, s ORDER BY score DESC, pattern) = 1),
 every AS (SELECT rid, rank, kind, s, e FROM base UNION ALL SELECT rid, rank, kind, s, e FROM more),
 g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)},

@@ -6,6 +6,7 @@ QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op2_language_id": language.op2,
     "op3_pii_contextual": pii.op3,
+    "pii_planted": pii.planted,
     "op4_gif_frames": gif.op4,
     "op5_quality_classifier": quality.op5,
     "op6_source_mixing": mixing.op6,
@@ -21,6 +22,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.oracle(),
     "op3_pii_contextual": pii.oracle(),
+    "pii_planted": pii.oracle(f"(SELECT doc_id, {pii.PLANTED} AS text FROM documents)"),
     "op6_source_mixing": mixing.ORACLE,
     "op9_quality_rules": rules.oracle(),
     "op11_hamerly_clusters": centroids.oracle(),

@@ -15,6 +15,8 @@ may have any name, also in ``redact``, which keeps them all.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,9 @@ LEDGER = f"blob binary, rules array<string>, findings array<{SPAN}>"
 
 
 def version(rule: Rule) -> str:
-    """A rule's name in the ledger. Whoever changes what a rule finds gives it another version."""
-    return f"{rule.kind}-{rule.version}"
+    """A rule's name in the ledger: its kind and a digest of its patterns, so that a changed pattern is another rule. ``keep`` is code: who changes that raises ``version``."""
+    told = "\0".join([rule.pattern, rule.guard or "", rule.version])
+    return f"{rule.kind}-{hashlib.sha256(told.encode()).hexdigest()[:12]}"
 
 
 def versions(docs: DataFrame, *, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
