@@ -1,8 +1,8 @@
 """Quality classifier: naive Bayes features in a linear support vector machine.
 
-Features are indicators of n-grams: words, word pairs, runs of character classes (their shapes), and word pairs that
-echo within a window; also the decile of words in repeated word triples. Each indicator is scaled by the log ratio of
-its smoothed class counts, then a hinge-loss linear model is fitted by dual coordinate descent.
+Features are indicators of n-grams: words, word pairs, and up to four runs of character classes in a row (the shapes of
+words and what stands between them). Each indicator is scaled by the log ratio of its smoothed class counts, then a
+hinge-loss linear model is fitted by dual coordinate descent.
 
 The model is fitted on at most SAMPLE labelled rows per class, chosen by a hash of the id, each read whole. Null and
 empty texts have no n-gram and get the score of the bias and the empty text's own features. Without labels of both
@@ -56,16 +56,6 @@ def features(texts: pa.Array) -> list[np.ndarray]:
     pairs, pair_owner = windows(words, at, 2)
     found.append(hashed(pairs, 2))
     who.append(pair_owner)
-    for gap in (1, 2, 3):
-        echo = (owner[gap:] == owner[:-gap]) & (words[gap:] == words[:-gap])
-        found.append(hashed(np.full(int(echo.sum()), gap, U), 3))
-        who.append(owner[gap:][echo])
-    triples, triple_owner = windows(words, at, 3)
-    order = np.lexsort((triples, triple_owner))
-    twice = np.append(False, (triples[order][1:] == triples[order][:-1]) & (triple_owner[order][1:] == triple_owner[order][:-1]))
-    share = np.bincount(triple_owner[order][twice], minlength=n) / np.maximum(1, np.bincount(triple_owner, minlength=n))
-    found.append(hashed(np.floor(10 * share).astype(U), 4))
-    who.append(np.arange(n))
     shapes = SHAPE[data]
     owner = np.repeat(np.arange(n), np.diff(offsets))
     keep = np.append(True, (shapes[1:] != shapes[:-1]) | (owner[1:] != owner[:-1])) if len(shapes) else np.zeros(0, bool)
