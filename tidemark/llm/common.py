@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.store import fresh_path, ship
+from tidemark.sources.store import fresh_path, remove, ship, spread
 
 #: Words of every contract: runs of anything but blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,9 +20,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 19
 
 
+#: Tables made since each open ``scratch`` began, the innermost last.
+_made: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    return fresh_path(spark, name)
+    path = fresh_path(spark, name)
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables made within are removed at the end. What it yields writes a result that stays, and must be used for all that outlives them."""
+    _made.append([])
+
+    def staying(df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(spark, name)
+        if len(_made) > 1:
+            _made[-2].append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield staying
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
 
 
 def persisted(df: DataFrame, name: str) -> DataFrame:
@@ -32,9 +59,11 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, name: str = "documents", *, as_stored: bool = False) -> DataFrame:
+    """A table; where it lies in fewer parts than there are cores it is dealt out, unless wanted ``as_stored``."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows if as_stored else spread(rows)
 
 
 def sha256_of(text: Column) -> Column:

@@ -16,7 +16,9 @@ difference. At a Jaccard similarity of 0.8 or more that difference D is at most
 
 Equal sets are one node (the least id), so exact copies cost nothing beyond the first pass. Rows with one id are one
 document with several texts, linked if any of them is. A null or blank text has no shingles and is its own component;
-a null id is linked with nothing. Ids are whole numbers. Results don't depend on order or partitioning.
+a null id is linked with nothing. Ids are whole numbers, or of any type that has an order. Repeated rows have equal
+results; an empty table has an empty one. A text of any length is one set, taken whole. Only the columns named are read (all
+of ``one_of_each``'s input is handed on), so others may have any name. Results don't depend on order or partitioning.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidemark.llm.common import documents, flat_bytes, persisted, text_chunks
+from tidemark.llm.common import documents, flat_bytes, persisted, scratch, text_chunks
 from tidemark.llm.grams import ODD, U, mixed, windows, word_hashes
 
 #: Words of a shingle; the similarity of a link, in hundredths.
@@ -260,8 +263,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
+def numbered_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``components_of`` for ids that are whole numbers; its tables must outlive the result."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     described = persisted(describe(docs, id_col, text_col), "sets")
     reps = described.filter("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
@@ -306,6 +309,22 @@ def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return named.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "rep", "id")).alias("component_id"))
 
 
+def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``n_shingles`` and ``component_id`` of every row of ``docs``, as a table; those made on the way are removed.
+
+    Ids that aren't whole numbers are numbered in their order first, and named again at the end.
+    """
+    with scratch(docs.sparkSession) as staying:
+        if isinstance(docs.schema[id_col].dataType, IntegralType):
+            return staying(numbered_components(docs, id_col, text_col), "components")
+        names = docs.select(docs[id_col].alias("name")).filter("name is not null").distinct().orderBy("name")
+        names = persisted(names.select("name", F.monotonically_increasing_id().alias("number")), "names")
+        rows = docs.select(docs[id_col].alias("name"), docs[text_col].alias("text")).join(names, "name", "left").select("number", "text")
+        found = numbered_components(rows, "number", "text")
+        named = found.join(names.select(F.col("number").alias("id"), F.col("name").alias("own")), "id", "left").join(names.select(F.col("number").alias("component_id"), F.col("name").alias("component")), "component_id", "left")
+        return staying(named.select(F.col("own").alias("id"), "n_shingles", F.col("component").alias("component_id")), "components")
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component, with their columns; repeated rows stay as often as they are."""
     kept = components_of(docs, id_col=id_col, text_col=text_col).filter("id = component_id or id is null").select("id").distinct()

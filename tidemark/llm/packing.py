@@ -120,7 +120,7 @@ CAPACITY, END = 1024, 2
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, a digest of its ids, and its place in its sequence."""
-    return pack(documents(spark, sf_dir), CAPACITY, END).select(
+    return pack(documents(spark, sf_dir, as_stored=True), CAPACITY, END).select(
         F.col("id").alias("doc_id"),
         "piece",
         "start",
