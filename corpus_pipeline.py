@@ -6,7 +6,11 @@
 4. ``mixing``: documents are repeated or left out so that sources meet their target weights.
 5. ``bpe``: token ids of each row, and the text that they decode to.
 
-All but the last return the columns of ``documents``. An empty table passes through as an empty one.
+All but the last return the columns of ``documents``, and columns besides them, whatever their names. An empty table passes
+through as an empty one. Null and empty texts are texts without words: the classifier judges them by what little they have,
+no two of them are near duplicates, they hold no secret, weigh nothing in the mix (which takes them as often as the others of
+their source) and have no ids. Repeated rows are as many documents, but for the mix, which counts each; near duplicates of one id stay as often as they
+are. A text of any length is one text in every stage. Ties: the least id of a group stays.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, mixing, neardup, quality, secrets
-from tidemark.llm.common import documents, persisted
+from tidemark.llm.common import documents, scratch
+from tidemark.sources.store import fresh_path, remove
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, last = documents(spark, sf_dir), len(STAGES) - 1
+    """The stages on ``documents``, each written as a table and read again; a stage's own tables, and the one before it, are then removed."""
+    docs, last, path = documents(spark, sf_dir), len(STAGES) - 1, ""
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < last:
-            docs = persisted(docs, f"pipeline-{name}")
+        if i == last:
+            return stage(spark, docs, sf_dir)
+        before, path = path, fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
     return docs
