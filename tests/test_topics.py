@@ -99,3 +99,11 @@ def test_limits_of_keywords_and_languages():
     for bad in ({"keywords": ["k"] * 51}, {"keywords": ["k" * 101]}, {"languages": ["xx"]}):
         with pytest.raises(T.QueryError):
             T.compiled("q", "a", **bad)
+
+
+def test_a_table_of_queries(spark):
+    texts = {1: "b OR a", 2: "(a OR b)", 3: "a OR", 4: None, 5: "NOT x", 6: '"one two" AND c'}
+    rows = {r.k: r for r in T.catalog(spark.createDataFrame(list(texts.items()), "k long, q string"), "k", "q").collect()}
+    assert rows[1].digest == rows[2].digest == T.compiled("", "a OR b").digest() and rows[1].nodes == 3
+    assert all(rows[k].digest is None and rows[k].error for k in (3, 4, 5)) and rows[6].error is None
+    assert (rows[6].features, rows[6].keys) == ("and,phrase,term", "#onetwo,two")  # a phrase is more special than a short term

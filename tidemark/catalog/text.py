@@ -35,9 +35,26 @@ BOOK.add("normalize_lang", lambda s, d: docs(s, d).select("doc_id", X.normalize_
 NUMBERS = r"\b(?:\d{5,}|[03-9]\d{3}|1[0-8]\d{2}|2[1-9]\d{2})\b"
 PSEUDO = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(?:https?://|www\.)\S+', '<url>', 'g'), '(^|[^\w@])@[A-Za-z0-9_.]{{1,30}}', '\1<user>', 'g'), '{NUMBERS}', '<num>', 'g'), '\s+', ' ', 'g'))"
 BOOK.add("pseudonymize", hashed(X.pseudonymize), f"SELECT doc_id, sha256(coalesce({PSEUDO}, '')) AS out FROM documents")
-BOOK.add("split_hashtag", lambda s, d: docs(s, d).select("doc_id", X.split_hashtag(F.concat(F.lit("SaveTheHTTPWorld_"), "doc_id", F.lit("_"), F.upper("lang"), F.lit("now"))).alias("out")), "SELECT doc_id, 'save the http world ' || doc_id || ' ' || CASE lang WHEN 'en' THEN 'e nnow' ELSE lower(lang[1]) || ' ' || lower(lang[2]) || 'now' END AS out FROM documents")
-TAGGED = "'see #BanjirJakarta at www.x.org @bob_1 no ' || doc_id || ' #covid19_' || lang"
-BOOK.add("preprocess", lambda s, d: docs(s, d).select("doc_id", X.preprocess(F.expr(TAGGED))[0].alias("out"), F.array_join(X.preprocess(F.expr(TAGGED))[1], ",").alias("tags")), "SELECT doc_id, 'see banjir jakarta at <url> <user> no ' || CASE WHEN doc_id >= 1000 AND NOT doc_id BETWEEN 1900 AND 2099 THEN '<num>' ELSE doc_id::VARCHAR END || ' covid 19 ' || lang AS out, 'BanjirJakarta,covid19_' || lang AS tags FROM documents")
+TAG = "regexp_replace({text}, '[^A-Za-z0-9_]+', ''{all})"
+
+
+def split_sql(tag: str) -> str:
+    """Blanks where case changes and before digits, without looking around."""
+    for pair in ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])"):
+        tag = f"regexp_replace({tag}, '{pair}', '\\1 \\2', 'g')"
+    return f"lower(replace({tag}, '_', ' '))"
+
+
+BOOK.add("split_hashtag", hashed(lambda t: X.split_hashtag(F.regexp_replace(t, "[^A-Za-z0-9_]+", ""))), f"SELECT doc_id, sha256(coalesce({split_sql(TAG.format(text='text', all=', ' + repr('g')))}, '')) AS out FROM documents")
+TAGGED = "concat('see #BanjirJakarta at www.x.org @bob_1 no ', doc_id, ' #covid19_', lang, ' ', text)"
+CLEAN = PSEUDO.replace("regexp_replace(text,", "regexp_replace(t,")
+BOOK.add(
+    "preprocess",
+    lambda s, d: docs(s, d).select("doc_id", F.sha2(F.coalesce(X.preprocess(F.expr(TAGGED))[0], F.lit("")), 256).alias("out"), F.array_join(X.preprocess(F.expr(TAGGED))[1], ",").alias("tags")),
+    rf"""WITH c AS (SELECT doc_id, {CLEAN} AS c FROM (SELECT doc_id, CASE WHEN text IS NOT NULL AND lang IS NOT NULL THEN {TAGGED} END AS t FROM documents)),
+      p AS (SELECT doc_id, regexp_extract_all(c, '#([\p{{L}}\p{{N}}_]+)', 1) AS tags, string_split_regex(c, '#[\p{{L}}\p{{N}}_]+') AS pieces FROM c)
+      SELECT doc_id, sha256(coalesce(trim(regexp_replace(array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || coalesce({split_sql('tags[i]')}, '')), ''), '\s+', ' ', 'g')), '')) AS out, array_to_string(tags, ',') AS tags FROM p""",
+)
 BOOK.add("is_short", on_text(X.is_short), r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda t: t NOT IN ('', '<url>', '<user>', '<num>'))) < 3 AS out FROM documents")
 BOOK.add("safe_text", hashed(X.safe_text), r"SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE text END) AS out FROM documents")
 def redact_sql(text: str) -> str:
@@ -103,9 +120,14 @@ BOOK.add("match_join", found, f"WITH {MATCH_SQL} SELECT doc_id, query, topic FRO
 BOOK.add("first_match_per_topic", lambda s, d: topics.first_per_topic(found(s, d), ["doc_id"]), f"WITH {MATCH_SQL} SELECT doc_id, topic, min(query) AS query FROM hits GROUP BY ALL")
 BOOK.add("match_query", lambda s, d: topics.prepared(docs(s, d)).select("doc_id", topics.reason(QUERIES[2]).alias("reason")), f"WITH {MATCH_SQL} SELECT doc_id, CASE WHEN NOT (words < 3 OR lang = 'de') THEN 'language' WHEN {node_sql(QUERIES[2].tree)} THEN 'match' ELSE 'query' END AS reason FROM i")
 BOOK.add("prepare_item", lambda s, d: topics.prepared(docs(s, d)).select("doc_id", F.sha2("q_joined", 256).alias("joined"), "q_words", F.array_join("q_hashtags", ",").alias("tags")), f"WITH {MATCH_SQL} SELECT doc_id, sha256(joined) AS joined, words::INT AS q_words, array_to_string(list_transform(list_distinct(tags), lambda t: t), ',') AS tags FROM i")
+# query texts that stand in a table, one of ten of them broken
+QUERY_TEXT = """concat(case when doc_id % 10 = 3 then '(' else '' end, '(w', doc_id, ' OR \"w', doc_id, ' ', coalesce(source, 'none'), '\") AND -', coalesce(lang, 'xx'), 'x #T', doc_id % 9)"""
 BOOK.add(
     "query_catalog",
-    lambda s, d: s.createDataFrame([(q.name, q.digest(), ",".join(topics.index_keys(q)), topics.size(q.tree), ",".join(sorted(topics.features(q.tree)))) for q in QUERIES], "query string, digest string, keys string, nodes int, features string"),
+    lambda s, d: topics.catalog(table(s, d, "documents").selectExpr("doc_id", f"{QUERY_TEXT} as text"), "doc_id"),
+    """WITH q AS (SELECT doc_id, 'w' || doc_id AS w, lower(coalesce(source, 'none')) AS src, lower(coalesce(lang, 'xx')) || 'x' AS l, '#t' || doc_id % 9 AS t FROM documents)
+      SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN sha256('{"ast": {"children": [{"children": [{"type": "term", "value": "' || l || '"}], "type": "not"}, {"children": [{"type": "phrase", "value": "' || w || ' ' || src || '"}, {"type": "term", "value": "' || w || '"}], "type": "or"}, {"type": "term", "value": "' || t || '"}], "type": "and"}, "languages": [], "media": [], "not": []}') END AS digest,
+      CASE WHEN doc_id % 10 <> 3 THEN 7 END AS nodes, CASE WHEN doc_id % 10 <> 3 THEN 'and,group,not,or,phrase,term' END AS features, CASE WHEN doc_id % 10 <> 3 THEN t END AS keys, CASE WHEN doc_id % 10 = 3 THEN 'a parenthesis is not closed' END AS error FROM q""",
 )
 
 # enrichment: nations as a gazetteer

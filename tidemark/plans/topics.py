@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,6 +194,7 @@ def cover(node: Node) -> tuple[Node, ...] | None:
     parts = [cover(k) for k in node.kids]
     if node.kind == "or":
         return None if None in parts else tuple(dict.fromkeys(x for p in parts for x in p))
+    # What a leaf, a phrase and a letter count for
     cost = lambda ls: 1000 * len(ls) - sum(100 * (x.kind == "phrase") + len(x.value) for x in ls)
     return min((p for p in parts if p is not None), key=cost, default=None)
 
@@ -352,6 +355,32 @@ def matches(items: DataFrame, queries: list[Query], keys: list[str]) -> DataFram
     return found.filter(passes()).select(*keys, "query", "topic")
 
 
+CATALOG = "digest string, nodes int, features string, keys string, error string"
+
+
+def catalog(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key`` and what each query text of a table is: digest (equal for equal meanings), number of parts, what a source must be able to do, index keys; or what is wrong with it.
+
+    Query texts are short; they are parsed in Arrow batches, where the table lies.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+
+    def told(value: str | None) -> tuple:
+        try:
+            q = compiled("", value or "")
+        except QueryError as e:
+            return (None, None, None, None, str(e))
+        return (q.digest(), size(q.tree), ",".join(sorted(features(q.tree))), ",".join(index_keys(q)), None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = pd.DataFrame([told(v) for v in b["text"]], columns=["digest", "nodes", "features", "keys", "error"])
+            out.insert(0, key, b[key].to_numpy())
+            yield out.astype({"nodes": "Int32"})
+
+    return texts.select(F.col(key), F.col(text).alias("text")).mapInPandas(run, f"`{key}` {kind}, {CATALOG}")
+
+
 def first_per_topic(found: DataFrame, keys: list[str]) -> DataFrame:
     """One match of each topic: the query that sorts first."""
     return found.groupBy(*keys, "topic").agg(F.min("query").alias("query"))
