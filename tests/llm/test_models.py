@@ -91,3 +91,58 @@ def test_margins_equal_those_of_a_plain_solver():
     want = dual(scaled, np.where(labels == 1, 1.0, -1.0), 10.0)
     got = np.array([float(model.weights[r].sum()) / float(np.sqrt((model.ratio[r] ** 2).sum())) for r in rows]) + model.bias
     assert np.abs(got - want).max() < 0.05 and (np.sign(got) == np.where(labels == 1, 1, -1)).all()
+
+
+# --- language: pairs by a plain solver, families and votes by loops ---
+
+
+def plain_margins(rows, signs, cost, probe):
+    """The hinge-loss dual with a bound for each row, by steps over all coordinates, in dense numbers."""
+    wide = lambda rs: np.array([np.append(np.bincount(at, weights=v, minlength=language.SIZE), 1.0) for at, v in rs])
+    x, z = wide(rows), wide(probe)
+    gram = (x @ x.T) * np.outer(signs, signs)
+    alpha = np.zeros(len(rows))
+    for _ in range(2000):
+        for i in range(len(rows)):
+            alpha[i] = min(cost[i], max(0.0, alpha[i] - (gram[i] @ alpha - 1) / gram[i, i]))
+    return z @ (x.T @ (alpha * signs))
+
+
+def plain_vote(names, margin):
+    """Most won pairs, then the surest: ``margin(one, other)`` is above 0 where the first wins."""
+    sure = lambda m: 1 / (1 + np.exp(-3 * m))
+    wins = {n: [sure(margin(n, o) if n < o else -margin(o, n)) for o in names if o != n] for n in names}
+    return max(sorted(names), key=lambda n: (sum(p > 0.5 or (p == 0.5 and n < min(o for o in names if o != n)) for p in wins[n]), min(wins[n], default=1.0)))
+
+
+def test_language_against_a_plain_solver():
+    rng = random.Random(13)
+    words = {"en": "the of and house water with that they from", "de": "der die und haus wasser mit dass sie von", "nl": "de het en huis water met dat zij van", "fr": "le la et maison eau avec que ils de", "es": "el la y casa agua con que ellos de", "ru": "и в дом вода с что они из на"}
+    text = lambda lang: " ".join(rng.choice(words[lang].split()) for _ in range(rng.randint(6, 20)))
+    labels = [lang for lang in words for _ in range(7)]
+    probe_labels = [lang for lang in words for _ in range(5)]
+
+    def features(texts):
+        at, offsets = language.grams(pa.array(texts))
+        found = [np.unique(at[a:b], return_counts=True) for a, b in zip(offsets, offsets[1:], strict=False)]
+        return [(i, n / n.sum() * language.SCALE) for i, n in found], at, offsets
+
+    rows, _, _ = features([text(lang) for lang in labels])
+    probe, at, offsets = features([text(lang) for lang in probe_labels])
+    models = language.Models(labels, rows)
+    family = [language.FAMILY.get(x, x) for x in labels]
+    want = {}
+    for level, one, other in models.pairs:
+        of = family if level == "family" else labels
+        chosen = [i for i, x in enumerate(of) if x in (one, other)]
+        signs = np.array([1.0 if of[i] == one else -1.0 for i in chosen])
+        cost = np.array([10.0 * len(chosen) / (2 * (signs == s).sum()) for s in signs])
+        want[level, one, other] = plain_margins([rows[i] for i in chosen], signs, cost, probe)
+        got = models.margins(at, offsets, (level, one, other))
+        assert np.abs(got - want[level, one, other]).max() < 0.1, (level, one, other)
+    assert set(models.members) == {"germanic", "romance", "slavic"} and sum(level == "lang" for level, _, _ in models.pairs) == 4
+    predicted, score = models.predict(at, offsets)
+    for i in range(len(probe)):
+        f = plain_vote(models.families, lambda a, b, i=i: want["family", a, b][i])
+        assert predicted[i] == plain_vote(models.members[f], lambda a, b, i=i: want["lang", a, b][i])
+    assert (predicted == np.array(probe_labels, dtype=object)).mean() > 0.9 and ((score > 0) & (score <= 1)).all()
