@@ -80,17 +80,22 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
 
+# What is a URL, a mention and a long number (no year), and where the words of a tag part.
+URL = r"(?i)(?:https?://|www\.)(?U:\S+)"
+MENTION = rf"(?<!{W}|@)@[A-Za-z0-9_.]{{1,30}}"
+NUMBER = rf"(?<!{W})(?!(?:19|20){D}{{2}}(?!{W})){D}{{4,}}(?!{W})"
+TAG_PARTS = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])"
+
+
 def pseudonymize(text: Column) -> Column:
     """URLs, mentions and numbers of four digits or more (but for years 19xx and 20xx) give way to their kinds, in composed text; blanks are squeezed."""
-    out = F.regexp_replace(compose(text), r"(?i)(?:https?://|www\.)(?U:\S+)", "<url>")
-    out = F.regexp_replace(out, rf"(?<!{W}|@)@[A-Za-z0-9_.]{{1,30}}", "<user>")
-    out = F.regexp_replace(out, rf"(?<!{W})(?!(?:19|20){D}{{2}}(?!{W})){D}{{4,}}(?!{W})", "<num>")
-    return squeezed(out)
+    out = F.regexp_replace(compose(text), URL, "<url>")
+    return squeezed(F.regexp_replace(F.regexp_replace(out, MENTION, "<user>"), NUMBER, "<num>"))
 
 
 def split_hashtag(tag: Column) -> Column:
     """A tag's words, in lower case: parted at changes of case, before digits, and at ``_``."""
-    parts = F.regexp_replace(tag, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])", " ")
+    parts = F.regexp_replace(tag, TAG_PARTS, " ")
     return F.lower(F.replace(parts, F.lit("_"), F.lit(" ")))
 
 

@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import safe_text
 
 
+def once_each(batch: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows with the same key the least one by its other columns, so that every evaluation takes the same."""
+    rest = [c for c in batch.columns if c not in key]
+    least = batch.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r"))
+    return least.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in batch.columns])
+
+
 def append_new(batch: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of a batch whose key isn't there yet; within the batch each key once."""
-    return batch.dropDuplicates(key).join(existing.select(*key).distinct(), key, "left_anti")
+    """The rows of a batch whose key isn't there yet; within the batch each key once, as ``once_each`` says."""
+    return once_each(batch, key).join(existing.select(*key).distinct(), key, "left_anti")
 
 
 def write_batch(batch: DataFrame, path: str, batch_id: int | str) -> None:

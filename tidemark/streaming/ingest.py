@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.sinks import write_batch
+from tidemark.operators.sinks import once_each, write_batch
 from tidemark.operators.state import MATCH_KEY
 from tidemark.streaming import keys as K
 
@@ -31,13 +31,6 @@ def tumbling(rows: DataFrame, width: str, time: str = "published_at") -> DataFra
     return rows.groupBy("tenant_id", "topic_id", w.start.alias("bucket")).agg(F.sum("sign").cast("long").alias("posts"))
 
 
-def once_each(batch: DataFrame, key: list[str]) -> DataFrame:
-    """Of rows with the same key the least one by its other columns, so that every evaluation takes the same."""
-    rest = [c for c in batch.columns if c not in key]
-    least = batch.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r"))
-    return least.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in batch.columns])
-
-
 def claimed(batch: DataFrame, batch_id: int, path: str, key: list[str], time: str, now: datetime | None = None, *, fan: int = K.FAN, life: timedelta = timedelta(days=K.LIFE_DAYS)) -> DataFrame:
     """The rows of ``batch`` whose key no earlier batch has had within ``life``, persisted; their keys are written. A replay finds the same."""
     spark, now = batch.sparkSession, now or datetime.now(UTC).replace(tzinfo=None)
