@@ -49,6 +49,12 @@ def test_authors_sketch(spark):
     assert rows.agg(F.hll_sketch_estimate(F.hll_union_agg("authors"))).first()[0] == 2
 
 
+def test_authors_are_counted_exactly(spark):
+    e = stream(spark).filter("sign = 1").limit(1).drop("author_id", "author_created_year").crossJoin(spark.range(20_000).selectExpr("concat('a', id) as author_id", "cast(2020 as int) as author_created_year"))
+    for name in aggregates.AUTHORS_OF:
+        assert [r.authors for r in aggregates.distinct_authors(e.unionByName(e), name).collect()] == [20_000]
+
+
 def test_parts_add_up_to_the_whole(spark):
     e = stream(spark)
     for name in ("agg_topic_5m", "agg_issue_1h", "agg_emotion_1h", "agg_psycho_age_1d", "agg_author_1d", "agg_reposted_author_1d"):
