@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.catalog.book import Book
+from tidemark.functions.text import upper_each
 from tidemark.operators import analytics, enrich, ops, sharing, upkeep
 from tidemark.sources import items
 from tidemark.sources.store import fresh_path, spread, table
@@ -97,7 +98,8 @@ NEEDLE = "CASE WHEN item_id % 5 = 0 THEN substr(text, 1, 2) WHEN item_id % 5 = 1
 
 
 def needled(s, d):
-    needles = table(s, d, "benchmark").selectExpr(f"{NEEDLE} as needle")
+    needle = F.when(F.expr("item_id % 5 = 0"), F.expr("substr(text, 1, 2)")).when(F.expr("item_id % 5 = 1"), upper_each(F.expr("substr(text, 3, 9)"))).otherwise(F.expr("substr(text, 5, 20)"))
+    needles = table(s, d, "benchmark").select(needle.alias("needle"))
     return analytics.needle_hits(spread(table(s, d, "documents").select("doc_id", "text")), needles, ["doc_id"])
 
 
