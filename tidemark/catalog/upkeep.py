@@ -28,12 +28,6 @@ BOUNDS = "10, 20, 30, 40"
 COUNTER = "l_suppkey % 10 AS connector, l_orderkey * 10 + l_linenumber AS moment"
 
 
-def sampled(s, d):
-    rows = table(s, d, "lineitem").selectExpr("l_suppkey % 10 as connector", "l_orderkey * 10 + l_linenumber as at", "l_orderkey", "l_partkey % 500 as v")
-    bounds = F.explode(F.expr(f"transform(array({BOUNDS}, cast('infinity' as double)), (b, i) -> struct(cast(b as double) as le, i + 1 as k))"))
-    return rows.withColumn("b", bounds).selectExpr("connector", "at", "l_orderkey div 500 as block", "b.le", "v * b.k as n")
-
-
 def counted(s, d):
     """(connector, le, increase): what each bound's counter grew by; one sample reads the counters of all bounds."""
     bounds = [*BOUNDS.split(", "), "infinity"]
@@ -53,7 +47,7 @@ BOOK.add(
 )
 BOOK.add(
     "histogram_quantile",
-    lambda s, d: ops.histogram_quantile(ops.increases(sampled(s, d), ["connector", "le"], "at", "n", F.col("block")), ["connector"], "le", "increase", 0.55).select("connector", "n", F.floor(F.col("quantile") * 1e6 + 0.5).alias("micro")),
+    lambda s, d: ops.histogram_quantile(counted(s, d), ["connector"], "le", "increase", 0.55).select("connector", "n", F.floor(F.col("quantile") * 1e6 + 0.5).alias("micro")),
     f"""WITH {SAMPLES}, r AS (SELECT *, max(c) FILTER (le = 'inf'::DOUBLE) OVER w * 0.55 AS rank, max(c) FILTER (le = 'inf'::DOUBLE) OVER w AS n, lag(le, 1, 0) OVER o AS low, lag(c, 1, 0) OVER o AS under FROM h WINDOW w AS (PARTITION BY connector), o AS (PARTITION BY connector ORDER BY le)),
       f AS (SELECT connector, n, rank, arg_min({{'le': le, 'c': c, 'low': low, 'under': under}}, le) AS b FROM r WHERE c >= rank GROUP BY ALL)
       SELECT connector, n, CASE WHEN n > 0 THEN floor(CASE WHEN b.le = 'inf'::DOUBLE THEN 40 ELSE b.low + (b.le - b.low) * (rank - b.under) / (b.c - b.under) END * 1e6 + 0.5)::BIGINT END AS micro FROM f""",
