@@ -267,3 +267,38 @@ def test_one_long_code_stream_takes_linear_time():
         assert gif.lzw_expand(stream, 8, n) == raw
         took.append(time.process_time() - began)
     assert took[1] < 8 * max(took[0], 0.05)
+
+
+def test_streams_whose_table_stays_full():
+    """No clear code when the table is full; codes at random, some of which name the entry that they make."""
+    rng = random.Random(3)
+    for count in (1, 300, 3838, 3839, 4098, 4099, 9000):
+        codes = [rng.randrange(256)]
+        while len(codes) < count:
+            top = min(gif.FULL - 1, gif.END + len(codes))
+            code = rng.choice([rng.randrange(256), top, rng.randint(min(gif.FIRST, top), top)])
+            codes.append(code if code not in (gif.CLEAR, gif.END) else 0)
+        table, prev, want = [bytes([i]) for i in range(256)] + [b"", b""], b"", []
+        for code in codes:
+            now = table[code] if code < len(table) else prev + prev[:1]
+            if prev and len(table) < gif.FULL:
+                table.append(prev + now[:1])
+            want.append(prev := now)
+        stream = gif.lzw_pack(np.array([gif.CLEAR, *codes, gif.END], dtype=np.int32))
+        whole = b"".join(want)
+        for most in (len(whole), len(whole) // 2 + 1, len(whole) + 5):
+            assert gif.lzw_expand(stream, 8, most) == whole[:most]
+        assert len(gif.lzw_phrases(np.array(codes[:4098]), 256, 10)[0]) < 10 + gif.FULL
+
+
+def test_no_call_per_code():
+    import sys
+
+    frame = bytes(random.Random(4).choices(b"abcd ", k=9216))
+    codes, calls = gif.lzw_codes(frame), []
+    sys.setprofile(lambda _, event, __: calls.append(event) if event == "c_call" else None)
+    try:
+        back = gif.lzw_expand(gif.lzw_pack(codes), 8, len(frame))
+    finally:
+        sys.setprofile(None)
+    assert back == frame and len(calls) < len(codes) / 4

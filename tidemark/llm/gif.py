@@ -12,6 +12,7 @@ read, so other columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,49 +41,42 @@ FRAME = "struct<time_ms:bigint,delay_ms:bigint,left:int,top:int,width:int,height
 DECODED = f"width int, height int, frames array<{FRAME}>, samples binary, error string"
 
 
+@cache
 def code_widths(count: int, root: int = 8) -> np.ndarray:
     """Bits of the codes after a clear code: one more whenever the table outgrows the width, 12 at most."""
     entries = (1 << root) + 1 + np.arange(count)
     return np.clip(np.frexp(entries.astype(np.float64))[1], root + 1, 12).astype(np.int64)
 
 
-def lzw_codes(data: bytes) -> list[int]:
+def lzw_codes(data: bytes) -> np.ndarray:
     """The LZW codes of ``data`` (not empty), between a clear code and an end code."""
-    out = [CLEAR]
+    out = [CLEAR << 8]  # codes stand eight bits higher while they are made, so that a code and a byte are a key
     table: dict[int, int] = {}
-    find, emit, size, prefix = table.get, out.append, FIRST, data[0]
+    emit, enter, size, prefix = out.append, table.setdefault, FIRST << 8, data[0] << 8
     for byte in data[1:]:
-        key = prefix << 8 | byte
-        longer = find(key)
-        if longer is not None:
+        longer = enter(prefix | byte, size)
+        if longer is not size:  # it was there
             prefix = longer
             continue
         emit(prefix)
-        table[key] = size
-        size += 1
-        prefix = byte
-        if size == FULL:
-            emit(CLEAR)
+        size += 256
+        prefix = byte << 8
+        if size == FULL << 8:
+            emit(CLEAR << 8)
             table.clear()
-            size = FIRST
-    out += [prefix, END]
-    return out
+            size = FIRST << 8
+    out += [prefix, END << 8]
+    return np.array(out, dtype=np.int32) >> 8
 
 
-def lzw_pack(codes: list[int]) -> bytes:
+def lzw_pack(code: np.ndarray) -> bytes:
     """Codes as a bit stream, lowest bit first."""
-    code = np.array(codes, dtype=np.int64)
     clears = np.flatnonzero(code == CLEAR)
     after = np.arange(len(code)) - np.repeat(clears, np.diff(np.append(clears, len(code)))) - 1
     widths = code_widths(FULL + 2)[np.minimum(np.maximum(after, 0), FULL + 1)]
     widths[clears[1:]] = 12  # a later clear code comes when the table is full
-    ends = np.cumsum(widths)
-    begins = ends - widths
-    bits = np.zeros(int(ends[-1]), dtype=np.uint8)
-    for bit in range(12):
-        has = widths > bit
-        bits[begins[has] + bit] = (code[has] >> bit) & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    bits = np.unpackbits(code.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -101,56 +95,85 @@ def write_gif(payload: bytes) -> bytes:
     return b"".join(head) + b"\x3b"
 
 
+def reaching(lengths: np.ndarray, most: int) -> int:
+    """How many of the lengths come to ``most`` bytes, or all."""
+    return int(np.searchsorted(np.cumsum(lengths), most)) + 1
+
+
+def copied(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``source``, one after another."""
+    ends = np.cumsum(lengths)
+    return source[np.arange(int(ends[-1]), dtype=np.int32) + np.repeat((starts - ends + lengths).astype(np.int32), lengths)]
+
+
+def lzw_phrases(codes: np.ndarray, clear: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the codes after a clear code (those that reach ``most``), and how many each stands for.
+
+    Entry j of the table is what code j stands for and the byte after it, so a code repeats a stretch that was written before.
+    Each byte points to the one it repeats; pointers are followed in doubling steps, down to the literals.
+    """
+    n, entry = len(codes), codes - clear - 2
+    if codes[0] >= clear:
+        raise ValueError("the first code is not a literal")
+    if (entry >= np.arange(n)).any():
+        raise ValueError("a code beyond the table")
+    literal = entry < 0
+    up = np.append(np.where(literal, n, entry), n)
+    lengths = np.append(~literal, False).astype(np.int64)
+    while (up < n).any():
+        lengths += lengths[up]
+        up = up[up]
+    n = reaching(lengths := lengths[:n] + 1, most)
+    codes, entry, literal, lengths = codes[:n], entry[:n], literal[:n], lengths[:n]
+    begins = np.cumsum(lengths) - lengths
+    at = np.arange(int(begins[-1] + lengths[-1]), dtype=np.int32)
+    at -= np.repeat(np.where(literal, 0, begins - begins[np.where(literal, 0, entry)]).astype(np.int32), lengths)
+    while not np.array_equal(at, further := at[at]):
+        at = further
+    out = np.zeros(len(at), np.uint8)
+    out[begins[literal]] = codes[literal]
+    return out[at], lengths
+
+
 def lzw_expand(stream: bytes, root: int, most: int) -> bytes:
     """The bytes of an LZW code stream, ``most`` at most."""
     clear, end = 1 << root, (1 << root) + 1
     bits_all = len(stream) * 8
     data = np.concatenate([np.frombuffer(stream, dtype=np.uint8), np.zeros(4, np.uint8)]).astype(np.int64)
     widths = code_widths(FULL + 2, root)
-    literals = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    size, at, table, prev, seen = 0, 0, literals[:], b"", 0
+    size, at, seen = 0, 0, 0
     while at < bits_all and size < most:
-        left = widths[min(seen, FULL + 1) :] if seen < FULL else np.full(FULL, 12, np.int64)
+        left = widths[: bits_all - at] if not seen else np.full(FULL, 12, np.int64)
         begins = at + np.cumsum(left) - left
-        left, begins = left[begins + left <= bits_all], begins[begins + left <= bits_all]
-        if not len(begins):
+        fit = int(np.searchsorted(begins + left, bits_all, "right"))
+        left, begins = left[:fit], begins[:fit]
+        if not fit:
             break
         byte = begins >> 3
         codes = ((data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (begins & 7)) & ((1 << left) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         n = int(stops[0]) if len(stops) else len(codes)
-        run = codes[:n].tolist()
-        if run and not prev:
-            prev = literals[run[0]] if run[0] < clear else b""
-            if not prev:
-                raise ValueError("the first code is not a literal")
-            out.append(prev)
-            size += 1
-            del run[0]
-        room, mark = FULL - len(table), len(out)
-        enter, put = table.append, out.append
-        for code in run[:room]:
-            try:
-                now = table[code]
-            except IndexError:
-                if code != len(table):
-                    raise ValueError("a code beyond the table") from None
-                now = prev + prev[:1]
-            enter(prev + now[:1])
-            put(now)
-            prev = now
-        for code in run[max(room, 0) :]:  # the table is full and stays
-            prev = table[code]
-            out.append(prev)
-        size += sum(map(len, out[mark:]))
+        run = codes[:n]
+        if n and not seen:
+            part, lengths = lzw_phrases(run, clear, most - size)
+            if n > FULL and size + len(part) < most:  # the table is full and stays
+                known = np.concatenate([np.arange(clear, dtype=np.uint8), part])
+                starts = np.concatenate([np.arange(clear + 2), clear + (np.cumsum(lengths) - lengths)[: FULL - clear - 2]])
+                sizes = np.concatenate([np.ones(clear + 2, np.int64), lengths[: FULL - clear - 2] + 1])
+        elif n:
+            run = run[: reaching(sizes[run], most - size)]
+            part = copied(known, starts[run], sizes[run])
+        if n:
+            out.append(part.tobytes())
+            size += len(part)
         seen += n
         if not len(stops):
             at = int(begins[-1] + left[-1])
         elif codes[n] == end:
             break
         else:
-            at, table, prev, seen = int(begins[n] + left[n]), literals[:], b"", 0
+            at, seen = int(begins[n] + left[n]), 0
     return b"".join(out)[:most]
 
 
