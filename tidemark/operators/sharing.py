@@ -15,6 +15,9 @@ from tidemark.sources.store import fresh_path, remove
 
 GROUP = ["platform", "operation", "visibility"]
 
+#: Tables of more nodes than this are joined by merging; Spark may send smaller ones through the driver, each round anew.
+MERGED = 50_000
+
 
 def written(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
@@ -31,11 +34,13 @@ def components(edges: DataFrame, node: str, hub: str) -> DataFrame:
     base, turn = fresh_path(spark, "components"), 0
     edges = written(edges.select(node, hub).distinct(), f"{base}/edges")
     labels = written(edges.groupBy(node).agg(F.min(node).alias("label")), f"{base}/labels-0")
+    many = labels.count() > MERGED
+    side = lambda df: df.hint("merge") if many else df
     while True:
-        hubs = edges.join(labels, node).groupBy(hub).agg(F.min("label").alias("least"))
+        hubs = edges.join(side(labels), node).groupBy(hub).agg(F.min("label").alias("least"))
         near = edges.join(hubs, hub).groupBy(node).agg(F.min("least").alias("next"))
         jump = labels.select(F.col(node).alias("next"), F.col("label").alias("further"))
-        new = labels.join(near, node).join(jump, "next", "left").select(node, F.least("next", "further").alias("label"), (F.least("next", "further") < F.col("label")).alias("moved"))
+        new = labels.join(side(near), node).join(side(jump), "next", "left").select(node, F.least("next", "further").alias("label"), (F.least("next", "further") < F.col("label")).alias("moved"))
         turn += 1
         new = written(new, f"{base}/labels-{turn}")
         remove(spark, f"{base}/labels-{turn - 1}")
@@ -65,7 +70,7 @@ def shared(plans: DataFrame) -> DataFrame:
     """
     spark = plans.sparkSession
     able = plans.filter(F.size(F.coalesce("terms", F.array().cast("array<string>"))) > 0)
-    able = able.withColumns({"terms": F.array_distinct("terms"), "visibility": F.when(F.col("own_account"), F.col("tenant_id")).otherwise("*")})
+    able = able.withColumns({"terms": F.array_sort(F.array_distinct("terms")), "visibility": F.when(F.col("own_account"), F.col("tenant_id")).otherwise("*")})
     base = fresh_path(spark, "shared")
     able = written(able.select("plan_id", *GROUP, F.col("interval_s").cast("int").alias("interval_s"), "terms"), f"{base}/plans")
     streams: DataFrame | None = None
@@ -76,10 +81,12 @@ def shared(plans: DataFrame) -> DataFrame:
         if streams is not None:
             riders = written(covered(here, streams), f"{base}/riders-{n}")
             ride = riders.join(streams.select("stream", "stream_interval_s"), "stream").select("plan_id", "stream", "stream_interval_s", F.lit(True).alias("rides"))
-            served, rest = served.unionByName(ride), here.join(riders, "plan_id", "left_anti")
-        group_key = F.concat_ws("|", *GROUP)
-        edges = rest.select("plan_id", F.explode("terms").alias("term"), group_key.alias("g")).select("plan_id", F.concat_ws("|", "g", "term").alias("hub"))
-        together = rest.join(components(edges, "plan_id", "hub"), "plan_id")
+            served, rest = served.unionByName(ride), here.join(riders.hint("merge"), "plan_id", "left_anti")
+        rest = rest.withColumn("g", F.concat_ws("|", *GROUP))
+        alike = written(rest.groupBy("g", "terms").agg(F.min("plan_id").alias("node")), f"{base}/alike-{n}")  # plans of equal terms are one node
+        edges = alike.select("node", "g", F.explode("terms").alias("term")).select("node", F.concat_ws("|", "g", "term").alias("hub"))
+        found = alike.join(components(edges, "node", "hub"), "node").select("g", "terms", "component")
+        together = rest.join(found, ["g", "terms"]).drop("g")
         terms = together.select("component", *GROUP, "plan_id", F.explode("terms").alias("term"))
         made = terms.groupBy("component", *GROUP).agg(F.count_distinct("plan_id").alias("members"), F.sort_array(F.collect_set("term")).alias("stream_terms")).filter("members > 1")
         name = F.concat_ws("|", *GROUP, F.lit(str(row.interval_s)), F.col("component").cast("string"))
